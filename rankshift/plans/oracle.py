@@ -108,3 +108,20 @@ scored AS (SELECT 'Bm25' AS ranker, b.qid, b.idx, b.score, l.label FROM bm25 b J
            UNION ALL
            SELECT 'TfCosine' AS ranker, c.qid, c.idx, c.score, l.label FROM tfcos c JOIN lists l USING (qid, idx)),
 {positions_ctes()}"""
+
+
+FIRST_USER = """fu AS (SELECT conv_id, arg_min(text, turn) AS query FROM conversations
+        WHERE role = 'user' GROUP BY conv_id)"""
+ANSWERS = """ans AS (SELECT conv_id, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos
+         FROM conversations WHERE role = 'assistant')"""
+EXPLODED = f"""WITH {FIRST_USER}, {ANSWERS}
+SELECT fu.conv_id AS ord, fu.query, ans.pos, CASE WHEN ans.pos = 0 THEN 1 ELSE 0 END AS is_selected,
+       ans.text AS passage_text
+FROM fu JOIN ans USING (conv_id)"""
+PAIRS = """pairs AS (SELECT c.conv_id * 100000 + c.turn AS ord, c.text AS query, n.text AS body, 3 AS label
+  FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
+  WHERE c.role = 'user' AND n.role = 'assistant')"""
+PAGE_ROWS = """page_rows AS (SELECT url,
+    regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '[\\t\\r\\n]+', ' ', 'g') AS query,
+    trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text
+  FROM pages)"""

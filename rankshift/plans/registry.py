@@ -119,3 +119,139 @@ def q_spar_score(spark, sf):
     d, q = standins.vector_lists(spark, sf)
     s = rank.score_vectors(d.where(F.col("label") == -1), q, ["qid"], "dot")
     return s.agg(F.round(F.avg("score"), 6).alias("spar_score"), F.count(F.lit(1)).alias("n_lists"))
+
+
+# ----------------------------------------------- projections, filters (§2.2)
+
+from rankshift.operators import prep  # noqa: E402
+from rankshift.session import scratch_path  # noqa: E402
+from rankshift.sources import readers, sinks  # noqa: E402
+from rankshift.sources.tables import table  # noqa: E402
+
+
+@register("explode_passages", O.EXPLODED)
+def q_explode_passages(spark, sf):
+    return prep.explode_passages(standins.qa_rows(spark, sf))
+
+
+@register("concat_passages", f"""WITH {O.FIRST_USER},
+a AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS target FROM conversations
+      WHERE role = 'assistant' GROUP BY conv_id)
+SELECT fu.conv_id AS ord, coalesce(a.target, '') AS target FROM fu LEFT JOIN a USING (conv_id)""")
+def q_concat_passages(spark, sf):
+    return prep.concat_passages(standins.qa_rows(spark, sf)).select("ord", "target")
+
+
+@register("with_prompt", f"""WITH {O.PAIRS}
+SELECT ord, '<LM>' || query AS query, body || '</s>' AS body FROM pairs""")
+def q_with_prompt(spark, sf):
+    return prep.with_prompt(standins.qa_pairs(spark, sf), "query", "body").select("ord", "query", "body")
+
+
+@register("selected_passages", O.EXPLODED.replace("FROM fu JOIN ans USING (conv_id)",
+                                                  "FROM fu JOIN ans USING (conv_id) WHERE ans.pos = 0"))
+def q_selected_passages(spark, sf):
+    return prep.selected_only(prep.explode_passages(standins.qa_rows(spark, sf)))
+
+
+@register("drop_non_text", """SELECT doc_id, lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL""")
+def q_drop_non_text(spark, sf):
+    return prep.drop_non_text(table(spark, sf, "documents"), ["text", "lang"]).select("doc_id", "lang")
+
+
+@register("head_n", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 500")
+def q_head_n(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "n_chars")
+    return prep.head_n(d, 500).select(F.col("ord").alias("doc_id"), "n_chars")
+
+
+@register("head_n_dense", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 700")
+def q_head_n_dense(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "n_chars")
+    return prep.head_n(d, 700, small=0).select(F.col("ord").alias("doc_id"), "n_chars")
+
+
+@register("hash_split", """SELECT doc_id, CASE WHEN ('0x' || substr(md5(concat('123', doc_id::VARCHAR)), 1, 8))::BIGINT
+  < 3650722201 THEN 'train' ELSE 'test' END AS split FROM documents""")
+def q_hash_split(spark, sf):
+    return prep.hash_split(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.85, 123)
+
+
+@register("batch_ids", """SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 8)::BIGINT AS batch_id
+FROM documents""")
+def q_batch_ids(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"))
+    return prep.with_batch_id(d, 8, "ord", "batch_id").select(F.col("ord").alias("doc_id"), "batch_id")
+
+
+@register("sample_batches")
+def q_sample_batches(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "lang")
+    return prep.sample_batches(d, k=5, size=8, seed=7)
+
+
+# ------------------------------------------------------- sources/sinks (§2.1)
+
+RECORD_SEP = "\x1e"  # texts hold newlines; a record separator keeps the round trip exact
+
+@register("src_qa_jsonl", O.EXPLODED)
+def q_src_qa_jsonl(spark, sf):
+    path = scratch_path(spark, "qa_jsonl")
+    standins.qa_rows(spark, sf).withColumnRenamed("ord", "query_id").write.json(path)
+    back = readers.read_qa_jsonl(spark, path)
+    return prep.explode_passages(back.drop("ord").withColumnRenamed("query_id", "ord"))
+
+
+@register("src_labelled_csv", f"WITH {O.PAIRS} SELECT query, body, label FROM pairs")
+def q_src_labelled_csv(spark, sf):
+    path = scratch_path(spark, "labelled_csv")
+    p = standins.qa_pairs(spark, sf)
+    (p.select("query", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"),
+              F.lit(None).cast("string").alias("meta"), "body", F.lit(None).cast("string").alias("qlinks"),
+              "label")
+     .write.option("header", "true").option("quote", '"').option("escape", '"').csv(path))
+    return readers.read_labelled_csv(spark, path).select("query", "body", "label")
+
+
+def _page_rows(spark, sf):
+    p = table(spark, sf, "pages")
+    title = F.regexp_replace(F.regexp_extract("html", "<title>(.*?)</title>", 1), r"[\t\r\n]+", " ")
+    body = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " "))
+    return p.select("url", title.alias("query"), body.alias("text"))
+
+
+@register("src_tsv_gz", f"WITH {O.PAGE_ROWS} SELECT url, query, text FROM page_rows")
+def q_src_tsv_gz(spark, sf):
+    path = scratch_path(spark, "tsv")
+    (_page_rows(spark, sf).write.option("sep", "\t").option("header", "false")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+     .option("compression", "gzip").csv(path))
+    return readers.read_tsv(spark, path, partitions=8).select("url", "query", "text")
+
+
+@register("src_text_corpus", """SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS line_no,
+  regexp_replace(text, '[\\r\\n]', ' ', 'g') AS text FROM documents""")
+def q_src_text_corpus(spark, sf):
+    from rankshift.operators.order import prefix_offsets
+    path = scratch_path(spark, "text_corpus")
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[\r\n]", " ").alias("value"))
+    d.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    back = readers.read_text_corpus(spark, path)
+    idx = prefix_offsets(back, "ord", None, "line_no", bucket=F.struct(F.col("ord.f"), F.col("ord.b")))
+    return idx.select("line_no", "text")
+
+
+@register("snk_pairs_text", f"""WITH {O.PAIRS}
+SELECT concat_ws(' ', query, '<sep>', body, '</s>') AS value FROM pairs""")
+def q_snk_pairs_text(spark, sf):
+    path = scratch_path(spark, "pairs_text")
+    sinks.export_pairs_text(standins.qa_pairs(spark, sf), path, line_sep=RECORD_SEP)
+    return spark.read.option("lineSep", RECORD_SEP).text(path)
+
+
+@register("snk_selected_text", f"""WITH {O.FIRST_USER}, {O.ANSWERS}
+SELECT concat_ws(' ', fu.query, ans.text, '</s>') AS value FROM fu JOIN ans USING (conv_id) WHERE ans.pos = 0""")
+def q_snk_selected_text(spark, sf):
+    path = scratch_path(spark, "selected_text")
+    sinks.export_selected_text(standins.qa_rows(spark, sf), path, line_sep=RECORD_SEP)
+    return spark.read.option("lineSep", RECORD_SEP).text(path)
