@@ -125,3 +125,22 @@ PAGE_ROWS = """page_rows AS (SELECT url,
     regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '[\\t\\r\\n]+', ' ', 'g') AS query,
     trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text
   FROM pages)"""
+
+
+def word_share_sql(tokens: str = "t", lang: str = "lang") -> str:
+    from rankshift.operators.clean import LANG_WORD
+    cases = " ".join(
+        f"WHEN {lang} = '{code}' THEN len(list_filter({tokens}, lambda x: regexp_matches(x, '{pat}')))"
+        for code, pat in reversed(list(LANG_WORD.items())))
+    return f"CASE WHEN len({tokens}) = 0 THEN 0.0 ELSE (CASE {cases} ELSE 0 END) / len({tokens}) END"
+
+
+HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1))"
+
+
+def site_sql(hosts) -> str:
+    return "(" + " OR ".join(f"({HOST} = '{h}' OR ends_with({HOST}, '.{h}'))" for h in hosts) + ")"
+
+
+def sentences_sql(col: str = "text") -> str:
+    return f"len(list_filter(string_split_regex(coalesce({col}, ''), '[.!?]+'), lambda s: trim(s) <> ''))"

@@ -255,3 +255,165 @@ def q_snk_selected_text(spark, sf):
     path = scratch_path(spark, "selected_text")
     sinks.export_selected_text(standins.qa_rows(spark, sf), path, line_sep=RECORD_SEP)
     return spark.read.option("lineSep", RECORD_SEP).text(path)
+
+
+# ------------------------------------------------------------ cleaning (§2.3)
+
+from rankshift.operators import clean as C  # noqa: E402
+
+TEST_MARKERS = ("Released under the", "All rights reserved", "Copyright")
+TEST_SITES = ("tionsh.example.net", "thther.example.org", "ththhe.example.com")
+_DOC_T = f"WITH d AS (SELECT doc_id, lang, text, {O.tok('text')} AS t FROM documents)"
+
+
+def _docs(spark, sf):
+    return C.with_tokens(table(spark, sf, "documents").select("doc_id", "lang", "text"))
+
+
+@register("clean_max_tokens", _DOC_T + " SELECT doc_id, len(t)::BIGINT AS n_tokens FROM d WHERE len(t) < 1000")
+def q_clean_max_tokens(spark, sf):
+    return _docs(spark, sf).where(C.max_tokens()).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@register("clean_min_letters", f"SELECT doc_id, {O.letters('text')}::BIGINT AS n_letters FROM documents "
+          f"WHERE {O.letters('text')} > 200")
+def q_clean_min_letters(spark, sf):
+    from rankshift.functions.text import letter_count
+    return (_docs(spark, sf).where(C.min_letters())
+            .select("doc_id", letter_count("text").cast("long").alias("n_letters")))
+
+
+@register("clean_word_share", _DOC_T + f", s AS (SELECT doc_id, {O.word_share_sql()} AS share FROM d) "
+          "SELECT doc_id, round(share, 6) AS share FROM s WHERE share >= 0.7")
+def q_clean_word_share(spark, sf):
+    share = C.word_share_value(C.LANG_WORD)
+    return (_docs(spark, sf).where(share >= 0.7)
+            .select("doc_id", F.round(share, 6).alias("share")))
+
+
+@register("clean_on_sites", f"SELECT page_id FROM pages WHERE {O.site_sql(TEST_SITES)}")
+def q_clean_on_sites(spark, sf):
+    return C.on_sites(table(spark, sf, "pages"), list(TEST_SITES)).select("page_id")
+
+
+@register("clean_on_sites_table", f"SELECT page_id FROM pages WHERE {O.site_sql(TEST_SITES)}")
+def q_clean_on_sites_table(spark, sf):
+    hosts = spark.createDataFrame([(h,) for h in TEST_SITES], "site string")
+    return C.on_sites(table(spark, sf, "pages"), hosts).select("page_id")
+
+
+_MARK_RX = C.markup_regex(TEST_MARKERS)
+
+
+@register("clean_cut_markup", f"SELECT doc_id, regexp_replace(text, '(?s){_MARK_RX}.*$', '') AS text FROM documents")
+def q_clean_cut_markup(spark, sf):
+    return C.cut_markup(table(spark, sf, "documents").select("doc_id", "text"), TEST_MARKERS, "cut")
+
+
+@register("clean_markup_lines", f"""SELECT doc_id, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)),
+  lambda l: NOT regexp_matches(l, '{_MARK_RX}')), chr(10)) AS text FROM documents""")
+def q_clean_markup_lines(spark, sf):
+    return C.cut_markup(table(spark, sf, "documents").select("doc_id", "text"), TEST_MARKERS, "line")
+
+
+@register("clean_with_label", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def q_clean_with_label(spark, sf):
+    return C.with_label(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), 1,
+                        "doc_id", "quality")
+
+
+@register("clean_not_query_copy", f"""WITH {O.QUERIES}, {O.CANDS}
+SELECT c.qid, c.idx FROM cands c JOIN queries q USING (qid)
+WHERE NOT (coalesce(q.query, '') = coalesce(c.text, '') OR
+  (abs(length(coalesce(q.query, '')) - length(coalesce(c.text, ''))) <= 10
+   AND levenshtein(coalesce(q.query, ''), coalesce(c.text, '')) <= 10))""")
+def q_clean_not_query_copy(spark, sf):
+    c = standins.candidates(spark, sf).join(standins.queries(spark, sf), "qid")
+    return c.where(C.not_query_copy(10)).select("qid", "idx")
+
+
+@register("clean_unique_share", _DOC_T + """, s AS (SELECT doc_id,
+  CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_distinct(t)) / len(t) END AS share FROM d)
+SELECT doc_id, round(share, 6) AS share FROM s WHERE share >= 0.6""")
+def q_clean_unique_share(spark, sf):
+    v = C.unique_share_value()
+    return _docs(spark, sf).where(C.min_unique_share(0.6)).select("doc_id", F.round(v, 6).alias("share"))
+
+
+@register("clean_max_word_len", _DOC_T + """, s AS (SELECT doc_id,
+  coalesce(list_max(list_transform(t, lambda x: length(x))), 0)::BIGINT AS longest FROM d)
+SELECT doc_id, longest FROM s WHERE longest <= 15""")
+def q_clean_max_word_len(spark, sf):
+    return (_docs(spark, sf).where(C.max_word_len(15))
+            .select("doc_id", C.longest_word().cast("long").alias("longest")))
+
+
+@register("clean_min_sentences", f"""SELECT doc_id, {O.sentences_sql()}::BIGINT AS n_sentences FROM documents
+WHERE {O.sentences_sql()} >= 3""")
+def q_clean_min_sentences(spark, sf):
+    from rankshift.functions.text import sentence_count
+    return (table(spark, sf, "documents").where(C.min_sentences(3))
+            .select("doc_id", sentence_count("text").cast("long").alias("n_sentences")))
+
+
+@register("clean_has_punctuation", r"SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '\p{P}')")
+def q_clean_has_punctuation(spark, sf):
+    return table(spark, sf, "documents").where(C.has_punctuation()).select("doc_id")
+
+
+_NLS = (f"1.0 - CASE WHEN length(coalesce(text, '')) = 0 THEN 0.0 "
+        f"ELSE {O.letters('text')} / length(coalesce(text, '')) END")
+
+
+@register("clean_non_letter_share", f"""WITH s AS (SELECT doc_id, {_NLS} AS share FROM documents)
+SELECT doc_id, round(share, 6) AS share FROM s WHERE NOT (share < 0.18)""")
+def q_clean_non_letter_share(spark, sf):
+    return (table(spark, sf, "documents").where(C.non_letter_share(0.18, "<"))
+            .select("doc_id", F.round(C.non_letter_share_value(), 6).alias("share")))
+
+
+_EXTRA = {"max_word_len": 15, "min_unique_share": 0.6, "min_sentences": 3, "has_punctuation": True,
+          "non_letter_share": 0.1}
+_COMMON = {"min_letters": 200, "max_tokens": 1000, "word_patterns": C.LANG_WORD, "word_share": 0.7}
+
+
+@register("clean_funnel", _DOC_T + f""", f AS (SELECT
+  {O.letters('text')} > 200 AS k1, len(t) < 1000 AS k2, ({O.word_share_sql()}) >= 0.7 AS k3,
+  coalesce(list_max(list_transform(t, lambda x: length(x))), 0) <= 15 AS k4,
+  (CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_distinct(t)) / len(t) END) >= 0.6 AS k5,
+  {O.sentences_sql()} >= 3 AS k6,
+  regexp_matches(coalesce(text, ''), '\\p{{P}}') AS k7,
+  NOT (({_NLS}) < 0.1) AS k8 FROM d)
+SELECT count(*) AS n_in, count_if(NOT k1)::BIGINT AS removed_min_letters,
+  count_if(k1 AND NOT k2)::BIGINT AS removed_max_tokens, count_if(k1 AND k2 AND NOT k3)::BIGINT AS removed_word_share,
+  count_if(k1 AND k2 AND k3 AND NOT k4)::BIGINT AS removed_max_word_len,
+  count_if(k1 AND k2 AND k3 AND k4 AND NOT k5)::BIGINT AS removed_min_unique_share,
+  count_if(k1 AND k2 AND k3 AND k4 AND k5 AND NOT k6)::BIGINT AS removed_min_sentences,
+  count_if(k1 AND k2 AND k3 AND k4 AND k5 AND k6 AND NOT k7)::BIGINT AS removed_has_punctuation,
+  count_if(k1 AND k2 AND k3 AND k4 AND k5 AND k6 AND k7 AND NOT k8)::BIGINT AS removed_non_letter_share,
+  count_if(k1 AND k2 AND k3 AND k4 AND k5 AND k6 AND k7 AND k8)::BIGINT AS n_out FROM f""")
+def q_clean_funnel(spark, sf):
+    return C.funnel(_docs(spark, sf), "common", {**_COMMON, **_EXTRA})
+
+
+def _page_docs(spark, sf):
+    lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
+    return _page_rows(spark, sf).join(table(spark, sf, "pages").select("url", "page_id", lang.alias("lang")), "url")
+
+
+@register("clean_preset_ds1", f"""WITH {O.PAGE_ROWS},
+p AS (SELECT page_id, url, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages),
+d AS (SELECT p.page_id, p.lang, p.url, r.text, {O.tok('r.text')} AS t FROM page_rows r JOIN p USING (url))
+SELECT DISTINCT page_id FROM d WHERE {O.letters('text')} > 200 AND len(t) < 1000 AND ({O.word_share_sql()}) >= 0.7
+  AND {O.site_sql(TEST_SITES)}""")
+def q_clean_preset_ds1(spark, sf):
+    params = {**_COMMON, "sites": list(TEST_SITES)}
+    return C.clean(_page_docs(spark, sf), "ds1", params).select("page_id").distinct()
+
+
+@register("clean_preset_ds2", _DOC_T + f"""
+SELECT doc_id FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+  AND {O.letters('text')} > 200 AND len(t) < 1000 AND ({O.word_share_sql()}) >= 0.7""")
+def q_clean_preset_ds2(spark, sf):
+    params = {**_COMMON, "label_value": 1, "label_col": "quality"}
+    return C.clean(_docs(spark, sf), "ds2", params, labels=table(spark, sf, "labels")).select("doc_id")
