@@ -144,3 +144,14 @@ def site_sql(hosts) -> str:
 
 def sentences_sql(col: str = "text") -> str:
     return f"len(list_filter(string_split_regex(coalesce({col}, ''), '[.!?]+'), lambda s: trim(s) <> ''))"
+
+
+SPECIAL_VALUES = ("('<pad>', 0, 0), ('<bos>', 1, 0), ('<s>', 2, 0), ('</s>', 3, 0), ('<sep>', 4, 0), "
+                  "('<unk>', 5, 0), ('<mask>', 6, 0)")
+VOCAB = f"""vc AS (SELECT tok, count(*) AS cnt FROM (SELECT unnest({tok('text')}) AS tok FROM documents) GROUP BY tok),
+vocab AS (SELECT tok, (row_number() OVER (ORDER BY cnt DESC, tok) - 1 + 7)::INTEGER AS id, cnt FROM vc
+          UNION ALL SELECT tok, id::INTEGER, cnt::BIGINT FROM (VALUES {SPECIAL_VALUES}) s(tok, id, cnt))"""
+DOC_IDS = f"""dt AS (SELECT doc_id, {tok('text')} AS t FROM documents),
+de AS (SELECT doc_id, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS pos FROM dt),
+dl AS (SELECT de.doc_id, list(coalesce(vocab.id, 5) ORDER BY pos) AS l FROM de LEFT JOIN vocab USING (tok) GROUP BY de.doc_id),
+ids AS (SELECT dt.doc_id, coalesce(dl.l, []::INTEGER[]) AS l FROM dt LEFT JOIN dl USING (doc_id))"""

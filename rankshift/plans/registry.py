@@ -417,3 +417,148 @@ SELECT doc_id FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality =
 def q_clean_preset_ds2(spark, sf):
     params = {**_COMMON, "label_value": 1, "label_col": "quality"}
     return C.clean(_docs(spark, sf), "ds2", params, labels=table(spark, sf, "labels")).select("doc_id")
+
+
+# ------------------------------------------------------ tokens, blocks (§2.4)
+
+from rankshift.operators import tokens as TK  # noqa: E402
+
+
+def _doc_tokens(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("ord"), "text", F.col("text").alias("_t")).transform(
+        lambda x: C.with_tokens(x, "text"))
+
+
+def _ids_str(c):
+    return F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), " ")
+
+
+@register("build_vocab", f"WITH {O.VOCAB} SELECT tok, id, cnt FROM vocab")
+def q_build_vocab(spark, sf):
+    return TK.build_vocab(_doc_tokens(spark, sf))
+
+
+@register("tokenize", f"""WITH {O.VOCAB}, {O.DOC_IDS}
+SELECT doc_id, array_to_string(list_resize(l, 32, 0), ' ') AS input_ids FROM ids""")
+def q_tokenize(spark, sf):
+    d = _doc_tokens(spark, sf)
+    v = TK.build_vocab(d)
+    ids = TK.encode(d, v, "ord", "text", "input_ids", max_len=32, pad=True)
+    return ids.select(F.col("ord").alias("doc_id"), _ids_str("input_ids").alias("input_ids"))
+
+
+@register("tokenize_bounded_vocab", f"""WITH {O.VOCAB.replace("vocab AS (", "vocab0 AS (")},
+vocab AS (SELECT * FROM vocab0 WHERE id < 7 + 500), {O.DOC_IDS}
+SELECT doc_id, array_to_string(list_resize(l, 32, 0), ' ') AS input_ids FROM ids""")
+def q_tokenize_bounded_vocab(spark, sf):
+    d = _doc_tokens(spark, sf)
+    v = TK.build_vocab(d, size=500)
+    ids = TK.encode(d, v, "ord", "text", "input_ids", max_len=32, pad=True, bounded_vocab=True)
+    return ids.select(F.col("ord").alias("doc_id"), _ids_str("input_ids").alias("input_ids"))
+
+
+@register("tokenize_left_pad_gpt", f"""WITH {O.VOCAB}, {O.DOC_IDS}
+SELECT doc_id, array_to_string(list_concat(list_resize([]::INTEGER[], 32 - least(len(l), 32), 0), l[1:32]), ' ')
+  AS input_ids FROM ids""")
+def q_tokenize_left_pad_gpt(spark, sf):
+    d = _doc_tokens(spark, sf)
+    v = TK.build_vocab(d, special=TK.GPT_SPECIAL)
+    ids = TK.encode(d, v, "ord", "text", "input_ids", max_len=32, pad=True, special=TK.GPT_SPECIAL)
+    return ids.select(F.col("ord").alias("doc_id"), _ids_str("input_ids").alias("input_ids"))
+
+
+@register("detokenize", f"SELECT doc_id, array_to_string({O.tok('text')}, ' ') AS text FROM documents")
+def q_detokenize(spark, sf):
+    d = _doc_tokens(spark, sf)
+    v = TK.build_vocab(d)
+    ids = TK.encode(d, v, "ord", "text", "input_ids")
+    return TK.decode(ids, v, "ord", "input_ids", "text").select(F.col("ord").alias("doc_id"), "text")
+
+
+@register("src_tokenized_parquet", f"""WITH {O.VOCAB}, {O.DOC_IDS}
+SELECT doc_id, array_to_string(l, ' ') AS input_ids FROM ids""")
+def q_src_tokenized_parquet(spark, sf):
+    d = _doc_tokens(spark, sf)
+    ids = TK.encode(d, TK.build_vocab(d), "ord", "text", "input_ids")
+    path = scratch_path(spark, "tokenized")
+    sinks.write_tokenized(ids, path)
+    back = readers.read_tokenized(spark, path)
+    return back.select(F.col("ord").alias("doc_id"), _ids_str("input_ids").alias("input_ids"))
+
+
+@register("clm_text_passages", f"""WITH {O.FIRST_USER}, {O.ANSWERS},
+a AS (SELECT fu.conv_id, string_agg(CASE WHEN ans.pos = 0 THEN coalesce(fu.query, '') || coalesce(ans.text, '')
+        ELSE coalesce(ans.text, '') END, '' ORDER BY ans.pos) AS text
+      FROM fu JOIN ans USING (conv_id) GROUP BY fu.conv_id)
+SELECT fu.conv_id AS ord, coalesce(a.text, '') AS text FROM fu LEFT JOIN a USING (conv_id)""")
+def q_clm_text_passages(spark, sf):
+    return TK.clm_text_passages(standins.qa_rows(spark, sf)).select("ord", "text")
+
+
+@register("clm_text_pairs", f"WITH {O.PAIRS} SELECT ord, query || ' ' || body || '</s>' AS text FROM pairs")
+def q_clm_text_pairs(spark, sf):
+    return TK.clm_text_pairs(standins.qa_pairs(spark, sf)).select("ord", "text")
+
+
+def _cut_sql(b: int, inclusive: bool) -> str:
+    stop = f"len(t) - {b}" if inclusive else f"len(t) - {b} - 1"
+    return f"""WITH d AS (SELECT doc_id, {O.tok('text')} AS t FROM documents),
+s AS (SELECT doc_id, t, unnest(generate_series(0, {stop}, {b})) AS st FROM d WHERE {stop} >= 0)
+SELECT doc_id, (st // {b})::INTEGER AS block, array_to_string(t[st + 1 : st + {b}], ' ') AS text FROM s"""
+
+
+@register("cut_blocks", _cut_sql(64, False))
+def q_cut_blocks(spark, sf):
+    b = TK.cut_blocks(_doc_tokens(spark, sf), 64, "tokens", "ord", "exclusive", "piece")
+    return b.select(F.col("ord").alias("doc_id"), "block", F.array_join("piece", " ").alias("text"))
+
+
+@register("cut_blocks_inclusive", _cut_sql(64, True))
+def q_cut_blocks_inclusive(spark, sf):
+    b = TK.cut_blocks(_doc_tokens(spark, sf), 64, "tokens", "ord", "inclusive", "piece")
+    return b.select(F.col("ord").alias("doc_id"), "block", F.array_join("piece", " ").alias("text"))
+
+
+@register("pack_corpus", f"""WITH d AS (SELECT doc_id, {O.tok('text')} AS t FROM documents),
+e AS (SELECT doc_id, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS pos FROM d),
+g AS (SELECT tok, row_number() OVER (ORDER BY doc_id, pos) - 1 AS gp FROM e)
+SELECT (gp // 64)::BIGINT AS block, string_agg(tok, ' ' ORDER BY gp) AS text FROM g GROUP BY 1 HAVING count(*) = 64""")
+def q_pack_corpus(spark, sf):
+    p = TK.pack_corpus(_doc_tokens(spark, sf), 64, "tokens", "ord", width=97)
+    return p.select("block", F.array_join("input_ids", " ").alias("text"))
+
+
+@register("collate", f"""WITH {O.VOCAB}, {O.DOC_IDS},
+b AS (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 8)::BIGINT AS batch_id, l[1:32] AS labels FROM ids),
+m AS (SELECT batch_id, max(len(labels)) AS mx FROM b GROUP BY batch_id)
+SELECT doc_id, batch_id, array_to_string(list_concat(labels, list_resize([]::INTEGER[], mx - len(labels), -100)), ' ')
+  AS labels FROM b JOIN m USING (batch_id)""")
+def q_collate(spark, sf):
+    d = _doc_tokens(spark, sf)
+    ids = TK.encode(d, TK.build_vocab(d), "ord", "text", "labels", max_len=32)
+    b = prep.with_batch_id(ids, 8, "ord")
+    c = TK.collate(b, "batch_id", "labels")
+    return c.select(F.col("ord").alias("doc_id"), "batch_id", _ids_str("labels").alias("labels"))
+
+
+@register("mask_tokens")
+def q_mask_tokens(spark, sf):
+    d = _doc_tokens(spark, sf)
+    v = TK.build_vocab(d)
+    ids = TK.encode(d, v, "ord", "text", "input_ids", max_len=64)
+    return TK.mask_tokens(ids, "ord", "input_ids", 0.15, seed=1, vocab_size=1000)
+
+
+@register("training_table_clm")
+def q_training_table_clm(spark, sf):
+    qa = standins.qa_rows(spark, sf)
+    v = TK.build_vocab(C.with_tokens(TK.clm_text_passages(qa)))
+    return TK.training_table(qa, v, "part_data", "clm", block=64)
+
+
+@register("training_table_teacher")
+def q_training_table_teacher(spark, sf):
+    pairs = standins.qa_pairs(spark, sf)
+    v = TK.build_vocab(C.with_tokens(TK.clm_text_pairs(pairs)))
+    return TK.training_table(pairs, v, "made_data", "teacher", max_len=48)
