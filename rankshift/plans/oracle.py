@@ -155,3 +155,21 @@ DOC_IDS = f"""dt AS (SELECT doc_id, {tok('text')} AS t FROM documents),
 de AS (SELECT doc_id, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS pos FROM dt),
 dl AS (SELECT de.doc_id, list(coalesce(vocab.id, 5) ORDER BY pos) AS l FROM de LEFT JOIN vocab USING (tok) GROUP BY de.doc_id),
 ids AS (SELECT dt.doc_id, coalesce(dl.l, []::INTEGER[]) AS l FROM dt LEFT JOIN dl USING (doc_id))"""
+
+
+BIGRAMS_DOCS = f"""pt AS (SELECT doc_id, lang, list_concat(['<s>'], {tok('text')}, ['</s>']) AS t FROM documents),
+bg_rows AS (SELECT doc_id, lang, unnest(list_transform(generate_series(1, len(t) - 1),
+              lambda i: {{'w1': t[i], 'w2': t[i + 1]}})) AS p FROM pt),
+bgr AS (SELECT doc_id, lang, p.w1 AS w1, p.w2 AS w2 FROM bg_rows),
+bg AS (SELECT lang, w1, w2, count(*) AS c FROM bgr GROUP BY ALL),
+ctx AS (SELECT lang, w1, sum(c) AS cw1 FROM bg GROUP BY ALL),
+voc AS (SELECT lang, count(DISTINCT w2) + 1 AS V FROM bg GROUP BY ALL),
+ppl AS (SELECT r.doc_id, r.lang, round(exp(-avg(ln((coalesce(bg.c, 0) + 1.0) / (coalesce(ctx.cw1, 0) + 1.0 * voc.V)))), 6)
+          AS perplexity
+        FROM bgr r LEFT JOIN bg USING (lang, w1, w2) LEFT JOIN ctx USING (lang, w1) LEFT JOIN voc USING (lang)
+        GROUP BY r.doc_id, r.lang)"""
+
+
+def ngrams_sql(t: str, n: int) -> str:
+    return (f"list_transform(generate_series(1, len({t}) - {n - 1}), "
+            f"lambda i: array_to_string({t}[i : i + {n - 1}], ' '))")

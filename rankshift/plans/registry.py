@@ -562,3 +562,80 @@ def q_training_table_teacher(spark, sf):
     pairs = standins.qa_pairs(spark, sf)
     v = TK.build_vocab(C.with_tokens(TK.clm_text_pairs(pairs)))
     return TK.training_table(pairs, v, "made_data", "teacher", max_len=48)
+
+
+# ------------------------------------------------- language model, metrics (§2.5-2.6)
+
+from rankshift.operators import ngram as NG  # noqa: E402
+from rankshift.operators import metrics as M  # noqa: E402
+
+
+def _doc_lm(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return d, NG.train_bigram_lm(d)
+
+
+@register("ngram_counts", f"WITH {O.BIGRAMS_DOCS} SELECT lang, w1, w2, c FROM bg")
+def q_ngram_counts(spark, sf):
+    return _doc_lm(spark, sf)[1]["bigrams"]
+
+
+@register("perplexity", f"WITH {O.BIGRAMS_DOCS} SELECT doc_id, lang, perplexity FROM ppl")
+def q_perplexity(spark, sf):
+    d, lm = _doc_lm(spark, sf)
+    return NG.perplexity(d, lm)
+
+
+@register("perplexity_filter", f"""WITH {O.BIGRAMS_DOCS},
+cut AS (SELECT lang, quantile_cont(perplexity, 1.0 / 3.0) AS c FROM ppl GROUP BY lang)
+SELECT doc_id, lang, perplexity FROM ppl JOIN cut USING (lang) WHERE perplexity <= c""")
+def q_perplexity_filter(spark, sf):
+    d, lm = _doc_lm(spark, sf)
+    return NG.perplexity_keep(NG.perplexity(d, lm), 1.0 / 3.0)
+
+
+@register("clean_preset_ds2_ppl", _DOC_T.replace("WITH ", f"WITH {O.BIGRAMS_DOCS},\n") + f""",
+cut AS (SELECT lang, quantile_cont(perplexity, 1.0 / 3.0) AS c FROM ppl GROUP BY lang),
+keep AS (SELECT doc_id FROM ppl JOIN cut USING (lang) WHERE perplexity <= c)
+SELECT doc_id FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+  AND {O.letters('text')} > 200 AND len(t) < 1000 AND ({O.word_share_sql()}) >= 0.7
+  AND doc_id IN (SELECT doc_id FROM keep)""")
+def q_clean_preset_ds2_ppl(spark, sf):
+    d, lm = _doc_lm(spark, sf)
+    keep = NG.perplexity_keep(NG.perplexity(d, lm), 1.0 / 3.0).select("doc_id")
+    params = {**_COMMON, "label_value": 1, "label_col": "quality"}
+    return C.clean(_docs(spark, sf), "ds2", params, labels=table(spark, sf, "labels"),
+                   ppl_keep=keep).select("doc_id")
+
+
+def _bleu_sql(max_order: int = 4) -> str:
+    parts = []
+    for n in range(1, max_order + 1):
+        parts.append(f"""h{n} AS (SELECT ord, g, count(*) AS hc FROM (SELECT ord, unnest({O.ngrams_sql('h', n)}) AS g FROM tk) GROUP BY ALL),
+r{n} AS (SELECT ord, g, count(*) AS rc FROM (SELECT ord, unnest({O.ngrams_sql('r', n)}) AS g FROM tk) GROUP BY ALL),
+m{n} AS (SELECT {n} AS ord_n, sum(least(hc, coalesce(rc, 0))) AS match, sum(hc) AS total
+         FROM h{n} LEFT JOIN r{n} USING (ord, g))""")
+    union = " UNION ALL ".join(f"SELECT * FROM m{n}" for n in range(1, max_order + 1))
+    return f"""WITH {O.PAIRS},
+tk AS (SELECT ord, {O.tok('query')} AS h, {O.tok('body')} AS r FROM pairs),
+{','.join(parts)},
+m AS ({union}),
+agg AS (SELECT count_if(match > 0) AS nz, sum(CASE WHEN match > 0 THEN ln(match / total) END) AS logp FROM m),
+lens AS (SELECT sum(len(h)) AS hyp_len, sum(len(r)) AS ref_len FROM tk)
+SELECT round(CASE WHEN nz < {max_order} OR hyp_len = 0 THEN 0.0 ELSE
+  (CASE WHEN hyp_len >= ref_len THEN 1.0 ELSE exp(1 - ref_len / hyp_len) END) * exp(logp / {max_order}) END, 6)
+  AS bleu, hyp_len::BIGINT AS hyp_len, ref_len::BIGINT AS ref_len FROM agg, lens"""
+
+
+@register("bleu", _bleu_sql(4))
+def q_bleu(spark, sf):
+    p = standins.qa_pairs(spark, sf).select(F.col("ord").alias("row_id"), F.col("query").alias("hyp"),
+                                            F.col("body").alias("ref"))
+    return M.bleu(p, 4)
+
+
+@register("bleu_unigram", _bleu_sql(1))
+def q_bleu_unigram(spark, sf):
+    p = standins.qa_pairs(spark, sf).select(F.col("ord").alias("row_id"), F.col("query").alias("hyp"),
+                                            F.col("body").alias("ref"))
+    return M.bleu(p, 1)
