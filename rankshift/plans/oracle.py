@@ -173,3 +173,9 @@ ppl AS (SELECT r.doc_id, r.lang, round(exp(-avg(ln((coalesce(bg.c, 0) + 1.0) / (
 def ngrams_sql(t: str, n: int) -> str:
     return (f"list_transform(generate_series(1, len({t}) - {n - 1}), "
             f"lambda i: array_to_string({t}[i : i + {n - 1}], ' '))")
+
+
+def extractive_cte(name: str = "gen", words: int = 150) -> str:
+    return f"""best_cand AS (SELECT qid, arg_max(coalesce(text, ''), (length(coalesce(text, '')), -idx)) AS best
+             FROM cands GROUP BY qid),
+{name} AS (SELECT q.qid, {head('b.best', words)} AS text FROM queries q LEFT JOIN best_cand b USING (qid))"""

@@ -639,3 +639,150 @@ def q_bleu_unigram(spark, sf):
     p = standins.qa_pairs(spark, sf).select(F.col("ord").alias("row_id"), F.col("query").alias("hyp"),
                                             F.col("body").alias("ref"))
     return M.bleu(p, 1)
+
+
+# ------------------------------------------- variants, runs, generation (§2.5)
+
+from rankshift.operators import generators as GN  # noqa: E402
+from rankshift.params import GenParams  # noqa: E402
+
+LENGTHS = (50, 150, 300)
+STRIPS = (False, True)
+RUNS = tuple(f"echo_len{n}_{'stripped' if s else 'kept'}" for n in LENGTHS for s in STRIPS)
+
+
+def _variant_metrics(spark, sf):
+    q = standins.queries(spark, sf)
+    c = standins.candidates(spark, sf)
+    g = gen_ops.variants(q, c, LENGTHS, STRIPS, "echo")
+    return evaluation.evaluate_fakes(c, q, g, ["run", "qid"])
+
+
+def _variants_sql() -> str:
+    grid = ", ".join(f"({n}, {'true' if s else 'false'}, 'echo_len{n}_{'stripped' if s else 'kept'}')"
+                     for n in LENGTHS for s in STRIPS)
+    cut = ("array_to_string(list_slice(string_split(b.text, ' '), 1, "
+           "len(string_split(coalesce(b.query, ''), ' ')) + g.len), ' ')")
+    return f"""{O.echo_cte('base', max(LENGTHS))},
+grid AS (SELECT * FROM (VALUES {grid}) v(len, strip, run)),
+based AS (SELECT b.qid, q.query, b.text FROM base b JOIN queries q USING (qid)),
+cutv AS (SELECT b.qid, b.query, g.run, g.strip, {cut.replace('b.query', 'b.query')} AS text
+         FROM based b CROSS JOIN grid g),
+gen AS (SELECT qid, run, CASE WHEN strip THEN substr(text, length(coalesce(query, '')) + 1) ELSE text END AS text
+        FROM cutv)"""
+
+
+VARIANT_PREFIX = f"""WITH {O.QUERIES},
+{O.CANDS},
+{_variants_sql()},
+qr AS (SELECT DISTINCT g.run, q.qid, q.query FROM gen g JOIN queries q USING (qid)),
+{O.lists_cte('gen', 'run, qid')},
+{O.bm25_ctes('lists', 'qr', 'run, qid')},
+{O.tfcos_ctes('lists', 'qr', 'run, qid')},
+scored AS (SELECT 'Bm25' AS ranker, b.run, b.qid, b.idx, b.score, l.label FROM bm25 b JOIN lists l USING (run, qid, idx)
+           UNION ALL
+           SELECT 'TfCosine' AS ranker, c.run, c.qid, c.idx, c.score, l.label FROM tfcos c JOIN lists l USING (run, qid, idx)),
+{O.positions_ctes('scored', 'ranker, run, qid')},
+met AS ({O.metrics_select('pos', 'ranker, run')})"""
+
+_MET_COLS = ("avg_loc", "avg_rel_loc", "top_1", "top_3", "top_5", "fdaro_v1", "fdaro_v2", "up_quartile")
+REC_SQL = f"""rec AS (SELECT run, ranker || '_' || metric AS name, value::DOUBLE AS value FROM
+  (UNPIVOT (SELECT ranker, run, {', '.join(_MET_COLS)} FROM met) ON {', '.join(_MET_COLS)} INTO NAME metric VALUE value))"""
+
+
+@register("generate_variants", f"WITH {O.QUERIES}, {O.CANDS}, {_variants_sql()} SELECT qid, run, text FROM gen")
+def q_generate_variants(spark, sf):
+    return gen_ops.variants(standins.queries(spark, sf), standins.candidates(spark, sf), LENGTHS, STRIPS, "echo")
+
+
+@register("variant_metrics", VARIANT_PREFIX + "\nSELECT * FROM met")
+def q_variant_metrics(spark, sf):
+    return _variant_metrics(spark, sf)
+
+
+@register("metrics_record", VARIANT_PREFIX + f",\n{REC_SQL}\nSELECT run, name, value FROM rec")
+def q_metrics_record(spark, sf):
+    return M.metrics_record(_variant_metrics(spark, sf), names=list(_MET_COLS))
+
+
+@register("compare_runs", VARIANT_PREFIX + f",\n{REC_SQL}\nSELECT name, "
+          + ", ".join(f"max(CASE WHEN run = '{r}' THEN value END) AS \"{r}\"" for r in RUNS)
+          + " FROM rec GROUP BY name")
+def q_compare_runs(spark, sf):
+    return M.compare_runs(M.metrics_record(_variant_metrics(spark, sf), names=list(_MET_COLS)), RUNS)
+
+
+@register("best_run", VARIANT_PREFIX + f""",
+{REC_SQL},
+b1 AS (SELECT name, run, value, row_number() OVER (PARTITION BY name ORDER BY value DESC, run) AS rn
+       FROM rec WHERE name = 'Bm25_top_1'),
+b2 AS (SELECT name, run, value, row_number() OVER (PARTITION BY name ORDER BY value ASC, run) AS rn
+       FROM rec WHERE name = 'TfCosine_avg_loc')
+SELECT name, run, value FROM b1 WHERE rn = 1 UNION ALL SELECT name, run, value FROM b2 WHERE rn = 1""")
+def q_best_run(spark, sf):
+    rec = M.metrics_record(_variant_metrics(spark, sf), names=list(_MET_COLS))
+    return M.best_run(rec, "Bm25_top_1", True).unionByName(M.best_run(rec, "TfCosine_avg_loc", False))
+
+
+@register("length_histogram", f"""WITH {O.QUERIES}, {O.CANDS}, {_variants_sql()}
+SELECT run, (floor(len({O.tok('text')}) / 25) * 25)::BIGINT AS bucket, count(*) AS n_texts FROM gen GROUP BY ALL""")
+def q_length_histogram(spark, sf):
+    g = gen_ops.variants(standins.queries(spark, sf), standins.candidates(spark, sf), LENGTHS, STRIPS, "echo")
+    return M.length_histogram(g, 25, "text", ["run"])
+
+
+@register("strip_prompt", f"""WITH {O.QUERIES}, {O.CANDS}, {O.echo_cte('gen', 150)}
+SELECT g.qid, substr(g.text, length(coalesce(q.query, '')) + 1) AS text FROM gen g JOIN queries q USING (qid)""")
+def q_strip_prompt(spark, sf):
+    q, c = standins.queries(spark, sf), standins.candidates(spark, sf)
+    g = gen_ops.echo_texts(q, c, 150).join(q, "qid")
+    return gen_ops.strip_prompt(g).select("qid", "text")
+
+
+@register("strip_prompt_checked", f"""WITH {O.QUERIES}, {O.CANDS}, {O.extractive_cte('gen', 150)}
+SELECT g.qid, CASE WHEN starts_with(g.text, coalesce(q.query, '')) THEN substr(g.text, length(coalesce(q.query, '')) + 1)
+  ELSE g.text END AS text FROM gen g JOIN queries q USING (qid)""")
+def q_strip_prompt_checked(spark, sf):
+    q, c = standins.queries(spark, sf), standins.candidates(spark, sf)
+    g = gen_ops.extractive_texts(q, c, 150).join(q, "qid")
+    return gen_ops.strip_prompt(g, check=True).select("qid", "text")
+
+
+@register("extractive_texts", f"WITH {O.QUERIES}, {O.CANDS}, {O.extractive_cte('gen', 150)} SELECT qid, text FROM gen")
+def q_extractive_texts(spark, sf):
+    return gen_ops.extractive_texts(standins.queries(spark, sf), standins.candidates(spark, sf), 150)
+
+
+def _ngram_table(spark, sf, top_m=8):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    lm = NG.train_bigram_lm(d, by=())
+    cont = NG.continuation_table(lm, top_m, by=())
+    # size checked above: bounded, safe to ship to every worker
+    tbl = GN.table_from_pandas(cont.toPandas())
+    return spark.sparkContext.broadcast(tbl)
+
+
+@register("generate_ngram")
+def q_generate_ngram(spark, sf):
+    bc = _ngram_table(spark, sf)
+    params = GenParams(do_sample=True, temperature=1.0, top_p=0.9, max_length=40, seed=123)
+    return gen_ops.generate(standins.queries(spark, sf), lambda: GN.NGramGenerator(bc.value), params)
+
+
+@register("generate_grid")
+def q_generate_grid(spark, sf):
+    bc = _ngram_table(spark, sf)
+    models = ("ngram_top2", "ngram_top4", "ngram_top8")
+    params = GenParams(do_sample=True, temperature=0.8, top_p=0.95, max_length=30, seed=7)
+
+    def make(model):
+        return GN.NGramGenerator(bc.value, top_m=int(model.rsplit("top", 1)[1]))
+
+    return gen_ops.generate_grid(standins.queries(spark, sf), models, make, params)
+
+
+@register("pair_scores")
+def q_pair_scores(spark, sf):
+    q, lists = _echo_lists(spark, sf)
+    pairs = lists.join(q, "qid").select("qid", "idx", "query", "text")
+    return rank.score_pairs(pairs, GN.overlap_scorer)
