@@ -786,3 +786,52 @@ def q_pair_scores(spark, sf):
     q, lists = _echo_lists(spark, sf)
     pairs = lists.join(q, "qid").select("qid", "idx", "query", "text")
     return rank.score_pairs(pairs, GN.overlap_scorer)
+
+
+# ------------------------------------------------------------ streaming (§2.7)
+
+from rankshift.streaming import settings as ST  # noqa: E402
+
+
+@register("latest_valid_setting", """WITH v AS (SELECT user_id, floor(value)::INTEGER AS wc, ts, event_id FROM events
+  WHERE event_type = 'view' AND floor(value) BETWEEN 10 AND 1023),
+r AS (SELECT user_id, wc, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn,
+      count(*) OVER (PARTITION BY user_id) AS n FROM v)
+SELECT user_id, wc AS word_count, n AS n_valid FROM r WHERE rn = 1""")
+def q_latest_valid_setting(spark, sf):
+    return ST.latest_valid_setting(table(spark, sf, "events"))
+
+
+@register("settings_fold")
+def q_settings_fold(spark, sf):
+    return ST.settings_fold(table(spark, sf, "events"))
+
+
+def run_settings_stream(spark, sf, max_files: int = 1):
+    """Drive STR1 with the events table as a file stream (AvailableNow) into a
+    Parquet sink under the shared checkpoint folder; returns the sink path."""
+    events = table(spark, sf, "events")
+    src = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max_files)
+           .option("pathGlobFilter", "events.parquet").parquet(sf))
+    out, ckpt = scratch_path(spark, "settings_out"), scratch_path(spark, "settings_ckpt")
+    q = (ST.settings_stream(src).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out
+
+
+@register("settings_stream")
+def q_settings_stream(spark, sf):
+    return spark.read.schema(ST.OUT_SCHEMA).parquet(run_settings_stream(spark, sf))
+
+
+@register("respond_stream")
+def q_respond_stream(spark, sf):
+    bc = _ngram_table(spark, sf)
+    keys = list(ST.MODEL_CHOICES.values())
+
+    def make(model):
+        return GN.NGramGenerator(bc.value, top_m=2 + keys.index(model) if model in keys else None)
+
+    outcomes = spark.read.schema(ST.OUT_SCHEMA).parquet(run_settings_stream(spark, sf))
+    return ST.respond(outcomes, make)
