@@ -44,17 +44,26 @@ def with_fake(cands: DataFrame, gen: DataFrame, keys: Sequence[str] = ("qid",),
     return base.select(*keys, "idx", "text", "label").unionByName(fake)
 
 
-def term_frequencies(docs: DataFrame, keys: Sequence[str] = ("qid",),
-                     text: str = "text") -> DataFrame:
-    """(keys, tok, idx, dl, tf): one row per distinct token of a document."""
+def list_terms(docs: DataFrame, keys: Sequence[str] = ("qid",), text: str = "text") -> DataFrame:
+    """(keys, tok, idx, label, dl, tf): one row per distinct token of a
+    document; a document without tokens keeps one row with ``tok`` null, so
+    list sizes and lengths can be read from this table alone."""
     keys = list(keys)
-    toks = docs.select(*keys, "idx", word_tokens(text).alias("_toks"))
-    return (toks.select(*keys, "idx", F.size("_toks").alias("dl"), F.explode("_toks").alias("tok"))
-            .groupBy(*keys, "tok", "idx", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    label = F.col("label") if "label" in docs.columns else F.lit(0)
+    toks = docs.select(*keys, "idx", label.cast("int").alias("label"), word_tokens(text).alias("_toks"))
+    e = toks.select(*keys, "idx", "label", F.size("_toks").alias("dl"), F.explode_outer("_toks").alias("tok"))
+    return e.groupBy(*keys, "tok", "idx", "label", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_lengths(docs: DataFrame, keys: Sequence[str] = ("qid",), text: str = "text") -> DataFrame:
-    return docs.select(*keys, "idx", F.size(word_tokens(text)).alias("dl"))
+def term_frequencies(docs: DataFrame, keys: Sequence[str] = ("qid",), text: str = "text") -> DataFrame:
+    """(keys, tok, idx, dl, tf) for documents with at least one token."""
+    return list_terms(docs, keys, text).where(F.col("tok").isNotNull()).drop("label")
+
+
+def doc_table(terms: DataFrame, keys: Sequence[str] = ("qid",)) -> DataFrame:
+    """(keys, idx, label, dl) from a ``list_terms`` table."""
+    keys = list(keys)
+    return terms.groupBy(*keys, "idx").agg(F.first("label").alias("label"), F.first("dl").alias("dl"))
 
 
 def query_terms(queries: DataFrame, keys: Sequence[str] = ("qid",), query: str = "query") -> DataFrame:
@@ -64,52 +73,74 @@ def query_terms(queries: DataFrame, keys: Sequence[str] = ("qid",), query: str =
             .groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("qn")))
 
 
-def score_bm25(docs: DataFrame, queries: DataFrame, keys: Sequence[str] = ("qid",),
-               k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25,
-               digits: int = 6, text: str = "text", query: str = "query") -> DataFrame:
-    """RNK2: Okapi BM25 of each document against its own list's query.
+def bm25_from_terms(terms: DataFrame, qterms: DataFrame, keys: Sequence[str] = ("qid",),
+                    k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 6) -> DataFrame:
+    """RNK2 on a ``list_terms`` table and a ``query_terms`` table.
 
     The list is the corpus: N, avgdl and df come from the list only
     (generated document included).  idf = ln(N-df+.5) - ln(df+.5); a
     negative idf becomes ``epsilon * mean idf`` of the list vocabulary.
     Returns keys, idx, score (rounded to ``digits``)."""
     keys = list(keys)
-    tf = term_frequencies(docs, keys, text)
-    dl = doc_lengths(docs, keys, text)
-    stats = dl.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    docs = doc_table(terms, keys)
+    tf = terms.where(F.col("tok").isNotNull())
+    stats = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     idf = (tf.groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("df"))
            .join(stats, keys)
            .select(*keys, "tok",
                    (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")))
     mean_idf = idf.groupBy(*keys).agg(F.avg("idf").alias("mean_idf"))
-    q = (query_terms(queries, keys, query).join(idf, keys + ["tok"]).join(mean_idf, keys)
+    q = (qterms.join(idf, keys + ["tok"]).join(mean_idf, keys)
          .select(*keys, "tok", "qn",
                  F.when(F.col("idf") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("idf")).alias("w")))
     norm = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")
     part = F.col("qn") * F.col("w") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + F.lit(k1) * norm)
     hits = (tf.join(q, keys + ["tok"]).join(stats.select(*keys, "avgdl"), keys)
             .groupBy(*keys, "idx").agg(F.sum(part).alias("_s")))
-    return (dl.join(hits, keys + ["idx"], "left")
+    return (docs.join(hits, keys + ["idx"], "left")
             .select(*keys, "idx", F.round(F.coalesce(F.col("_s"), F.lit(0.0)), digits).alias("score")))
 
 
-def score_tf_cosine(docs: DataFrame, queries: DataFrame, keys: Sequence[str] = ("qid",),
-                    digits: int = 6, text: str = "text", query: str = "query") -> DataFrame:
+def tf_cosine_from_terms(terms: DataFrame, qterms: DataFrame, keys: Sequence[str] = ("qid",),
+                         digits: int = 6) -> DataFrame:
     """Lexical cosine between term-count vectors of query and document."""
     keys = list(keys)
-    tf = term_frequencies(docs, keys, text)
+    tf = terms.where(F.col("tok").isNotNull())
     dnorm = tf.groupBy(*keys, "idx").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
-    q = query_terms(queries, keys, query)
-    qnorm = q.groupBy(*keys).agg(F.sqrt(F.sum(F.col("qn") * F.col("qn"))).alias("qnorm"))
-    dots = (tf.join(q, keys + ["tok"]).groupBy(*keys, "idx")
+    qnorm = qterms.groupBy(*keys).agg(F.sqrt(F.sum(F.col("qn") * F.col("qn"))).alias("qnorm"))
+    dots = (tf.join(qterms, keys + ["tok"]).groupBy(*keys, "idx")
             .agg(F.sum(F.col("tf") * F.col("qn")).cast("double").alias("_dot")))
-    all_docs = docs.select(*keys, "idx")
-    sc = (all_docs.join(dots, keys + ["idx"], "left").join(dnorm, keys + ["idx"], "left")
-          .join(qnorm, keys, "left"))
+    sc = (doc_table(terms, keys).select(*keys, "idx").join(dots, keys + ["idx"], "left")
+          .join(dnorm, keys + ["idx"], "left").join(qnorm, keys, "left"))
     val = F.when(F.col("_dot").isNull(), F.lit(0.0)).otherwise(F.col("_dot") / (F.col("dn") * F.col("qnorm")))
     return sc.select(*keys, "idx", F.round(val, digits).alias("score"))
 
 
+def _terms(docs, keys, text, materialize_terms):
+    t = list_terms(docs, keys, text)
+    if materialize_terms:
+        from rankshift.session import materialize
+        t = materialize(t, "list_terms")
+    return t
+
+
+def score_bm25(docs: DataFrame, queries: DataFrame, keys: Sequence[str] = ("qid",),
+               k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25,
+               digits: int = 6, text: str = "text", query: str = "query",
+               materialize_terms: bool = True) -> DataFrame:
+    """RNK2 from raw texts (see ``bm25_from_terms``).  The term table is read
+    four times, so by default it is written once to the checkpoint folder."""
+    return bm25_from_terms(_terms(docs, keys, text, materialize_terms), query_terms(queries, keys, query),
+                           keys, k1, b, epsilon, digits)
+
+
+def score_tf_cosine(docs: DataFrame, queries: DataFrame, keys: Sequence[str] = ("qid",),
+                    digits: int = 6, text: str = "text", query: str = "query",
+                    materialize_terms: bool = True) -> DataFrame:
+    return tf_cosine_from_terms(_terms(docs, keys, text, materialize_terms), query_terms(queries, keys, query),
+                                keys, digits)
+
+
 def score_vectors(docs: DataFrame, queries: DataFrame, keys: Sequence[str] = ("qid",),
                   how: str = "cosine", digits: int = 6, vec: str = "embedding",
                   qvec: str = "qvec") -> DataFrame:

@@ -15,41 +15,60 @@ from pyspark.sql import functions as F
 from rankshift.operators import rank
 from rankshift.operators.metrics import rank_metrics
 from rankshift.params import BM25Params
+from rankshift.session import materialize
 
 RANKERS = ("Bm25", "TfCosine")
 
 
 def scored_lists(lists: DataFrame, queries: DataFrame, keys: Sequence[str] = ("qid",),
-                 rankers: Sequence[str] = RANKERS, bm25: BM25Params = BM25Params()) -> DataFrame:
-    """``lists``: keys, idx, text, label (fake included, label -1)."""
+                 rankers: Sequence[str] = RANKERS, bm25: BM25Params = BM25Params(),
+                 materialize_terms: bool = True) -> DataFrame:
+    """``lists``: keys, idx, text, label (fake included, label -1).
+
+    The term table is computed once and (by default) written to the shared
+    checkpoint folder, so every ranker and the label lookup read it instead
+    of re-tokenizing the corpus."""
     keys = list(keys)
-    labels = lists.select(*keys, "idx", "label")
+    terms = rank.list_terms(lists, keys)
+    if materialize_terms:
+        terms = materialize(terms, "list_terms")
     q = queries.select(*keys, "query") if all(k in queries.columns for k in keys) else queries
+    qt = rank.query_terms(q, keys)
     parts = []
     for r in rankers:
         if r == "Bm25":
-            s = rank.score_bm25(lists, q, keys, bm25.k1, bm25.b, bm25.epsilon)
+            s = rank.bm25_from_terms(terms, qt, keys, bm25.k1, bm25.b, bm25.epsilon)
         elif r == "TfCosine":
-            s = rank.score_tf_cosine(lists, q, keys)
+            s = rank.tf_cosine_from_terms(terms, qt, keys)
         else:
             raise NotImplementedError(f"unknown ranker {r}")
         parts.append(s.select(F.lit(r).alias("ranker"), *keys, "idx", "score"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    labels = rank.doc_table(terms, keys).select(*keys, "idx", "label")
     return out.join(labels, keys + ["idx"])
 
 
-def evaluate_fakes(cands: DataFrame, queries: DataFrame, gen: DataFrame,
-                   keys: Sequence[str] = ("qid",), rankers: Sequence[str] = RANKERS,
-                   ks: Sequence[int] = (1, 3, 5), quartile: float = 0.75) -> DataFrame:
-    """Metrics per ranker (and per run when ``gen`` has a ``run`` column)."""
+def fake_positions_for(cands: DataFrame, queries: DataFrame, gen: DataFrame,
+                       keys: Sequence[str] = ("qid",), rankers: Sequence[str] = RANKERS,
+                       materialize_positions: bool = True) -> DataFrame:
+    """Positions of the fake per (ranker, keys); small (one row per list),
+    written once so metric passes over it do not replay the scoring."""
     keys = list(keys)
     lists = rank.with_fake(cands, gen, keys)
     q = queries
     if "run" in keys and "run" not in queries.columns:
         q = queries.join(gen.select("qid", "run").distinct(), "qid")
-    scored = scored_lists(lists, q, keys, rankers)
-    pos = rank.fake_positions(scored, ["ranker"] + keys)
+    pos = rank.fake_positions(scored_lists(lists, q, keys, rankers), ["ranker"] + keys)
+    return materialize(pos, "fake_positions") if materialize_positions else pos
+
+
+def evaluate_fakes(cands: DataFrame, queries: DataFrame, gen: DataFrame,
+                   keys: Sequence[str] = ("qid",), rankers: Sequence[str] = RANKERS,
+                   ks: Sequence[int] = (1, 3, 5), quartile: float = 0.75) -> DataFrame:
+    """Metrics per ranker (and per run when ``gen`` has a ``run`` column)."""
+    keys = list(keys)
+    pos = fake_positions_for(cands, queries, gen, keys, rankers)
     by = ["ranker"] + [k for k in keys if k == "run"]
     return rank_metrics(pos, by, ks, quartile)

@@ -38,9 +38,9 @@ def _echo_lists(spark, sf, words=150):
 
 
 def _echo_positions(spark, sf):
-    q, lists = _echo_lists(spark, sf)
-    scored = evaluation.scored_lists(lists, q)
-    return rank.fake_positions(scored, ["ranker", "qid"])
+    q = standins.queries(spark, sf)
+    c = standins.candidates(spark, sf)
+    return evaluation.fake_positions_for(c, q, gen_ops.echo_texts(q, c, 150))
 
 
 @register("rank_metrics_echo", O.echo_eval_prefix() + "\n" + O.metrics_select())
