@@ -72,9 +72,8 @@ class NGramGenerator:
 
 
 def table_from_pandas(pdf: pd.DataFrame) -> dict:
-    """(w1, w2, c) rows -> dict w1 -> (words, counts), most frequent first."""
-    pdf = pdf.sort_values(["w1", "c", "w2"], ascending=[True, False, True])
-    return {w1: (g["w2"].tolist(), g["c"].tolist()) for w1, g in pdf.groupby("w1", sort=False)}
+    """(w1, words, counts) rows -> dict w1 -> (words, counts), most frequent first."""
+    return {w1: (list(ws), list(cs)) for w1, ws, cs in zip(pdf["w1"], pdf["words"], pdf["counts"])}
 
 
 def overlap_scorer(queries: pd.Series, texts: pd.Series) -> pd.Series:

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankshift.functions.text import word_tokens
 from rankshift.operators.stats import exact_percentile
+from rankshift.session import materialize
 
 BOS, EOS = "<s>", "</s>"
 
@@ -70,14 +71,19 @@ def perplexity_keep(ppl: DataFrame, keep: float = 1.0 / 3.0, by: Sequence[str] =
 
 def continuation_table(lm: dict, top_m: int = 8, by: Sequence[str] = ("lang",),
                        max_entries: int = 2_000_000) -> DataFrame:
-    """Pruned model for generation: the ``top_m`` most frequent next words of
-    every context (ties by word).  Its size is checked before anyone
-    broadcasts it: above ``max_entries`` rows this raises instead of
-    shipping an unbounded table to every executor."""
+    """Pruned model for generation: per context, the ``top_m`` most frequent
+    next words (ties by word) as two parallel arrays.  ``top_m`` bounds each
+    row; the total is checked before anyone broadcasts it: above
+    ``max_entries`` continuations this raises instead of shipping an
+    unbounded table to every executor."""
     by = list(by)
-    w = Window.partitionBy(*by, "w1").orderBy(F.desc("c"), "w2")
-    top = lm["bigrams"].withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_m)
-    n = top.count()
+    ranked = lm["bigrams"].groupBy(*by, "w1").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("nc"), F.col("w2").alias("w")))),
+                1, top_m).alias("_top"))
+    ranked = ranked.select(*by, "w1", F.transform("_top", lambda x: x["w"]).alias("words"),
+                           F.transform("_top", lambda x: -x["nc"]).alias("counts"))
+    ranked = materialize(ranked, "continuations")  # sized and collected from one write
+    n = ranked.agg(F.sum(F.size("words"))).first()[0] or 0
     if n > max_entries:
-        raise ValueError(f"pruned n-gram table has {n} rows > cap {max_entries}; lower top_m or raise min counts")
-    return top.select(*by, "w1", "w2", "c")
+        raise ValueError(f"pruned n-gram table has {n} entries > cap {max_entries}; lower top_m")
+    return ranked

@@ -652,6 +652,16 @@ RUNS = tuple(f"echo_len{n}_{'stripped' if s else 'kept'}" for n in LENGTHS for s
 
 
 def _variant_metrics(spark, sf):
+    from rankshift.plans.runs import run_metrics
+    q = standins.queries(spark, sf)
+    c = standins.candidates(spark, sf)
+    g = gen_ops.variants(q, c, LENGTHS, STRIPS, "echo")
+    return run_metrics(c, q, g)
+
+
+@register("variant_metrics_direct")
+def q_variant_metrics_direct(spark, sf):
+    """Same as ``variant_metrics`` by appending each fake to a copy of its list."""
     q = standins.queries(spark, sf)
     c = standins.candidates(spark, sf)
     g = gen_ops.variants(q, c, LENGTHS, STRIPS, "echo")
@@ -695,6 +705,9 @@ def q_generate_variants(spark, sf):
     return gen_ops.variants(standins.queries(spark, sf), standins.candidates(spark, sf), LENGTHS, STRIPS, "echo")
 
 
+ORACLE["variant_metrics_direct"] = VARIANT_PREFIX + "\nSELECT * FROM met"
+
+
 @register("variant_metrics", VARIANT_PREFIX + "\nSELECT * FROM met")
 def q_variant_metrics(spark, sf):
     return _variant_metrics(spark, sf)

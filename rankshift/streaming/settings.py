@@ -19,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,12 +150,20 @@ def settings_stream(events: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- batch forms
 
 def _scan_groups(df: DataFrame, keys: list[str], order: list[str], fn, schema, partitions: int | None = None):
-    """Apply ``fn(pdf) -> pdf`` to each contiguous key group of a hash
-    partitioned, sorted DataFrame.  One Python call per Arrow batch, not
-    per group; a group split across batches is carried to the next one."""
+    """Apply ``fn(pdf) -> list of row tuples`` to each contiguous key group of
+    a hash partitioned, sorted DataFrame.  One Python call and one output
+    frame per Arrow batch, not per group; a group split across batches is
+    carried to the next batch."""
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     sorted_df = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
-    out_cols = [f.name for f in schema.fields] if isinstance(schema, T.StructType) else None
+    cols = [f.name for f in schema.fields]
+
+    def groups(pdf):
+        kv = pdf[keys].to_numpy()
+        change = np.r_[True, (kv[1:] != kv[:-1]).any(axis=1)] if len(kv) else np.array([], bool)
+        starts = np.flatnonzero(change).tolist() + [len(pdf)]
+        for a, b in zip(starts[:-1], starts[1:]):
+            yield pdf.iloc[a:b]
 
     def run(batches):
         carry = None
@@ -163,15 +172,13 @@ def _scan_groups(df: DataFrame, keys: list[str], order: list[str], fn, schema, p
                 pdf = pd.concat([carry, pdf], ignore_index=True)
             if pdf.empty:
                 continue
-            last_key = tuple(pdf.iloc[-1][k] for k in keys)
-            tail = (pdf[keys] == pd.Series(last_key, index=keys)).all(axis=1)
-            carry, done = pdf[tail], pdf[~tail]
-            if not done.empty:
-                res = [fn(g) for _, g in done.groupby(keys, sort=False)]
-                yield pd.concat(res, ignore_index=True) if out_cols is None else \
-                    pd.concat(res, ignore_index=True)[out_cols]
+            parts = list(groups(pdf))
+            carry = parts.pop()
+            rows = [r for g in parts for r in fn(g)]
+            if rows:
+                yield pd.DataFrame(rows, columns=cols)
         if carry is not None and not carry.empty:
-            yield fn(carry) if out_cols is None else fn(carry)[out_cols]
+            yield pd.DataFrame(fn(carry), columns=cols)
 
     return sorted_df.mapInPandas(run, schema)
 
@@ -207,10 +214,8 @@ def settings_fold(events: DataFrame, chunk_seconds: int = 86400, partitions: int
             st = (None, None, mode)  # unknown model / word count stay None unless set
             for r in pdf.itertuples(index=False):
                 st, _ = step(st, r.event_type, event_text(r.event_type, r.value))
-            rows.append((pdf.user_id.iloc[0], pdf.chunk.iloc[0], mode, st[2], st[0], st[1]))
-        out = pd.DataFrame(rows, columns=[f.name for f in SUMMARY_SCHEMA.fields])
-        out["wc_set"] = out["wc_set"].astype("Int32")
-        return out
+            rows.append((int(pdf.user_id.iloc[0]), int(pdf.chunk.iloc[0]), mode, st[2], st[0], st[1]))
+        return rows
 
     summaries = _scan_groups(ev, ["user_id", "chunk"], order, summarize, SUMMARY_SCHEMA, partitions)
 
@@ -218,21 +223,21 @@ def settings_fold(events: DataFrame, chunk_seconds: int = 86400, partitions: int
         model, wc, mode = START
         out = []
         for chunk, g in pdf.groupby("chunk", sort=True):
-            out.append((g.user_id.iloc[0], chunk, model, wc, mode))
+            out.append((int(g.user_id.iloc[0]), int(chunk), model, wc, mode))
             row = g[g.start_mode == mode].iloc[0]
             if not pd.isna(row.model_set):
                 model = row.model_set
             if not pd.isna(row.wc_set):
                 wc = int(row.wc_set)
             mode = row.end_mode
-        return pd.DataFrame(out, columns=[f.name for f in START_SCHEMA.fields])
+        return out
 
     starts = _scan_groups(summaries, ["user_id"], ["chunk", "start_mode"], compose, START_SCHEMA, partitions)
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         r0 = pdf.iloc[0]
         _, out, _ = fold((r0.s_model, int(r0.s_wc), r0.s_mode), pdf)
-        return _frame(out)
+        return out
 
     return _scan_groups(ev.join(starts, ["user_id", "chunk"]), ["user_id", "chunk"], order, replay,
                         OUT_SCHEMA, partitions)

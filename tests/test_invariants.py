@@ -83,3 +83,14 @@ def test_funnel_counts_add_up(spark):
     row = C.funnel(d, "common", {"word_patterns": C.LANG_WORD, "max_word_len": 15}).first().asDict()
     removed = sum(v for k, v in row.items() if k.startswith("removed_"))
     assert row["n_in"] == removed + row["n_out"]
+
+
+def test_run_positions_equal_direct(spark):
+    from rankshift.operators import generate as G
+    from rankshift.plans import evaluation, runs, standins
+    q, c = standins.queries(spark, SF01), standins.candidates(spark, SF01)
+    g = G.variants(q, c, (5, 40), (False, True), "echo")
+    inc = runs.run_positions(c, q, g)
+    direct = evaluation.fake_positions_for(c, q, g, ["run", "qid"])
+    cols = ["ranker", "run", "qid", "n", "loc", "n_rel", "n_rel_above"]
+    assert sorted(map(tuple, inc.select(*cols).collect())) == sorted(map(tuple, direct.select(*cols).collect()))
