@@ -215,7 +215,10 @@ def clean(df: DataFrame, preset: str, params: dict | None = None, labels: DataFr
     """CLN14: DS 1 = common + sites (+ markup cut); DS 2 = common + label
     (+ perplexity keep-list, a DataFrame of kept keys from CLN7)."""
     params = dict(params or {})
-    d = df if "tokens" in df.columns else with_tokens(df)
+    d = df
+    if preset == "ds1" and "sites" in params:
+        d = on_sites(d, params["sites"])  # cheapest, most selective: first
+    d = d if "tokens" in d.columns else with_tokens(d)
     if preset == "ds1" and "markers" in params:
         d = with_tokens(cut_markup(d, params["markers"], params.get("markup_mode", "cut")))
     if preset == "ds2" and labels is not None:
@@ -223,8 +226,6 @@ def clean(df: DataFrame, preset: str, params: dict | None = None, labels: DataFr
                        params.get("label_col", "label"))
     for _, cond in row_rules(preset, params):
         d = d.where(cond)
-    if preset == "ds1" and "sites" in params:
-        d = on_sites(d, params["sites"])
     if preset == "ds2" and ppl_keep is not None:
         d = d.join(ppl_keep, params.get("key", "doc_id"), "left_semi")
     return d

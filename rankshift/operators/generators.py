@@ -83,3 +83,21 @@ def overlap_scorer(queries: pd.Series, texts: pd.Series) -> pd.Series:
         a, b = set(py_tokens(q)), set(py_tokens(t))
         vals.append(len(a & b) / len(a | b) if (a or b) else 0.0)
     return pd.Series(vals, dtype="float64")
+
+
+def hashing_embedder(dim: int = 256):
+    """Built-in embedder for ``rank.embed_with``: L2-normalised hashed bag of
+    words (md5 of the token, so it is stable across processes)."""
+    import hashlib
+
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts.fillna(""):
+            v = np.zeros(dim, dtype="float32")
+            for tok in py_tokens(t):
+                v[int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % dim] += 1.0
+            n = float(np.linalg.norm(v))
+            out.append((v / n if n else v).tolist())
+        return pd.Series(out)
+
+    return embed

@@ -157,13 +157,14 @@ def embed_with(df: DataFrame, embedder, text: str = "text", out: str = "embeddin
 
     ``embedder(pd.Series[str]) -> pd.Series[list[float]]`` is built once per
     Python worker by the caller's closure."""
-    import pandas as pd  # noqa: F401  (needed by the UDF type hints)
+    import pandas as pd
 
-    @F.pandas_udf("array<float>")
-    def _emb(s: "pd.Series") -> "pd.Series":
+    def _emb(s):
         return embedder(s)
 
-    return df.withColumn(out, _emb(F.col(text)))
+    # real (not postponed) annotations: pandas_udf infers the UDF kind from them
+    _emb.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return df.withColumn(out, F.pandas_udf(_emb, "array<float>")(F.col(text)))
 
 
 def score_pairs(pairs: DataFrame, scorer, keys: Sequence[str] = ("qid",),

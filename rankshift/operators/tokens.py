@@ -235,11 +235,13 @@ def training_table(df: DataFrame, vocab: DataFrame, kind: str, mode: str = "clm"
         raise NotImplementedError(f"unknown dataset kind {kind!r}")
     if mode == "teacher":
         tgt = (F.array_join(F.col("passages.passage_text"), "") if nested else F.col("body"))
-        src = df.select(key, "query", tgt.alias("_target"))
+        # PRJ5: relevance kept next to the tokens
+        pos_label = F.col("passages.is_selected") if nested else F.array(F.col("label").cast("int"))
+        src = df.select(key, "query", tgt.alias("_target"), pos_label.alias("pos_label"))
         q = encode(src, vocab, key, "query", "input_ids", max_len, True, special, bounded_vocab=bounded_vocab)
         t = encode(src, vocab, key, "_target", "labels", max_len, False, special, add_eos=True,
                    bounded_vocab=bounded_vocab)
-        return q.join(t, key)
+        return q.join(t, key).join(src.select(key, "pos_label"), key)
     if mode != "clm":
         raise NotImplementedError(f"unknown training mode {mode!r}")
     text = clm_text_passages(df) if nested else clm_text_pairs(df, special.eos)

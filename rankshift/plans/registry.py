@@ -848,3 +848,25 @@ def q_respond_stream(spark, sf):
 
     outcomes = spark.read.schema(ST.OUT_SCHEMA).parquet(run_settings_stream(spark, sf))
     return ST.respond(outcomes, make)
+
+
+@register("embed_rank_metrics")
+def q_embed_rank_metrics(spark, sf):
+    """RNK3 with a pluggable embedder (built-in hashing embedder) on the echo lists."""
+    q, lists = _echo_lists(spark, sf)
+    emb = GN.hashing_embedder(256)
+    docs = rank.embed_with(lists, emb, "text", "embedding")
+    qv = rank.embed_with(q, emb, "query", "qvec")
+    s = rank.score_vectors(docs.select("qid", "idx", "embedding"), qv.select("qid", "qvec"), ["qid"])
+    scored = s.join(lists.select("qid", "idx", "label"), ["qid", "idx"]).withColumn("ranker", F.lit("HashEmb"))
+    return rank_metrics(rank.fake_positions(scored, ["ranker", "qid"]), ["ranker"])
+
+
+@register("snk_examples_by_model")
+def q_snk_examples_by_model(spark, sf):
+    """SNK5 + SNK6: generation examples per model/checkpoint, read back."""
+    path = scratch_path(spark, "by_model")
+    grid = q_generate_grid(spark, sf).withColumnRenamed(  # (qid, model, query, generated_text)
+        "generated_text", "generated_text")
+    sinks.write_by_model(grid, path)
+    return spark.read.json(path)

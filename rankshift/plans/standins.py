@@ -65,17 +65,21 @@ def qa_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_lists(spark: SparkSession, sf: str):
-    """-> (docs: qid, idx, label, embedding; queries: qid, qvec)."""
+    """-> (docs: qid, idx, label, embedding; queries: qid, qvec).
+
+    One scan; the windows run over groups of at most ``VEC_GROUP`` rows."""
     e = table(spark, sf, "embeddings")
     g = e.select("vec_id", "embedding", "label", F.floor(F.col("vec_id") / VEC_GROUP).alias("qid"),
                  F.pmod(F.col("vec_id"), F.lit(VEC_GROUP)).alias("pos"))
-    last = g.groupBy("qid").agg(F.max("pos").alias("_last"))
-    q = g.where(F.col("pos") == 0).select("qid", F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
-    d = (g.where(F.col("pos") > 0).join(last, "qid").join(q.select("qid", "qlabel"), "qid")
-         .select("qid", F.col("vec_id").alias("idx"), "embedding",
-                 F.when(F.col("pos") == F.col("_last"), F.lit(-1))
-                 .when(F.col("label") == F.col("qlabel"), F.lit(1)).otherwise(F.lit(0)).alias("label")))
-    return d, q.select("qid", "qvec")
+    w = Window.partitionBy("qid")
+    g = g.select("*", F.max("pos").over(w).alias("_last"),
+                 F.first(F.when(F.col("pos") == 0, F.col("label")), ignorenulls=True).over(w).alias("qlabel"))
+    q = g.where(F.col("pos") == 0).select("qid", F.col("embedding").alias("qvec"))
+    d = g.where(F.col("pos") > 0).select(
+        "qid", F.col("vec_id").alias("idx"), "embedding",
+        F.when(F.col("pos") == F.col("_last"), F.lit(-1))
+        .when(F.col("label") == F.col("qlabel"), F.lit(1)).otherwise(F.lit(0)).alias("label"))
+    return d, q
 
 
 __all__ = ["queries", "candidates", "qa_rows", "qa_pairs", "vector_lists", "Window"]
