@@ -87,3 +87,59 @@ def continuation_table(lm: dict, top_m: int = 8, by: Sequence[str] = ("lang",),
     if n > max_entries:
         raise ValueError(f"pruned n-gram table has {n} entries > cap {max_entries}; lower top_m")
     return ranked
+
+
+# ------------------------------------------- order-N, interpolated discounting
+
+def kgram_rows(df: DataFrame, keep: Sequence[str], order: int, text: str = "text") -> DataFrame:
+    """(keep..., i, k, ctx, w): for every predicted token w (real tokens and
+    </s>, after order-1 <s> pads) and every order k = 1..order, its k-1
+    previous tokens as ``ctx`` (space-joined; '' for k = 1)."""
+    pad = F.array_repeat(F.lit(BOS), order - 1) if order > 1 else F.array().cast("array<string>")
+    t_df = df.select(*keep, F.concat(pad, word_tokens(text), F.array(F.lit(EOS))).alias("_t"))
+    t = F.col("_t")
+
+    def grams(i):  # i: 1-based position of the predicted token
+        return F.transform(F.sequence(F.lit(1), F.lit(order)), lambda k: F.struct(
+            i.alias("i"), k.alias("k"), F.array_join(F.slice(t, i - k + 1, k - 1), " ").alias("ctx"),
+            F.element_at(t, i).alias("w")))
+
+    rows = F.flatten(F.transform(F.sequence(F.lit(order), F.size(t)), grams))
+    e = t_df.select(*keep, F.explode(rows).alias("_g"))
+    return e.select(*keep, *[F.col(f"_g.{c}").alias(c) for c in ("i", "k", "ctx", "w")])
+
+
+def train_ngram_lm(df: DataFrame, order: int = 3, by: Sequence[str] = ("lang",), text: str = "text",
+                   discount: float = 0.75) -> dict:
+    """GEN5, order <= 5: counts of every order in one table keyed
+    (by, k, ctx, w), context totals and distinct followers per (by, k, ctx),
+    and V (distinct words + 1) per group."""
+    if not 1 <= order <= 5:
+        raise ValueError("order must be 1..5")
+    by = list(by)
+    cnt = kgram_rows(df, by, order, text).groupBy(*by, "k", "ctx", "w").agg(F.count(F.lit(1)).alias("c"))
+    ctx = cnt.groupBy(*by, "k", "ctx").agg(F.sum("c").alias("ch"), F.count(F.lit(1)).alias("n1p"))
+    voc = cnt.where(F.col("k") == 1).groupBy(*by).agg((F.count_distinct("w") + 1).alias("V"))
+    return {"counts": cnt, "contexts": ctx, "vocab": voc, "order": order, "discount": discount}
+
+
+def perplexity_ngram(df: DataFrame, lm: dict, key: str = "doc_id", by: Sequence[str] = ("lang",),
+                     text: str = "text", digits: int = 6) -> DataFrame:
+    """MET9 under the order-N model:
+    p_k(w|h) = max(c(h,w)-D, 0)/c(h) + D*N1+(h)/c(h) * p_{k-1}(w|h'),
+    p_0 = 1/V, an unseen context passes p_{k-1} through.  Each token folds
+    at most N rows; the model is joined, never broadcast."""
+    by = list(by)
+    d = lm["discount"]
+    rows = kgram_rows(df, [key] + by, lm["order"], text)
+    j = (rows.join(lm["counts"], by + ["k", "ctx", "w"], "left")
+         .join(lm["contexts"], by + ["k", "ctx"], "left"))
+    a = F.when(F.col("ch").isNull(), F.lit(0.0)).otherwise(
+        F.greatest(F.coalesce(F.col("c"), F.lit(0)) - d, F.lit(0.0)) / F.col("ch"))
+    b = F.when(F.col("ch").isNull(), F.lit(1.0)).otherwise(F.lit(d) * F.col("n1p") / F.col("ch"))
+    per_tok = (j.groupBy(key, *by, "i").agg(F.array_sort(F.collect_list(F.struct("k", a.alias("a"), b.alias("b"))))
+                                            .alias("_s"))
+               .join(lm["vocab"], by, "left"))
+    p = F.aggregate("_s", F.lit(1.0) / F.coalesce(F.col("V"), F.lit(1)), lambda acc, x: x["a"] + x["b"] * acc)
+    return (per_tok.groupBy(key, *by).agg(F.exp(-F.avg(F.log(p))).alias("_ppl"))
+            .select(key, *by, F.round("_ppl", digits).alias("perplexity")))

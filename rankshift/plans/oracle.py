@@ -179,3 +179,23 @@ def extractive_cte(name: str = "gen", words: int = 150) -> str:
     return f"""best_cand AS (SELECT qid, arg_max(coalesce(text, ''), (length(coalesce(text, '')), -idx)) AS best
              FROM cands GROUP BY qid),
 {name} AS (SELECT q.qid, {head('b.best', words)} AS text FROM queries q LEFT JOIN best_cand b USING (qid))"""
+
+
+def ngram_lm_ctes(order: int = 3, d: float = 0.75) -> str:
+    pads = f"list_resize([]::VARCHAR[], {order - 1}, '<s>')" if order > 1 else "[]::VARCHAR[]"
+    return f"""npt AS (SELECT doc_id, lang, list_concat({pads}, {tok('text')}, ['</s>']) AS t FROM documents),
+npos AS (SELECT doc_id, lang, t, unnest(generate_series({order}, len(t))) AS i FROM npt),
+kg AS (SELECT doc_id, lang, i, ks.k, array_to_string(t[i - ks.k + 1 : i - 1], ' ') AS ctx, t[i] AS w
+       FROM npos CROSS JOIN (SELECT unnest(range(1, {order + 1})) AS k) ks),
+ncnt AS (SELECT lang, k, ctx, w, count(*) AS c FROM kg GROUP BY ALL),
+ncx AS (SELECT lang, k, ctx, sum(c) AS ch, count(*) AS n1p FROM ncnt GROUP BY ALL),
+nvoc AS (SELECT lang, count(DISTINCT w) + 1 AS V FROM ncnt WHERE k = 1 GROUP BY ALL),
+nsc AS (SELECT kg.doc_id, kg.lang, kg.i, kg.k,
+          CASE WHEN ncx.ch IS NULL THEN 0.0 ELSE greatest(coalesce(ncnt.c, 0) - {d}, 0.0) / ncx.ch END AS a,
+          CASE WHEN ncx.ch IS NULL THEN 1.0 ELSE {d} * ncx.n1p / ncx.ch END AS b
+        FROM kg LEFT JOIN ncnt USING (lang, k, ctx, w) LEFT JOIN ncx USING (lang, k, ctx)),
+ntok AS (SELECT s.doc_id, s.lang, s.i,
+           list_reduce(list_prepend({{'a': 1.0 / v.V, 'b': 0.0}}, list({{'a': s.a, 'b': s.b}} ORDER BY s.k)),
+                       lambda acc, x: {{'a': x.a + x.b * acc.a, 'b': 0.0}}).a AS p
+         FROM nsc s JOIN nvoc v USING (lang) GROUP BY s.doc_id, s.lang, s.i, v.V),
+nppl AS (SELECT doc_id, lang, round(exp(-avg(ln(p))), 6) AS perplexity FROM ntok GROUP BY doc_id, lang)"""

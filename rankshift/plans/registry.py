@@ -870,3 +870,17 @@ def q_snk_examples_by_model(spark, sf):
         "generated_text", "generated_text")
     sinks.write_by_model(grid, path)
     return spark.read.json(path)
+
+
+@register("perplexity_trigram", f"WITH {O.ngram_lm_ctes(3)} SELECT doc_id, lang, perplexity FROM nppl")
+def q_perplexity_trigram(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return NG.perplexity_ngram(d, NG.train_ngram_lm(d, 3))
+
+
+@register("ngram_order_counts", f"""WITH {O.ngram_lm_ctes(3)}
+SELECT lang, k, count(*) AS n_ngrams, sum(c)::BIGINT AS n_tokens FROM ncnt GROUP BY ALL""")
+def q_ngram_order_counts(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    c = NG.train_ngram_lm(d, 3)["counts"]
+    return c.groupBy("lang", "k").agg(F.count(F.lit(1)).alias("n_ngrams"), F.sum("c").cast("long").alias("n_tokens"))
