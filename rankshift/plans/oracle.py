@@ -186,7 +186,7 @@ def ngram_lm_ctes(order: int = 3, d: float = 0.75) -> str:
     return f"""npt AS (SELECT doc_id, lang, list_concat({pads}, {tok('text')}, ['</s>']) AS t FROM documents),
 npos AS (SELECT doc_id, lang, t, unnest(generate_series({order}, len(t))) AS i FROM npt),
 kg AS (SELECT doc_id, lang, i, ks.k, array_to_string(t[i - ks.k + 1 : i - 1], ' ') AS ctx, t[i] AS w
-       FROM npos CROSS JOIN (SELECT unnest(range(1, {order + 1})) AS k) ks),
+       FROM npos CROSS JOIN (SELECT unnest(range(1, {order + 1}))::INTEGER AS k) ks),
 ncnt AS (SELECT lang, k, ctx, w, count(*) AS c FROM kg GROUP BY ALL),
 ncx AS (SELECT lang, k, ctx, sum(c) AS ch, count(*) AS n1p FROM ncnt GROUP BY ALL),
 nvoc AS (SELECT lang, count(DISTINCT w) + 1 AS V FROM ncnt WHERE k = 1 GROUP BY ALL),
