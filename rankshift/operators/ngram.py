@@ -36,27 +36,43 @@ def bigrams(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame
     return e.select(*keep, F.col("_p.w1").alias("w1"), F.col("_p.w2").alias("w2"))
 
 
-def train_bigram_lm(df: DataFrame, by: Sequence[str] = ("lang",), text: str = "text") -> dict:
-    """GEN5: {'bigrams': (by, w1, w2, c), 'contexts': (by, w1, cw1), 'vocab': (by, V)}."""
+def doc_bigrams(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ("lang",), text: str = "text",
+                materialize_table: bool = True) -> DataFrame:
+    """(key, by, w1, w2, n): bigram counts per text, written once so that
+    training and scoring on the same corpus tokenize it once."""
     by = list(by)
-    bg = bigrams(df, by, text).groupBy(*by, "w1", "w2").agg(F.count(F.lit(1)).alias("c"))
+    t = bigrams(df, [key] + by, text).groupBy(key, *by, "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(t, "doc_bigrams") if materialize_table else t
+
+
+def train_bigram_lm(df: DataFrame, by: Sequence[str] = ("lang",), text: str = "text",
+                    counted: DataFrame | None = None) -> dict:
+    """GEN5: {'bigrams': (by, w1, w2, c), 'contexts': (by, w1, cw1), 'vocab': (by, V)}.
+    ``counted``: a ``doc_bigrams`` table to train from instead of raw text."""
+    by = list(by)
+    if counted is not None:
+        bg = counted.groupBy(*by, "w1", "w2").agg(F.sum("n").alias("c"))
+    else:
+        bg = bigrams(df, by, text).groupBy(*by, "w1", "w2").agg(F.count(F.lit(1)).alias("c"))
     ctx = bg.groupBy(*by, "w1").agg(F.sum("c").alias("cw1"))
     voc = bg.groupBy(*by).agg((F.count_distinct("w2") + 1).alias("V"))
     return {"bigrams": bg, "contexts": ctx, "vocab": voc}
 
 
 def perplexity(df: DataFrame, lm: dict, key: str = "doc_id", by: Sequence[str] = ("lang",),
-               text: str = "text", k: float = 1.0, digits: int = 6) -> DataFrame:
-    """MET9: exp(-mean log p(w2|w1)) per text under the add-k bigram model."""
+               text: str = "text", k: float = 1.0, digits: int = 6, counted: DataFrame | None = None) -> DataFrame:
+    """MET9: exp(-mean log p(w2|w1)) per text under the add-k bigram model.
+    ``counted``: the texts' ``doc_bigrams`` table (each distinct bigram of a
+    text is joined once and weighted by its count)."""
     by = list(by)
-    b = bigrams(df, [key] + by, text)
+    b = counted if counted is not None else bigrams(df, [key] + by, text).withColumn("n", F.lit(1))
     j = (b.join(lm["bigrams"], by + ["w1", "w2"], "left")
          .join(lm["contexts"], by + ["w1"], "left")
          .join(lm["vocab"], by, "left"))
     v = F.coalesce(F.col("V"), F.lit(1))
     p = (F.coalesce(F.col("c"), F.lit(0)) + k) / (F.coalesce(F.col("cw1"), F.lit(0)) + k * v)
-    return (j.groupBy(key, *by).agg(F.exp(-F.avg(F.log(p))).alias("_ppl"))
-            .select(key, *by, F.round("_ppl", digits).alias("perplexity")))
+    return (j.groupBy(key, *by).agg((F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias("_lp"))
+            .select(key, *by, F.round(F.exp(-F.col("_lp")), digits).alias("perplexity")))
 
 
 def perplexity_keep(ppl: DataFrame, keep: float = 1.0 / 3.0, by: Sequence[str] = ("lang",),

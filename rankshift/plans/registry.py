@@ -124,7 +124,7 @@ def q_spar_score(spark, sf):
 # ----------------------------------------------- projections, filters (§2.2)
 
 from rankshift.operators import prep  # noqa: E402
-from rankshift.session import scratch_path  # noqa: E402
+from rankshift.session import materialize, scratch_path  # noqa: E402
 from rankshift.sources import readers, sinks  # noqa: E402
 from rankshift.sources.tables import table  # noqa: E402
 
@@ -580,8 +580,20 @@ def q_ngram_counts(spark, sf):
     return _doc_lm(spark, sf)[1]["bigrams"]
 
 
+def _self_perplexity(spark, sf):
+    """Train on the documents and score them, tokenizing once."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    counted = NG.doc_bigrams(d)
+    return NG.perplexity(d, NG.train_bigram_lm(d, counted=counted), counted=counted)
+
+
 @register("perplexity", f"WITH {O.BIGRAMS_DOCS} SELECT doc_id, lang, perplexity FROM ppl")
 def q_perplexity(spark, sf):
+    return _self_perplexity(spark, sf)
+
+
+@register("perplexity_uncounted", f"WITH {O.BIGRAMS_DOCS} SELECT doc_id, lang, perplexity FROM ppl")
+def q_perplexity_uncounted(spark, sf):
     d, lm = _doc_lm(spark, sf)
     return NG.perplexity(d, lm)
 
@@ -590,8 +602,7 @@ def q_perplexity(spark, sf):
 cut AS (SELECT lang, quantile_cont(perplexity, 1.0 / 3.0) AS c FROM ppl GROUP BY lang)
 SELECT doc_id, lang, perplexity FROM ppl JOIN cut USING (lang) WHERE perplexity <= c""")
 def q_perplexity_filter(spark, sf):
-    d, lm = _doc_lm(spark, sf)
-    return NG.perplexity_keep(NG.perplexity(d, lm), 1.0 / 3.0)
+    return NG.perplexity_keep(materialize(_self_perplexity(spark, sf), "perplexity"), 1.0 / 3.0)
 
 
 @register("clean_preset_ds2_ppl", _DOC_T.replace("WITH ", f"WITH {O.BIGRAMS_DOCS},\n") + f""",
@@ -601,8 +612,8 @@ SELECT doc_id FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality =
   AND {O.letters('text')} > 200 AND len(t) < 1000 AND ({O.word_share_sql()}) >= 0.7
   AND doc_id IN (SELECT doc_id FROM keep)""")
 def q_clean_preset_ds2_ppl(spark, sf):
-    d, lm = _doc_lm(spark, sf)
-    keep = NG.perplexity_keep(NG.perplexity(d, lm), 1.0 / 3.0).select("doc_id")
+    ppl = materialize(_self_perplexity(spark, sf), "perplexity")
+    keep = NG.perplexity_keep(ppl, 1.0 / 3.0).select("doc_id")
     params = {**_COMMON, "label_value": 1, "label_col": "quality"}
     return C.clean(_docs(spark, sf), "ds2", params, labels=table(spark, sf, "labels"),
                    ppl_keep=keep).select("doc_id")

@@ -23,6 +23,8 @@ def build_session(master: str = "local[8]", app: str = "rankshift",
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # post-shuffle build sides under this size become shuffled hash joins (no sort)
+         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
