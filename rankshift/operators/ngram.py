@@ -85,24 +85,80 @@ def perplexity_keep(ppl: DataFrame, keep: float = 1.0 / 3.0, by: Sequence[str] =
     return ppl.join(cut, by).where(F.col("perplexity") <= F.col("_cut")).select(key, *by, "perplexity")
 
 
-def continuation_table(lm: dict, top_m: int = 8, by: Sequence[str] = ("lang",),
-                       max_entries: int = 2_000_000) -> DataFrame:
-    """Pruned model for generation: per context, the ``top_m`` most frequent
-    next words (ties by word) as two parallel arrays.  ``top_m`` bounds each
-    row; the total is checked before anyone broadcasts it: above
-    ``max_entries`` continuations this raises instead of shipping an
-    unbounded table to every executor."""
+def continuation_table(lm: dict, top_m: int | None = 8, by: Sequence[str] = ("lang",)) -> DataFrame:
+    """Model for generation: per context, its next words (most frequent
+    first, ties by word) as two parallel arrays, cut to ``top_m`` when given
+    (``None`` keeps every continuation).  Written once; see
+    ``continuation_entries`` for its size."""
     by = list(by)
-    ranked = lm["bigrams"].groupBy(*by, "w1").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("nc"), F.col("w2").alias("w")))),
-                1, top_m).alias("_top"))
+    top = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("nc"), F.col("w2").alias("w"))))
+    if top_m is not None:
+        top = F.slice(top, 1, top_m)
+    ranked = lm["bigrams"].groupBy(*by, "w1").agg(top.alias("_top"))
     ranked = ranked.select(*by, "w1", F.transform("_top", lambda x: x["w"]).alias("words"),
                            F.transform("_top", lambda x: -x["nc"]).alias("counts"))
-    ranked = materialize(ranked, "continuations")  # sized and collected from one write
-    n = ranked.agg(F.sum(F.size("words"))).first()[0] or 0
-    if n > max_entries:
-        raise ValueError(f"pruned n-gram table has {n} entries > cap {max_entries}; lower top_m")
-    return ranked
+    return materialize(ranked, "continuations")
+
+
+def continuation_entries(cont: DataFrame) -> int:
+    return int(cont.agg(F.sum(F.size("words"))).first()[0] or 0)
+
+
+def sample_by_join(prompts: DataFrame, cont: DataFrame, params: dict, keys: Sequence[str] = ("qid",),
+                   prompt: str = "query", out: str = "generated_text", cut_every: int = 8) -> DataFrame:
+    """Generation without shipping the model: every step joins each row's
+    current context to ``cont`` (a shuffle join keyed by the context) and
+    samples natively.  u = hash(seed, keys, step); weights counts^(1/T);
+    ``top_k`` / ``top_p`` cut the sorted list; greedy when not sampling.
+    Unseen contexts use the <s> row.  State is written every ``cut_every``
+    steps, so lineage and plan size stay bounded."""
+    from rankshift.functions.hashing import unit_hash
+    keys = list(keys)
+    temp = max(float(params.get("temperature", 1.0)), 1e-6)
+    top_k, top_p = int(params.get("top_k") or 0), float(params.get("top_p", 1.0))
+    sample = bool(params.get("do_sample", True)) and int(params.get("num_beams", 1)) <= 1
+    seed = int(params.get("seed", 0))
+    st = prompts.select(*keys, word_tokens(prompt).alias("_pt")).select(
+        *keys, F.coalesce(F.element_at("_pt", -1), F.lit(BOS)).alias("ctx"),
+        F.array().cast("array<string>").alias("gen"), F.lit(False).alias("done"))
+    table = sampling_table(cont, temp, top_k, top_p)
+    bos = table.where(F.col("ctx") == BOS).select(F.col("words").alias("bw"), F.col("cum").alias("bcum"),
+                                                 F.lit(0).alias("_one"))
+    state = [*keys, "ctx", "gen", "done"]
+    for step in range(int(params.get("max_length", 50))):
+        j = (st.join(table, "ctx", "left").withColumn("_one", F.lit(0))
+             .join(F.broadcast(bos), "_one", "left")  # the <s> row: one row, a proven bound
+             .select(*state, F.coalesce("words", "bw").alias("_w"), F.coalesce("cum", "bcum").alias("_c")))
+        u = unit_hash(F.lit(seed), F.lit("|"), F.lit(step),
+                      *[F.concat(F.lit("|"), F.col(k).cast("string")) for k in keys])
+        pick = (F.size(F.filter("_c", lambda x: x < u * F.element_at("_c", -1))) + 1) if sample else F.lit(1)
+        j = j.select(*state, F.coalesce(F.element_at("_w", pick), F.lit(EOS)).alias("_n"))
+        j = j.select(*keys, "ctx", "gen", "done", "_n", (F.col("done") | (F.col("_n") == EOS)).alias("_stop"))
+        st = j.select(*keys, F.when(F.col("done"), F.col("ctx")).otherwise(F.col("_n")).alias("ctx"),
+                      F.when(F.col("_stop"), F.col("gen")).otherwise(F.concat("gen", F.array("_n"))).alias("gen"),
+                      F.col("_stop").alias("done"))
+        if (step + 1) % cut_every == 0:
+            st = materialize(st, "gen_state")
+    return st.select(*keys, F.array_join("gen", " ").alias(out))
+
+
+def sampling_table(cont: DataFrame, temperature: float = 1.0, top_k: int = 0, top_p: float = 1.0) -> DataFrame:
+    """(ctx, words, cum): continuations with cumulative weights counts^(1/T),
+    cut to ``top_k`` and to the smallest prefix reaching ``top_p``.  Prefix
+    sums use a window per context (a group of at most V rows), once."""
+    from pyspark.sql import Window
+    e = cont.select(F.col("w1").alias("ctx"), F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "_z"))
+    e = e.select("ctx", "pos", F.col("_z.words").alias("w"),
+                 F.pow(F.col("_z.counts").cast("double"), 1.0 / temperature).alias("x"))
+    if top_k > 0:
+        e = e.where(F.col("pos") < top_k)
+    w = Window.partitionBy("ctx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("cum", F.sum("x").over(w)).withColumn("tot", F.sum("x").over(Window.partitionBy("ctx")))
+    if top_p < 1.0:
+        e = e.where((F.col("cum") - F.col("x")) / F.col("tot") < top_p)
+    g = e.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("pos", "w", "cum"))).alias("_s"))
+    return materialize(g.select("ctx", F.transform("_s", lambda x: x["w"]).alias("words"),
+                                F.transform("_s", lambda x: x["cum"]).alias("cum")), "sampling_table")
 
 
 # ------------------------------------------- order-N, interpolated discounting

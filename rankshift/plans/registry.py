@@ -777,20 +777,40 @@ def q_extractive_texts(spark, sf):
     return gen_ops.extractive_texts(standins.queries(spark, sf), standins.candidates(spark, sf), 150)
 
 
-def _ngram_table(spark, sf, top_m=8):
+BROADCAST_CAP = 2_000_000  # continuations shipped to every worker at most
+
+
+def _ngram_cont(spark, sf, top_m=8):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    lm = NG.train_bigram_lm(d, by=())
-    cont = NG.continuation_table(lm, top_m, by=())
+    return NG.continuation_table(NG.train_bigram_lm(d, by=()), top_m, by=())
+
+
+def _ngram_table(spark, sf, top_m=8):
+    cont = _ngram_cont(spark, sf, top_m)
+    n = NG.continuation_entries(cont)
+    if n > BROADCAST_CAP:
+        raise ValueError(f"continuation table has {n} entries > {BROADCAST_CAP}: use the join sampler")
     # size checked above: bounded, safe to ship to every worker
-    tbl = GN.table_from_pandas(cont.toPandas())
-    return spark.sparkContext.broadcast(tbl)
+    return spark.sparkContext.broadcast(GN.table_from_pandas(cont.toPandas()))
 
 
 @register("generate_ngram")
 def q_generate_ngram(spark, sf):
-    bc = _ngram_table(spark, sf)
+    """Broadcast sampler when the pruned model is under the cap, join sampler otherwise."""
     params = GenParams(do_sample=True, temperature=1.0, top_p=0.9, max_length=40, seed=123)
-    return gen_ops.generate(standins.queries(spark, sf), lambda: GN.NGramGenerator(bc.value), params)
+    q = standins.queries(spark, sf)
+    cont = _ngram_cont(spark, sf)
+    if NG.continuation_entries(cont) > BROADCAST_CAP:
+        return NG.sample_by_join(q, cont, params.to_dict())
+    bc = spark.sparkContext.broadcast(GN.table_from_pandas(cont.toPandas()))
+    return gen_ops.generate(q, lambda: GN.NGramGenerator(bc.value), params)
+
+
+@register("generate_ngram_join")
+def q_generate_ngram_join(spark, sf):
+    """The join sampler on the full (unpruned) model: nothing is broadcast."""
+    params = GenParams(do_sample=True, temperature=1.0, top_p=0.9, top_k=0, max_length=16, seed=123)
+    return NG.sample_by_join(standins.queries(spark, sf), _ngram_cont(spark, sf, None), params.to_dict())
 
 
 @register("generate_grid")
