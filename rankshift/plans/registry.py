@@ -550,18 +550,60 @@ def q_mask_tokens(spark, sf):
     return TK.mask_tokens(ids, "ord", "input_ids", 0.15, seed=1, vocab_size=1000)
 
 
-@register("training_table_clm")
+def _vocab_sql(src: str) -> str:
+    """Vocabulary CTE over the word tokens of ``src`` (a SQL text column expression)."""
+    return f"""vc AS (SELECT tok, count(*) AS cnt FROM (SELECT unnest({O.tok(src)}) AS tok FROM src) GROUP BY tok),
+vocab AS (SELECT tok, (row_number() OVER (ORDER BY cnt DESC, tok) - 1 + 7)::INTEGER AS id, cnt FROM vc
+          UNION ALL SELECT tok, id::INTEGER, cnt::BIGINT FROM (VALUES {O.SPECIAL_VALUES}) s(tok, id, cnt))"""
+
+
+def _ids_sql(col: str, name: str) -> str:
+    """(ord, l): ids of the word tokens of ``col`` of table ``src``, in order."""
+    return f"""{name}_t AS (SELECT ord, {O.tok(col)} AS t FROM src),
+{name}_e AS (SELECT ord, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS pos FROM {name}_t),
+{name}_l AS (SELECT e.ord, list(coalesce(vocab.id, 5) ORDER BY pos) AS l FROM {name}_e e LEFT JOIN vocab USING (tok)
+             GROUP BY e.ord),
+{name} AS (SELECT t.ord, coalesce(x.l, []::INTEGER[]) AS l FROM {name}_t t LEFT JOIN {name}_l x USING (ord))"""
+
+
+_CLM_SRC = f"""WITH {O.FIRST_USER}, {O.ANSWERS},
+a AS (SELECT fu.conv_id, string_agg(CASE WHEN ans.pos = 0 THEN coalesce(fu.query, '') || coalesce(ans.text, '')
+        ELSE coalesce(ans.text, '') END, '' ORDER BY ans.pos) AS text
+      FROM fu JOIN ans USING (conv_id) GROUP BY fu.conv_id),
+src AS (SELECT fu.conv_id AS ord, coalesce(a.text, '') AS text FROM fu LEFT JOIN a USING (conv_id)),
+{_vocab_sql('text')},
+{_ids_sql('text', 'ids')},
+blk AS (SELECT ord, l, unnest(generate_series(0, len(l) - 64 - 1, 64)) AS st FROM ids WHERE len(l) - 64 - 1 >= 0)
+SELECT ord, (st // 64)::INTEGER AS block, array_to_string(l[st + 1 : st + 64], ' ') AS input_ids,
+       array_to_string(l[st + 1 : st + 64], ' ') AS labels FROM blk"""
+
+
+@register("training_table_clm", _CLM_SRC)
 def q_training_table_clm(spark, sf):
     qa = standins.qa_rows(spark, sf)
     v = TK.build_vocab(C.with_tokens(TK.clm_text_passages(qa)))
-    return TK.training_table(qa, v, "part_data", "clm", block=64)
+    t = TK.training_table(qa, v, "part_data", "clm", block=64)
+    return t.select("ord", "block", _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"))
+
+
+_TEACHER_SRC = f"""WITH {O.PAIRS},
+src AS (SELECT ord, query, body, query || ' ' || body || '</s>' AS text, label FROM pairs),
+{_vocab_sql('text')},
+{_ids_sql('query', 'qi')},
+{_ids_sql('body', 'ti')}
+SELECT src.ord, array_to_string(list_resize(qi.l, 48, 0), ' ') AS input_ids,
+       array_to_string((list_concat(ti.l, [3]))[1:48], ' ') AS labels,
+       CAST(src.label AS VARCHAR) AS pos_label
+FROM src JOIN qi USING (ord) JOIN ti USING (ord)"""
 
 
-@register("training_table_teacher")
+@register("training_table_teacher", _TEACHER_SRC)
 def q_training_table_teacher(spark, sf):
     pairs = standins.qa_pairs(spark, sf)
     v = TK.build_vocab(C.with_tokens(TK.clm_text_pairs(pairs)))
-    return TK.training_table(pairs, v, "made_data", "teacher", max_len=48)
+    t = TK.training_table(pairs, v, "made_data", "teacher", max_len=48)
+    return t.select("ord", _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"),
+                    _ids_str("pos_label").alias("pos_label"))
 
 
 # ------------------------------------------------- language model, metrics (§2.5-2.6)

@@ -65,3 +65,29 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(total_input_bytes: int, executors: int, cores_per_executor: int) -> dict:
+    """Settings to pass to the cluster's session for a given input size.
+
+    Shuffle partitions: about one 256 MB partition per core-wave, at least 2x
+    the cores; AQE coalesces what turns out smaller and splits skewed
+    partitions (a key holding a third of the rows is split, not run whole).
+    Broadcasts are left to AQE's runtime statistics with a modest threshold;
+    operators that broadcast on their own check the size first."""
+    cores = max(1, executors * cores_per_executor)
+    parts = max(2 * cores, total_input_bytes // (256 << 20))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(256 << 20),
+        "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    }
