@@ -161,7 +161,7 @@ def site_match(hosts: Sequence[str], url: str = "url") -> Column:
     return cond
 
 
-def on_sites(df: DataFrame, hosts: Sequence[str] | DataFrame, url: str = "url") -> DataFrame:
+def on_sites(df: DataFrame, hosts: Sequence[str] | DataFrame, url: str = "url", key: str | None = None) -> DataFrame:
     """CLN4: keep rows whose URL host is one of ``hosts`` or a subdomain.
 
     A literal host list is a native condition.  A host *table* of any size is
@@ -174,10 +174,16 @@ def on_sites(df: DataFrame, hosts: Sequence[str] | DataFrame, url: str = "url")
     n = F.size(parts)
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                            lambda i: F.array_join(F.slice(parts, i, n), "."))
-    keyed = df.withColumn("_rid", F.monotonically_increasing_id())
-    hits = (keyed.select("_rid", F.explode(suffixes).alias("site"))
-            .join(hosts.select(F.lower("site").alias("site")).distinct(), "site").select("_rid"))
-    return keyed.join(hits, "_rid", "left_semi").drop("_rid")
+    if key is not None:
+        keyed, rid = df, key
+    else:
+        # row ids must be identical on both sides of the semi-join: write them once
+        from rankshift.session import materialize
+        keyed, rid = materialize(df.withColumn("_rid", F.monotonically_increasing_id()), "site_rows"), "_rid"
+    hits = (keyed.select(rid, F.explode(suffixes).alias("site"))
+            .join(hosts.select(F.lower("site").alias("site")).distinct(), "site").select(rid))
+    out = keyed.join(hits, rid, "left_semi")
+    return out.drop("_rid") if key is None else out
 
 
 def with_label(df: DataFrame, labels: DataFrame, value: int = 3, key: str = "doc_id",

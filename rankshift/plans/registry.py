@@ -299,7 +299,7 @@ def q_clean_on_sites(spark, sf):
 @register("clean_on_sites_table", f"SELECT page_id FROM pages WHERE {O.site_sql(TEST_SITES)}")
 def q_clean_on_sites_table(spark, sf):
     hosts = spark.createDataFrame([(h,) for h in TEST_SITES], "site string")
-    return C.on_sites(table(spark, sf, "pages"), hosts).select("page_id")
+    return C.on_sites(table(spark, sf, "pages"), hosts, key="page_id").select("page_id")
 
 
 _MARK_RX = C.markup_regex(TEST_MARKERS)

@@ -110,12 +110,14 @@ def _frame(rows: list) -> pd.DataFrame:
 
 # ----------------------------------------------------------------- streaming
 
-def settings_stream(events: DataFrame) -> DataFrame:
+def settings_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """STR1 on a streaming DataFrame of events -> per-event outcomes.
 
     Rows of one key inside a micro-batch are sorted by (ts, event_id)
     before folding; the micro-batch size (``maxFilesPerTrigger`` /
-    ``maxBytesPerTrigger`` of the source) bounds that work."""
+    ``maxBytesPerTrigger`` of the source) bounds that work.  ``ttl_ms``
+    expires the state of chats idle that long (a returning chat starts over,
+    as after a restart of the reference's process)."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     state_schema = T.StructType([
@@ -125,7 +127,7 @@ def settings_stream(events: DataFrame) -> DataFrame:
 
     class SettingsProcessor(StatefulProcessor):
         def init(self, handle) -> None:
-            self.state = handle.getValueState("settings", state_schema)
+            self.state = handle.getValueState("settings", state_schema, ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")

@@ -67,3 +67,12 @@ def test_teacher_table_keeps_labels(spark):
     t = TK.training_table(rows, v, "part_data", "teacher", max_len=4).first()
     assert t["pos_label"] == [0, 1] and len(t["input_ids"]) == 4 and t["labels"][-1] == TK.SPECIAL.id("eos")
     assert rank.FAKE == -1
+
+
+def test_site_table_without_key(spark):
+    from rankshift.operators import clean as C
+    pages = spark.createDataFrame([(1, "https://a.site.org/x"), (2, "http://other.net"), (3, "http://site.org:80/")],
+                                  "page_id long, url string")
+    hosts = spark.createDataFrame([("site.org",)], "site string")
+    assert sorted(r["page_id"] for r in C.on_sites(pages, hosts).collect()) == [1, 3]
+    assert sorted(r["page_id"] for r in C.on_sites(pages, ["site.org"]).collect()) == [1, 3]
