@@ -10,7 +10,6 @@ no shuffle of exploded tokens.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -249,7 +248,3 @@ def training_table(df: DataFrame, vocab: DataFrame, kind: str, mode: str = "clm"
                  bounded_vocab=bounded_vocab)
     return lm_labels(cut_blocks(ids, block, "input_ids", key))
 
-
-__all__ = ["SpecialTokens", "SPECIAL", "GPT_SPECIAL", "build_vocab", "encode", "decode", "clm_text_passages",
-           "clm_text_pairs", "block_starts", "cut_blocks", "pack_corpus", "lm_labels", "collate",
-           "restore_pad", "mask_tokens", "training_table", "Sequence"]

@@ -81,5 +81,3 @@ def vector_lists(spark: SparkSession, sf: str):
         .when(F.col("label") == F.col("qlabel"), F.lit(1)).otherwise(F.lit(0)).alias("label"))
     return d, q
 
-
-__all__ = ["queries", "candidates", "qa_rows", "qa_pairs", "vector_lists", "Window"]

@@ -11,7 +11,6 @@ import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankshift.operators.order import file_order
@@ -121,6 +120,3 @@ def load(spark: SparkSession, kind: str, folder: str, split: str = "train") -> D
         return read_labelled_csv(spark, path)
     return read_tsv(spark, path)
 
-
-__all__ = ["read_qa_jsonl", "read_qa_json", "read_labelled_csv", "read_tsv", "read_text_corpus",
-           "queries_from_list", "read_tokenized", "load", "F"]
