@@ -54,3 +54,18 @@ def safe_div(num, den) -> Column:
     """num / den as double, 0 when den = 0 (ANSI mode raises otherwise)."""
     den = _c(den)
     return F.when(den == 0, F.lit(0.0)).otherwise(_c(num).cast("double") / den)
+
+
+def with_term_counts(df, tokens: str, out: str = "terms"):
+    """Add ``out`` = array<struct<tok, tf>>: the distinct tokens of each row
+    with their counts, computed inside the row (sort, then run lengths), so
+    no shuffle is needed to count terms of a document.  Each step is its own
+    projection: lambdas only index materialised columns (linear work)."""
+    s = df.withColumn("_srt", F.array_sort(F.col(tokens)))
+    s = s.withColumn("_st", F.when(F.size("_srt") == 0, F.array().cast("array<int>")).otherwise(
+        F.filter(F.sequence(F.lit(1), F.size("_srt")),
+                 lambda i: (i == 1) | (F.element_at("_srt", i) != F.element_at("_srt", F.greatest(i - 1, F.lit(1)))))))
+    s = s.withColumn(out, F.transform("_st", lambda st, j: F.struct(
+        F.element_at("_srt", st).alias("tok"),
+        (F.coalesce(F.try_element_at("_st", j + 2), F.size("_srt") + 1) - st).cast("long").alias("tf"))))
+    return s.drop("_srt", "_st")

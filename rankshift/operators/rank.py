@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankshift.functions.text import word_tokens
+from rankshift.functions.text import with_term_counts, word_tokens
 from rankshift.functions.vectors import cosine, dot
 
 FAKE = -1
@@ -47,12 +47,17 @@ def with_fake(cands: DataFrame, gen: DataFrame, keys: Sequence[str] = ("qid",),
 def list_terms(docs: DataFrame, keys: Sequence[str] = ("qid",), text: str = "text") -> DataFrame:
     """(keys, tok, idx, label, dl, tf): one row per distinct token of a
     document; a document without tokens keeps one row with ``tok`` null, so
-    list sizes and lengths can be read from this table alone."""
+    list sizes and lengths can be read from this table alone.
+
+    Term counts are computed inside each document row (no shuffle): the
+    table is a narrow projection of the documents."""
     keys = list(keys)
     label = F.col("label") if "label" in docs.columns else F.lit(0)
     toks = docs.select(*keys, "idx", label.cast("int").alias("label"), word_tokens(text).alias("_toks"))
-    e = toks.select(*keys, "idx", "label", F.size("_toks").alias("dl"), F.explode_outer("_toks").alias("tok"))
-    return e.groupBy(*keys, "tok", "idx", "label", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    toks = with_term_counts(toks.withColumn("dl", F.size("_toks")), "_toks", "_tc")
+    e = toks.select(*keys, "idx", "label", "dl", F.explode_outer("_tc").alias("_x"))
+    return e.select(*keys, F.col("_x.tok").alias("tok"), "idx", "label", "dl",
+                    F.coalesce(F.col("_x.tf"), F.lit(1)).cast("long").alias("tf"))
 
 
 def term_frequencies(docs: DataFrame, keys: Sequence[str] = ("qid",), text: str = "text") -> DataFrame:
