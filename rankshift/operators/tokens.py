@@ -248,3 +248,19 @@ def training_table(df: DataFrame, vocab: DataFrame, kind: str, mode: str = "clm"
                  bounded_vocab=bounded_vocab)
     return lm_labels(cut_blocks(ids, block, "input_ids", key))
 
+
+
+def encode_external(df: DataFrame, encode_batch, key: str = "ord", text: str = "text", out: str = "input_ids",
+                    max_len: int | None = None, pad: bool = False, special: SpecialTokens = SPECIAL) -> DataFrame:
+    """TOK1 with a pre-trained tokenizer (BPE / SentencePiece): ``encode_batch``
+    maps a list of texts to a list of id lists and runs in an Arrow-batched
+    pandas UDF (build the tokenizer once per worker inside it).  Truncation
+    and padding stay native."""
+    import pandas as pd
+
+    def _enc(s):
+        return pd.Series([list(map(int, ids)) for ids in encode_batch(s.fillna("").tolist())])
+
+    _enc.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    ids = F.pandas_udf(_enc, "array<int>")(F.col(text))
+    return df.select(key, fit_length(ids, max_len, pad, special.id("pad"), special.side).alias(out))

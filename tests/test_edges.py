@@ -76,3 +76,13 @@ def test_site_table_without_key(spark):
     hosts = spark.createDataFrame([("site.org",)], "site string")
     assert sorted(r["page_id"] for r in C.on_sites(pages, hosts).collect()) == [1, 3]
     assert sorted(r["page_id"] for r in C.on_sites(pages, ["site.org"]).collect()) == [1, 3]
+
+
+def test_external_tokenizer_slot(spark):
+    df = spark.createDataFrame([(1, "ab c"), (2, "")], "ord long, text string")
+
+    def enc(texts):  # stand-in for a BPE encoder: one id per character code
+        return [[ord(ch) for ch in t] for t in texts]
+
+    got = {r["ord"]: r["input_ids"] for r in TK.encode_external(df, enc, max_len=3, pad=True).collect()}
+    assert got == {1: [97, 98, 32], 2: [0, 0, 0]}
