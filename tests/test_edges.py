@@ -86,3 +86,16 @@ def test_external_tokenizer_slot(spark):
 
     got = {r["ord"]: r["input_ids"] for r in TK.encode_external(df, enc, max_len=3, pad=True).collect()}
     assert got == {1: [97, 98, 32], 2: [0, 0, 0]}
+
+
+def test_term_counts_long_document_linear(spark):
+    import time
+    words = " ".join(f"w{i % 3000}" for i in range(20000))
+    df = spark.createDataFrame([(0, 0, words, 0), (0, 1, "w1 w1 w2", 1)], "qid long, idx long, text string, label int")
+    t = time.time()
+    rows = rank.list_terms(df, ["qid"]).collect()
+    assert time.time() - t < 60
+    tf = {(r["idx"], r["tok"]): r["tf"] for r in rows}
+    assert tf[(1, "w1")] == 2 and tf[(1, "w2")] == 1
+    assert len([k for k in tf if k[0] == 0]) == 3000 and tf[(0, "w0")] == 7
+    assert {r["dl"] for r in rows if r["idx"] == 0} == {20000}
