@@ -55,20 +55,23 @@ def list_terms(docs: DataFrame, keys: Sequence[str] = ("qid",), text: str = "tex
     label = F.col("label") if "label" in docs.columns else F.lit(0)
     toks = docs.select(*keys, "idx", label.cast("int").alias("label"), word_tokens(text).alias("_toks"))
     toks = with_term_counts(toks.withColumn("dl", F.size("_toks")), "_toks", "_tc")
-    e = toks.select(*keys, "idx", "label", "dl", F.explode_outer("_tc").alias("_x"))
+    e = toks.select(*keys, "idx", "label", "dl", F.posexplode_outer("_tc").alias("tpos", "_x"))
+    # tpos 0 (or null for a document without tokens) marks one row per document
     return e.select(*keys, F.col("_x.tok").alias("tok"), "idx", "label", "dl",
-                    F.coalesce(F.col("_x.tf"), F.lit(1)).cast("long").alias("tf"))
+                    F.coalesce(F.col("_x.tf"), F.lit(1)).cast("long").alias("tf"), "tpos")
 
 
 def term_frequencies(docs: DataFrame, keys: Sequence[str] = ("qid",), text: str = "text") -> DataFrame:
     """(keys, tok, idx, dl, tf) for documents with at least one token."""
-    return list_terms(docs, keys, text).where(F.col("tok").isNotNull()).drop("label")
+    return list_terms(docs, keys, text).where(F.col("tok").isNotNull()).drop("label", "tpos")
 
 
 def doc_table(terms: DataFrame, keys: Sequence[str] = ("qid",)) -> DataFrame:
-    """(keys, idx, label, dl) from a ``list_terms`` table."""
+    """(keys, idx, label, dl) from a ``list_terms`` table: a narrow filter on
+    the one row per document marked by ``tpos`` (no shuffle)."""
     keys = list(keys)
-    return terms.groupBy(*keys, "idx").agg(F.first("label").alias("label"), F.first("dl").alias("dl"))
+    first = F.col("tpos").isNull() | (F.col("tpos") == 0)
+    return terms.where(first).select(*keys, "idx", "label", "dl")
 
 
 def query_terms(queries: DataFrame, keys: Sequence[str] = ("qid",), query: str = "query") -> DataFrame:
