@@ -86,11 +86,12 @@ _WORKER_CACHE: dict = {}
 
 def generate(df: DataFrame, make_generator: Callable[[], object], params: GenParams,
              keys: Sequence[str] = ("qid",), prompt: str = "query", extra: Sequence[str] = (),
-             out: str = "generated_text", batch_rows: int = 64) -> DataFrame:
+             out: str = "generated_text", batch_rows: int = 64, partitions: int | None = None) -> DataFrame:
     """GEN1: one text per row via ``generator.generate(prompts, seeds, params)``.
 
     ``make_generator`` is called once per Python worker (cached by its id).
-    Rows are fed in chunks of ``batch_rows`` (the reference's batch size).
+    Rows are fed in chunks of ``batch_rows`` (the reference's batch size);
+    ``partitions`` re-spreads the input first so each task's share fits.
     Output: keys + extra + prompt + ``out``; write it before scoring so the
     generation is not repeated by later actions."""
     keys, extra = list(keys), list(extra)
@@ -98,7 +99,8 @@ def generate(df: DataFrame, make_generator: Callable[[], object], params: GenPar
     cols = keys + [c for c in extra if c not in keys] + [prompt]
     schema = ", ".join(f"`{c}` {dtypes[c]}" for c in cols) + f", `{out}` string"
     pd_params = params.to_dict()
-    seeded = df.select(*cols, h32(F.lit(params.seed), F.lit("|"), *[F.col(k) for k in keys + extra]).alias("_seed"))
+    src = df.repartition(partitions) if partitions else df
+    seeded = src.select(*cols, h32(F.lit(params.seed), F.lit("|"), *[F.col(k) for k in keys + extra]).alias("_seed"))
     gen_id = id(make_generator)
 
     def run(batches):

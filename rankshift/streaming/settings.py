@@ -262,7 +262,7 @@ def respond(requests: DataFrame, make_generator, seed: int = 0) -> DataFrame:
 
     req = requests.where(F.col("outcome") == "request").select(
         "user_id", "event_id", "model", "word_count", "text",
-        h32(F.lit(seed), F.lit("|"), F.col("user_id"), F.lit("|"), F.col("event_id")).alias("_seed"))
+        h32(F.lit(seed), F.lit("|"), F.col("user_id"), F.lit("|"), F.col("event_id")).alias("seed"))
     gen_id = id(make_generator)
 
     def run(batches):
@@ -274,7 +274,7 @@ def respond(requests: DataFrame, make_generator, seed: int = 0) -> DataFrame:
                 gen = _WORKER_CACHE.get(key)
                 if gen is None:
                     gen = _WORKER_CACHE[key] = make_generator(r.model)
-                texts.append(gen.generate([r.text or ""], [r._5], {"max_length": int(r.word_count)})[0])
+                texts.append(gen.generate([r.text or ""], [r.seed], {"max_length": int(r.word_count)})[0])
             res["generated_text"] = texts
             yield res
 
