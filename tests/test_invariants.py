@@ -110,3 +110,25 @@ def test_join_sampler_valid_and_deterministic(spark):
     for text in a.values():
         ws = text.split()
         assert all((x, y) in follows for x, y in zip(ws, ws[1:]))
+
+
+def test_stream_state_across_microbatches(spark, tmp_path):
+    import time as _time
+    events = table(spark, SF001, "events")
+    ts = events.select("ts").toPandas()["ts"].sort_values().tolist()
+    cuts = [ts[300].to_pydatetime(), ts[700].to_pydatetime()]
+    src = tmp_path / "events"
+    parts = [F.col("ts") < F.lit(cuts[0]), (F.col("ts") >= F.lit(cuts[0])) & (F.col("ts") < F.lit(cuts[1])),
+             F.col("ts") >= F.lit(cuts[1])]
+    for k, cond in enumerate(parts):
+        events.where(cond).coalesce(1).write.parquet(str(src / f"part{k}"))
+        _time.sleep(1.1)  # the file source takes files in modification order
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(str(src)))
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    q = (ST.settings_stream(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 3
+    got = _rows(spark.read.schema(ST.OUT_SCHEMA).parquet(out))
+    assert got == _plain_fold(spark, SF001)
