@@ -957,3 +957,29 @@ def q_ngram_order_counts(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "text")
     c = NG.train_ngram_lm(d, 3)["counts"]
     return c.groupBy("lang", "k").agg(F.count(F.lit(1)).alias("n_ngrams"), F.sum("c").cast("long").alias("n_tokens"))
+
+
+@register("rank_metrics_echo_k234", O.echo_eval_prefix() + "\n" + O.metrics_select(ks=(2, 3, 4)))
+def q_rank_metrics_echo_k234(spark, sf):
+    """MET2 with the K values the reference's code passes (its notes say 1, 3, 5)."""
+    return rank_metrics(_echo_positions(spark, sf), ["ranker"], ks=(2, 3, 4))
+
+
+_ECHO_REC_COLS = ("avg_loc", "avg_rel_loc", "top_1", "top_3", "top_5", "fdaro_v1", "fdaro_v2", "up_quartile")
+
+
+@register("snk_metrics_json", O.echo_eval_prefix() + f""",
+met AS ({O.metrics_select()})
+SELECT ranker || '_' || metric AS name, value::DOUBLE AS value FROM
+  (UNPIVOT (SELECT ranker, {', '.join(_ECHO_REC_COLS)} FROM met) ON {', '.join(_ECHO_REC_COLS)}
+   INTO NAME metric VALUE value)""")
+def q_snk_metrics_json(spark, sf):
+    """SNK4 + SNK7: the flat metrics record written as one JSON record under its
+    run id, read back and flattened."""
+    from rankshift.sources.sinks import run_id, write_metrics
+    rec = M.metrics_record(rank_metrics(_echo_positions(spark, sf), ["ranker"]), names=list(_ECHO_REC_COLS))
+    path, rid = scratch_path(spark, "metrics_json"), run_id("echo_eval")
+    write_metrics(rec, path, rid)
+    back = spark.read.json(path).where(F.col("run_id") == rid)
+    m = F.from_json("metrics", "map<string,double>")
+    return back.select(F.explode(m).alias("name", "value"))
