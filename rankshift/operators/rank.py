@@ -186,7 +186,7 @@ def score_pairs(pairs: DataFrame, scorer, keys: Sequence[str] = ("qid",),
     def run(batches):
         for pdf in batches:
             out = pdf[keys + ["idx"]].copy()
-            out["score"] = scorer(pdf[query].fillna(""), pdf[text].fillna("")).astype("float64").round(6)
+            out["score"] = scorer(pdf[query].fillna(""), pdf[text].fillna("")).astype("float64").to_numpy()
             yield out
 
     return pairs.select(*cols).mapInPandas(run, schema)

@@ -867,7 +867,14 @@ def q_generate_grid(spark, sf):
     return gen_ops.generate_grid(standins.queries(spark, sf), models, make, params)
 
 
-@register("pair_scores")
+@register("pair_scores", f"""WITH {O.QUERIES},
+{O.CANDS},
+{O.echo_cte('gen')},
+{O.lists_cte('gen')},
+pt AS (SELECT l.qid, l.idx, list_distinct({O.tok('q.query')}) AS a, list_distinct({O.tok('l.text')}) AS b
+       FROM lists l JOIN queries q USING (qid))
+SELECT qid, idx, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
+  ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS score FROM pt""")
 def q_pair_scores(spark, sf):
     q, lists = _echo_lists(spark, sf)
     pairs = lists.join(q, "qid").select("qid", "idx", "query", "text")
