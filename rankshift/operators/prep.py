@@ -6,7 +6,6 @@ passage_text array<string>>``.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -95,12 +94,13 @@ def with_batch_id(df: DataFrame, size: int, ord_col: str = "ord", out: str = "ba
 def sample_batches(df: DataFrame, k: int, size: int, seed: int = 0, ord_col: str = "ord") -> DataFrame:
     """SMP3: K batch draws with replacement; all rows of the drawn batches.
 
-    Only the batch count (one number) reaches the driver; repeated draws
-    collapse, as in the reference."""
+    Draw j picks batch ``floor(u_j * n_batches)`` with u_j = md5(seed|j) in
+    [0, 1): seeded, reproducible on retries, and nothing reaches the driver
+    (the batch count is a lazy scalar subquery).  Repeated draws collapse,
+    as in the reference."""
     b = with_batch_id(df, size, ord_col)
-    n_batches = b.agg(F.max("batch_id")).first()[0]
-    if n_batches is None:
-        return b.limit(0)
-    rnd = random.Random(seed)
-    chosen = sorted({rnd.randint(0, int(n_batches)) for _ in range(k)})
-    return b.where(F.col("batch_id").isin(chosen))
+    n_batches = b.select(F.max("batch_id") + 1).scalar()
+    u = h32(F.lit(str(seed)), F.lit("|"), F.col("id")) / F.lit(float(U32))
+    draws = (df.sparkSession.range(k)
+             .select(F.floor(u * n_batches).cast("long").alias("batch_id")).distinct())
+    return b.join(draws, "batch_id", "left_semi")

@@ -184,7 +184,12 @@ def q_batch_ids(spark, sf):
     return prep.with_batch_id(d, 8, "ord", "batch_id").select(F.col("ord").alias("doc_id"), "batch_id")
 
 
-@register("sample_batches")
+@register("sample_batches", """WITH b AS (SELECT doc_id AS ord, lang,
+    ((row_number() OVER (ORDER BY doc_id) - 1) // 8)::BIGINT AS batch_id FROM documents),
+nb AS (SELECT max(batch_id) + 1 AS n FROM b),
+d AS (SELECT DISTINCT floor(('0x' || substr(md5(concat('7', '|', r.i::VARCHAR)), 1, 8))::BIGINT
+        / 4294967296.0::DOUBLE * nb.n)::BIGINT AS batch_id FROM range(5) r(i), nb)
+SELECT ord, lang, batch_id FROM b WHERE batch_id IN (SELECT batch_id FROM d)""")
 def q_sample_batches(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "lang")
     return prep.sample_batches(d, k=5, size=8, seed=7)
