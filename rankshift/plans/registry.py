@@ -995,3 +995,20 @@ def q_snk_metrics_json(spark, sf):
     back = spark.read.json(path).where(F.col("run_id") == rid)
     m = F.from_json("metrics", "map<string,double>")
     return back.select(F.explode(m).alias("name", "value"))
+
+
+def _extractive_variants_sql() -> str:
+    grid = ", ".join(f"({n}, {'true' if s else 'false'}, 'extractive_len{n}_{'stripped' if s else 'kept'}')"
+                     for n in LENGTHS for s in STRIPS)
+    return f"""WITH {O.QUERIES}, {O.CANDS}, {O.extractive_cte('base', max(LENGTHS))},
+grid AS (SELECT * FROM (VALUES {grid}) v(len, strip, run)),
+cutv AS (SELECT b.qid, q.query, g.run, g.strip,
+           array_to_string(list_slice(string_split(b.text, ' '), 1, g.len), ' ') AS text
+         FROM base b JOIN queries q USING (qid) CROSS JOIN grid g)
+SELECT qid, run, CASE WHEN strip THEN substr(text, length(coalesce(query, '')) + 1) ELSE text END AS text FROM cutv"""
+
+
+@register("generate_variants_extractive", _extractive_variants_sql())
+def q_generate_variants_extractive(spark, sf):
+    return gen_ops.variants(standins.queries(spark, sf), standins.candidates(spark, sf), LENGTHS, STRIPS,
+                            "extractive")
