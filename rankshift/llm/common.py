@@ -30,7 +30,9 @@ def doc_crc(doc_id: Column, mod: int) -> Column:
 def row_chunks(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut one Arrow batch into runs of rows of about ``max_bytes`` of text, so a
     batch of very long texts does not become one huge set of Python objects."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > max_bytes:
@@ -49,12 +51,11 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[[list], list[list]]],
     All other columns pass through as Arrow data.  Field names must be new."""
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in fields)])
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
-             "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+             "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
+             "array<string>": pa.list_(pa.string())}
     names, types = [n for n, _ in fields], [kinds[t] for _, t in fields]
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401  (loads pa.compute on the worker)
-
         f = make()
         for whole in batches:
             for b in row_chunks(whole, text):

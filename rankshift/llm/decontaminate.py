@@ -86,7 +86,7 @@ def _same(count: int, a, b):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text",
                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (array of strings, sorted), contaminated."""
+    """doc_id, row (hash of the text), n_words, n_hit, n_items, items (array of strings, sorted), contaminated."""
     b = with_words(benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("t")), "t")
     b = b.where(F.col("item").isNotNull() & (F.col("n") > 0))
     short = sorted(r["n"] for r in b.where(F.col("n") < SPAN).select("n").distinct().collect())  # below SPAN values
@@ -135,10 +135,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                                                 .cast("long").alias("sum")))
     per_doc = per_doc.withColumn("n_hit", covered["sum"])
     per_doc = per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return per_doc.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
+    return per_doc.select("doc_id", "row", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
                           (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (columns doc_id, text and any others) that hold no window of the benchmark."""
+    bad = (decontaminate(docs, benchmark).where("contaminated")
+           .select(F.col("doc_id").alias("_llm_id"), F.col("row").alias("_llm_row")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_row"))
+    return docs.join(bad, same, "left_anti")
+
+
 def op4(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     r = decontaminate(docs, benchmark)
     return r.select("doc_id", "n_words", "n_hit", "n_items",

@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankshift.llm import (decontaminate, language, mixing, secrets, simhash, token_counts, topk)
+from rankshift.llm import (decontaminate, language, mixing, quality, secrets, simhash, suffix_dedup,
+                           token_counts, topk, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,13 @@ def vocabulary() -> str:
 QUERIES = {
     "op1_topk_search": lambda s, d: topk.op1(_table(s, d, "embeddings")),
     "op2_mixing": lambda s, d: mixing.op2(_table(s, d, "documents")),
+    "op3_suffix_dedup": lambda s, d: suffix_dedup.op3(_table(s, d, "documents")),
     "op4_decontaminate": lambda s, d: decontaminate.op4(_table(s, d, "documents"), _table(s, d, "benchmark")),
     "op5_secrets": lambda s, d: secrets.op5(_table(s, d, "documents")),
+    "op6_toxicity": lambda s, d: toxicity.op6(_table(s, d, "documents"), _table(s, d, "labels")),
     "op7_simhash": lambda s, d: simhash.op7(_table(s, d, "documents")),
     "op8_language": lambda s, d: language.op8(_table(s, d, "documents")),
+    "op9_quality": lambda s, d: quality.op9(_table(s, d, "documents"), _table(s, d, "labels")),
     "op10_token_counts": lambda s, d: token_counts.op10(_table(s, d, "documents"), vocabulary()),
 }
 

@@ -172,16 +172,28 @@ def links(fps: DataFrame, max_bits: int = 3, bucket_rows: int = BUCKET_ROWS) ->
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, bucket_rows: int = BUCKET_ROWS,
-                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (long), component_id."""
-    d = with_fingerprint(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), shingle)
-    d = materialize(d.select("doc_id", "fp"), "simhash-fingerprints")
+                    doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (long), component_id, root (a fingerprint that names the component), and the columns of ``carry``."""
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
+    d = materialize(with_fingerprint(d, shingle).drop("text"), "simhash-fingerprints")
     groups = materialize(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
     tree = components(links(groups.select("fp"), max_bits, bucket_rows))
     roots = groups.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return d.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = roots.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
+    return d.join(named, "fp").select("doc_id", "fp", "component_id", "root", *carry)
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of ``docs`` (columns doc_id, text and any others) without near-duplicates: of each component
+    the row with the smallest id stays (rows without id come last; of repeated rows one stays)."""
+    d = docs.withColumn("_llm_row", F.xxhash64("text"))
+    found = near_duplicates(d, shingle, max_bits, bucket_rows, carry=("_llm_row",))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_llm_row"))
+    kept = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("_llm_id"), F.col("k._llm_row").alias("_llm_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_row") == F.col("_llm_text"))
+    return (d.join(materialize(kept, "simhash-kept"), same, "left_semi")
+            .dropDuplicates(["doc_id", "_llm_row"]).drop("_llm_row"))
 
 
 def op7(docs: DataFrame) -> DataFrame:
