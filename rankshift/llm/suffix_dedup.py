@@ -50,7 +50,7 @@ from rankshift.llm.common import materialize, row_chunks
 WIDTH = 200
 GRAM = 72
 SIDE = WIDTH - GRAM    # bytes a window can reach beyond the gram, to both sides together
-SLICE = 4 << 20        # bytes hashed at a time
+SLICE = 1 << 20        # bytes hashed at a time
 HOT_RUN = 50_000       # distinct contexts of one gram that are still sorted in one task
 SLAB = 20_000          # suffixes taken together in one sort, at least
 
@@ -278,6 +278,8 @@ def repeated_windows(group: np.ndarray, right: np.ndarray, r_size: np.ndarray, l
         r_class[by_right] = np.cumsum(r_same < SIDE - x)
         l_class[by_left] = np.cumsum(l_same < x)
         rows = np.flatnonzero((l_size >= x) & (r_size >= SIDE - x))
+        if len(rows) < 2:
+            continue
         key = r_class[rows] * (m + 1) + l_class[rows]
         order = np.argsort(key, kind="stable")
         k = key[order]
