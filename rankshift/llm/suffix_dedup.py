@@ -351,6 +351,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ho
     rows = d.mapInArrow(_anchor_rows, "k1 long, k2 long, pos long, h long, c long")
     grams = (rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c_min"), F.max("c").alias("c_max"))
              .where("n > 1").select("h", (F.col("c_min") == F.col("c_max")).alias("even")))
+    grams = materialize(grams, "suffix-grams")  # a plain table, so that the join can split a hot gram
     hits = materialize(rows.join(grams, "h"), "suffix-hits")
     uneven = hits.where(~F.col("even"))
     contexts = uneven.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("r"))

@@ -63,7 +63,8 @@ def _gram(rows: DataFrame) -> dict[int, np.ndarray]:
             for dim, part in f.groupby("dim"):
                 m = np.stack(part["v"].to_numpy())
                 sums[dim] = sums.get(dim, 0.0) + m.T @ m
-        yield pd.DataFrame({"dim": list(sums), "g": [g.ravel().tolist() for g in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"dim": list(sums), "g": [g.ravel().tolist() for g in sums.values()]})
 
     parts = rows.mapInPandas(partial, "dim int, g array<double>")
     cells = parts.select("dim", F.posexplode("g").alias("i", "x")).groupBy("dim", "i").agg(F.sum("x").alias("x"))
@@ -125,7 +126,7 @@ def search_block(qid, q, cid, c, floor_, basis, k):
     for at in range(0, len(q), step):
         s = slice(at, at + step)
         bound = qr[s, :LEAD] @ cr[:, :LEAD].T + np.outer(qs[s], cs) + slack[s]
-        i, j = np.nonzero((bound >= floor_[s, None]) & (qid[s, None] != cid[None, :]))
+        i, j = np.nonzero(~(bound < floor_[s, None]) & (qid[s, None] != cid[None, :]))
         if not len(i):
             continue
         score = np.empty(len(i), np.int64)
