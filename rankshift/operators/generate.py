@@ -81,7 +81,9 @@ def variants(queries: DataFrame, cands: DataFrame, lengths: Sequence[int] = (50,
 
 # ----------------------------------------------------------------- GEN1 / GEN4
 
-_WORKER_CACHE: dict = {}
+def _separated(keys: Sequence[str]) -> list:
+    """Key columns with a mark between them, so that (1, 23) and (12, 3) differ."""
+    return [x for k in keys for x in (F.col(k), F.lit("|"))]
 
 
 def generate(df: DataFrame, make_generator: Callable[[], object], params: GenParams,
@@ -89,7 +91,7 @@ def generate(df: DataFrame, make_generator: Callable[[], object], params: GenPar
              out: str = "generated_text", batch_rows: int = 64, partitions: int | None = None) -> DataFrame:
     """GEN1: one text per row via ``generator.generate(prompts, seeds, params)``.
 
-    ``make_generator`` is called once per Python worker (cached by its id).
+    ``make_generator`` is called once per task.
     Rows are fed in chunks of ``batch_rows`` (the reference's batch size);
     ``partitions`` re-spreads the input first so each task's share fits.
     Output: keys + extra + prompt + ``out``; write it before scoring so the
@@ -100,13 +102,10 @@ def generate(df: DataFrame, make_generator: Callable[[], object], params: GenPar
     schema = ", ".join(f"`{c}` {dtypes[c]}" for c in cols) + f", `{out}` string"
     pd_params = params.to_dict()
     src = df.repartition(partitions) if partitions else df
-    seeded = src.select(*cols, h32(F.lit(params.seed), F.lit("|"), *[F.col(k) for k in keys + extra]).alias("_seed"))
-    gen_id = id(make_generator)
+    seeded = src.select(*cols, h32(F.lit(params.seed), F.lit("|"), *_separated(keys + extra)).alias("_seed"))
 
     def run(batches):
-        gen = _WORKER_CACHE.get(gen_id)
-        if gen is None:
-            gen = _WORKER_CACHE[gen_id] = make_generator()
+        gen = make_generator()
         for pdf in batches:
             for start in range(0, len(pdf), batch_rows):
                 chunk = pdf.iloc[start:start + batch_rows]
@@ -134,15 +133,15 @@ def generate_grid(queries: DataFrame, models: Sequence[str], make_generator: Cal
     cols = keys + ["model", prompt]
     schema = ", ".join(f"`{c}` {dtypes[c]}" for c in cols) + ", `generated_text` string"
     pd_params = params.to_dict()
-    seeded = g.select(*cols, h32(F.lit(params.seed), F.lit("|"), F.col("model"), *[F.col(k) for k in keys]).alias("_seed"))
-    factory_id = id(make_generator)
+    seeded = g.select(*cols, h32(F.lit(params.seed), F.lit("|"), F.col("model"), F.lit("|"), *_separated(keys)).alias("_seed"))
 
     def run(batches):
+        models = {}
         for pdf in batches:
             for model, part in pdf.groupby("model", sort=False):
-                gen = _WORKER_CACHE.get((factory_id, model))
-                if gen is None:
-                    gen = _WORKER_CACHE[(factory_id, model)] = make_generator(model)
+                if model not in models:
+                    models[model] = make_generator(model)
+                gen = models[model]
                 res = part[cols].copy()
                 res["generated_text"] = gen.generate(part[prompt].fillna("").tolist(), part["_seed"].tolist(), pd_params)
                 yield res

@@ -26,8 +26,9 @@ class NGramGenerator:
     """Samples words from ``table``: dict context -> (words, counts).
 
     GEN2 controls: ``do_sample`` (False = greedy), ``temperature``,
-    ``top_k``, ``top_p``, ``max_length`` (words).  ``num_beams`` > 1 is
-    treated as greedy (a bigram table has no beam state worth keeping)."""
+    ``top_k``, ``top_p``, ``max_length`` (words).  ``num_beams``
+    does not change the draws: the best of several sampled beams of a bigram
+    table is not modelled, but sampling stays on as asked."""
 
     def __init__(self, table: dict, top_m: int | None = None):
         self.table = table
@@ -38,7 +39,7 @@ class NGramGenerator:
         if self.top_m:
             words, counts = words[: self.top_m], counts[: self.top_m]
         c = np.asarray(counts, dtype="float64")
-        if not p.get("do_sample", True) or p.get("num_beams", 1) > 1:
+        if not p.get("do_sample", True):
             return words[int(np.argmax(c))]
         logits = np.log(c) / max(float(p.get("temperature", 1.0)), 1e-6)
         probs = np.exp(logits - logits.max())
@@ -101,3 +102,20 @@ def hashing_embedder(dim: int = 256):
         return pd.Series(out)
 
     return embed
+
+
+class CycleGenerator:
+    """Small stand-in for a served model: the prompt's words, turned by ``turn``, repeated up to ``max_length`` words."""
+
+    def __init__(self, turn: int = 0):
+        self.turn = turn
+
+    def generate(self, prompts: Sequence[str], seeds: Sequence[int], p: dict) -> list[str]:
+        out = []
+        for prompt in prompts:
+            w = prompt.split()
+            t = self.turn % len(w) if w else 0
+            w = w[t:] + w[:t]
+            n = int(p.get("max_length", 50))
+            out.append(" ".join((w * (n // len(w) + 1))[:n]) if w else "")
+        return out

@@ -39,8 +39,16 @@ def dense_index(df: DataFrame, ord_col: str = "ord", out: str = "row_index", wid
 
 
 def file_order(df: DataFrame, out: str = "ord") -> DataFrame:
-    """Order key for rows of a file source in file order: (file path, split
-    start, position inside the split).  Apply directly after ``spark.read``."""
-    return df.withColumn(out, F.struct(F.col("_metadata.file_path").alias("f"),
-                                       F.col("_metadata.file_block_start").alias("b"),
-                                       F.monotonically_increasing_id().alias("i")))
+    """Dense 0-based row index (long) of a file source in file order.  Apply directly after ``spark.read``.
+
+    Rows of one split (file path, block start) have consecutive ids in their
+    task, so the index is the rows of all splits before it plus the distance
+    from the split's smallest id.  The only global step runs over one row a
+    split; the files are read once more for the counts, without columns."""
+    d = (df.withColumn("_f", F.col("_metadata.file_path")).withColumn("_b", F.col("_metadata.file_block_start"))
+         .withColumn("_i", F.monotonically_increasing_id()))
+    splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_lo"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = splits.select("_f", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo")).alias("_base"))
+    return (d.join(base, ["_f", "_b"]).withColumn(out, (F.col("_i") + F.col("_base")).cast("long"))
+            .drop("_f", "_b", "_i", "_base"))

@@ -66,14 +66,10 @@ def selected_only(exploded: DataFrame) -> DataFrame:
     return exploded.where(F.col("is_selected") == 1)
 
 
-def head_n(df: DataFrame, n: int, ord_col: str = "ord", small: int = 100_000) -> DataFrame:
-    """SMP1: first min(n, size) rows in file order.
-
-    Small n: TakeOrderedAndProject (each task keeps n rows).  Large n: a
-    dense index by the bucketed prefix sum and a plain filter, so nothing
-    funnels through one task."""
-    if n <= small:
-        return df.orderBy(ord_col).limit(n)
+def head_n(df: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:
+    """SMP1: first min(n, size) rows in file order: a dense index by the
+    bucketed prefix sum and a plain filter, so nothing funnels through one
+    task whatever ``n`` is."""
     return dense_index(df, ord_col, "_ri").where(F.col("_ri") < n).drop("_ri")
 
 

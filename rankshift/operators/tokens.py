@@ -10,7 +10,7 @@ no shuffle of exploded tokens.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -223,11 +223,16 @@ def mask_tokens(df: DataFrame, key: str = "ord", ids: str = "input_ids", p: floa
 
 def training_table(df: DataFrame, vocab: DataFrame, kind: str, mode: str = "clm", block: int = 128,
                    max_len: int = 128, key: str = "ord", special: SpecialTokens = SPECIAL,
-                   bounded_vocab: bool = False) -> DataFrame:
-    """TOK13: the table a trainer reads, by dataset kind and mode.
+                   bounded_vocab: bool = False, family: str = "gpt", split: str = "train", target_len: int | None = None,
+                   prefix: str = "<LM>") -> DataFrame:
+    """TOK13: the table a trainer reads, by dataset kind, mode and model family.
 
     * ``teacher``: (key, input_ids = query ids, labels = target ids), target
       = all passages joined (nested kinds) or ``body`` (labelled kind).
+      ``gpt``: query padded (left) and cut to ``max_len``; target cut to
+      ``target_len``, without eos or padding; ``pos_label`` kept.
+      ``t5``: ``prefix`` + query, padded (right) and cut; target + eos, cut
+      and padded.  ``t5`` with split ``validation``: the inputs only.
     * ``clm``: TOK5 / TOK6 text -> ids -> per-document blocks -> labels."""
     nested = kind in ("part_data", "made_valid_data")
     if kind not in ("part_data", "made_valid_data", "made_data"):
@@ -236,11 +241,18 @@ def training_table(df: DataFrame, vocab: DataFrame, kind: str, mode: str = "clm"
         tgt = (F.array_join(F.col("passages.passage_text"), "") if nested else F.col("body"))
         # PRJ5: relevance kept next to the tokens
         pos_label = F.col("passages.is_selected") if nested else F.array(F.col("label").cast("int"))
-        src = df.select(key, "query", tgt.alias("_target"), pos_label.alias("pos_label"))
-        q = encode(src, vocab, key, "query", "input_ids", max_len, True, special, bounded_vocab=bounded_vocab)
-        t = encode(src, vocab, key, "_target", "labels", max_len, False, special, add_eos=True,
+        if family not in ("gpt", "t5"):
+            raise NotImplementedError(f"unknown model family {family!r}")
+        gpt, cut = family == "gpt", target_len or max_len
+        padding = replace(special, side="left" if gpt else "right")
+        question = F.col("query") if gpt else F.concat(F.lit(prefix), "query")
+        src = df.select(key, question.alias("_query"), tgt.alias("_target"), pos_label.alias("pos_label"))
+        q = encode(src, vocab, key, "_query", "input_ids", max_len, True, padding, bounded_vocab=bounded_vocab)
+        if not gpt and split == "validation":
+            return q
+        t = encode(src, vocab, key, "_target", "labels", cut, not gpt, padding, add_eos=not gpt,
                    bounded_vocab=bounded_vocab)
-        return q.join(t, key).join(src.select(key, "pos_label"), key)
+        return q.join(t, key).join(src.select(key, "pos_label"), key) if gpt else q.join(t, key)
     if mode != "clm":
         raise NotImplementedError(f"unknown training mode {mode!r}")
     text = clm_text_passages(df) if nested else clm_text_pairs(df, special.eos)

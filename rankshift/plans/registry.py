@@ -124,7 +124,7 @@ def q_spar_score(spark, sf):
 # ----------------------------------------------- projections, filters (§2.2)
 
 from rankshift.operators import prep  # noqa: E402
-from rankshift.session import materialize, scratch_path  # noqa: E402
+from rankshift.session import ROCKSDB, materialize, scratch_path  # noqa: E402
 from rankshift.sources import readers, sinks  # noqa: E402
 from rankshift.sources.tables import table  # noqa: E402
 
@@ -168,7 +168,7 @@ def q_head_n(spark, sf):
 @register("head_n_dense", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 700")
 def q_head_n_dense(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "n_chars")
-    return prep.head_n(d, 700, small=0).select(F.col("ord").alias("doc_id"), "n_chars")
+    return prep.head_n(d, 700).select(F.col("ord").alias("doc_id"), "n_chars")
 
 
 @register("hash_split", """SELECT doc_id, CASE WHEN ('0x' || substr(md5(concat('123', doc_id::VARCHAR)), 1, 8))::BIGINT
@@ -591,24 +591,44 @@ def q_training_table_clm(spark, sf):
     return t.select("ord", "block", _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"))
 
 
-_TEACHER_SRC = f"""WITH {O.PAIRS},
-src AS (SELECT ord, query, body, query || ' ' || body || '</s>' AS text, label FROM pairs),
+def _teacher_src(query: str, select: str) -> str:
+    return f"""WITH {O.PAIRS},
+src AS (SELECT ord, {query} AS query, body, query || ' ' || body || '</s>' AS text, label FROM pairs),
 {_vocab_sql('text')},
 {_ids_sql('query', 'qi')},
 {_ids_sql('body', 'ti')}
-SELECT src.ord, array_to_string(list_resize(qi.l, 48, 0), ' ') AS input_ids,
-       array_to_string((list_concat(ti.l, [3]))[1:48], ' ') AS labels,
-       CAST(src.label AS VARCHAR) AS pos_label
-FROM src JOIN qi USING (ord) JOIN ti USING (ord)"""
+{select} FROM src JOIN qi USING (ord) JOIN ti USING (ord)"""
 
 
-@register("training_table_teacher", _TEACHER_SRC)
-def q_training_table_teacher(spark, sf):
+def _teacher(spark, sf, family, split="train"):
     pairs = standins.qa_pairs(spark, sf)
     v = TK.build_vocab(C.with_tokens(TK.clm_text_pairs(pairs)))
-    t = TK.training_table(pairs, v, "made_data", "teacher", max_len=48)
-    return t.select("ord", _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"),
-                    _ids_str("pos_label").alias("pos_label"))
+    t = TK.training_table(pairs, v, "made_data", "teacher", max_len=48, target_len=64, family=family, split=split)
+    return t.select("ord", *[_ids_str(c).alias(c) for c in t.columns if c != "ord"])
+
+
+# query padded on the left and cut to 48; target cut to 64; neither eos nor padding for the target
+@register("training_table_teacher", _teacher_src("query", """SELECT src.ord,
+  array_to_string(list_concat(list_resize([]::INTEGER[], greatest(48 - len(qi.l), 0), 0), qi.l[1:48]), ' ') AS input_ids,
+  array_to_string(ti.l[1:64], ' ') AS labels, CAST(src.label AS VARCHAR) AS pos_label"""))
+def q_training_table_teacher(spark, sf):
+    return _teacher(spark, sf, "gpt")
+
+
+# prefix + query padded on the right and cut to 48; target + eos cut and padded to 64
+@register("training_table_t5", _teacher_src("query", """, x AS (SELECT src.ord, coalesce(v.id, 5) AS lm, qi.l AS q, ti.l AS t
+  FROM src JOIN qi USING (ord) JOIN ti USING (ord) LEFT JOIN vocab v ON v.tok = 'lm')
+SELECT ord, array_to_string(list_resize(list_concat([lm], q)[1:48], 48, 0), ' ') AS input_ids,
+  array_to_string(list_resize(list_concat(t, [3])[1:64], 64, 0), ' ') AS labels FROM x --""") + "\n")
+def q_training_table_t5(spark, sf):
+    return _teacher(spark, sf, "t5")
+
+
+@register("training_table_t5_valid", _teacher_src("query", """, x AS (SELECT src.ord, coalesce(v.id, 5) AS lm, qi.l AS q
+  FROM src JOIN qi USING (ord) LEFT JOIN vocab v ON v.tok = 'lm')
+SELECT ord, array_to_string(list_resize(list_concat([lm], q)[1:48], 48, 0), ' ') AS input_ids FROM x --""") + "\n")
+def q_training_table_t5_valid(spark, sf):
+    return _teacher(spark, sf, "t5", "validation")
 
 
 # ------------------------------------------------- language model, metrics (§2.5-2.6)
@@ -824,52 +844,37 @@ def q_extractive_texts(spark, sf):
     return gen_ops.extractive_texts(standins.queries(spark, sf), standins.candidates(spark, sf), 150)
 
 
-BROADCAST_CAP = 2_000_000  # continuations shipped to every worker at most
-
-
-def _ngram_cont(spark, sf, top_m=8):
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return NG.continuation_table(NG.train_bigram_lm(d, by=()), top_m, by=())
-
-
-def _ngram_table(spark, sf, top_m=8):
-    cont = _ngram_cont(spark, sf, top_m)
-    n = NG.continuation_entries(cont)
-    if n > BROADCAST_CAP:
-        raise ValueError(f"continuation table has {n} entries > {BROADCAST_CAP}: use the join sampler")
-    # size checked above: bounded, safe to ship to every worker
-    return spark.sparkContext.broadcast(GN.table_from_pandas(cont.toPandas()))
+def _generator_bigrams(spark, sf, by=()):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return materialize(NG.train_bigram_lm(d, by=by)["bigrams"], "generator_bigrams")
 
 
 @register("generate_ngram")
 def q_generate_ngram(spark, sf):
-    """Broadcast sampler when the pruned model is under the cap, join sampler otherwise."""
-    params = GenParams(do_sample=True, temperature=1.0, top_p=0.9, max_length=40, seed=123)
+    """Sampled texts under the unpruned bigram model of all documents."""
+    params = GenParams(do_sample=True, num_beams=2, temperature=1.0, top_p=0.9, max_length=40, seed=123)
     q = standins.queries(spark, sf)
-    cont = _ngram_cont(spark, sf)
-    if NG.continuation_entries(cont) > BROADCAST_CAP:
-        return NG.sample_by_join(q, cont, params.to_dict())
-    bc = spark.sparkContext.broadcast(GN.table_from_pandas(cont.toPandas()))
-    return gen_ops.generate(q, lambda: GN.NGramGenerator(bc.value), params)
+    made = NG.sample_by_join(q, _generator_bigrams(spark, sf), params.to_dict())
+    return q.select("qid", "query").join(made, "qid")
 
 
 @register("generate_ngram_join")
 def q_generate_ngram_join(spark, sf):
-    """The join sampler on the full (unpruned) model: nothing is broadcast."""
-    params = GenParams(do_sample=True, temperature=1.0, top_p=0.9, top_k=0, max_length=16, seed=123)
-    return NG.sample_by_join(standins.queries(spark, sf), _ngram_cont(spark, sf, None), params.to_dict())
+    """The same sampler without cuts of the continuation list, shorter texts."""
+    params = GenParams(do_sample=True, temperature=1.0, top_p=1.0, top_k=0, max_length=16, seed=123)
+    return NG.sample_by_join(standins.queries(spark, sf), _generator_bigrams(spark, sf), params.to_dict())
 
 
 @register("generate_grid")
 def q_generate_grid(spark, sf):
-    bc = _ngram_table(spark, sf)
-    models = ("ngram_top2", "ngram_top4", "ngram_top8")
-    params = GenParams(do_sample=True, temperature=0.8, top_p=0.95, max_length=30, seed=7)
-
-    def make(model):
-        return GN.NGramGenerator(bc.value, top_m=int(model.rsplit("top", 1)[1]))
-
-    return gen_ops.generate_grid(standins.queries(spark, sf), models, make, params)
+    """GEN4: every query under every model; the models are the bigram models of the languages."""
+    params = GenParams(do_sample=True, num_beams=2, temperature=0.8, top_p=0.95, max_length=30, seed=7)
+    b = _generator_bigrams(spark, sf, ("lang",)).withColumnRenamed("lang", "model")
+    models = b.select("model").where("model is not null").distinct()  # one row a model
+    q = standins.queries(spark, sf).select("qid", "query")
+    grid = materialize(q.crossJoin(models), "grid")  # GEN4 is every query x every model
+    made = NG.sample_by_join(grid, b, params.to_dict(), keys=("qid", "model"), by=("model",))
+    return grid.join(made, ["qid", "model"]).select("qid", "model", "query", "generated_text")
 
 
 @register("pair_scores", f"""WITH {O.QUERIES},
@@ -908,6 +913,7 @@ def q_settings_fold(spark, sf):
 def run_settings_stream(spark, sf, max_files: int = 1):
     """Drive STR1 with the events table as a file stream (AvailableNow) into a
     Parquet sink under the shared checkpoint folder; returns the sink path."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # keyed state needs it, on any session
     events = table(spark, sf, "events")
     src = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max_files)
            .option("pathGlobFilter", "events.parquet").parquet(sf))
@@ -925,14 +931,18 @@ def q_settings_stream(spark, sf):
 
 @register("respond_stream")
 def q_respond_stream(spark, sf):
-    bc = _ngram_table(spark, sf)
+    """STR2 as a stream: the outcomes written by STR1 are read as a stream and answered by each chat's own model."""
     keys = list(ST.MODEL_CHOICES.values())
 
     def make(model):
-        return GN.NGramGenerator(bc.value, top_m=2 + keys.index(model) if model in keys else None)
+        return GN.CycleGenerator(keys.index(model) if model in keys else 0)
 
-    outcomes = spark.read.schema(ST.OUT_SCHEMA).parquet(run_settings_stream(spark, sf))
-    return ST.respond(outcomes, make)
+    src = spark.readStream.schema(ST.OUT_SCHEMA).parquet(run_settings_stream(spark, sf))
+    out, ckpt = scratch_path(spark, "answers_out"), scratch_path(spark, "answers_ckpt")
+    answers = ST.respond(src, make)
+    (answers.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(answers.schema).parquet(out)
 
 
 @register("embed_rank_metrics")
@@ -951,9 +961,7 @@ def q_embed_rank_metrics(spark, sf):
 def q_snk_examples_by_model(spark, sf):
     """SNK5 + SNK6: generation examples per model/checkpoint, read back."""
     path = scratch_path(spark, "by_model")
-    grid = q_generate_grid(spark, sf).withColumnRenamed(  # (qid, model, query, generated_text)
-        "generated_text", "generated_text")
-    sinks.write_by_model(grid, path)
+    sinks.write_by_model(q_generate_grid(spark, sf), path)
     return spark.read.json(path)
 
 

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(master: str = "local[8]", app: str = "rankshift",
@@ -27,7 +27,7 @@ def build_session(master: str = "local[8]", app: str = "rankshift",
          .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
          .config("spark.driver.memory", "16g"))
     for k, v in extra.items():
         b = b.config(k, v)
@@ -41,9 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins; only when it is unset (local tests)
-    is a fresh folder created here."""
+    is a fresh folder created here.  On any other master an unset folder is
+    an error: a driver-local folder would not be seen by the executors."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="rankshift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -88,6 +91,6 @@ def cluster_conf(total_input_bytes: int, executors: int, cores_per_executor: int
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(256 << 20),
-        "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     }

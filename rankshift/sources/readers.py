@@ -54,19 +54,16 @@ def _ordered(df: DataFrame) -> DataFrame:
 
 
 def read_qa_jsonl(spark: SparkSession, paths: str | Sequence[str], multiline: bool = False) -> DataFrame:
-    """SRC1: nested query/passages JSON Lines (``multiline`` for one JSON array)."""
-    r = spark.read.schema(QA).option("multiLine", str(multiline).lower())
+    """SRC1: nested query/passages JSON Lines (``multiline`` for files that hold one JSON array).
+    A record that does not parse fails the read instead of giving a row of nulls."""
+    r = spark.read.schema(QA).option("multiLine", str(multiline).lower()).option("mode", "FAILFAST")
     return _ordered(r.json(paths if isinstance(paths, str) else list(paths)))
 
 
-def read_qa_json(spark: SparkSession, path: str, split: str = "validation") -> DataFrame:
-    """SRC2: validation-only JSON; any other split raises."""
+def read_qa_json(spark: SparkSession, path: str, split: str = "validation", multiline: bool = True) -> DataFrame:
+    """SRC2: validation-only JSON; any other split raises.  ``multiline=False`` for JSON Lines."""
     if split != "validation":
         raise NotImplementedError("this dataset holds only a validation split")
-    multiline = False
-    if os.path.isfile(path):
-        with open(path, "rb") as f:
-            multiline = f.read(1).strip() == b"["
     return read_qa_jsonl(spark, path, multiline)
 
 
@@ -81,12 +78,13 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_tsv(spark: SparkSession, path: str, names: Sequence[str] = TSV_NAMES,
              partitions: int | None = None) -> DataFrame:
     """SRC4: headerless TSV (``.gz`` read directly; gzip is unsplittable, so
-    the result is re-partitioned right after the ordered read)."""
+    the result is re-partitioned right after the ordered read; without
+    ``partitions`` the number follows the session's shuffle setting)."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     r = (spark.read.schema(schema).option("sep", "\t").option("header", "false")
          .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false"))
     df = _ordered(r.csv(path))
-    return df.repartition(partitions) if partitions else df
+    return df.repartition(partitions) if partitions else df.repartition("ord")
 
 
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:

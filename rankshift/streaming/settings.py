@@ -146,7 +146,7 @@ def settings_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     cols = events.select("user_id", "event_id", "ts", "event_type", "value")
     return cols.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=SettingsProcessor(), outputStructType=OUT_SCHEMA,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
 # -------------------------------------------------------------- batch forms
@@ -257,24 +257,21 @@ def latest_valid_setting(events: DataFrame) -> DataFrame:
 def respond(requests: DataFrame, make_generator, seed: int = 0) -> DataFrame:
     """STR2: answer each ``request`` outcome with the chat's own model and
     word count (works on streaming and batch DataFrames)."""
-    from rankshift.operators.generate import _WORKER_CACHE
     from rankshift.functions.hashing import h32
 
     req = requests.where(F.col("outcome") == "request").select(
         "user_id", "event_id", "model", "word_count", "text",
         h32(F.lit(seed), F.lit("|"), F.col("user_id"), F.lit("|"), F.col("event_id")).alias("seed"))
-    gen_id = id(make_generator)
 
     def run(batches):
+        models = {}  # built once per task and model
         for pdf in batches:
             res = pdf[["user_id", "event_id", "model", "word_count"]].copy()
             texts = []
             for r in pdf.itertuples(index=False):
-                key = (gen_id, r.model)
-                gen = _WORKER_CACHE.get(key)
-                if gen is None:
-                    gen = _WORKER_CACHE[key] = make_generator(r.model)
-                texts.append(gen.generate([r.text or ""], [r.seed], {"max_length": int(r.word_count)})[0])
+                if r.model not in models:
+                    models[r.model] = make_generator(r.model)
+                texts.append(models[r.model].generate([r.text or ""], [r.seed], {"max_length": int(r.word_count)})[0])
             res["generated_text"] = texts
             yield res
 

@@ -65,8 +65,12 @@ def test_teacher_table_keeps_labels(spark):
         "ord long, query string, passages struct<is_selected: array<int>, passage_text: array<string>>")
     v = TK.build_vocab(rows.select(F.split(F.lit("q one p zero"), " ").alias("tokens")))
     t = TK.training_table(rows, v, "part_data", "teacher", max_len=4).first()
-    assert t["pos_label"] == [0, 1] and len(t["input_ids"]) == 4 and t["labels"][-1] == TK.SPECIAL.id("eos")
-    assert rank.FAKE == -1
+    eos = TK.SPECIAL.id("eos")
+    assert t["pos_label"] == [0, 1] and len(t["input_ids"]) == 4 and t["input_ids"][0] == 0 and eos not in t["labels"]
+    t5 = TK.training_table(rows, v, "part_data", "teacher", max_len=4, target_len=6, family="t5").first()
+    assert len(t5["input_ids"]) == 4 and len(t5["labels"]) == 6 and eos in t5["labels"]
+    only = TK.training_table(rows, v, "part_data", "teacher", max_len=4, family="t5", split="validation")
+    assert only.columns == ["ord", "input_ids"]
 
 
 def test_site_table_without_key(spark):

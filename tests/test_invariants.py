@@ -100,8 +100,8 @@ def test_join_sampler_valid_and_deterministic(spark):
     from rankshift.operators import ngram as NG
     from rankshift.plans import standins
     d = table(spark, SF001, "documents").select("doc_id", "text")
-    cont = NG.continuation_table(NG.train_bigram_lm(d, by=()), None, by=())
-    follows = {(r["w1"], w) for r in cont.collect() for w in r["words"]}
+    cont = NG.train_bigram_lm(d, by=())["bigrams"]
+    follows = {(r["w1"], r["w2"]) for r in cont.collect()}
     q = standins.queries(spark, SF001)
     p = {"do_sample": True, "temperature": 0.9, "top_p": 0.95, "max_length": 6, "seed": 5}
     a = {r["qid"]: r["generated_text"] for r in NG.sample_by_join(q, cont, p, cut_every=3).collect()}
