@@ -139,10 +139,13 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(b[0]), 0.0), float(b[1])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> dict:
-    """Model from rows (doc_id, text, toxic 0/1)."""
-    ids = pick_sample(labelled.select("doc_id"), "doc_id", sample)
-    rows = labelled.join(materialize(ids, "toxicity-sample").distinct(), "doc_id", "left_semi")
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """Model from texts (doc_id, text) and labels (doc_id, toxic 0/1, one row an id).
+
+    The sample is drawn from the labels, so only its texts leave their tasks; its
+    ids (at most ``sample`` rows) are broadcast."""
+    ids = materialize(pick_sample(labels.select("doc_id", "toxic"), "doc_id", sample), "toxicity-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def make():
         return lambda texts: [[sorted({u for w in tokens(t) for u in units(w)}) for t in texts]]
@@ -217,7 +220,7 @@ def held_out(doc_id):
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
     y = (labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
          .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    model = train(docs.select("doc_id", "text").join(y, "doc_id"))
+    model = train(docs, y)
     r = score(docs.select("doc_id", "text"), model)
     return r.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                     (F.col("score") >= 0.7).cast("int").alias("predicted"))
