@@ -36,8 +36,11 @@ LANG_WORD = {
 
 
 def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
-    """Tokenize once; every token rule reads this column."""
-    return df.withColumn(out, word_tokens(text))
+    """Tokenize once; every token rule reads this column.
+
+    The column comes out of a one-element ``inline_outer``: filters are not pushed
+    below it and its expression is not copied into each rule."""
+    return df.drop(out).select("*", F.inline_outer(F.array(F.struct(word_tokens(text).alias(out)))))
 
 
 # --------------------------------------------------------------- row rules
@@ -224,9 +227,10 @@ def clean(df: DataFrame, preset: str, params: dict | None = None, labels: DataFr
     d = df
     if preset == "ds1" and "sites" in params:
         d = on_sites(d, params["sites"])  # cheapest, most selective: first
-    d = d if "tokens" in d.columns else with_tokens(d)
     if preset == "ds1" and "markers" in params:
         d = with_tokens(cut_markup(d, params["markers"], params.get("markup_mode", "cut")))
+    elif "tokens" not in d.columns:
+        d = with_tokens(d)
     if preset == "ds2" and labels is not None:
         d = with_label(d, labels, params.get("label_value", 3), params.get("key", "doc_id"),
                        params.get("label_col", "label"))
@@ -242,10 +246,11 @@ def funnel(df: DataFrame, preset: str, params: dict) -> DataFrame:
     aggregation pass (a row is charged to the first rule it fails)."""
     d = df if "tokens" in df.columns else with_tokens(df)
     rules = row_rules(preset, params)
-    aggs = [F.count(F.lit(1)).alias("n_in")]
-    passed = F.lit(True)
-    for name, cond in rules:
-        aggs.append(F.count_if(passed & ~cond).alias(f"removed_{name}"))
-        passed = passed & cond
-    aggs.append(F.count_if(passed).alias("n_out"))
-    return d.agg(*aggs)
+    first = F.lit(None).cast("string")
+    for name, cond in reversed(rules):
+        first = F.when(~cond, name).otherwise(first)
+    # its own column, so that a row's rules run once and only up to the first failure
+    charged = d.select(F.inline_outer(F.array(F.struct(first.alias("rule")))))
+    return charged.agg(F.count(F.lit(1)).alias("n_in"),
+                       *[F.count_if(F.col("rule") == name).alias(f"removed_{name}") for name, _ in rules],
+                       F.count_if(F.col("rule").isNull()).alias("n_out"))

@@ -11,11 +11,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankshift.functions.text import word_tokens
+from rankshift.functions.text import with_term_counts, word_tokens
 from rankshift.operators.stats import exact_percentile
 
 DEFAULT_KS = (1, 3, 5)
 
+# The published names of the metrics in a record (``top_k`` becomes ``Top@k``).
+PUBLISHED = {"avg_loc": "AverageLoc", "avg_rel_loc": "AverageRelLoc", "fdaro_v1": "FDARO@v1",
+             "fdaro_v2": "FDARO@v2", "up_quartile": "UpQuartile"}
+
+
+def published_name(metric: str) -> str:
+    return PUBLISHED.get(metric, metric.replace("top_", "Top@"))
+
 
 def rank_metrics(pos: DataFrame, by: Sequence[str] = ("ranker",), ks: Sequence[int] = DEFAULT_KS,
                  quartile: float = 0.75, digits: int = 6) -> DataFrame:
@@ -61,10 +69,11 @@ def position_summary(pos: DataFrame, by: Sequence[str] = ("ranker",), digits: in
 
 def metrics_record(metrics: DataFrame, ranker: str = "ranker",
                    names: Sequence[str] | None = None) -> DataFrame:
-    """MET12: long form ``(name = <Ranker>_<Metric>, value)`` of ``rank_metrics``."""
+    """MET12: long form ``(name = <Ranker>_<Metric>, value)`` of ``rank_metrics``,
+    with the published metric names (``Bm25_AverageLoc``)."""
     names = list(names or [c for c in metrics.columns if c not in (ranker, "run", "n_queries")])
     keep = [c for c in metrics.columns if c == "run"]
-    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"))
+    stacked = F.explode(F.array(*[F.struct(F.lit(published_name(n)).alias("metric"), F.col(n).cast("double").alias("value"))
                                    for n in names]))
     s = metrics.select(*keep, F.col(ranker), stacked.alias("_m"))
     return s.select(*keep, F.concat(F.col(ranker), F.lit("_"), F.col("_m.metric")).alias("name"),
@@ -99,38 +108,42 @@ def _ngrams(tokens, n: int):
         .otherwise(F.array().cast("array<string>"))
 
 
-def bleu(pairs: DataFrame, max_order: int = 4, hyp: str = "hyp", ref: str = "ref",
-         row: str = "row_id", digits: int = 6) -> DataFrame:
+def bleu(pairs: DataFrame, max_order: int = 4, hyp: str = "hyp", ref: str = "ref", digits: int = 6) -> DataFrame:
     """MET8: corpus BLEU (one reference per row, no smoothing).
 
-    Clipped n-gram matches per (row, order, ngram) by a join of the two
-    count tables; only 2*max_order+2 numbers reach the final aggregation."""
-    toks = pairs.select(row, word_tokens(hyp).alias("h"), word_tokens(ref).alias("r"))
-    parts_h, parts_r = [], []
-    for n in range(1, max_order + 1):
-        parts_h.append(toks.select(row, F.lit(n).alias("order"), F.explode(_ngrams(F.col("h"), n)).alias("g")))
-        parts_r.append(toks.select(row, F.lit(n).alias("order"), F.explode(_ngrams(F.col("r"), n)).alias("g")))
-    hc = _union(parts_h).groupBy(row, "order", "g").agg(F.count(F.lit(1)).alias("hc"))
-    rc = _union(parts_r).groupBy(row, "order", "g").agg(F.count(F.lit(1)).alias("rc"))
-    m = (hc.join(rc, [row, "order", "g"], "left")
-         .groupBy("order").agg(F.sum(F.least("hc", F.coalesce("rc", F.lit(0)))).alias("match"),
-                               F.sum("hc").alias("total")))
-    lens = toks.agg(F.sum(F.size("h")).alias("hyp_len"), F.sum(F.size("r")).alias("ref_len"))
-    orders = (m.groupBy().agg(
-        F.count_if(F.col("match") > 0).alias("nz"),
-        F.sum(F.when(F.col("match") > 0, F.log(F.col("match") / F.col("total")))).alias("logp")))
-    # both sides are single aggregate rows: join them on a constant key
-    res = orders.withColumn("_g", F.lit(0)).join(F.broadcast(lens.withColumn("_g", F.lit(0))), "_g")
+    A row holds both texts, so n-grams are counted and clipped inside it: the
+    n-grams of both sides are sorted together, and a run of the hypothesis is
+    followed by the run of the same n-gram of the reference, if it has one.
+    One scan; only one row per order and task is shuffled.  No rows or no
+    words: lengths and score 0."""
+    toks = pairs.select(word_tokens(hyp).alias("h"), word_tokens(ref).alias("r"))
+
+    def grams(col: str, side: int, n: int):
+        return F.transform(_ngrams(F.col(col), n),
+                           lambda g: F.struct(F.lit(n).alias("order"), g.alias("g"), F.lit(side).alias("side")))
+
+    every = F.concat(*[grams(c, side, n) for n in range(1, max_order + 1) for side, c in enumerate("hr")])
+    terms = with_term_counts(toks.select(every.alias("_g")), "_g")
+
+    def clipped(t, j):
+        after = F.try_element_at("terms", j + 2)
+        same = ((t["tok"]["side"] == 0) & (after["tok"]["side"] == 1) & (after["tok"]["order"] == t["tok"]["order"])
+                & (after["tok"]["g"] == t["tok"]["g"]))
+        return F.struct(t["tok"]["order"].alias("order"), t["tok"]["side"].alias("side"), t["tf"].alias("tf"),
+                        F.when(same, F.least(t["tf"], after["tf"])).otherwise(0).alias("hit"))
+
+    m = (terms.select(F.inline_outer(F.transform("terms", clipped))).groupBy("order")
+         .agg(F.sum("hit").alias("match"), F.sum(F.when(F.col("side") == 0, F.col("tf"))).alias("total"),
+              F.sum(F.when(F.col("side") == 1, F.col("tf"))).alias("ref_total")))
+
+    def words(col: str):
+        return F.coalesce(F.max(F.when(F.col("order") == 1, F.col(col))), F.lit(0)).cast("long")
+
+    res = m.agg(F.count_if(F.col("match") > 0).alias("nz"),
+                F.sum(F.when(F.col("match") > 0, F.log(F.col("match") / F.col("total")))).alias("logp"),
+                words("total").alias("hyp_len"), words("ref_total").alias("ref_len"))
     bp = F.when(F.col("hyp_len") >= F.col("ref_len"), F.lit(1.0)) \
         .otherwise(F.exp(1 - F.col("ref_len") / F.col("hyp_len")))
     score = F.when((F.col("nz") < max_order) | (F.col("hyp_len") == 0), F.lit(0.0)) \
         .otherwise(bp * F.exp(F.col("logp") / max_order))
-    return res.select(F.round(score, digits).alias("bleu"), F.col("hyp_len").cast("long"),
-                      F.col("ref_len").cast("long"))
-
-
-def _union(parts):
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return res.select(F.round(score, digits).alias("bleu"), "hyp_len", "ref_len")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankshift.functions.text import word_tokens
+from rankshift.functions.text import with_term_counts, word_tokens
 from rankshift.operators.stats import exact_percentile
 from rankshift.session import materialize
 
@@ -25,23 +25,31 @@ def _padded(text: str):
     return F.concat(F.array(F.lit(BOS)), word_tokens(text), F.array(F.lit(EOS)))
 
 
-def bigrams(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """(keep..., w1, w2) for consecutive pairs of <s> + tokens + </s>."""
+def _pairs(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+    """(keep..., _p): the consecutive pairs of <s> + tokens + </s> as one array
+    per row, never empty.  Unnest it by an *outer* generator: the inner ones add
+    a size filter that is pushed down and tokenizes once per element."""
     # tokens are materialised once; the lambda below only indexes the column
     padded = df.select(*keep, _padded(text).alias("_t"))
     t = F.col("_t")
     pairs = F.transform(F.sequence(F.lit(1), F.size(t) - 1),
                         lambda i: F.struct(t[i - 1].alias("w1"), t[i].alias("w2")))
-    e = padded.select(*keep, F.explode(pairs).alias("_p"))
-    return e.select(*keep, F.col("_p.w1").alias("w1"), F.col("_p.w2").alias("w2"))
+    return padded.select(*keep, pairs.alias("_p"))
+
+
+def bigrams(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
+    """(keep..., w1, w2) for consecutive pairs of <s> + tokens + </s>."""
+    return _pairs(df, keep, text).select(*keep, F.inline_outer("_p"))
 
 
 def doc_bigrams(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ("lang",), text: str = "text",
                 materialize_table: bool = True) -> DataFrame:
-    """(key, by, w1, w2, n): bigram counts per text, written once so that
-    training and scoring on the same corpus tokenize it once."""
-    by = list(by)
-    t = bigrams(df, [key] + by, text).groupBy(key, *by, "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+    """(key, by, w1, w2, n): bigram counts per row, written once so that
+    training and scoring on the same corpus tokenize it once.  A row holds the
+    whole text, so its bigrams are counted inside it, without a shuffle."""
+    keep = [key, *by]
+    e = with_term_counts(_pairs(df, keep, text), "_p", "_terms").select(*keep, F.explode_outer("_terms").alias("_x"))
+    t = e.select(*keep, F.col("_x.tok.w1").alias("w1"), F.col("_x.tok.w2").alias("w2"), F.col("_x.tf").alias("n"))
     return materialize(t, "doc_bigrams") if materialize_table else t
 
 

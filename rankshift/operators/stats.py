@@ -2,8 +2,10 @@
 
 ``percentile(v, p)`` buffers every value of a group in one task.  Here the
 group is narrowed first with ``percentile_approx`` (bounded sketch, partial
-aggregation), then only the narrow band of values around the target rank is
-ordered exactly.  The band holds about ``8 / accuracy`` of the group.
+aggregation), then only the distinct values of the narrow band around the
+target rank are ordered exactly, each with its number of rows.  The values
+inside the band hold about ``8 / accuracy`` of the group; the two at its ends
+may be as frequent as they like, since ties are counted before the ordering.
 Result equals ``percentile_cont`` (linear interpolation).
 """
 
@@ -34,20 +36,23 @@ def exact_percentile(df: DataFrame, value: str, p: float, by: Sequence[str] = ()
         (F.col("_max") if hi_p == 1.0 else F.col("_b")[1]).alias("_hi"))
     # one row per group: a proven bound only when there is a single group
     b_side = F.broadcast(bounds) if not by else bounds
-    j = v.join(b_side, g)
-    below = j.groupBy(*g).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
+    # equal values are one row with a count from here on: ties cannot fill the band
+    j = v.groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_k")).join(b_side, g)
+    below = j.groupBy(*g).agg(F.sum(F.when(F.col("_v") < F.col("_lo"), F.col("_k")).otherwise(0)).alias("_below"))
     band = j.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    w = Window.partitionBy(*g).orderBy("_v")
-    band = band.select(*g, "_v", "_n", (F.row_number().over(w) - 1).alias("_r"))
+    w = Window.partitionBy(*g).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    band = band.select(*g, "_v", "_n", "_k", F.sum("_k").over(w).alias("_upto"))
     h = (F.col("_n") - 1) * F.lit(p)
     ranked = (band.join(F.broadcast(below) if not by else below, g)
-              .select(*g, "_v", "_n", (F.col("_below") + F.col("_r")).alias("_rank"),
-                      F.floor(h).alias("_i"), (h - F.floor(h)).alias("_f")))
-    pick = ranked.where((F.col("_rank") == F.col("_i")) | (F.col("_rank") == F.col("_i") + 1))
-    res = pick.groupBy(*g).agg(
-        F.max(F.when(F.col("_rank") == F.col("_i"), F.col("_v"))).alias("_a"),
-        F.max(F.when(F.col("_rank") == F.col("_i") + 1, F.col("_v"))).alias("_c"),
-        F.first("_f").alias("_f"))
+              .select(*g, "_v", (F.col("_below") + F.col("_upto") - F.col("_k")).alias("_from"),
+                      (F.col("_below") + F.col("_upto")).alias("_to"), F.floor(h).alias("_i"),
+                      (h - F.floor(h)).alias("_f")))
+
+    def at(rank):
+        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+
+    res = ranked.groupBy(*g).agg(at(F.col("_i")).alias("_a"), at(F.col("_i") + 1).alias("_c"),
+                                 F.first("_f").alias("_f"))
     out = F.when(F.col("_c").isNull(), F.col("_a")).otherwise(
         F.col("_a") + F.col("_f") * (F.col("_c") - F.col("_a")))
     return res.select(*by, out.alias(alias))

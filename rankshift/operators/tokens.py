@@ -15,10 +15,13 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankshift.functions.hashing import h32, unit_hash
 from rankshift.functions.text import word_tokens
 from rankshift.operators.order import prefix_offsets
+from rankshift.session import materialize
 
 IGNORE = -100
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -90,15 +93,19 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "ord", text: str = "text"
     """TOK1: text -> ids (unknown words -> <unk>), truncated to ``max_len`` and
     optionally padded on ``special.side``.  Returns key, ``out``.
 
-    ``bounded_vocab=True`` (the vocabulary was built with a ``size`` cap)
-    broadcasts it; otherwise the lookup is a shuffle join keyed by token."""
+    ``bounded_vocab=True`` (the vocabulary was built with a ``size``) writes it
+    and broadcasts it if it has at most ``BROADCAST_ROWS`` rows; otherwise the
+    lookup is a shuffle join keyed by token.  Words past ``max_len`` are cut
+    before the lookup (one id a word)."""
     unk = special.id("unk")
-    base = df.select(key, word_tokens(text).alias("_t"))
+    words = word_tokens(text)
+    base = df.select(key, (words if max_len is None else F.slice(words, 1, max_len)).alias("_t"))
+    v = vocab.select("tok", "id")
     if bounded_vocab:
-        base = base.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism, key)
-        v = F.broadcast(vocab.select("tok", "id"))
-    else:
-        v = vocab.select("tok", "id")
+        v = materialize(v, "vocab")
+        if v.count() <= BROADCAST_ROWS:
+            base = base.repartition(partitions, key) if partitions else base.repartition(key)
+            v = F.broadcast(v)
     e = base.select(key, F.posexplode_outer("_t").alias("pos", "tok"))
     ids = e.join(v, "tok", "left").select(key, "pos", F.coalesce("id", F.lit(unk)).alias("id"))
     res = _regroup(ids, key, "id", "_ids", "int")
@@ -199,20 +206,22 @@ def restore_pad(col: str, pad_id: int = 0, fill: int = IGNORE) -> Column:
 
 def mask_tokens(df: DataFrame, key: str = "ord", ids: str = "input_ids", p: float = 0.15, seed: int = 0,
                 vocab_size: int | None = None, special: SpecialTokens = SPECIAL) -> DataFrame:
-    """TOK12: masked-LM inputs.  A position is picked when hash(seed, key, i)
+    """TOK12: masked-LM inputs.  A position is picked when hash(1, seed, key, i)
     < p; picked positions become <mask> (80%), a random id (10%) or stay
     (10%); labels keep the original id there and -100 elsewhere.  Special
     ids are never picked."""
     n_sp = len(special.tokens)
     mask_id = special.id("mask")
 
+    def parts(salt: int, i):
+        return salt, ":", seed, ":", F.col(key), ":", i
+
     def u(salt: int, i):
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key), i), F.lit(1 << 30)) / float(1 << 30)
+        return unit_hash(*parts(salt, i))
 
     def new_id(x, i):
         r = u(2, i)
-        rand_id = (F.pmod(F.xxhash64(F.lit(seed), F.lit(3), F.col(key), i),
-                          F.lit(max((vocab_size or n_sp + 1) - n_sp, 1))) + n_sp).cast("int")
+        rand_id = (h32(*parts(3, i)) % max((vocab_size or n_sp + 1) - n_sp, 1) + n_sp).cast("int")
         return F.when(r < 0.8, F.lit(mask_id)).when(r < 0.9, rand_id).otherwise(x)
 
     picked = lambda x, i: (x >= n_sp) & (u(1, i) < p)

@@ -218,11 +218,11 @@ def q_src_labelled_csv(spark, sf):
     return readers.read_labelled_csv(spark, path).select("query", "body", "label")
 
 
-def _page_rows(spark, sf):
+def _page_rows(spark, sf, *more):
     p = table(spark, sf, "pages")
     title = F.regexp_replace(F.regexp_extract("html", "<title>(.*?)</title>", 1), r"[\t\r\n]+", " ")
     body = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " "))
-    return p.select("url", title.alias("query"), body.alias("text"))
+    return p.select("url", title.alias("query"), body.alias("text"), *more)
 
 
 @register("src_tsv_gz", f"WITH {O.PAGE_ROWS} SELECT url, query, text FROM page_rows")
@@ -403,17 +403,18 @@ def q_clean_funnel(spark, sf):
 
 def _page_docs(spark, sf):
     lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
-    return _page_rows(spark, sf).join(table(spark, sf, "pages").select("url", "page_id", lang.alias("lang")), "url")
+    return _page_rows(spark, sf, "page_id", lang.alias("lang"))
 
 
-@register("clean_preset_ds1", f"""WITH {O.PAGE_ROWS},
-p AS (SELECT page_id, url, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages),
-d AS (SELECT p.page_id, p.lang, p.url, r.text, {O.tok('r.text')} AS t FROM page_rows r JOIN p USING (url))
-SELECT DISTINCT page_id FROM d WHERE {O.letters('text')} > 200 AND len(t) < 1000 AND ({O.word_share_sql()}) >= 0.7
+@register("clean_preset_ds1", f"""WITH p AS (SELECT page_id, url, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
+  regexp_replace(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')),
+                 '(?s){_MARK_RX}.*$', '') AS text FROM pages),
+d AS (SELECT *, {O.tok('text')} AS t FROM p)
+SELECT page_id, text FROM d WHERE {O.letters('text')} > 200 AND len(t) < 1000 AND ({O.word_share_sql()}) >= 0.7
   AND {O.site_sql(TEST_SITES)}""")
 def q_clean_preset_ds1(spark, sf):
-    params = {**_COMMON, "sites": list(TEST_SITES)}
-    return C.clean(_page_docs(spark, sf), "ds1", params).select("page_id").distinct()
+    params = {**_COMMON, "sites": list(TEST_SITES), "markers": TEST_MARKERS}
+    return C.clean(_page_docs(spark, sf), "ds1", params).select("page_id", "text")
 
 
 @register("clean_preset_ds2", _DOC_T + f"""
@@ -453,6 +454,14 @@ def q_tokenize(spark, sf):
     return ids.select(F.col("ord").alias("doc_id"), _ids_str("input_ids").alias("input_ids"))
 
 
+@register("tokenize_whole", f"""WITH {O.VOCAB}, {O.DOC_IDS}
+SELECT doc_id, array_to_string(l, ' ') AS input_ids FROM ids""")
+def q_tokenize_whole(spark, sf):
+    d = _doc_tokens(spark, sf)
+    ids = TK.encode(d, TK.build_vocab(d), "ord", "text", "input_ids")
+    return ids.select(F.col("ord").alias("doc_id"), _ids_str("input_ids").alias("input_ids"))
+
+
 @register("tokenize_bounded_vocab", f"""WITH {O.VOCAB.replace("vocab AS (", "vocab0 AS (")},
 vocab AS (SELECT * FROM vocab0 WHERE id < 7 + 500), {O.DOC_IDS}
 SELECT doc_id, array_to_string(list_resize(l, 32, 0), ' ') AS input_ids FROM ids""")
@@ -535,24 +544,38 @@ def q_pack_corpus(spark, sf):
 
 
 @register("collate", f"""WITH {O.VOCAB}, {O.DOC_IDS},
-b AS (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 8)::BIGINT AS batch_id, l[1:32] AS labels FROM ids),
+b AS (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 8)::BIGINT AS batch_id, l AS labels FROM ids),
 m AS (SELECT batch_id, max(len(labels)) AS mx FROM b GROUP BY batch_id)
 SELECT doc_id, batch_id, array_to_string(list_concat(labels, list_resize([]::INTEGER[], mx - len(labels), -100)), ' ')
   AS labels FROM b JOIN m USING (batch_id)""")
 def q_collate(spark, sf):
     d = _doc_tokens(spark, sf)
-    ids = TK.encode(d, TK.build_vocab(d), "ord", "text", "labels", max_len=32)
-    b = prep.with_batch_id(ids, 8, "ord")
-    c = TK.collate(b, "batch_id", "labels")
+    ids = materialize(TK.encode(d, TK.build_vocab(d), "ord", "text", "labels"), "ids")
+    c = TK.collate(prep.with_batch_id(ids, 8, "ord"), "batch_id", "labels")
     return c.select(F.col("ord").alias("doc_id"), "batch_id", _ids_str("labels").alias("labels"))
 
 
-@register("mask_tokens")
+def _draw_sql(salt: int) -> str:
+    return f"('0x' || substr(md5(concat('{salt}:1:', doc_id::VARCHAR, ':', (i - 1)::VARCHAR)), 1, 8))::BIGINT"
+
+
+_PICKED_SQL = f"x >= 7 AND {_draw_sql(1)} / 4294967296::DOUBLE < 0.15"
+
+
+@register("mask_tokens", f"""WITH {O.VOCAB}, {O.DOC_IDS},
+z AS (SELECT doc_id, l, (SELECT count(*) FROM vocab) AS v FROM ids)
+SELECT doc_id, array_to_string(list_transform(l, lambda x, i: CASE WHEN NOT ({_PICKED_SQL}) THEN x
+    WHEN {_draw_sql(2)} / 4294967296::DOUBLE < 0.8 THEN 6
+    WHEN {_draw_sql(2)} / 4294967296::DOUBLE < 0.9 THEN {_draw_sql(3)} % greatest(v - 7, 1) + 7 ELSE x END), ' ') AS input_ids,
+  array_to_string(list_transform(l, lambda x, i: CASE WHEN {_PICKED_SQL} THEN x ELSE -100 END), ' ') AS labels
+FROM z""")
 def q_mask_tokens(spark, sf):
     d = _doc_tokens(spark, sf)
-    v = TK.build_vocab(d)
-    ids = TK.encode(d, v, "ord", "text", "input_ids", max_len=64)
-    return TK.mask_tokens(ids, "ord", "input_ids", 0.15, seed=1, vocab_size=1000)
+    v = materialize(TK.build_vocab(d), "vocab")
+    ids = TK.encode(d, v, "ord", "text", "input_ids")
+    m = TK.mask_tokens(ids, "ord", "input_ids", 0.15, seed=1, vocab_size=v.count())
+    return m.select(F.col("ord").alias("doc_id"), _ids_str("input_ids").alias("input_ids"),
+                    _ids_str("labels").alias("labels"))
 
 
 def _vocab_sql(src: str) -> str:
@@ -707,15 +730,13 @@ SELECT round(CASE WHEN nz < {max_order} OR hyp_len = 0 THEN 0.0 ELSE
 
 @register("bleu", _bleu_sql(4))
 def q_bleu(spark, sf):
-    p = standins.qa_pairs(spark, sf).select(F.col("ord").alias("row_id"), F.col("query").alias("hyp"),
-                                            F.col("body").alias("ref"))
+    p = standins.qa_pairs(spark, sf).select(F.col("query").alias("hyp"), F.col("body").alias("ref"))
     return M.bleu(p, 4)
 
 
 @register("bleu_unigram", _bleu_sql(1))
 def q_bleu_unigram(spark, sf):
-    p = standins.qa_pairs(spark, sf).select(F.col("ord").alias("row_id"), F.col("query").alias("hyp"),
-                                            F.col("body").alias("ref"))
+    p = standins.qa_pairs(spark, sf).select(F.col("query").alias("hyp"), F.col("body").alias("ref"))
     return M.bleu(p, 1)
 
 
@@ -774,7 +795,9 @@ scored AS (SELECT 'Bm25' AS ranker, b.run, b.qid, b.idx, b.score, l.label FROM b
 met AS ({O.metrics_select('pos', 'ranker, run')})"""
 
 _MET_COLS = ("avg_loc", "avg_rel_loc", "top_1", "top_3", "top_5", "fdaro_v1", "fdaro_v2", "up_quartile")
-REC_SQL = f"""rec AS (SELECT run, ranker || '_' || metric AS name, value::DOUBLE AS value FROM
+_NAME_SQL = "ranker || '_' || CASE metric " + " ".join(
+    f"WHEN '{c}' THEN '{M.published_name(c)}'" for c in _MET_COLS) + " END"
+REC_SQL = f"""rec AS (SELECT run, {_NAME_SQL} AS name, value::DOUBLE AS value FROM
   (UNPIVOT (SELECT ranker, run, {', '.join(_MET_COLS)} FROM met) ON {', '.join(_MET_COLS)} INTO NAME metric VALUE value))"""
 
 
@@ -806,13 +829,13 @@ def q_compare_runs(spark, sf):
 @register("best_run", VARIANT_PREFIX + f""",
 {REC_SQL},
 b1 AS (SELECT name, run, value, row_number() OVER (PARTITION BY name ORDER BY value DESC, run) AS rn
-       FROM rec WHERE name = 'Bm25_top_1'),
+       FROM rec WHERE name = 'Bm25_Top@1'),
 b2 AS (SELECT name, run, value, row_number() OVER (PARTITION BY name ORDER BY value ASC, run) AS rn
-       FROM rec WHERE name = 'TfCosine_avg_loc')
+       FROM rec WHERE name = 'TfCosine_AverageLoc')
 SELECT name, run, value FROM b1 WHERE rn = 1 UNION ALL SELECT name, run, value FROM b2 WHERE rn = 1""")
 def q_best_run(spark, sf):
     rec = M.metrics_record(_variant_metrics(spark, sf), names=list(_MET_COLS))
-    return M.best_run(rec, "Bm25_top_1", True).unionByName(M.best_run(rec, "TfCosine_avg_loc", False))
+    return M.best_run(rec, "Bm25_Top@1", True).unionByName(M.best_run(rec, "TfCosine_AverageLoc", False))
 
 
 @register("length_histogram", f"""WITH {O.QUERIES}, {O.CANDS}, {_variants_sql()}
@@ -985,19 +1008,16 @@ def q_rank_metrics_echo_k234(spark, sf):
     return rank_metrics(_echo_positions(spark, sf), ["ranker"], ks=(2, 3, 4))
 
 
-_ECHO_REC_COLS = ("avg_loc", "avg_rel_loc", "top_1", "top_3", "top_5", "fdaro_v1", "fdaro_v2", "up_quartile")
-
-
 @register("snk_metrics_json", O.echo_eval_prefix() + f""",
 met AS ({O.metrics_select()})
-SELECT ranker || '_' || metric AS name, value::DOUBLE AS value FROM
-  (UNPIVOT (SELECT ranker, {', '.join(_ECHO_REC_COLS)} FROM met) ON {', '.join(_ECHO_REC_COLS)}
+SELECT {_NAME_SQL} AS name, value::DOUBLE AS value FROM
+  (UNPIVOT (SELECT ranker, {', '.join(_MET_COLS)} FROM met) ON {', '.join(_MET_COLS)}
    INTO NAME metric VALUE value)""")
 def q_snk_metrics_json(spark, sf):
     """SNK4 + SNK7: the flat metrics record written as one JSON record under its
     run id, read back and flattened."""
     from rankshift.sources.sinks import run_id, write_metrics
-    rec = M.metrics_record(rank_metrics(_echo_positions(spark, sf), ["ranker"]), names=list(_ECHO_REC_COLS))
+    rec = M.metrics_record(rank_metrics(_echo_positions(spark, sf), ["ranker"]), names=list(_MET_COLS))
     path, rid = scratch_path(spark, "metrics_json"), run_id("echo_eval")
     write_metrics(rec, path, rid)
     back = spark.read.json(path).where(F.col("run_id") == rid)
