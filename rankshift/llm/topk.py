@@ -13,6 +13,8 @@ coordinates carry most of the product.  Queries come in blocks as well.
 3. Inside a pair, the partial product over the leading rotated coordinates
    plus the product of the residual lengths bounds the score; only pairs of
    rows whose bound reaches the threshold are scored, in exact integers.
+   The block is read in descending length, and the k-th best score found so
+   far lifts the threshold for the rest of it.
 4. Each pair of blocks returns k rows a query; a second top-k merges them.
 
 What goes through the driver: a d x d Gram matrix (d = vector length, at most
@@ -38,6 +40,8 @@ from rankshift.llm.common import materialize
 BLOCK = 8192        # vectors in a block
 QUERY_BLOCK = 1024  # queries in a block
 LEAD = 24           # leading rotated coordinates
+CHUNK = 1024        # vectors scored at a time inside a block
+DENSE = 32          # one matrix product if at least 1 in so many pairs is wanted
 MAX_DIM = 8192
 
 
@@ -102,43 +106,81 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         pack, "dim int, part long, seq long, ids array<long>, longest double, m binary")
 
 
-def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer products of row pairs.  Whole numbers add up exactly in doubles below 2**53."""
+def _exact(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Integer products of the pairs (q[i], c[j]), some at a time.  Whole numbers add up exactly in
+    doubles below 2**53."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    if top < 2.0**53:
-        return np.einsum("ij,ij->i", q, c).astype(np.int64)
-    big = (np.vectorize(int, otypes=[object])(q) * np.vectorize(int, otypes=[object])(c)).sum(1)
-    return np.array([max(-2**63, min(2**63 - 1, x)) for x in big], dtype=np.int64)
+    out = np.empty(len(i), np.int64)
+    step = max(1, (1 << 20) // max(1, q.shape[1]))
+    for at in range(0, len(i), step):
+        x, y = q[i[at:at + step]], c[j[at:at + step]]
+        if top < 2.0**53:
+            out[at:at + step] = np.einsum("ij,ij->i", x, y)
+        else:
+            big = (np.vectorize(int, otypes=[object])(x) * np.vectorize(int, otypes=[object])(y)).sum(1)
+            out[at:at + step] = [max(-2**63, min(2**63 - 1, n)) for n in big]
+    return out
+
+
+def _cut(i, ids, score, k):
+    """The ``k`` best (query row, id, score) of each query row, in that order; ties to the smaller id."""
+    order = np.lexsort((ids, ~score, i))  # ~score: descending, also for the smallest long
+    i, ids, score = i[order], ids[order], score[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+    return i[keep], ids[keep], score[keep]
+
+
+def _reaching(q, c, wanted, floor_, own, k):
+    """(query row, row of c, score) of the pairs that can still be among the best ``k``.
+
+    Many wanted pairs: one matrix product over the rows and columns that hold any; few: pair by pair.
+    Both are exact (see ``_exact``)."""
+    rows, cols = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    n = int(np.count_nonzero(wanted))
+    if n * DENSE < len(rows) * len(cols):
+        i, j = np.nonzero(wanted & ~own)
+        score = _exact(q, c, i, j)
+        good = score >= floor_[i]
+        return i[good], j[good], score[good]
+    score = q[rows] @ c[cols].T
+    score[own[np.ix_(rows, cols)]] = -np.inf
+    least = floor_[rows]
+    if np.count_nonzero(score >= least[:, None]) > 4 * k * len(rows) and len(cols) > k:
+        least = np.maximum(least, np.partition(score, len(cols) - k, axis=1)[:, len(cols) - k])
+    i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    return rows[i], cols[j], score[i, j].astype(np.int64)
 
 
 def search_block(qid, q, cid, c, floor_, basis, k):
     """Best ``k`` of one pair of blocks: columns query_id, vec_id, score.
 
-    ``floor_``: a score that k candidates of each query are known to reach."""
+    ``floor_``: a score that k candidates of each query are known to reach.  The candidates come longest
+    first, ``CHUNK`` at a time, and each chunk lifts the floors for the shorter ones after it."""
     wide = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] >= 2.0**53
     qr, cr = q @ basis, c @ basis
     qs, cs = np.linalg.norm(qr[:, LEAD:], axis=1), np.linalg.norm(cr[:, LEAD:], axis=1)
     # far above the rounding error of the rotation, far below 1 for usual vectors
-    slack = np.inf if wide else 1e-9 * (1.0 + np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max(initial=0))
-    slack = np.broadcast_to(slack, len(q))[:, None]
-    out = []
-    step = max(1, (4 << 20) // max(1, len(c)))
-    for at in range(0, len(q), step):
-        s = slice(at, at + step)
-        bound = qr[s, :LEAD] @ cr[:, :LEAD].T + np.outer(qs[s], cs) + slack[s]
-        i, j = np.nonzero(~(bound < floor_[s, None]) & (qid[s, None] != cid[None, :]))
-        if not len(i):
-            continue
-        score = np.empty(len(i), np.int64)
-        for a in range(0, len(i), 200_000):
-            b = slice(a, a + 200_000)
-            score[b] = _exact(q[s][i[b]], c[j[b]])
-        order = np.lexsort((cid[j], ~score, i))  # ~score: descending, also for the smallest long
-        i, j, score = i[order], j[order], score[order]
-        first = np.searchsorted(i, i, side="left")
-        keep = np.arange(len(i)) - first < k
-        out.append(pd.DataFrame({"query_id": qid[s][i[keep]], "vec_id": cid[j[keep]], "score": score[keep]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+    slack = 1e-9 * (1.0 + np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max(initial=0))
+    floor_ = np.array(floor_, dtype=float)
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for at in range(0, len(c), CHUNK):
+        t = slice(at, at + CHUNK)
+        own = qid[:, None] == cid[None, t]
+        if wide:  # beyond doubles: every pair, in whole numbers
+            i, j = np.nonzero(~own)
+            found = (i, j, _exact(q, c[t], i, j))
+        else:
+            wanted = qr[:, :LEAD] @ cr[t, :LEAD].T + np.outer(qs, cs[t]) + slack[:, None] >= floor_[:, None]
+            if not wanted.any():
+                continue
+            found = _reaching(q, c[t], wanted, floor_, own, k)
+        i, j, score = found
+        best = _cut(*map(np.concatenate, zip(best, (i, cid[t][j], score))), k)
+        if not wide:
+            full = np.bincount(best[0], minlength=len(qid)) >= k
+            last = np.searchsorted(best[0], np.arange(len(qid)), side="right") - 1
+            floor_[full] = np.maximum(floor_[full], best[2][last[full]])
+    return pd.DataFrame({"query_id": qid[best[0]], "vec_id": best[1], "score": best[2]})
 
 
 def _scored(pairs: DataFrame, bases: dict[int, np.ndarray], k: int) -> DataFrame:
