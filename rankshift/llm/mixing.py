@@ -9,8 +9,10 @@
 3. Every document gets a hash-random key.  Equal key ranges cut a source
    into buckets of about ``BUCKET_ROWS`` rows (keys are uniform, so the
    number of buckets follows the source's row count and no bucket is hot).
-   Bucket totals, a running sum over the totals, and a running sum inside
-   each bucket are the distributed prefix sum.
+   Running sums inside each bucket, over the bucket totals of each run of
+   ``RUN_BUCKETS`` buckets, and over the totals of the runs are the
+   distributed prefix sum; the last one sorts one row for some two million
+   documents of a source.
 4. Budget of a source = floor(target): whole epochs of it, then documents in
    key order up to the exact rest; the document at the cut gives only its
    first words.  So ``taken`` adds up to the budget.
@@ -23,14 +25,15 @@ no rows.  A source of size 0 has target 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankshift.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 60
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
+RUN_BUCKETS = 1_000
 
 
 def source_targets(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -55,6 +58,11 @@ def source_targets(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
                      .otherwise(F.col("level_n") * F.col("w") / F.col("level_w")).alias("target"))
 
 
+def _sum_before(column: str, window: Window) -> Column:
+    """Sum over the rows before this one, 0 for the first."""
+    return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text",
         max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, taken (see the module text)."""
@@ -69,13 +77,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     d = (d.withColumn("key", key).join(targets, d["source"].eqNullSafe(targets["source"]))
          .drop(targets["source"])
          .withColumn("bucket", F.floor(F.col("key") / F.ceil(F.lit(float(1 << KEY_BITS)) / n_buckets))))
-    totals = d.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"),
-                           F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("base"))
-    inside = (Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    totals = (d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+              .withColumn("run", F.floor(F.col("bucket") / RUN_BUCKETS)))
+    runs = totals.groupBy("source", "run").agg(F.sum("n").alias("n"))
+    runs = runs.select(F.col("source").alias("s"), F.col("run").alias("r"),
+                       _sum_before("n", Window.partitionBy("source").orderBy("run")).alias("in_runs"))
+    totals = totals.withColumn("in_run", _sum_before("n", Window.partitionBy("source", "run").orderBy("bucket")))
+    starts = (totals.join(runs, F.col("source").eqNullSafe(F.col("s")) & (F.col("run") == F.col("r")))
+              .select("s", F.col("bucket").alias("b"), (F.col("in_runs") + F.col("in_run")).alias("base")))
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
+    d = d.withColumn("ahead", _sum_before("size", inside))
     d = d.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     budget = F.floor("target").cast("long")
     size_or_one = F.greatest(F.col("source_size"), F.lit(1))
