@@ -197,7 +197,36 @@ def test_mix(docs, none):
     assert mixing.mix(none).count() == 0
 
 
-def test_top_k(spark):
+def test_mix_prefix_sum_over_many_buckets_and_runs(docs, monkeypatch):
+    whole = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(mixing, "RUN_BUCKETS", 2)
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == whole
+
+
+def test_top_k_blocks_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(1)
+    for trial in range(30):
+        monkeypatch.setattr(topk, "CHUNK", int(rng.choice([1, 3, 16, 1024])))
+        monkeypatch.setattr(topk, "DENSE", int(rng.choice([1, 32, 10**9])))
+        monkeypatch.setattr(topk, "LEAD", int(rng.choice([1, 4, 24])))
+        d, n, m, k = (int(rng.integers(1, top)) for top in (12, 200, 20, 7))
+        scale = 1e10 if trial % 5 == 0 else 10.0 ** rng.integers(0, 4)
+        c = np.floor(rng.normal(size=(n, d)) * scale)
+        c = c[np.argsort(-np.linalg.norm(c, axis=1))]
+        q, cid, qid = np.floor(rng.normal(size=(m, d)) * scale), rng.integers(0, n + 5, n), rng.permutation(n + 30)[:m]
+        want, floors = [], np.full(m, -2.0**63)
+        for a in range(m):
+            found = sorted((-max(-2**63, min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(q[a], c[b])))), int(cid[b]))
+                           for b in range(n) if cid[b] != qid[a])[:k]
+            want += [(int(qid[a]), v, -s) for s, v in found]
+            if trial % 2 and scale < 1e9 and len(found) == k:
+                floors[a] = -found[-1][0]
+        got = topk.search_block(qid, q, cid, c, floors, np.linalg.eigh(c.T @ c)[1][:, ::-1].copy(), k)
+        assert sorted(map(tuple, got[["query_id", "vec_id", "score"]].values.tolist())) == sorted(want)
+
+
+def test_top_k((spark):
     rng = np.random.default_rng(2)
     v = [(i, [float(x) for x in rng.normal(size=8) * (5 if i % 7 == 0 else 1)]) for i in range(240)]
     v += [(240, None), (250, []), (300, [1.0, None] * 4), (350, [float("nan")] * 8), (400, [float("inf")] * 8), (None, v[0][1]),
