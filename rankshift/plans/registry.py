@@ -237,13 +237,10 @@ def q_src_tsv_gz(spark, sf):
 @register("src_text_corpus", """SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS line_no,
   regexp_replace(text, '[\\r\\n]', ' ', 'g') AS text FROM documents""")
 def q_src_text_corpus(spark, sf):
-    from rankshift.operators.order import prefix_offsets
     path = scratch_path(spark, "text_corpus")
     d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[\r\n]", " ").alias("value"))
     d.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
-    back = readers.read_text_corpus(spark, path)
-    idx = prefix_offsets(back, "ord", None, "line_no", bucket=F.struct(F.col("ord.f"), F.col("ord.b")))
-    return idx.select("line_no", "text")
+    return readers.read_text_corpus(spark, path).select(F.col("ord").alias("line_no"), "text")
 
 
 @register("snk_pairs_text", f"""WITH {O.PAIRS}
