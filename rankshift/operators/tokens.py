@@ -53,13 +53,14 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 1, size:
                 special: SpecialTokens = SPECIAL) -> DataFrame:
     """TOK3: (tok, id, cnt); ids after the special tokens by count desc, then
     token.  Dense ids come from the bucketed prefix sum (buckets = count and
-    the token's first two characters, which follow the same order)."""
+    the token's first five characters, in runs of count and first two, which
+    all follow the same order)."""
     spark = df.sparkSession
     counts = (df.select(F.explode(tokens).alias("tok")).groupBy("tok")
               .agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= min_count))
     keyed = counts.withColumn("_ord", F.struct((-F.col("cnt")).alias("c"), F.col("tok").alias("t")))
-    bucket = F.struct((-F.col("cnt")).alias("c"), F.substring("tok", 1, 2).alias("p"))
-    ranked = prefix_offsets(keyed, "_ord", None, "_r", bucket=bucket)
+    bucket, run = (F.struct((-F.col("cnt")).alias("c"), F.substring("tok", 1, n).alias("p")) for n in (5, 2))
+    ranked = prefix_offsets(keyed, "_ord", None, "_r", bucket=bucket, run=run)
     if size is not None:
         ranked = ranked.where(F.col("_r") < size)
     n_sp = len(special.tokens)

@@ -132,3 +132,22 @@ def test_stream_state_across_microbatches(spark, tmp_path):
     assert len(q.recentProgress) >= 3
     got = _rows(spark.read.schema(ST.OUT_SCHEMA).parquet(out))
     assert got == _plain_fold(spark, SF001)
+
+
+def test_prefix_offsets_of_sparse_order(spark):
+    from rankshift.operators.order import RUN_BUCKETS, prefix_offsets
+
+    ords = [i * i * 7919 - 40_000_000 for i in range(400)]  # buckets of one row, in runs of uneven length
+    d = spark.createDataFrame([(o, o % 5) for o in reversed(ords)], "ord long, n long")
+    for width in (1, 1000, 10_000 * RUN_BUCKETS):
+        got = {r["ord"]: r["offset"] for r in prefix_offsets(d, "ord", "n", width=width).collect()}
+        assert [got[o] for o in ords] == [sum(x % 5 for x in ords[:i]) for i in range(len(ords))]
+
+
+def test_text_corpus_lines_are_numbered(spark, tmp_path):
+    from rankshift.sources.readers import read_text_corpus
+
+    spark.range(40).selectExpr("concat('line ', id) AS value").repartitionByRange(4, "value").sortWithinPartitions(
+        "value").write.text(str(tmp_path / "t"))
+    rows = read_text_corpus(spark, str(tmp_path / "t")).orderBy("ord").collect()
+    assert [(r["ord"], r["text"]) for r in rows] == list(enumerate(sorted(f"line {i}" for i in range(40))))
