@@ -2,9 +2,11 @@
 
 Layer 0 is the text.  Every layer is scanned for the three kinds of secrets;
 then it is unwrapped: percent escapes, ``\\u``/``\\x`` escapes, base64 runs
-(standard and URL alphabets), and gzip / zlib data inside base64.  Each child
-layer joins the worklist unless its content was seen before (cycle
-detection), until nothing new appears (fixpoint).  Every layer carries the
+(standard and URL alphabets), and gzip / zlib data inside any of these.  Each
+child layer joins the worklist unless its content was seen before (cycle
+detection), until nothing new appears (fixpoint).  Decoded bytes are scanned
+whatever they hold, one character a byte (Latin-1): all patterns are ASCII,
+so this finds the same as UTF-8 and loses nothing.  Every layer carries the
 span of the original text that each of its characters came from, so a hit in
 any layer is reported as a span of the text (code points, end exclusive).
 
@@ -34,7 +36,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+# The same with the short escapes of string literals (printed bytes).
+_LITERAL = re.compile(r"""(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'"])+""")
+_UNIT = re.compile(r"""\\(u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[abfnrtv0\\'"])""")
+_SHORT = {c: ord(v) for c, v in zip("abfnrtv0\\'\"", "\a\b\f\n\r\t\v\0\\'\"")}
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+# What a decoded run needs to have for a hit or for a further layer.
+_LIVE = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|"
+                   rb"[A-Za-z0-9+/_-]{16}|\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 MAX_LAYER = 64 << 20
 
 
@@ -54,8 +64,6 @@ def _replace(text: str, lo, hi, pattern, decode):
     parts, starts, ends, at, changed = [], [], [], 0, False
     for m in pattern.finditer(text):
         got = decode(m.group())
-        if got is None:
-            continue
         changed = True
         s, e = m.span()
         parts += [text[at:s], got]
@@ -67,41 +75,25 @@ def _replace(text: str, lo, hi, pattern, decode):
     return ("".join([*parts, text[at:]]), np.concatenate([*starts, lo[at:]]), np.concatenate([*ends, hi[at:]]))
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(run: str) -> str:
+    return bytes.fromhex(run.replace("%", "")).decode("latin-1")
 
 
-def _escapes(run: str) -> str | None:
-    units = b"".join(int(x[1:], 16).to_bytes(2, "little") for x in run.split("\\")[1:])
-    try:
-        return units.decode("utf-16-le")
-    except UnicodeDecodeError:
-        return None
+def _escapes(run: str) -> str:
+    """One character a unit; half a surrogate pair becomes a mark of its own."""
+    units = (_SHORT[x[0]] if x[0] in _SHORT else int(x[1:], 16) for x in _UNIT.findall(run))
+    return "".join("\ufffd" if 0xD800 <= u < 0xE000 else chr(u) for u in units)
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """gzip or zlib content, None if it is neither."""
-    wbits = 31 if data[:2] == b"\x1f\x8b" else 15 if data[:1] == b"\x78" and data[1:2] in b"\x01\x5e\x9c\xda" else 0
-    if not wbits:
-        return None
+def _inflate(data: bytes) -> tuple[bytes, int] | None:
+    """gzip or zlib content and the number of bytes it takes, None if it is neither."""
+    d = zlib.decompressobj(47)  # either header
     try:
-        return zlib.decompressobj(wbits).decompress(data, MAX_LAYER)
+        return d.decompress(data, MAX_LAYER), len(data) - len(d.unused_data)
     except zlib.error:
         return None
 
 
-def _words(data: bytes) -> str | None:
-    """Text of a decoded run; None if it is not text (controls or invalid UTF-8)."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
 def _unwrap_base64(text: str, lo, hi):
     """Child layers of the base64 runs of one layer."""
     for m in _BASE64.finditer(text):
@@ -110,21 +102,24 @@ def _unwrap_base64(text: str, lo, hi):
             continue
         data = base64.b64decode(run + "=" * (-len(run) % 4))
         s = m.start()
-        inner = _inflate(data)
-        if inner is not None:  # a compressed byte has no place of its own: the whole run
-            # nested compression is opened here, each step once; equal content ends it
-            seen = {data}
-            while inner not in seen and (deeper := _inflate(inner)) is not None:
-                seen.add(inner)
-                inner = deeper
-            got = inner.decode("utf-8", "replace")
-            n = len(got)
-            yield got, np.full(n, lo[s]), np.full(n, hi[m.end() - 1])
-        elif (got := _words(data)) is not None:
-            width = np.array([len(c.encode()) for c in got])
-            end = np.cumsum(width)
-            first, last = s + (end - width) // 3 * 4, s + (end - 1) // 3 * 4 + 3
-            yield got, lo[first], hi[np.minimum(last, m.end() - 1)]
+        if not _LIVE.search(data):  # neither a hit nor anything to unwrap
+            continue
+        end = np.arange(1, len(data) + 1)
+        first, last = s + (end - 1) // 3 * 4, s + (end - 1) // 3 * 4 + 3
+        yield data.decode("latin-1"), lo[first], hi[np.minimum(last, m.end() - 1)]
+
+
+def _unpack(text: str, lo, hi):
+    """Child layers of the gzip and zlib data in a decoded layer.  A compressed byte has no place of its
+    own: every character has the place of the whole compressed data."""
+    data, at = text.encode("latin-1", "replace"), 0
+    while m := _PACKED.search(data, at):
+        at = m.end()
+        if got := _inflate(data[m.start():]):
+            inner, used = got
+            at = m.start() + used
+            yield (inner.decode("latin-1"), np.broadcast_to(lo[m.start()], len(inner)),
+                   np.broadcast_to(hi[at - 1], len(inner)))
 
 
 def _children(text: str, lo, hi):
@@ -132,6 +127,8 @@ def _children(text: str, lo, hi):
         yield got
     if "\\" in text and (got := _replace(text, lo, hi, _ESCAPES, _escapes)):
         yield got
+        if got := _replace(text, lo, hi, _LITERAL, _escapes):
+            yield got
     yield from _unwrap_base64(text, lo, hi)
 
 
@@ -145,12 +142,12 @@ def scan(text: str) -> tuple[list, list]:
         work = list(_children(text, place, place + 1))
         while work:
             layer, lo, hi = work.pop()
-            mark = hashlib.blake2b(layer.encode() + lo.tobytes(), digest_size=16).digest()
+            mark = hashlib.blake2b(layer.encode() + lo.tobytes() + hi.tobytes(), digest_size=16).digest()
             if mark in seen:
                 continue
             seen.add(mark)
             spans |= {(int(lo[s]), k, int(hi[e - 1])) for s, k, e in base_matches(layer)}
-            work += _children(layer, lo, hi)
+            work += [*_children(layer, lo, hi), *_unpack(layer, lo, hi)]
     return base, sorted(spans)
 
 

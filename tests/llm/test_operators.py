@@ -1,9 +1,11 @@
 """Operators on pairs, spans and counts against brute force, with the awkward rows of every kind."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
+import urllib.parse
 import zlib
 import base64
 
@@ -290,6 +292,22 @@ def test_secret_layers(docs, none):
     assert got[0].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_secret_layers_with_odd_bytes():
+    word = "token=abcdefghijkl"
+    for head in ("\xa0", "\ufeff", "\u200b", "\x1b", "\0"):
+        assert secrets.scan("q " + base64.b64encode((head + word).encode()).decode())[1], head
+    latin = base64.b64encode("caf\xe9 ".encode("latin-1") + word.encode()).decode()
+    run = "%E9" + "".join(f"%{c:02X}" for c in word.encode())
+    lone = "\\ud83d" + "".join(f"\\u{c:04x}" for c in word.encode())
+    packed = gzip.compress(word.encode(), mtime=0), zlib.compress(word.encode())
+    escaped = [f(x) for x in packed for f in (lambda x: "".join(f"%{c:02x}" for c in x), urllib.parse.quote_from_bytes,
+                                              lambda x: "".join(f"\\x{c:02x}" for c in x), lambda x: repr(x)[2:-1])]
+    for text in (latin, run, lone, *escaped):
+        base, spans = secrets.scan(f"a {text} b")
+        assert not base and [k for _, k, _ in spans] == [0], text
+        assert spans[0][0] >= 2 and spans[0][2] <= len(text) + 2
+
+
 def test_segments():
     rng = np.random.default_rng(4)
     for _ in range(50):
