@@ -2,8 +2,8 @@
 
 Layer 0 is the text.  Every layer is scanned for the three kinds of secrets;
 then it is unwrapped: percent escapes, ``\\u``/``\\x`` escapes, base64 runs
-(standard and URL alphabets), and gzip / zlib data inside any of these.  Each
-child layer joins the worklist unless its content was seen before (cycle
+(standard and URL alphabets, any offset, also over line breaks), and gzip /
+zlib data inside any of these.  Each child layer joins the worklist unless its content was seen before (cycle
 detection), until nothing new appears (fixpoint).  Decoded bytes are scanned
 whatever they hold, one character a byte (Latin-1): all patterns are ASCII,
 so this finds the same as UTF-8 and loses nothing.  Every layer carries the
@@ -40,11 +40,15 @@ _ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _LITERAL = re.compile(r"""(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'"])+""")
 _UNIT = re.compile(r"""\\(u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[abfnrtv0\\'"])""")
 _SHORT = {c: ord(v) for c, v in zip("abfnrtv0\\'\"", "\a\b\f\n\r\t\v\0\\'\"")}
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Base64 letters, over line breaks (and the indent around them) too.
+_BASE64 = re.compile(r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-]{1,15}[ \t]*[\r\n])
+                         [A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}""", re.VERBOSE)
+_LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
 _PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 # What a decoded run needs to have for a hit or for a further layer.
 _LIVE = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|"
-                   rb"[A-Za-z0-9+/_-]{16}|\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+                   rb"[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*[\r\n]|\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 MAX_LAYER = 64 << 20
 
 
@@ -95,18 +99,32 @@ def _inflate(data: bytes) -> tuple[bytes, int] | None:
 
 
 def _unwrap_base64(text: str, lo, hi):
-    """Child layers of the base64 runs of one layer."""
+    """Child layers of the base64 runs of one layer.
+
+    Text before a run (a path, ``key_``) may consist of base64 letters, so a run is decoded at all four
+    offsets: wherever the encoded part starts, one of them is in step with it.  Lines are decoded joined,
+    and each alone, which keeps the place of what ends at a line's end exact."""
     for m in _BASE64.finditer(text):
-        run = m.group().rstrip("=").translate(str.maketrans("-_", "+/"))
-        if len(run) % 4 == 1:
-            continue
-        data = base64.b64decode(run + "=" * (-len(run) % 4))
-        s = m.start()
-        if not _LIVE.search(data):  # neither a hit nor anything to unwrap
+        raw = np.frombuffer(m.group().encode(), np.uint8)
+        place = m.start() + np.flatnonzero(raw > 32)
+        if len(place) < 16:
             continue
-        end = np.arange(1, len(data) + 1)
-        first, last = s + (end - 1) // 3 * 4, s + (end - 1) // 3 * 4 + 3
-        yield data.decode("latin-1"), lo[first], hi[np.minimum(last, m.end() - 1)]
+        if len(place) < len(raw):
+            for line in _LINE.finditer(text, m.start(), m.end()):
+                yield from _decode_run(line.group().encode(), np.arange(*line.span()), 0, lo, hi)
+        for offset in range(4):
+            yield from _decode_run(raw[raw > 32].tobytes(), place, offset, lo, hi)
+
+
+def _decode_run(run: bytes, place, offset: int, lo, hi):
+    """The layer of one run of base64 letters at ``place``, decoded from ``offset``."""
+    letters = run.rstrip(b"=").translate(_STANDARD)[offset:]
+    if len(letters) % 4 == 1:  # the last letter holds no whole byte
+        letters = letters[:-1]
+    data = base64.b64decode(letters + b"=" * (-len(letters) % 4))
+    if _LIVE.search(data):  # else neither a hit nor anything to unwrap
+        first = offset + np.arange(len(data)) // 3 * 4
+        yield data.decode("latin-1"), lo[place[first]], hi[place[np.minimum(first + 3, len(place) - 1)]]
 
 
 def _unpack(text: str, lo, hi):

@@ -308,6 +308,29 @@ def test_secret_layers_with_odd_bytes():
         assert spans[0][0] >= 2 and spans[0][2] <= len(text) + 2
 
 
+def test_secret_base64_glued_and_wrapped():
+    word = "token=abcdefghijkl"
+    b64 = base64.b64encode(word.encode()).decode()
+    packed = base64.b64encode(gzip.compress((random.Random(3).randbytes(90).hex(" ") + word).encode(), mtime=0)).decode()
+    for head in ("https://h.io/r/", "key_", "a", "ab/", "abc-", "x/yz_", ""):
+        for tail in ("", "/next", "_x"):
+            for run in (b64, b64.rstrip("="), packed):
+                at = 2 + len(head)
+                text = f"q {head}{run}{tail} w"
+                found = secrets.scan(text)[1]
+                assert any(k == 0 and s <= at + 3 and e >= at + len(run.rstrip("=")) - 9 for s, k, e in found), text
+                assert all(2 <= s < e <= len(text) - 2 for s, _, e in found)
+    for pad in range(30, 62):
+        plain = " " * pad + word + " " * 40
+        for brk in ("\n", "\r\n", "\n  ", "\r"):
+            for whole in (plain.encode(), gzip.compress(random.Random(pad).randbytes(99).hex(" ").encode() + plain.encode(), mtime=0)):
+                run = base64.b64encode(whole).decode()
+                lines = brk.join(run[i:i + 76] for i in range(0, len(run), 76))
+                text = f"-----BEGIN X-----\n{lines}\n-----END X-----"
+                assert 0 in [k for _, k, _ in secrets.scan(text)[1]], text
+                assert 0 not in [k for _, k, _ in secrets.scan(secrets.redact(text, secrets.scan(text)[1]))[1]]
+
+
 def test_segments():
     rng = np.random.default_rng(4)
     for _ in range(50):
