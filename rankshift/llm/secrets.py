@@ -10,16 +10,20 @@ so this finds the same as UTF-8 and loses nothing.  Every layer carries the
 span of the original text that each of its characters came from, so a hit in
 any layer is reported as a span of the text (code points, end exclusive).
 
+Compressed data is opened to its end, all members of it, and up to the fault
+if it is damaged.  Its content is scanned in pieces cut where no match, escape,
+base64 run or inner compressed data can reach across, so results are those of
+the whole; memory follows the longest stretch without such a place.
+
 Null counts as empty; a text without secrets gives zero counts and empty
-strings.  Rows are independent: repeated rows give repeated results.  A
-compressed layer is opened up to ``MAX_LAYER`` bytes of content (a documented
-guard against decompression bombs; the part up to there is scanned).
+strings.  Rows are independent: repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -49,7 +53,11 @@ _PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 # What a decoded run needs to have for a hit or for a further layer.
 _LIVE = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|"
                    rb"[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*[\r\n]|\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
-MAX_LAYER = 64 << 20
+STEP, PIECE = 1 << 16, 1 << 20  # bytes read from compressed data, bytes of content looked at, at a time
+# Bytes where content may be cut: not in any pattern, escape, wrapped base64 or start of compressed data.
+_CUT = np.ones(256, bool)
+_CUT[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+                   b"+/_.=-\"' :%\\\r\n\t!~*()\x1f\x8b\x08", np.uint8)] = False
 
 
 def base_matches(text: str) -> list[tuple[int, int, int]]:
@@ -63,20 +71,28 @@ def base_matches(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _fixed(places) -> bool:
+    """Whether all characters of a layer have one place (content of compressed data)."""
+    return places.strides == (0,)
+
+
 def _replace(text: str, lo, hi, pattern, decode):
     """Child layer with every run of ``pattern`` decoded, or None if nothing changed."""
-    parts, starts, ends, at, changed = [], [], [], 0, False
+    parts, starts, ends, at = [], [], [], 0
     for m in pattern.finditer(text):
         got = decode(m.group())
-        changed = True
         s, e = m.span()
         parts += [text[at:s], got]
-        starts += [lo[at:s], np.full(len(got), lo[s])]
-        ends += [hi[at:s], np.full(len(got), hi[e - 1])]
+        if not _fixed(lo):
+            starts += [lo[at:s], np.full(len(got), lo[s])]
+            ends += [hi[at:s], np.full(len(got), hi[e - 1])]
         at = e
-    if not changed:
+    if not parts:
         return None
-    return ("".join([*parts, text[at:]]), np.concatenate([*starts, lo[at:]]), np.concatenate([*ends, hi[at:]]))
+    new = "".join([*parts, text[at:]])
+    if _fixed(lo):
+        return new, np.broadcast_to(lo[0], len(new)), np.broadcast_to(hi[0], len(new))
+    return new, np.concatenate([*starts, lo[at:]]), np.concatenate([*ends, hi[at:]])
 
 
 def _percent(run: str) -> str:
@@ -89,13 +105,79 @@ def _escapes(run: str) -> str:
     return "".join("\ufffd" if 0xD800 <= u < 0xE000 else chr(u) for u in units)
 
 
-def _inflate(data: bytes) -> tuple[bytes, int] | None:
-    """gzip or zlib content and the number of bytes it takes, None if it is neither."""
-    d = zlib.decompressobj(47)  # either header
-    try:
-        return d.decompress(data, MAX_LAYER), len(data) - len(d.unused_data)
-    except zlib.error:
-        return None
+def _stream(data: bytes, at: int):
+    """Content of the gzip or zlib data at ``at`` bit by bit: (content, end of the input used, state).
+
+    State: "more", "whole" (its end) or "bad" (a fault).  Members that follow are part of the content."""
+    d, size = zlib.decompressobj(47), STEP  # either header
+    while True:
+        part, keep = data[at:at + size], d.copy() if size > 1 else None
+        try:
+            got = d.decompress(part, PIECE if size > 1 else 1)
+        except zlib.error:
+            if size == 1:
+                yield b"", at, "bad"
+                return
+            d, size = keep, max(1, size >> 4)  # again in smaller steps: all content before the fault counts
+            continue
+        at += len(part) - len(d.unused_data if d.eof else d.unconsumed_tail)
+        if d.eof:
+            yield got, at, "whole"
+            if not _PACKED.match(data, at):
+                return
+            d, size = zlib.decompressobj(47), STEP
+        elif got or part:
+            yield got, at, "more"
+        else:
+            return
+
+
+def _extent(data: bytes, at: int) -> tuple[int, int, str]:
+    """(size of the content, end, state) of the compressed data at ``at``."""
+    size, end, state, whole = 0, at, "more", None
+    for got, end, state in _stream(data, at):
+        size += len(got)
+        whole = end if state == "whole" else whole
+    # a fault after a whole member: what follows is not part of it
+    return (size, whole, "whole") if state == "bad" and whole else (size, end, state)
+
+
+def _cut(buf: bytes) -> int:
+    """Last place where ``buf``, the content so far, can be cut; 0 if there is none."""
+    limit, place = len(buf), np.arange(len(buf))
+    todo, seen = [(buf.decode("latin-1"), place, place)], set()
+    while todo:
+        layer = todo.pop()
+        if layer[0] in seen:
+            continue
+        seen.add(layer[0])
+        todo += _respelled(*layer)
+        data, at = layer[0].encode("latin-1", "replace"), 0
+        while m := _PACKED.search(data, at):
+            _, end, state = _extent(data, m.start())
+            if state == "more" or (state == "whole" and end + 3 > len(data)):  # may go on after ``buf``
+                limit = min(limit, int(layer[1][m.start()]))
+                break
+            at = end if state == "whole" else m.end()
+    places = np.flatnonzero(_CUT[np.frombuffer(buf, np.uint8, limit)]) if limit else ()
+    return int(places[-1]) + 1 if len(places) else 0
+
+
+def _pieces(data: bytes, at: int):
+    """The content of the compressed data at ``at`` in pieces that can be scanned alone."""
+    parts, held, enough = [], 0, PIECE
+    for got, _, _ in _stream(data, at):
+        parts.append(got)
+        held += len(got)
+        if held >= enough:
+            buf = b"".join(parts)
+            cut = _cut(buf)
+            if cut:
+                yield buf[:cut]
+            parts, held = [buf[cut:]], len(buf) - cut
+            enough = max(PIECE, 2 * held)
+    if held:
+        yield b"".join(parts)
 
 
 def _unwrap_base64(text: str, lo, hi):
@@ -106,10 +188,11 @@ def _unwrap_base64(text: str, lo, hi):
     and each alone, which keeps the place of what ends at a line's end exact."""
     for m in _BASE64.finditer(text):
         raw = np.frombuffer(m.group().encode(), np.uint8)
-        place = m.start() + np.flatnonzero(raw > 32)
-        if len(place) < 16:
+        size = np.count_nonzero(raw > 32)
+        if size < 16:
             continue
-        if len(place) < len(raw):
+        place = None if _fixed(lo) else m.start() + np.flatnonzero(raw > 32)
+        if size < len(raw):
             for line in _LINE.finditer(text, m.start(), m.end()):
                 yield from _decode_run(line.group().encode(), np.arange(*line.span()), 0, lo, hi)
         for offset in range(4):
@@ -123,6 +206,9 @@ def _decode_run(run: bytes, place, offset: int, lo, hi):
         letters = letters[:-1]
     data = base64.b64decode(letters + b"=" * (-len(letters) % 4))
     if _LIVE.search(data):  # else neither a hit nor anything to unwrap
+        if _fixed(lo):
+            yield data.decode("latin-1"), np.broadcast_to(lo[0], len(data)), np.broadcast_to(hi[0], len(data))
+            return
         first = offset + np.arange(len(data)) // 3 * 4
         yield data.decode("latin-1"), lo[place[first]], hi[place[np.minimum(first + 3, len(place) - 1)]]
 
@@ -132,40 +218,54 @@ def _unpack(text: str, lo, hi):
     own: every character has the place of the whole compressed data."""
     data, at = text.encode("latin-1", "replace"), 0
     while m := _PACKED.search(data, at):
-        at = m.end()
-        if got := _inflate(data[m.start():]):
-            inner, used = got
-            at = m.start() + used
-            yield (inner.decode("latin-1"), np.broadcast_to(lo[m.start()], len(inner)),
-                   np.broadcast_to(hi[at - 1], len(inner)))
+        size, end, state = _extent(data, m.start())
+        at = end if state == "whole" else m.end()
+        for piece in _pieces(data, m.start()) if size else ():
+            yield (piece.decode("latin-1"), np.broadcast_to(lo[m.start()], len(piece)),
+                   np.broadcast_to(hi[end - 1], len(piece)))
 
 
-def _children(text: str, lo, hi):
+def _respelled(text: str, lo, hi):
+    """Child layers with escapes decoded."""
     if "%" in text and (got := _replace(text, lo, hi, _PERCENT, _percent)):
         yield got
     if "\\" in text and (got := _replace(text, lo, hi, _ESCAPES, _escapes)):
         yield got
         if got := _replace(text, lo, hi, _LITERAL, _escapes):
             yield got
+
+
+def _children(text: str, lo, hi):
+    yield from _respelled(text, lo, hi)
     yield from _unwrap_base64(text, lo, hi)
 
 
+def _mark(text: str, lo, hi) -> bytes:
+    h = hashlib.blake2b(text.encode(), digest_size=16)
+    for places in (lo, hi):
+        h.update((places[:1] if _fixed(places) else places).tobytes())
+    return h.digest()
+
+
 def scan(text: str) -> tuple[list, list]:
     """(base matches, all spans), both as sorted (start, kind number, end)."""
     base = base_matches(text)
     spans = set(base)
     if "%" in text or "\\" in text or _BASE64.search(text):
         place = np.arange(len(text))
-        seen = {hashlib.blake2b(text.encode(), digest_size=16).digest()}
-        work = list(_children(text, place, place + 1))
+        seen = set()
+        work = [_children(text, place, place + 1)]  # one layer of each depth is held at a time
         while work:
-            layer, lo, hi = work.pop()
-            mark = hashlib.blake2b(layer.encode() + lo.tobytes() + hi.tobytes(), digest_size=16).digest()
+            if (layer := next(work[-1], None)) is None:
+                work.pop()
+                continue
+            mark = _mark(*layer)
             if mark in seen:
                 continue
             seen.add(mark)
-            spans |= {(int(lo[s]), k, int(hi[e - 1])) for s, k, e in base_matches(layer)}
-            work += [*_children(layer, lo, hi), *_unpack(layer, lo, hi)]
+            found, lo, hi = layer
+            spans |= {(int(lo[s]), k, int(hi[e - 1])) for s, k, e in base_matches(found)}
+            work.append(itertools.chain(_children(*layer), _unpack(*layer)))
     return base, sorted(spans)
 
 

@@ -331,6 +331,34 @@ def test_secret_base64_glued_and_wrapped():
                 assert 0 not in [k for _, k, _ in secrets.scan(secrets.redact(text, secrets.scan(text)[1]))[1]]
 
 
+def test_secret_compressed_to_the_end(monkeypatch):
+    word = b"token=abcdefghijkl"
+
+    def kinds(data):
+        text = f"q {base64.b64encode(data).decode()} w"
+        spans = secrets.scan(text)[1]
+        assert all(2 <= s < e <= len(text) - 2 for s, _, e in spans)
+        return {k for _, k, _ in spans}
+
+    noise = random.Random(5).randbytes(3000)
+    assert kinds(gzip.compress(b"one") + gzip.compress(b"two tok") + gzip.compress(word[3:])) == {0}
+    assert kinds(zlib.compress(b"\0" * (70 << 20) + word)) == {0}
+    broken = bytearray(gzip.compress(word + b", " + noise))
+    broken[2500:] = b"\xff" * 600
+    assert kinds(bytes(broken)) == {0} and kinds(gzip.compress(word + noise)[:-9]) == {0}
+    assert kinds(gzip.compress(word)[:-8] + b"\0" * 8 + gzip.compress(b"AKIA" + b"Q" * 16)) == {0, 1}
+    # the content is the same in pieces of any size
+    inner = [word, b"AKIA" + b"Q7" * 9, base64.encodebytes(b"," * 200 + word), gzip.compress(noise + word), zlib.compress(b";" + word),
+             b"%25" + word[:1] + urllib.parse.quote_from_bytes(gzip.compress(noise + word)).encode(), repr(gzip.compress(word))[2:-1].encode(),
+             b"password" + b" " * 500 + b": abcdefg", gzip.compress(gzip.compress(word)) + gzip.compress(b"x")]
+    for piece in (16, 64, 1000):
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        monkeypatch.setattr(secrets, "STEP", 64)
+        for i, x in enumerate(inner):
+            for pad in range(0, 40, 3):
+                assert kinds(gzip.compress(b"{;}" * pad + b"," * 90 + x + b",;" * 99)) == {1 if i == 1 else 0}, (piece, i, pad)
+
+
 def test_segments():
     rng = np.random.default_rng(4)
     for _ in range(50):
