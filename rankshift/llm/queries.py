@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankshift.llm import (decontaminate, language, mixing, quality, secrets, simhash, suffix_dedup,
+from rankshift.llm import (decontaminate, language, mixing, pii, quality, secrets, simhash, suffix_dedup,
                            token_counts, topk, toxicity)
 
 
@@ -31,6 +31,7 @@ QUERIES = {
     "op8_language": lambda s, d: language.op8(_table(s, d, "documents")),
     "op9_quality": lambda s, d: quality.op9(_table(s, d, "documents"), _table(s, d, "labels")),
     "op10_token_counts": lambda s, d: token_counts.op10(_table(s, d, "documents"), vocabulary()),
+    "op12_pii": lambda s, d: pii.op12(_table(s, d, "documents")),
 }
 
 ORACLE = {
