@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from rankshift.llm import (decontaminate, language, mixing, pii, quality, secrets, simhash, suffix_dedup,
-                           token_counts, topk, toxicity)
+                           token_counts, topk, toxicity, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,7 @@ QUERIES = {
     "op9_quality": lambda s, d: quality.op9(_table(s, d, "documents"), _table(s, d, "labels")),
     "op10_token_counts": lambda s, d: token_counts.op10(_table(s, d, "documents"), vocabulary()),
     "op12_pii": lambda s, d: pii.op12(_table(s, d, "documents")),
+    "op13_whitening": lambda s, d: whitening.op13(_table(s, d, "embeddings")),
 }
 
 ORACLE = {
