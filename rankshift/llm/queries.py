@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankshift.llm import (decontaminate, language, mixing, pii, quality, secrets, simhash, suffix_dedup,
+from rankshift.llm import (decontaminate, language, mixing, negatives, pii, quality, secrets, simhash, suffix_dedup,
                            token_counts, topk, toxicity, whitening)
 
 
@@ -31,6 +31,7 @@ QUERIES = {
     "op8_language": lambda s, d: language.op8(_table(s, d, "documents")),
     "op9_quality": lambda s, d: quality.op9(_table(s, d, "documents"), _table(s, d, "labels")),
     "op10_token_counts": lambda s, d: token_counts.op10(_table(s, d, "documents"), vocabulary()),
+    "op11_hard_negatives": lambda s, d: negatives.op11(_table(s, d, "embeddings")),
     "op12_pii": lambda s, d: pii.op12(_table(s, d, "documents")),
     "op13_whitening": lambda s, d: whitening.op13(_table(s, d, "embeddings")),
 }
@@ -39,4 +40,5 @@ ORACLE = {
     "op1_topk_search": topk.SQL.format(vectors="embeddings"),
     "op2_mixing": mixing.SQL.format(docs="documents"),
     "op4_decontaminate": decontaminate.SQL.format(docs="documents", benchmark="benchmark"),
+    "op11_hard_negatives": negatives.SQL.format(vectors="embeddings"),
 }
