@@ -95,14 +95,15 @@ def nearest(x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def codebooks(rows: DataFrame, sizes: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """{dim: the codebooks of both halves}, fitted on at most ``SAMPLE`` rows of each length (smallest hash of the id)."""
+    """{dim: the codebooks of both halves}, fitted on some ``SAMPLE`` rows of each length, by a hash of the id."""
     books = {}
     for dim, n in sizes.items():
         k = int(min(MAX_CODES, max(1, round((n / CELL_ROWS) ** 0.5))))
         few = max(k, min(SAMPLE, (64 << 20) // (8 * dim)))
-        got = (rows.where(F.col("dim") == dim).select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(few)
-               .toPandas()["v"])
-        m = np.stack(got.to_numpy())
+        # a share of all hashes, so nothing is sorted or gathered beyond the sample; ids may repeat, hence the limit
+        drawn = F.xxhash64("vec_id") <= int(2.0**63 * min(1.0, 2.0 * few / n - 1.0) * (1 - 2.0**-50))
+        m = rows.where((F.col("dim") == dim) & drawn).select("v").limit(2 * few).collect()
+        m = np.array([r["v"] for r in m] or [[0.0] * dim])
         books[dim] = codebook(m[:, :dim // 2], k), codebook(m[:, dim // 2:], k)
     return books
 
@@ -323,17 +324,23 @@ FOUND = "block long, pos int, slot int, anchor_id long, vec_id long, score long"
 def searched(plan: DataFrame, shards: DataFrame, books, same: bool, k: int) -> DataFrame:
     """The best ``k`` rows of each shard for each planned want."""
     plan = materialize(plan, "negatives-plan")
-    load = materialize(plan.groupBy("shard").agg(F.ceil(F.sum(F.size("rows")) / GROUP).cast("int").alias("groups")),
-                       "negatives-load")
-    # a shard that many anchors want is copied once for every GROUP of them
-    left = (plan.join(load, "shard").withColumn("part", F.pmod(F.xxhash64("block"), F.col("groups")).cast("int"))
+    load = plan.groupBy("shard").agg(F.ceil(F.sum(F.size("rows")) / GROUP).cast("int").alias("groups"))
+    busy = {r["shard"]: r["groups"] for r in load.where("groups > 1").toLocalIterator()}  # at most one entry a shard
+    right = shards.withColumnsRenamed({"block": "shard"})
+    groups, copies = F.lit(1), F.array(F.lit(0))
+    if busy:  # a shard that many anchors want is copied once for every GROUP of them
+        sizes = plan.sparkSession.createDataFrame(list(busy.items()), "shard long, groups int")
+        plan, right = plan.join(sizes, "shard", "left"), right.join(sizes, "shard", "left")
+        groups = F.coalesce("groups", F.lit(1))
+        copies = F.sequence(F.lit(0), groups - 1)
+    left = (plan.withColumn("part", F.pmod(F.xxhash64("block"), groups).cast("int"))
             .select("shard", "part", "block", "dim", "rows", "ids", "labels", "q", "pos", "slot", "low", "high"))
-    copies = load.select(F.col("shard").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
-    right = shards.join(copies, "block").withColumnsRenamed({"block": "shard", "part": "copy"})
+    right = right.withColumn("copy", F.explode(copies)).select(
+        "shard", "copy", "dim", "ids", "labels", "cells", "m", "d_cell", "d_r1", "d_r2")
 
-    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:  # ``asked`` is empty for a shard nobody wants
         out = [pd.DataFrame({c: pd.Series(dtype="int64") for c in ("block", "pos", "slot", "anchor_id", "vec_id", "score")})]
-        for h in held.itertuples():
+        for h in held.itertuples() if len(asked) else ():
             shard = Shard(h, books[h.dim])
             for r in asked.itertuples():
                 ids, row, slot = np.asarray(r.ids), np.asarray(r.pos), np.asarray(r.slot)
@@ -360,7 +367,7 @@ def _with_wants(blocks: DataFrame, wants: DataFrame) -> DataFrame:
 
 def answered(blocks: DataFrame, shards: DataFrame, index, books, wants: DataFrame, same: bool, k: int) -> DataFrame:
     """FOUND columns and rank: the best ``k`` rows of every want (block, pos, slot, low, high)."""
-    wants = materialize(wants.where("low <= high"), "negatives-wants")
+    wants = wants.where("low <= high")
     seed = materialize(_best(searched(planned(_with_wants(blocks, wants), index, True), shards, books, same, k), k),
                        "negatives-seed")
     known = seed.where(F.col("rank") == k).select("block", "pos", "slot", F.col("score").alias("floor"))
