@@ -14,6 +14,7 @@ class GenParams:
     top_p: float = 0.9
     top_k: int = 0
     max_length: int = 150
+    max_input: int = 0  # words of the prompt that are read; 0: all
     seed: int = 123
 
     def to_dict(self) -> dict:

@@ -199,3 +199,145 @@ ntok AS (SELECT s.doc_id, s.lang, s.i,
                        lambda acc, x: {{'a': x.a + x.b * acc.a, 'b': 0.0}}).a AS p
          FROM nsc s JOIN nvoc v USING (lang) GROUP BY s.doc_id, s.lang, s.i, v.V),
 nppl AS (SELECT doc_id, lang, round(exp(-avg(ln(p))), 6) AS perplexity FROM ntok GROUP BY doc_id, lang)"""
+
+
+# ------------------------------------------------------------ generation (GEN1, GEN2, GEN4, GEN6)
+
+def u32(text: str, at: int = 1) -> str:
+    return f"('0x' || substr(md5({text}), {at}, 8))::BIGINT"
+
+
+def generator_bigrams(by: str = "") -> str:
+    """(by, w1, w2, c) of all documents."""
+    lead = f"{by}, " if by else ""
+    return f"""gtok AS (SELECT {lead}list_concat(['<s>'], {tok('text')}, ['</s>']) AS t FROM documents),
+gpair AS (SELECT {lead}unnest(list_transform(generate_series(1, len(t) - 1), lambda i: {{'w1': t[i], 'w2': t[i + 1]}})) AS p FROM gtok),
+gbg AS (SELECT {lead}p.w1 AS w1, p.w2 AS w2, count(*) AS c FROM gpair {f'WHERE {by} IS NOT NULL' if by else ''} GROUP BY ALL)"""
+
+
+def continuation_ctes(by: str = "", temperature: float = 1.0, top_k: int = 0, top_p: float = 1.0) -> str:
+    """gcont (by, ctx, w, pos, x, n, total): the followers that stay, in their order."""
+    k, lead = (f"{by}, ctx", f"{by}, ") if by else ("ctx", "")
+    x = "c" if temperature == 1.0 else f"greatest(1, round(1024 * pow(c::DOUBLE, {1.0 / temperature!r})))"
+    keep = [f"pos < {top_k}"] if top_k > 0 else []
+    keep += [f"lo < {top_p!r}::DOUBLE * alls"] if top_p < 1.0 else []
+    order = f"PARTITION BY {k} ORDER BY c DESC, {u32('w')}, w"
+    return f"""gx AS (SELECT {lead}w1 AS ctx, w2 AS w, c, ({x})::BIGINT AS x FROM gbg),
+gord AS (SELECT *, row_number() OVER ({order}) - 1 AS pos, sum(x) OVER ({order} ROWS UNBOUNDED PRECEDING) - x AS lo,
+         sum(x) OVER (PARTITION BY {k}) AS alls FROM gx),
+gcont AS (SELECT {lead}ctx, w, pos, x::HUGEINT AS x, count(*) OVER (PARTITION BY {k}) AS n,
+          sum(x) OVER (PARTITION BY {k})::HUGEINT AS total FROM gord {'WHERE ' + ' AND '.join(keep) if keep else ''})"""
+
+
+def alias_ctes(by: str = "") -> str:
+    """galias (by, ctx, cell, total, t, own, other): Walker's cells, by running sums of deficits and surpluses."""
+    k, lead = (f"{by}, ctx", f"{by}, ") if by else ("ctx", "")
+    same = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in k.split(","))
+    return f"""gdev AS (SELECT *, n * x - total AS over FROM gcont),
+gsum AS (SELECT *, coalesce(sum(abs(over)) OVER (PARTITION BY {k}, over > 0 ORDER BY pos
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo,
+           coalesce(sum(CASE WHEN over > 0 THEN over END) OVER (PARTITION BY {k}), 0) AS spare FROM gdev),
+gspan AS (SELECT *, lo + abs(over) AS hi FROM gsum),
+galias AS (
+  SELECT {lead}ctx, pos AS cell, total, total AS t, w AS own, w AS other FROM gspan WHERE over = 0 OR (over > 0 AND hi = spare)
+  UNION ALL
+  SELECT {', '.join('a.' + c.strip() for c in k.split(','))}, a.pos, a.total, a.total + a.over, a.w, b.w
+  FROM gspan a JOIN gspan b ON {same} AND a.over < 0 AND b.over > 0 AND b.lo <= a.lo AND a.lo < b.hi
+  UNION ALL
+  SELECT {', '.join('a.' + c.strip() for c in k.split(','))}, a.pos, a.total, a.total + a.hi - b.hi, a.w, d.w
+  FROM gspan a JOIN gspan b ON {same} AND a.over > 0 AND a.hi < a.spare AND b.over < 0 AND b.lo < a.hi AND a.hi <= b.hi
+  JOIN gspan d ON {same.replace('b.', 'd.')} AND d.pos = a.pos + 1)"""
+
+
+def sampled_texts(prompts: str, keys: str = "qid", by: str = "", max_length: int = 40, seed: int = 123) -> str:
+    """gtext (keys, text) by ``max_length`` draws; ``prompts`` has the keys, the group and ``query``."""
+    ks = [c.strip() for c in keys.split(",")]
+    own = ks + ([by] if by and by not in ks else [])
+    on = f"g.{by} = s.{by} AND " if by else ""
+    mark = " || ".join(f"'|' || coalesce({{}}.{c}::VARCHAR, '')" for c in ks)
+    digest = f"'{seed}|' || s.step || " + mark.replace("{}", "s")
+    return f"""ghead AS (SELECT DISTINCT {by + ', ' if by else ''}ctx, n FROM gcont),
+gstart AS (SELECT {', '.join(own)}, coalesce(list_last({tok('query')}), '<s>') AS w FROM {prompts}),
+gfirst AS (SELECT {', '.join('s.' + c for c in own)}, CASE WHEN g.n IS NOT NULL THEN s.w ELSE '<s>' END AS ctx
+  FROM gstart s LEFT JOIN ghead g ON {on}g.ctx = s.w),
+gwalk AS (
+  SELECT {', '.join(own)}, ctx, 0 AS step, [] ::VARCHAR[] AS gen, false AS done FROM gfirst
+  UNION ALL
+  SELECT {', '.join('s.' + c for c in own)}, d.w, s.step + 1, CASE WHEN d.stop THEN s.gen ELSE list_append(s.gen, d.w) END, d.stop
+  FROM (SELECT s.*, g.n, {u32(digest)} AS u1, {u32(digest, 9)} AS u2 FROM gwalk s JOIN ghead g ON {on}g.ctx = s.ctx
+        WHERE NOT s.done AND s.step < {max_length}) s
+  JOIN galias g ON {on}g.ctx = s.ctx AND g.cell = (s.u1 * s.n) >> 32,
+  LATERAL (SELECT CASE WHEN s.u2 / 4294967296.0::DOUBLE * g.total::DOUBLE < g.t::DOUBLE THEN g.own ELSE g.other END AS w) e,
+  LATERAL (SELECT e.w, e.w = '</s>' AS stop) d),
+gtext AS (SELECT {', '.join(own)}, array_to_string(arg_max(gen, step), ' ') AS text FROM gwalk GROUP BY {', '.join(own)})"""
+
+
+def beam_texts(prompts: str, beams: int, max_length: int, seed: int, sample: bool, max_input: int = 0) -> str:
+    """gtext (qid, text) by ``beams`` parallel texts."""
+    words = f"({tok('query')})[:{max_input}]" if max_input else tok("query")
+    u = u32(f"'{seed}|' || s.step || '|' || s.qid || '|' || s.beam || '|' || coalesce(g.w, '')")
+    noise = f"- ln(-ln(({u} + 0.5) / 4294967296.0::DOUBLE))" if sample else ""
+    return f"""ghead AS (SELECT DISTINCT ctx, n FROM gcont),
+gstart AS (SELECT qid, coalesce(list_last({words}), '<s>') AS w FROM {prompts}),
+gbeam AS (
+  SELECT s.qid, 1::BIGINT AS beam, 0.0::DOUBLE AS score, CASE WHEN g.n IS NOT NULL THEN s.w ELSE '<s>' END AS ctx,
+         [] ::VARCHAR[] AS gen, 0::BIGINT AS len, false AS done, 0 AS step FROM gstart s LEFT JOIN ghead g ON g.ctx = s.w
+  UNION ALL
+  SELECT qid, CASE WHEN done OR w = '</s>' THEN beam ELSE live::BIGINT END, CASE WHEN done THEN score ELSE sc END,
+         CASE WHEN done OR w = '</s>' THEN ctx ELSE w END, CASE WHEN done OR w = '</s>' THEN gen ELSE list_append(gen, w) END,
+         len + CASE WHEN done THEN 0 ELSE 1 END, done OR w = '</s>', step + 1
+  FROM (SELECT *, row_number() OVER (PARTITION BY qid, done ORDER BY round(sc, 9) DESC, beam, len, w) AS r,
+          sum(CASE WHEN w <> '</s>' THEN 1 ELSE 0 END) OVER (PARTITION BY qid, done ORDER BY round(sc, 9) DESC, beam, len, w
+            ROWS UNBOUNDED PRECEDING) AS live
+        FROM (SELECT *, row_number() OVER (PARTITION BY qid, done ORDER BY round(draw, 9) DESC, beam, len, w) AS k
+              FROM (SELECT *, CASE WHEN done THEN sc ELSE sc {noise.replace('s.', '').replace('g.w', 'w')} END AS draw
+                    FROM (SELECT s.*, g.w, CASE WHEN s.done THEN CASE WHEN s.len > 0 THEN s.score / s.len ELSE 0.0 END
+                            ELSE s.score + ln(g.x::DOUBLE / g.total::DOUBLE) END AS sc
+                          FROM gbeam s LEFT JOIN gcont g ON NOT s.done AND g.ctx = s.ctx WHERE s.step < {max_length})))
+        WHERE k <= {2 * beams})
+  WHERE done OR (w = '</s>' AND r <= {beams}) OR (w <> '</s>' AND live <= {beams})),
+gtext AS (SELECT qid, array_to_string(gen, ' ') AS text FROM (SELECT *, row_number() OVER (PARTITION BY qid
+    ORDER BY round(CASE WHEN len > 0 THEN score / len ELSE 0.0 END, 9) DESC, len, array_to_string(gen, ' ')) AS k
+  FROM gbeam WHERE step = {max_length}) WHERE k = 1)"""
+
+
+def kn_ctes(order: int = 3) -> str:
+    """kppl (doc_id, lang, perplexity) under the modified Kneser-Ney model of each language."""
+    out = [f"kt AS (SELECT doc_id, lang, list_concat(['<s>'], {tok('text')}, ['</s>']) AS t FROM documents)",
+           f"""kw AS (SELECT doc_id, lang, unnest(list_transform(generate_series(2, len(t)), lambda i:
+                 array_to_string(t[greatest(i - {order - 1}, 1) : i], ' '))) AS gram FROM kt)""",
+           "kseen AS (SELECT lang, gram, count(*) AS a, len(string_split(gram, ' ')) AS k FROM kw GROUP BY lang, gram)",
+           f"ka{order} AS (SELECT lang, gram, a FROM kseen WHERE k = {order})"]
+    for k in range(order - 1, 0, -1):
+        out.append(f"""ka{k} AS (SELECT lang, array_to_string(string_split(gram, ' ')[2:], ' ') AS gram, count(*) AS a FROM ka{k + 1} GROUP BY ALL
+                   UNION ALL SELECT lang, gram, a FROM kseen WHERE k = {k})""")
+    for k in range(1, order + 1):
+        d = {i: f"{i} - {i + 1} * (t1 / (t1 + 2 * t2)) * t{i + 1} / t{i}" for i in (1, 2, 3)}
+        good = "t1 > 0 AND t2 > 0 AND t3 > 0 AND " + " AND ".join(f"{d[i]} > 0 AND {d[i]} <= {i}" for i in (1, 2, 3))
+        ctx = f"array_to_string(string_split(gram, ' ')[:{k - 1}], ' ')"
+        below = "u.below" if k == 1 else "l.p"
+        out += [f"""kt{k} AS (SELECT lang, {', '.join(f'count_if(a = {i})::DOUBLE AS t{i}' for i in range(1, 5))} FROM ka{k} GROUP BY lang)""",
+                f"kd{k} AS (SELECT lang, {', '.join(f'CASE WHEN {good} THEN {d[i]} ELSE {i / 2} END AS d{i}' for i in (1, 2, 3))} FROM kt{k})",
+                f"""kr{k} AS (SELECT r.*, {ctx} AS ctx, array_to_string(string_split(gram, ' ')[2:], ' ') AS rest,
+                     CASE WHEN a = 1 THEN d1 WHEN a = 2 THEN d2 ELSE d3 END AS d FROM ka{k} r JOIN kd{k} USING (lang))""",
+                f"ks{k} AS (SELECT lang, ctx, sum(a)::DOUBLE AS alls, sum(d) / sum(a) AS bow, count(*) AS words FROM kr{k} GROUP BY ALL)"]
+        if k == 1:
+            out.append("ku AS (SELECT lang, bow / (words + 1) AS below FROM ks1)")
+            out.append("kp1 AS (SELECT r.lang, gram, (a - d) / alls + below AS p FROM kr1 r JOIN ks1 USING (lang) JOIN ku USING (lang))")
+        else:
+            out.append(f"""kp{k} AS (SELECT r.lang, r.gram, (a - d) / alls + bow * l.p AS p FROM kr{k} r JOIN ks{k} s USING (lang, ctx)
+                       JOIN kp{k - 1} l ON l.lang = r.lang AND l.gram = r.rest)""")
+    parts = lambda n: f"array_to_string(string_split(w.gram, ' ')[-{n}:], ' ')"
+    joins, pick, hand = "", "CASE", ""
+    for k in range(order, 0, -1):
+        joins += f" LEFT JOIN kp{k} p{k} ON w.k >= {k} AND p{k}.lang = w.lang AND p{k}.gram = {parts(k)}"
+        handed = " + ".join(f"coalesce(ln(b{j}.bow), 0)" for j in range(k + 1, order + 1)) or "0"
+        pick += f" WHEN p{k}.p IS NOT NULL THEN ln(p{k}.p) + {handed}"
+        if k > 1:
+            joins += (f" LEFT JOIN ks{k} b{k} ON w.k >= {k} AND b{k}.lang = w.lang AND b{k}.ctx = "
+                      f"array_to_string(string_split(w.gram, ' ')[-{k}:-2], ' ')")
+    handed = " + ".join(f"coalesce(ln(b{j}.bow), 0)" for j in range(2, order + 1)) or "0"
+    out.append(f"klp AS (SELECT w.lang, w.gram, {pick} ELSE ln(u.below) + {handed} END AS lp FROM kseen w JOIN ku u USING (lang) {joins})")
+    out.append("""kppl AS (SELECT doc_id, kw.lang, round(exp(-avg(lp)), 6) AS perplexity FROM kw LEFT JOIN klp ON klp.lang = kw.lang AND klp.gram = kw.gram
+               GROUP BY doc_id, kw.lang)""")
+    return ",\n".join(out)

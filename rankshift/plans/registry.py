@@ -739,7 +739,7 @@ def q_bleu_unigram(spark, sf):
 
 # ------------------------------------------- variants, runs, generation (§2.5)
 
-from rankshift.operators import generators as GN  # noqa: E402
+from rankshift.operators import generators as GN, kneser_ney as KN, sampling as SA  # noqa: E402
 from rankshift.params import GenParams  # noqa: E402
 
 LENGTHS = (50, 150, 300)
@@ -869,31 +869,72 @@ def _generator_bigrams(spark, sf, by=()):
     return materialize(NG.train_bigram_lm(d, by=by)["bigrams"], "generator_bigrams")
 
 
-@register("generate_ngram")
+def _texts_sql(top: str, *ctes: str, select: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([top, *ctes]) + "\n" + select
+
+
+NGRAM = GenParams(do_sample=True, temperature=1.0, top_p=0.9, max_length=40, seed=123)
+
+
+@register("generate_ngram", _texts_sql(
+    O.QUERIES, O.generator_bigrams(), O.continuation_ctes(top_p=0.9), O.alias_ctes(),
+    O.sampled_texts("queries", max_length=40), select="SELECT q.qid, q.query, g.text AS generated_text FROM queries q JOIN gtext g USING (qid)"))
 def q_generate_ngram(spark, sf):
-    """Sampled texts under the unpruned bigram model of all documents."""
-    params = GenParams(do_sample=True, num_beams=2, temperature=1.0, top_p=0.9, max_length=40, seed=123)
+    """Texts drawn from the nucleus of the bigram model of all documents."""
     q = standins.queries(spark, sf)
-    made = NG.sample_by_join(q, _generator_bigrams(spark, sf), params.to_dict())
+    made = SA.sample_texts(q, _generator_bigrams(spark, sf), NGRAM.to_dict())
     return q.select("qid", "query").join(made, "qid")
 
 
-@register("generate_ngram_join")
+@register("generate_ngram_join", _texts_sql(
+    O.QUERIES, O.generator_bigrams(), O.continuation_ctes(), O.alias_ctes(), O.sampled_texts("queries", max_length=16),
+    select="SELECT qid, text AS generated_text FROM gtext"))
 def q_generate_ngram_join(spark, sf):
     """The same sampler without cuts of the continuation list, shorter texts."""
     params = GenParams(do_sample=True, temperature=1.0, top_p=1.0, top_k=0, max_length=16, seed=123)
-    return NG.sample_by_join(standins.queries(spark, sf), _generator_bigrams(spark, sf), params.to_dict())
+    return SA.sample_texts(standins.queries(spark, sf), _generator_bigrams(spark, sf), params.to_dict())
+
+
+@register("generate_greedy", _texts_sql(
+    O.QUERIES, O.generator_bigrams(), O.continuation_ctes(top_k=1), O.alias_ctes(), O.sampled_texts("queries", max_length=12),
+    select="SELECT qid, text AS generated_text FROM gtext"))
+def q_generate_greedy(spark, sf):
+    """GEN2 with ``do_sample`` off: always the most frequent follower."""
+    params = GenParams(do_sample=False, max_length=12)
+    return SA.sample_texts(standins.queries(spark, sf), _generator_bigrams(spark, sf), params.to_dict())
 
 
-@register("generate_grid")
+@register("generate_beam", _texts_sql(
+    O.QUERIES, O.generator_bigrams(), O.continuation_ctes(temperature=1.5, top_p=0.9),
+    O.beam_texts("queries", 2, 20, 123, True), select="SELECT qid, text AS generated_text FROM gtext"))
+def q_generate_beam(spark, sf):
+    """GEN2 as the reference's evaluation sets it: two beams together with sampling, temperature 1.5, top_p 0.9."""
+    params = GenParams(do_sample=True, num_beams=2, temperature=1.5, top_p=0.9, max_length=20, seed=123)
+    return SA.sample_texts(standins.queries(spark, sf), _generator_bigrams(spark, sf), params.to_dict())
+
+
+@register("generate_beam_search", _texts_sql(
+    O.QUERIES, O.generator_bigrams(), O.continuation_ctes(), O.beam_texts("queries", 3, 12, 123, False, 20),
+    select="SELECT qid, text AS generated_text FROM gtext"))
+def q_generate_beam_search(spark, sf):
+    """GEN2: plain beam search with three beams, prompts cut to 20 words."""
+    params = GenParams(do_sample=False, num_beams=3, top_p=1.0, max_length=12, max_input=20, seed=123)
+    return SA.sample_texts(standins.queries(spark, sf), _generator_bigrams(spark, sf), params.to_dict())
+
+
+@register("generate_grid", _texts_sql(
+    O.QUERIES, O.generator_bigrams("lang"), O.continuation_ctes("lang", 0.8, 0, 0.95), O.alias_ctes("lang"),
+    "grid AS (SELECT q.qid, m.lang, q.query FROM queries q CROSS JOIN (SELECT DISTINCT lang FROM gbg) m)",
+    O.sampled_texts("grid", "qid, lang", "lang", 30, 7),
+    select="SELECT q.qid, q.lang AS model, q.query, g.text AS generated_text FROM grid q JOIN gtext g USING (qid, lang)"))
 def q_generate_grid(spark, sf):
     """GEN4: every query under every model; the models are the bigram models of the languages."""
-    params = GenParams(do_sample=True, num_beams=2, temperature=0.8, top_p=0.95, max_length=30, seed=7)
+    params = GenParams(do_sample=True, temperature=0.8, top_p=0.95, max_length=30, seed=7)
     b = _generator_bigrams(spark, sf, ("lang",)).withColumnRenamed("lang", "model")
     models = b.select("model").where("model is not null").distinct()  # one row a model
     q = standins.queries(spark, sf).select("qid", "query")
     grid = materialize(q.crossJoin(models), "grid")  # GEN4 is every query x every model
-    made = NG.sample_by_join(grid, b, params.to_dict(), keys=("qid", "model"), by=("model",))
+    made = SA.sample_texts(grid, b, params.to_dict(), keys=("qid", "model"), by=("model",))
     return grid.join(made, ["qid", "model"]).select("qid", "model", "query", "generated_text")
 
 
@@ -991,6 +1032,13 @@ def q_perplexity_trigram(spark, sf):
     return NG.perplexity_ngram(d, NG.train_ngram_lm(d, 3))
 
 
+@register("perplexity_kn", f"WITH {O.kn_ctes(3)} SELECT doc_id, lang, perplexity FROM kppl")
+def q_perplexity_kn(spark, sf):
+    """MET9 under a trigram model with modified Kneser-Ney smoothing, one for each language."""
+    w = KN.doc_windows(table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    return KN.perplexity_kn(w, KN.train_kn(w))
+
+
 @register("ngram_order_counts", f"""WITH {O.ngram_lm_ctes(3)}
 SELECT lang, k, count(*) AS n_ngrams, sum(c)::BIGINT AS n_tokens FROM ncnt GROUP BY ALL""")
 def q_ngram_order_counts(spark, sf):
