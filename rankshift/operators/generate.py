@@ -115,35 +115,3 @@ def generate(df: DataFrame, make_generator: Callable[[], object], params: GenPar
                 yield res
 
     return seeded.mapInPandas(run, schema)
-
-
-def generate_grid(queries: DataFrame, models: Sequence[str], make_generator: Callable[[str], object],
-                  params: GenParams, keys: Sequence[str] = ("qid",), prompt: str = "query",
-                  partitions: int | None = None) -> DataFrame:
-    """GEN4: every query x every model/checkpoint.  The model list is a
-    literal array (no join).  Rows spread over ``partitions`` tasks by (model,
-    key hash) -- no model's queries sit in one task -- and are sorted by
-    model inside each task, so a worker loads each model once and keeps it."""
-    keys = list(keys)
-    g = queries.select(*keys, prompt, F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
-    n = partitions or g.sparkSession.sparkContext.defaultParallelism
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(n))
-    g = g.repartition(n, F.col("model"), bucket).sortWithinPartitions("model")
-    dtypes = dict(g.dtypes)
-    cols = keys + ["model", prompt]
-    schema = ", ".join(f"`{c}` {dtypes[c]}" for c in cols) + ", `generated_text` string"
-    pd_params = params.to_dict()
-    seeded = g.select(*cols, h32(F.lit(params.seed), F.lit("|"), F.col("model"), F.lit("|"), *_separated(keys)).alias("_seed"))
-
-    def run(batches):
-        models = {}
-        for pdf in batches:
-            for model, part in pdf.groupby("model", sort=False):
-                if model not in models:
-                    models[model] = make_generator(model)
-                gen = models[model]
-                res = part[cols].copy()
-                res["generated_text"] = gen.generate(part[prompt].fillna("").tolist(), part["_seed"].tolist(), pd_params)
-                yield res
-
-    return seeded.mapInPandas(run, schema)

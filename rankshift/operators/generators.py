@@ -1,9 +1,4 @@
-"""Generators and pair scorers that run inside Python workers.
-
-``NGramGenerator`` samples from the pruned continuation table of the bigram
-model (a bounded, size-checked broadcast).  Per-row Python is limited to the
-sampling loop; the model itself was built by Spark (``ngram``).
-"""
+"""Small models for the pluggable slots: generators, pair scorers and embedders that run inside Python workers."""
 
 from __future__ import annotations
 
@@ -14,7 +9,6 @@ import pandas as pd
 import regex
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-BOS, EOS = "<s>", "</s>"
 
 
 def py_tokens(text: str) -> list[str]:
@@ -22,61 +16,6 @@ def py_tokens(text: str) -> list[str]:
     return [t.lower() for t in _WORD.findall(text or "")]
 
 
-class NGramGenerator:
-    """Samples words from ``table``: dict context -> (words, counts).
-
-    GEN2 controls: ``do_sample`` (False = greedy), ``temperature``,
-    ``top_k``, ``top_p``, ``max_length`` (words).  ``num_beams``
-    does not change the draws: the best of several sampled beams of a bigram
-    table is not modelled, but sampling stays on as asked."""
-
-    def __init__(self, table: dict, top_m: int | None = None):
-        self.table = table
-        self.top_m = top_m
-
-    def _next(self, ctx: str, rng: np.random.Generator, p: dict) -> str:
-        words, counts = self.table.get(ctx) or self.table.get(BOS) or ([EOS], [1])
-        if self.top_m:
-            words, counts = words[: self.top_m], counts[: self.top_m]
-        c = np.asarray(counts, dtype="float64")
-        if not p.get("do_sample", True):
-            return words[int(np.argmax(c))]
-        logits = np.log(c) / max(float(p.get("temperature", 1.0)), 1e-6)
-        probs = np.exp(logits - logits.max())
-        probs /= probs.sum()
-        order = np.argsort(-probs, kind="stable")
-        k = int(p.get("top_k") or 0)
-        if k > 0:
-            order = order[:k]
-        top_p = float(p.get("top_p", 1.0))
-        if top_p < 1.0:
-            cum = np.cumsum(probs[order])
-            order = order[: int(np.searchsorted(cum, top_p) + 1)]
-        pr = probs[order] / probs[order].sum()
-        return words[int(order[rng.choice(len(order), p=pr)])]
-
-    def generate(self, prompts: Sequence[str], seeds: Sequence[int], p: dict) -> list[str]:
-        out = []
-        for prompt, seed in zip(prompts, seeds):
-            rng = np.random.default_rng(int(seed))
-            toks = py_tokens(prompt)
-            ctx = toks[-1] if toks else BOS
-            words = []
-            for _ in range(int(p.get("max_length", 50))):
-                w = self._next(ctx, rng, p)
-                if w == EOS:
-                    break
-                words.append(w)
-                ctx = w
-            out.append(" ".join(words))
-        return out
-
-
-def table_from_pandas(pdf: pd.DataFrame) -> dict:
-    """(w1, words, counts) rows -> dict w1 -> (words, counts), most frequent first."""
-    return {w1: (list(ws), list(cs)) for w1, ws, cs in zip(pdf["w1"], pdf["words"], pdf["counts"])}
-
-
 def overlap_scorer(queries: pd.Series, texts: pd.Series) -> pd.Series:
     """RNK4 built-in pair scorer: Jaccard overlap of word sets."""
     vals = []

@@ -1,5 +1,5 @@
-"""n-gram language model by counting (GEN5), perplexity (MET9), the
-perplexity cut (CLN7) and the pruned continuation table for generation.
+"""n-gram language model by counting (GEN5), perplexity (MET9) and the
+perplexity cut (CLN7).
 
 Counts are separate tables keyed by ``(group, w1, w2)``; scoring is a
 shuffle join of each text's bigrams to them, never a broadcast of the model.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankshift.functions.text import with_term_counts, word_tokens
@@ -93,98 +93,6 @@ def perplexity_keep(ppl: DataFrame, keep: float = 1.0 / 3.0, by: Sequence[str] =
     return ppl.join(cut, by).where(F.col("perplexity") <= F.col("_cut")).select(key, *by, "perplexity")
 
 
-def sampling_table(bigrams: DataFrame, by: Sequence[str] = (), temperature: float = 1.0, top_k: int = 0,
-                   top_p: float = 1.0, per_bucket: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Model for generation from bigram counts: (table, heads).
-
-    Continuations of a context are ordered by count, then word, and own the
-    range [lo, hi) of the running sum of count^(1/temperature); ``top_k`` and
-    ``top_p`` cut that list.  ``table``: (by, ctx, bucket, lo, hi, w), where a
-    range is listed in every bucket of width ``width`` it touches, so a draw
-    meets about ``per_bucket`` rows.  ``heads``: (by, ctx, total, width).
-    No context is one row or one window group: the sums run over groups of
-    equal count and word start, inside which all weights are equal."""
-    by = list(by)
-    c = bigrams.select(*by, F.col("w1").alias("ctx"), F.col("w2").alias("w"), F.col("c"),
-                       F.pow(F.col("c").cast("double"), 1.0 / temperature).alias("x"),
-                       F.substring("w2", 1, 2).alias("start"))
-    key = [*by, "ctx"]
-    groups = c.groupBy(*key, "c", "start").agg(F.count(F.lit(1)).alias("n"), F.first("x").alias("x"))
-    order = Window.partitionBy(*key).orderBy(F.desc("c"), "start").rowsBetween(Window.unboundedPreceding, -1)
-    groups = (groups.withColumn("base", F.coalesce(F.sum(F.col("n") * F.col("x")).over(order), F.lit(0.0)))
-              .withColumn("rank0", F.coalesce(F.sum("n").over(order), F.lit(0))))
-    totals = groups.groupBy(*key).agg(F.max(F.col("base") + F.col("n") * F.col("x")).alias("all"))
-    inside = Window.partitionBy(*key, "c", "start").orderBy("w")
-    e = (c.withColumn("rn", F.row_number().over(inside))
-         .join(groups.select(*key, "c", "start", "base", "rank0"), [*key, "c", "start"]).join(totals, key)
-         .withColumn("lo", F.col("base") + (F.col("rn") - 1) * F.col("x"))
-         .withColumn("hi", F.col("base") + F.col("rn") * F.col("x")))
-    if top_k > 0:
-        e = e.where(F.col("rank0") + F.col("rn") <= top_k)
-    if top_p < 1.0:
-        e = e.where(F.col("lo") / F.col("all") < top_p)
-    e = materialize(e.select(*key, "w", "lo", "hi"), "sampling_ranges")
-    heads = e.groupBy(*key).agg(F.max("hi").alias("total"), F.count(F.lit(1)).alias("n"))
-    heads = heads.select(*key, "total", (F.col("total") / F.ceil(F.col("n") / per_bucket)).alias("width"))
-    heads = materialize(heads, "sampling_heads")
-    rows = e.join(heads, key)
-    rows = rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / F.col("width")),
-                                                          F.floor(F.col("hi") / F.col("width")))))
-    return materialize(rows.select(*key, "bucket", "lo", "hi", "w"), "sampling_table"), heads
-
-
-def sample_by_join(prompts: DataFrame, bigrams: DataFrame, params: dict, keys: Sequence[str] = ("qid",),
-                   by: Sequence[str] = (), prompt: str = "query", out: str = "generated_text",
-                   cut_every: int = 5) -> DataFrame:
-    """Generation without shipping the model.  Every step draws a point of the
-    current context's total, u = hash(seed, keys, step), and finds the range
-    that holds it by an equi-join on (by, context, bucket).  The text depends
-    on prompt, seed, parameters and model only.  Unseen contexts draw from
-    the <s> context through the same join.  Greedy (the first range) only
-    when ``do_sample`` is off; ``num_beams`` leaves the draws unchanged.
-    State is written every ``cut_every`` steps, so plans stay short."""
-    from rankshift.functions.hashing import unit_hash
-    keys, by = list(keys), list(by)
-    temp = max(float(params.get("temperature", 1.0)), 1e-6)
-    table, heads = sampling_table(bigrams, by, temp, int(params.get("top_k") or 0), float(params.get("top_p", 1.0)))
-    own = [k for k in keys if k not in by] + by
-    st = prompts.select(*own, word_tokens(prompt).alias("_pt")).select(
-        *own, F.coalesce(F.try_element_at("_pt", F.lit(-1)), F.lit(BOS)).alias("ctx"),
-        F.array().cast("array<string>").alias("gen"), F.lit(False).alias("done"))
-    known = heads.select(*by, F.col("ctx").alias("_known"))
-    drawn = table.withColumnRenamed("ctx", "_from").withColumnRenamed("w", "_n")
-    for step in range(int(params.get("max_length", 50))):
-        seen = (F.col("ctx") == F.col("_known"))
-        for b in by:
-            seen = seen & (st[b] == known[b])
-        j = st.join(known, seen, "left").select(*[st[c] for c in own], "ctx", "gen", "done",
-                                                F.coalesce("_known", F.lit(BOS)).alias("_from"))
-        j = j.join(heads.withColumnRenamed("ctx", "_from"), [*by, "_from"], "left")
-        u = unit_hash(F.lit(int(params.get("seed", 0))), F.lit("|"), F.lit(step),
-                      *[F.concat(F.lit("|"), F.col(k).cast("string")) for k in keys])
-        point = u * F.col("total") if params.get("do_sample", True) else F.lit(0.0)
-        j = j.withColumn("_t", point).withColumn("bucket", F.floor(F.col("_t") / F.col("width")))
-        j = j.alias("s").join(drawn.alias("d"), (F.col("s._from") == F.col("d._from")) & (F.col("s.bucket") == F.col("d.bucket"))
-                              & (F.col("_t") >= F.col("lo")) & (F.col("_t") < F.col("hi"))
-                              & _all_equal("s", "d", by), "left")
-        j = j.select(*[F.col(f"s.{c}").alias(c) for c in own], "ctx", "gen", "done",
-                     F.coalesce("_n", F.lit(EOS)).alias("_n"))
-        j = j.withColumn("_stop", F.col("done") | (F.col("_n") == EOS))
-        st = j.select(*own, F.when(F.col("done"), F.col("ctx")).otherwise(F.col("_n")).alias("ctx"),
-                      F.when(F.col("_stop"), F.col("gen")).otherwise(F.concat("gen", F.array("_n"))).alias("gen"),
-                      F.col("_stop").alias("done"))
-        if (step + 1) % cut_every == 0:
-            st = materialize(st, "gen_state")
-    return st.select(*own, F.array_join("gen", " ").alias(out))
-
-
-def _all_equal(a: str, b: str, columns: Sequence[str]):
-    cond = F.lit(True)
-    for c in columns:
-        cond = cond & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
-    return cond
-
-
 # ------------------------------------------- order-N, interpolated discounting
 
 def kgram_rows(df: DataFrame, keep: Sequence[str], order: int, text: str = "text") -> DataFrame:

@@ -96,22 +96,6 @@ def test_run_positions_equal_direct(spark):
     assert sorted(map(tuple, inc.select(*cols).collect())) == sorted(map(tuple, direct.select(*cols).collect()))
 
 
-def test_join_sampler_valid_and_deterministic(spark):
-    from rankshift.operators import ngram as NG
-    from rankshift.plans import standins
-    d = table(spark, SF001, "documents").select("doc_id", "text")
-    cont = NG.train_bigram_lm(d, by=())["bigrams"]
-    follows = {(r["w1"], r["w2"]) for r in cont.collect()}
-    q = standins.queries(spark, SF001)
-    p = {"do_sample": True, "temperature": 0.9, "top_p": 0.95, "max_length": 6, "seed": 5}
-    a = {r["qid"]: r["generated_text"] for r in NG.sample_by_join(q, cont, p, cut_every=3).collect()}
-    b = {r["qid"]: r["generated_text"] for r in NG.sample_by_join(q, cont, p, cut_every=50).collect()}
-    assert a == b and len(a) == q.count()
-    for text in a.values():
-        ws = text.split()
-        assert all((x, y) in follows for x, y in zip(ws, ws[1:]))
-
-
 def test_stream_state_across_microbatches(spark, tmp_path):
     import time as _time
     events = table(spark, SF001, "events")
