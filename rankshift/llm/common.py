@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rankshift.session import materialize
 
-__all__ = ["add_columns", "ascii_lower", "doc_crc", "materialize", "pick_sample", "row_chunks"]
+__all__ = ["add_columns", "ascii_lower", "doc_crc", "fresh", "materialize", "pick_sample", "row_chunks"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -22,6 +22,14 @@ def ascii_lower(text: Column) -> Column:
             .otherwise(F.translate(text, UPPER, UPPER.lower())))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not got (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def doc_crc(doc_id: Column, mod: int) -> Column:
     """crc32(doc_id as text) mod ``mod`` (null id: crc32 of the empty string, 0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

@@ -11,14 +11,20 @@ cannot add hits.  Items shorter than ``SPAN`` words match as a whole: for
 each such length (at most ``SPAN - 1`` of them) documents also emit the hash
 of every run of that many words.
 
-The benchmark side is broadcast only if its measured number of fingerprints
-is at most ``BROADCAST_ROWS``; a longer one joins by shuffle.  Documents are
-read and split once; only hits and one marker row a document are shuffled,
-pre-aggregated.
+A fingerprint carries the words that its check can touch and no others: the
+gram with ``SPAN - GRAM`` words to each side, or the run itself for a short
+length.  So rows are small however long the text, and work and shuffle grow
+with its words.  The benchmark side is broadcast only if its measured bytes
+are at most ``BROADCAST_BYTES``; a larger one joins by shuffle.  Documents are
+read and split once; with a broadcast, only hits and one marker row a document
+are shuffled, pre-aggregated.
 
 Defined results: a null or empty text has no words and is not contaminated;
-items that are null, empty or without id have no windows; equal items all
-count; rows sharing (doc_id, text) give equal rows.
+null and empty items have no windows; items without id hit and contaminate
+like others but have no place in the list of ids (n_items, items); equal items
+all count; very long texts and items are taken whole; rows sharing (doc_id,
+text) give equal rows; an empty table of documents gives no rows, an empty
+benchmark no hits.  Other columns of the inputs are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +32,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankshift.llm.common import ascii_lower
+from rankshift.llm.common import ascii_lower, fresh
 
 SPAN = 10           # words of a window
 GRAM = 5            # words of a gram
 AROUND = SPAN - GRAM
-BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 16 << 20
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -49,7 +55,8 @@ def _run_hash(at, size: int):
 
 
 def fingerprints(df: DataFrame, keep: list[str], short: list[int], marker: bool = False) -> DataFrame:
-    """One row a fingerprint: ``keep``, n, w, m (length it stands for), g (hash), at (word position).
+    """One row a fingerprint: ``keep``, n, m (length it stands for), g (hash), at (word position), c (the words
+    around) and off (place of ``at`` in them).
 
     ``short``: lengths below SPAN for which every run of words is emitted.
     ``marker``: also one row without a hash for each input row."""
@@ -74,7 +81,11 @@ def fingerprints(df: DataFrame, keep: list[str], short: list[int], marker: bool
     kept = F.col("f.g").isNotNull()
     if marker:
         kept = kept | ((i < 0) & lead)
-    return rows.where(kept).select(*keep, "n", "w", "f.m", "f.g", F.when(i >= 0, F.col("f.at")).alias("at"))
+    at, long_ = F.col("f.at"), F.col("f.m") == SPAN
+    first = F.when(long_, F.greatest(at - AROUND, F.lit(0))).otherwise(at)
+    words = F.slice("w", first + 1, F.when(long_, at - first + SPAN).otherwise(F.col("f.m")))
+    return rows.where(kept).select(*keep, "n", "f.m", "f.g", F.when(i >= 0, at).alias("at"),
+                                   F.when(i >= 0, words).alias("c"), F.when(i >= 0, at - first).alias("off"))
 
 
 def _same(count: int, a, b):
@@ -85,45 +96,40 @@ def _same(count: int, a, b):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text",
-                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, row (hash of the text), n_words, n_hit, n_items, items (array of strings, sorted), contaminated."""
     b = with_words(benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("t")), "t")
-    b = b.where(F.col("item").isNotNull() & (F.col("n") > 0))
+    b = b.where(F.col("n") > 0)
     short = sorted(r["n"] for r in b.where(F.col("n") < SPAN).select("n").distinct().collect())  # below SPAN values
     long_, few = b.where(F.col("n") >= SPAN), b.where(F.col("n") < SPAN)
     marks = fingerprints(long_, ["item"], [])
     if short:
         marks = marks.unionByName(fingerprints(few, ["item"], short).where(F.col("m") == F.col("n")))
-    marks = marks.select("m", "g", "item", F.col("at").alias("b_at"), F.col("n").alias("b_n"), F.col("w").alias("b_w"))
-    size = marks.count()
-    marks = F.broadcast(marks) if size <= broadcast_rows else marks
+    marks = marks.select(F.col("m").alias("b_m"), F.col("g").alias("b_g"), "item", F.col("c").alias("b_c"),
+                         F.col("off").alias("b_off"))
+    width = F.octet_length(F.array_join("b_c", "")) + 16 * F.size("b_c") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64
+    size = marks.agg(F.sum(width.cast("long"))).first()[0] or 0
+    marks = F.broadcast(marks) if size <= broadcast_bytes else marks
 
     d = with_words(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")), "t")
     d = d.withColumn("row", F.xxhash64("t"))
     found = fingerprints(d, ["doc_id", "row"], short, marker=True).withColumnRenamed("n", "d_n")
-    hits = found.join(marks.withColumnRenamed("m", "b_m").withColumnRenamed("g", "b_g"),
-                      (F.col("m") == F.col("b_m")) & (F.col("g") == F.col("b_g")), "left")
-    hits = hits.where(F.col("item").isNotNull() | F.col("at").isNull())
-    at, b_at = F.col("at"), F.col("b_at")
-
-    def doc_word(p):
-        return F.when((p >= 0) & (p < F.col("d_n")), F.get("w", p))
-
-    def item_word(p):
-        return F.when((p >= 0) & (p < F.col("b_n")), F.get("b_w", p))
-
-    whole = _same(SPAN - 1, lambda j: doc_word(at + j), lambda j: item_word(b_at + j))
-    right = _same(AROUND, lambda j: doc_word(at + GRAM + j), lambda j: item_word(b_at + GRAM + j))
-    left = _same(AROUND, lambda j: doc_word(at - 1 - j), lambda j: item_word(b_at - 1 - j))
-    gram = _same(GRAM, lambda j: doc_word(at + j), lambda j: item_word(b_at + j))
-    hits = hits.select("doc_id", "row", "d_n", "m", "item", at, whole.alias("whole"), left.alias("l"),
-                       right.alias("r"), gram.alias("same"))
+    hits = found.join(marks, (F.col("m") == F.col("b_m")) & (F.col("g") == F.col("b_g")), "left")
+    hits = hits.where(F.col("b_g").isNotNull() | F.col("at").isNull())
+    at, off, b_off = F.col("at"), F.col("off"), F.col("b_off")
+
+    def same(count, shift):
+        return _same(count, lambda j: F.get("c", off + shift(j)), lambda j: F.get("b_c", b_off + shift(j)))
+
+    hits = hits.select("doc_id", "row", "d_n", "m", "item", "b_g", at, same(SPAN - 1, lambda j: j).alias("whole"),
+                       same(AROUND, lambda j: -1 - j).alias("l"), same(AROUND, lambda j: GRAM + j).alias("r"),
+                       same(GRAM, lambda j: j).alias("same"))
     is_long = F.col("m") == SPAN
     real = F.when(is_long, (F.col("same") == GRAM) & (F.col("l") + F.col("r") >= AROUND)).otherwise(
         F.col("whole") >= F.col("m"))
     start = F.when(is_long, at - F.col("l")).otherwise(at)
     end = F.when(is_long, at + GRAM + F.col("r")).otherwise(at + F.col("m"))
-    hits = hits.withColumn("real", F.col("item").isNotNull() & F.coalesce(real, F.lit(False)))
+    hits = hits.withColumn("real", F.col("b_g").isNotNull() & F.coalesce(real, F.lit(False)))
     spans = F.collect_set(F.when(F.col("real"), F.struct(start.alias("s"), end.alias("e"))))
     per_doc = hits.groupBy("doc_id", "row").agg(
         F.max("d_n").cast("long").alias("n_words"), F.count(F.when(F.col("at").isNull(), 1)).alias("copies"),
@@ -141,9 +147,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` (columns doc_id, text and any others) that hold no window of the benchmark."""
+    key, row = fresh(docs, "key"), fresh(docs, "row")
     bad = (decontaminate(docs, benchmark).where("contaminated")
-           .select(F.col("doc_id").alias("_llm_id"), F.col("row").alias("_llm_row")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.xxhash64("text") == F.col("_llm_row"))
+           .select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(row))
     return docs.join(bad, same, "left_anti")
 
 
@@ -157,15 +164,14 @@ SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM {docs}),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM {benchmark}
-      WHERE item_id IS NOT NULL),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM {benchmark}),
 bw AS (SELECT DISTINCT item_id, m, array_to_string(w[i + 1 : i + m], ' ') AS win FROM (
          SELECT item_id, w, least(len(w), 10) AS m, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
 dw AS (SELECT rid, m, i, array_to_string(w[i + 1 : i + m], ' ') AS win FROM (
          SELECT rid, w, m, unnest(range(0, len(w) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
 h AS (SELECT rid, i, dw.m, item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.win = bw.win),
 hw AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + m)) AS p FROM h) GROUP BY rid),
-hi AS (SELECT rid, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM h GROUP BY rid)
+hi AS (SELECT rid, list_sort(list(DISTINCT item_id::VARCHAR) FILTER (WHERE item_id IS NOT NULL)) AS items FROM h GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)

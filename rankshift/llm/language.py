@@ -6,12 +6,15 @@ smallest sum of log losses over all bits, and a text is flagged as ambiguous
 when the runner-up is almost as near.
 
 * Features: letter n-grams (1 to 3, with word borders) hashed to ``BUCKETS``.
+  Letters are the characters of category L: numbers such as half, superscript
+  or Roman numeral signs are none.
 * A bit's classifier is a naive Bayes log-odds of the hashed n-grams of the
   languages whose codeword has the bit, against the others, with Dirichlet
   smoothing; its margin is divided by the root of the n-gram count, so long
   texts do not saturate.  The n-gram counts by language come from one
-  distributed aggregation over at most ``SAMPLE`` labelled training rows
-  (the rows with the smallest hash of the id).  What reaches the driver is a
+  distributed aggregation over at most ``SAMPLE`` training rows of each
+  language (the smallest hashes of id and text, among texts with a letter), so
+  a rare language is learned whatever its share.  What reaches the driver is a
   table of (languages x BUCKETS) counts, whose size does not grow with the
   input; at most ``MAX_LANGS`` languages (an error says so beyond that).
 * Codewords: for up to 5 languages all distinct two-way splits, else
@@ -26,18 +29,18 @@ learned from.
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankshift.llm.common import add_columns, doc_crc, materialize, pick_sample
+from rankshift.llm.common import add_columns, doc_crc, materialize
 
 BUCKETS = 1 << 14
-SAMPLE = 8_000
+SAMPLE = 2_000       # training rows of a language
 MAX_LANGS = 1_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def gram_ids(text: str) -> np.ndarray:
@@ -55,10 +58,6 @@ def gram_ids(text: str) -> np.ndarray:
     return np.concatenate(ids).astype(np.int64)
 
 
-def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTERS.search(text) is not None
-
-
 def codewords(languages: int) -> np.ndarray:
     """(languages x bits) of -1 / 1; every bit splits the languages, all words differ."""
     if languages <= 1:
@@ -81,12 +80,20 @@ def codewords(languages: int) -> np.ndarray:
 
 def train(labelled: DataFrame, sample: int = SAMPLE, lang: str = "lang", text: str = "text",
           key: str = "doc_id") -> dict:
-    """Model from rows with a language.  Counts are summed in the tasks; see the module text."""
-    rows = materialize(pick_sample(labelled.where(F.col(lang).isNotNull())
-                                   .select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang")), "k", sample),
-                       "language-sample").select("k", "lang").distinct()
+    """Model from rows with a language and a letter: at most ``sample`` of each language, by the smallest hash of
+    the key, so a rare language is learned from all its rows.  Counts are summed in the tasks; see the module text."""
     texts = labelled.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"))
-    rows = texts.join(rows, (texts["k"].eqNullSafe(rows["k"])) & (texts["lang"] == rows["lang"]), "left_semi")
+    texts = texts.where(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    texts = texts.withColumn("h", F.xxhash64(F.col("k").cast("string"), F.xxhash64("t")))
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    # a share of all hashes that holds some 1.5 times the sample, then the smallest of it exactly
+    bounds = [(r["lang"], int(2.0**63 * min(1.0, 3.0 * sample / r["n"] - 1.0) * (1 - 2.0**-50))) for r in sizes]
+    bounds = labelled.sparkSession.createDataFrame(bounds, "lang string, most long")  # at most MAX_LANGS rows
+    rows = texts.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("most"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))
+    rows = materialize(rows.withColumn("r", first).where(F.col("r") <= sample).select("lang", "t"), "language-sample")
 
     def count(frames):
         import pandas as pd
@@ -104,9 +111,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, lang: str = "lang", text: s
     counts = rows.select("lang", "t").mapInPandas(count, "lang string, id long, c long")
     counts = counts.groupBy("lang", "id").agg(F.sum("c").alias("c"))
     per_lang = (counts.groupBy("lang").agg(F.collect_list(F.struct("id", "c")).alias("cells"))  # at most BUCKETS cells
-                .orderBy("lang").limit(MAX_LANGS + 1).collect())
-    if len(per_lang) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+                .orderBy("lang").collect())  # at most MAX_LANGS rows
     names = [r["lang"] for r in per_lang]
     table = np.zeros((len(names), BUCKETS))
     for i, r in enumerate(per_lang):

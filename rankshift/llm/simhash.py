@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankshift.llm.common import add_columns, materialize
+from rankshift.llm.common import add_columns, fresh, materialize
 from rankshift.llm.components import components
 
 BUCKET_ROWS = 4096
@@ -187,13 +187,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, bucket
 def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of ``docs`` (columns doc_id, text and any others) without near-duplicates: of each component
     the row with the smallest id stays (rows without id come last; of repeated rows one stays)."""
-    d = docs.withColumn("_llm_row", F.xxhash64("text"))
-    found = near_duplicates(d, shingle, max_bits, bucket_rows, carry=("_llm_row",))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_llm_row"))
-    kept = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("_llm_id"), F.col("k._llm_row").alias("_llm_text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_row") == F.col("_llm_text"))
+    row = fresh(docs, "row_hash")
+    d = docs.withColumn(row, F.xxhash64("text"))
+    key, same_row = fresh(d, "kept_id"), fresh(d, "kept_row")
+    found = near_duplicates(d.select("doc_id", "text", row), shingle, max_bits, bucket_rows, carry=(row,))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))
+    kept = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(key), F.col(f"k.{row}").alias(same_row))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(row) == F.col(same_row))
     return (d.join(materialize(kept, "simhash-kept"), same, "left_semi")
-            .dropDuplicates(["doc_id", "_llm_row"]).drop("_llm_row"))
+            .dropDuplicates(["doc_id", row]).drop(row))
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -86,8 +86,8 @@ def words_of(t):
         {c: c + 32 for c in range(65, 91)})) if w]
 
 
-@pytest.mark.parametrize("broadcast_rows", [50_000, 0])
-def test_decontaminate(spark, docs, none, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 24, 0])
+def test_decontaminate(spark, docs, none, broadcast_bytes):
     texts = [r[1] for r in rows()]
     items = [(1, " ".join(texts[7].split()[5:30])), (2, texts[4]), (3, None), (4, "w1x1"), (None, texts[8]), (5, ""),
              (6, " ".join(texts[9].split()[20:27])), (7, " ".join(texts[14].split()[2:12]).upper()), (7, "no such words here at all")]
@@ -98,21 +98,43 @@ def test_decontaminate(spark, docs, none, broadcast_rows):
         for i, t in items:
             b = words_of(t)
             m = min(10, len(b))
-            if i is None or not b:
+            if not b:
                 continue
             runs = {tuple(b[j:j + m]) for j in range(len(b) - m + 1)}
             for j in range(len(w) - m + 1):
                 if tuple(w[j:j + m]) in runs:
                     hit |= set(range(j, j + m))
-                    found.add(str(i))
+                    found |= set() if i is None else {str(i)}
         want.append((r[0], len(w), len(hit), len(found), sorted(found), bool(hit)))
-    got = decontaminate.decontaminate(docs, bench, broadcast_rows=broadcast_rows).drop("row")
+    got = decontaminate.decontaminate(docs, bench, broadcast_bytes=broadcast_bytes).drop("row")
     assert as_sorted(tuple(r) for r in got.collect()) == as_sorted(want)
     assert any(w[2] for w in want)
     assert decontaminate.op4(none, bench).count() == 0
     assert decontaminate.op4(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 24, 0])
+def test_decontaminate_long_texts(spark, tmp_path, broadcast_bytes):
+    """A 20,000-word text and item, with a 3-word item: rows stay small on both paths."""
+    rng = random.Random(9)
+    words = [f"v{rng.randrange(5000)}" for _ in range(20_000)]
+    text, own = " ".join(words), " ".join(f"z{rng.randrange(5000)}" for _ in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, own)], "doc_id long, text string")
+    items = [(1, " ".join(f"u{rng.randrange(5000)}" for _ in range(9_990)) + " " + " ".join(words[300:9_000])),
+             (2, " ".join(words[15_000:15_003])), (None, " ".join(words[17_000:17_020]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench, broadcast_bytes=broadcast_bytes).collect()}
+    three = tuple(words[15_000:15_003])
+    want = set(range(300, 9_000)) | set(range(17_000, 17_020))
+    for i in range(len(words) - 2):
+        if tuple(words[i:i + 3]) == three:
+            want |= {i, i + 1, i + 2}
+    assert (got[1]["n_hit"], got[1]["items"], got[2]["n_hit"]) == (len(want), ["1", "2"], 0)
+    rows = decontaminate.fingerprints(decontaminate.with_words(docs, "text"), ["doc_id"], [3])
+    assert rows.agg(F.max(F.size("c"))).first()[0] == 2 * decontaminate.SPAN - decontaminate.GRAM
+    assert rows.count() < 1.5 * 40_000
+
+
 def brute_fingerprint(t):
     import xxhash
     w = (t or "").encode().lower().split()
@@ -393,3 +415,15 @@ def test_codewords_differ():
     for n in (2, 3, 5, 12, 40):
         code = language.codewords(n)
         assert len({tuple(c) for c in code}) == n and all(set(code[:, b]) == {1, -1} for b in range(code.shape[1]))
+
+
+def test_language_letters_and_rare_languages(spark):
+    en = [(i, f"the cat and dog number {i} went to the house", "en") for i in range(20_000)]
+    rare = [(30_000 + i, f"ñandú pequeño corazón mañana niño {i}", "es") for i in range(0, 16)]
+    odd = [(40_000 + i, t, None) for i, t in enumerate(("½", "²", "③ 12", "Ⅷ 12", "123 !", "", None, "_", "٣"))]
+    docs = spark.createDataFrame(en + rare + odd, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.op8(docs).collect()}
+    assert {got[i] for i, _, _ in odd} == {"und"}
+    assert {got[i] for i, _, _ in rare} == {"es"} and {got[i] for i, _, _ in en[:500]} == {"en"}
+    nothing = language.op8(docs.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").distinct().collect()
+    assert [r[0] for r in nothing] == ["und"]

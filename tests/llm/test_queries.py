@@ -28,7 +28,8 @@ def test_language_held_out(spark):
 
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
-    docs = docs.withColumn("extra", F.lit("x")).withColumn("size", F.lit(1))
+    docs = docs.withColumn("extra", F.lit("x")).withColumn("size", F.lit(1)).withColumn("row_hash", F.col("doc_id"))
+    docs = docs.withColumns({"found_spans": F.lit("s"), "_llm_row": F.lit(2), "key": F.lit(3), "row": F.lit(4)})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         new = stage(spark, docs, SF01)
         assert new.columns == docs.columns, name
@@ -36,10 +37,15 @@ def test_pipeline_stages(spark):
         empty = stage(spark, docs.limit(0), SF01)
         assert empty.columns == docs.columns and empty.count() == 0
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
-        odd = spark.createDataFrame([(None, None, None, None, None, "x", 1), (3, "", None, None, None, None, None),
-                                     (4, "one two three", "en", None, 13, "x", None), (4, "one two three", "en", None, 13, "x", None)], schema)
+        more = (5, "s", 2, 3, 4)
+        odd = spark.createDataFrame([(None, None, None, None, None, "x", 1, *more), (3, "", None, None, None, None, None, *more),
+                                     (4, "one two three", "en", None, 13, "x", None, *more),
+                                     (4, "one two three", "en", None, 13, "x", None, *more)], schema)
         stage(spark, odd, SF01).collect()
+        assert new.where("found_spans <> 's' or _llm_row <> 2 or row_hash <> doc_id or key <> 3 or row <> 4").isEmpty()
         docs = new
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_stage(spark, unlabelled, SF01).count() == docs.where("text rlike '\\\\p{L}'").count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF01).count() == 0
 
 
