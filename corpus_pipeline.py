@@ -17,12 +17,24 @@ from rankshift.llm import decontaminate, language, mixing, secrets, simhash
 from rankshift.llm.common import materialize
 
 
+def prefix(docs: DataFrame) -> str:
+    """A start that no column name of ``docs`` has."""
+    p = "found_"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p = "_" + p
+    return p
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows of its input; texts without a language (``und``) and texts whose two
-    nearest codewords tie (ambiguous) go.  ``lang`` stays as given."""
+    nearest codewords tie (ambiguous) go.  With nothing to learn from, texts with a letter stay.  ``lang`` stays
+    as given."""
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
-    found = language.identify(docs, model, prefix="_llm_")
-    return found.where((F.col("_llm_lang_pred") != "und") & ~F.col("_llm_ambiguous")).select(*docs.columns)
+    if not model["names"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    p = prefix(docs)
+    found = language.identify(docs, model, prefix=p)
+    return found.where((F.col(p + "lang_pred") != "und") & ~F.col(p + "ambiguous")).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +50,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays.  ``n_chars`` follows the new text."""
-    found = secrets.secret_scan(docs, prefix="_llm_")
-    new = {"text": F.col("_llm_redacted")}
+    p = prefix(docs)
+    found = secrets.secret_scan(docs, prefix=p)
+    new = {"text": F.col(p + "redacted")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_llm_spans") != "", F.length("_llm_redacted").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(p + "spans") != "", F.length(p + "redacted").cast(docs.schema["n_chars"].dataType)
                                 ).otherwise(F.col("n_chars"))
     return found.withColumns(new).select(*docs.columns)
 
