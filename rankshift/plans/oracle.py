@@ -341,3 +341,33 @@ def kn_ctes(order: int = 3) -> str:
     out.append("""kppl AS (SELECT doc_id, kw.lang, round(exp(-avg(lp)), 6) AS perplexity FROM kw LEFT JOIN klp ON klp.lang = kw.lang AND klp.gram = kw.gram
                GROUP BY doc_id, kw.lang)""")
     return ",\n".join(out)
+
+
+# ------------------------------------------------------------ chat settings (STR1, STR2)
+
+def settings_ctes(models: dict, start: tuple, least: int, most: int) -> str:
+    """steps (user_id, event_id, ts, kind, text, outcome, model, word_count, mode): the chat state, event by event."""
+    keys = ", ".join(f"'{k}'" for k in models)
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in models.items())
+    ok = f"s.mode = 'settings' AND e.kind = 'view' AND e.number BETWEEN {least} AND {most}"
+    return f"""ev AS (SELECT user_id, event_id, ts, event_type AS kind, floor(value)::BIGINT AS number,
+  CASE event_type WHEN 'view' THEN coalesce(floor(value)::BIGINT::VARCHAR, '')
+    WHEN 'purchase' THEN [{keys}][((coalesce(floor(value), 0)::BIGINT % {len(models)} + {len(models)}) % {len(models)}) + 1] END AS text,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+steps AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS seq, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, '' AS kind, NULL::VARCHAR AS text,
+    '' AS outcome, '{start[0]}' AS model, {start[1]}::BIGINT AS word_count, '{start[2]}' AS mode FROM ev
+  UNION ALL
+  SELECT e.user_id, e.seq, e.event_id, e.ts, e.kind, e.text,
+    CASE e.kind WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'set_model' WHEN 'click' THEN 'settings'
+      WHEN 'error' THEN CASE WHEN s.mode = 'wait' THEN 'done' ELSE 'ignored' END
+      WHEN 'view' THEN CASE WHEN s.mode = 'input' THEN 'request' WHEN s.mode = 'wait' THEN 'busy' WHEN {ok} THEN 'set' ELSE 'rejected' END
+      ELSE 'unknown' END,
+    CASE WHEN e.kind = 'purchase' THEN CASE e.text {names} END ELSE s.model END,
+    CASE WHEN {ok} THEN e.number ELSE s.word_count END,
+    CASE WHEN e.kind = 'purchase' OR ({ok}) OR (e.kind = 'error' AND s.mode = 'wait') THEN 'input'
+      WHEN e.kind = 'click' THEN 'settings' WHEN e.kind = 'view' AND s.mode <> 'settings' THEN 'wait' ELSE s.mode END
+  FROM steps s JOIN ev e ON e.user_id = s.user_id AND e.seq = s.seq + 1)"""
+
+
+SETTINGS_COLUMNS = "user_id, event_id, ts, kind, text, outcome, model, word_count::INTEGER AS word_count, mode"

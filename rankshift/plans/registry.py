@@ -653,7 +653,7 @@ def q_training_table_t5_valid(spark, sf):
 
 # ------------------------------------------------- language model, metrics (§2.5-2.6)
 
-from rankshift.operators import ngram as NG  # noqa: E402
+from rankshift.operators import buckets as BK, ngram as NG  # noqa: E402
 from rankshift.operators import metrics as M  # noqa: E402
 
 
@@ -692,6 +692,20 @@ def q_perplexity_filter(spark, sf):
     return NG.perplexity_keep(materialize(_self_perplexity(spark, sf), "perplexity"), 1.0 / 3.0)
 
 
+@register("perplexity_buckets", f"""WITH {O.BIGRAMS_DOCS},
+cut AS (SELECT lang, quantile_cont(perplexity, 1.0 / 3.0) AS c1, quantile_cont(perplexity, 2.0 / 3.0) AS c2 FROM ppl GROUP BY lang)
+SELECT doc_id, lang, perplexity, CASE WHEN perplexity <= c1 THEN 'head' WHEN perplexity <= c2 THEN 'middle' ELSE 'tail' END AS bucket
+FROM ppl JOIN cut USING (lang)""")
+def q_perplexity_buckets(spark, sf):
+    """CLN7 over two corpora stored one after the other; the second is added without scoring the first again."""
+    ppl = materialize(_self_perplexity(spark, sf), "perplexity")
+    folder = scratch_path(spark, "score_store")
+    parts = prep.hash_split(ppl, "doc_id", 0.85, 123)
+    for corpus in ("train", "test"):
+        BK.add_corpus(parts.where(F.col("split") == corpus).drop("split"), folder, corpus)
+    return BK.bucketed(spark, folder).select("doc_id", "lang", "perplexity", "bucket")
+
+
 @register("clean_preset_ds2_ppl", _DOC_T.replace("WITH ", f"WITH {O.BIGRAMS_DOCS},\n") + f""",
 cut AS (SELECT lang, quantile_cont(perplexity, 1.0 / 3.0) AS c FROM ppl GROUP BY lang),
 keep AS (SELECT doc_id FROM ppl JOIN cut USING (lang) WHERE perplexity <= c)
@@ -966,7 +980,11 @@ def q_latest_valid_setting(spark, sf):
     return ST.latest_valid_setting(table(spark, sf, "events"))
 
 
-@register("settings_fold")
+_STEPS = "WITH RECURSIVE " + O.settings_ctes(ST.MODEL_CHOICES, ST.START, ST.WORD_MIN, ST.WORD_MAX)
+_STEP_ROWS = f"{_STEPS}\nSELECT {O.SETTINGS_COLUMNS} FROM steps WHERE seq > 0"
+
+
+@register("settings_fold", _STEP_ROWS)
 def q_settings_fold(spark, sf):
     return ST.settings_fold(table(spark, sf, "events"))
 
@@ -985,12 +1003,15 @@ def run_settings_stream(spark, sf, max_files: int = 1):
     return out
 
 
-@register("settings_stream")
+@register("settings_stream", _STEP_ROWS)
 def q_settings_stream(spark, sf):
     return spark.read.schema(ST.OUT_SCHEMA).parquet(run_settings_stream(spark, sf))
 
 
-@register("respond_stream")
+@register("respond_stream", f"""{_STEPS}
+SELECT user_id, event_id, model, word_count::INTEGER AS word_count,
+  array_to_string(list_transform(generate_series(1, word_count), lambda i: text), ' ') AS generated_text
+FROM steps WHERE outcome = 'request'""")
 def q_respond_stream(spark, sf):
     """STR2 as a stream: the outcomes written by STR1 are read as a stream and answered by each chat's own model."""
     keys = list(ST.MODEL_CHOICES.values())

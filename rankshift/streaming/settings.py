@@ -7,10 +7,8 @@ message whose text is ``floor(value)``, error = the generation finished.
 
 The fold of one chat is a small finite-state machine.  Streaming keeps its
 state per key in the RocksDB state store (``transformWithStateInPandas``);
-the batch form never holds one chat's whole history in a task: it folds
-time chunks for every possible start mode, composes the per-chunk summaries
-in order (a short list per chat), then replays each chunk from its true
-start state.
+the batch form needs no state: every field of it is a last value of some kind
+of earlier event, found by windows over pieces of a chat's history.
 """
 
 from __future__ import annotations
@@ -19,9 +17,8 @@ import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +34,6 @@ MODEL_CHOICES = {
 }
 START = ("gpt2", 100, "input")
 WORD_MIN, WORD_MAX = 10, 1023
-MODES = ("input", "settings", "wait")
 _INT = re.compile(r"^\s*[+-]?[0-9]+\s*$")
 
 OUT_SCHEMA = T.StructType([
@@ -151,98 +147,64 @@ def settings_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 # -------------------------------------------------------------- batch forms
 
-def _scan_groups(df: DataFrame, keys: list[str], order: list[str], fn, schema, partitions: int | None = None):
-    """Apply ``fn(pdf) -> list of row tuples`` to each contiguous key group of
-    a hash partitioned, sorted DataFrame.  One Python call and one output
-    frame per Arrow batch, not per group; a group split across batches is
-    carried to the next batch."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    sorted_df = df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
-    cols = [f.name for f in schema.fields]
-
-    def groups(pdf):
-        kv = pdf[keys].to_numpy()
-        change = np.r_[True, (kv[1:] != kv[:-1]).any(axis=1)] if len(kv) else np.array([], bool)
-        starts = np.flatnonzero(change).tolist() + [len(pdf)]
-        for a, b in zip(starts[:-1], starts[1:]):
-            yield pdf.iloc[a:b]
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            parts = list(groups(pdf))
-            carry = parts.pop()
-            rows = [r for g in parts for r in fn(g)]
-            if rows:
-                yield pd.DataFrame(rows, columns=cols)
-        if carry is not None and not carry.empty:
-            yield pd.DataFrame(fn(carry), columns=cols)
-
-    return sorted_df.mapInPandas(run, schema)
-
-
-SUMMARY_SCHEMA = T.StructType([
-    T.StructField("user_id", T.LongType()), T.StructField("chunk", T.LongType()),
-    T.StructField("start_mode", T.StringType()), T.StructField("end_mode", T.StringType()),
-    T.StructField("model_set", T.StringType()), T.StructField("wc_set", T.IntegerType()),
-])
-START_SCHEMA = T.StructType([
-    T.StructField("user_id", T.LongType()), T.StructField("chunk", T.LongType()),
-    T.StructField("s_model", T.StringType()), T.StructField("s_wc", T.IntegerType()),
-    T.StructField("s_mode", T.StringType()),
-])
-
-
-def settings_fold(events: DataFrame, chunk_seconds: int = 86400, partitions: int | None = None) -> DataFrame:
-    """STR1 batch form, exact, with bounded groups (see module notes).
-
-    1. per (chat, time chunk) and per possible start mode: end mode and the
-       model / word count the chunk sets (if any);
-    2. per chat, walk its chunk summaries in order to get each chunk's true
-       start state (a few rows per chunk);
-    3. replay every chunk from its start state."""
-    ev = events.select("user_id", "event_id", "ts", "event_type", "value",
-                       F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / chunk_seconds)
-                       .cast("long").alias("chunk"))
-    order = ["ts", "event_id"]
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for mode in MODES:
-            st = (None, None, mode)  # unknown model / word count stay None unless set
-            for r in pdf.itertuples(index=False):
-                st, _ = step(st, r.event_type, event_text(r.event_type, r.value))
-            rows.append((int(pdf.user_id.iloc[0]), int(pdf.chunk.iloc[0]), mode, st[2], st[0], st[1]))
-        return rows
-
-    summaries = _scan_groups(ev, ["user_id", "chunk"], order, summarize, SUMMARY_SCHEMA, partitions)
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, wc, mode = START
-        out = []
-        for chunk, g in pdf.groupby("chunk", sort=True):
-            out.append((int(g.user_id.iloc[0]), int(chunk), model, wc, mode))
-            row = g[g.start_mode == mode].iloc[0]
-            if not pd.isna(row.model_set):
-                model = row.model_set
-            if not pd.isna(row.wc_set):
-                wc = int(row.wc_set)
-            mode = row.end_mode
-        return out
-
-    starts = _scan_groups(summaries, ["user_id"], ["chunk", "start_mode"], compose, START_SCHEMA, partitions)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0 = pdf.iloc[0]
-        _, out, _ = fold((r0.s_model, int(r0.s_wc), r0.s_mode), pdf)
-        return out
-
-    return _scan_groups(ev.join(starts, ["user_id", "chunk"]), ["user_id", "chunk"], order, replay,
-                        OUT_SCHEMA, partitions)
+def _last_before(df: DataFrame, values: dict[str, Column], through: bool = False) -> DataFrame:
+    """Add, for each name, the last non-null value among the chat's earlier events (``through``: this one included).
+
+    Taking the last value is associative, so a chat is never held whole: last values inside a (chat, chunk) piece by
+    a window over the piece, last values of earlier pieces by a window over one row a piece."""
+    order = F.struct("ts", "event_id")
+    made = df.withColumns({f"_{n}": v for n, v in values.items()})
+    ends = made.groupBy("user_id", "chunk").agg(*(
+        F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), order)).alias(n) for n in values))
+    earlier = Window.partitionBy("user_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("user_id", "chunk", *(F.last(n, ignorenulls=True).over(earlier).alias(f"_{n}_in") for n in values))
+    inside = Window.partitionBy("user_id", "chunk").orderBy("ts", "event_id").rowsBetween(
+        Window.unboundedPreceding, 0 if through else -1)
+    made = made.join(ends, ["user_id", "chunk"]).withColumns({
+        n: F.coalesce(F.last(f"_{n}", ignorenulls=True).over(inside), f"_{n}_in") for n in values})
+    return made.drop(*(f"_{n}" for n in values), *(f"_{n}_in" for n in values))
+
+
+def settings_fold(events: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
+    """STR1 batch form in built-in functions; events of a chat count in (ts, event_id) order.
+
+    The mode before an event follows from two "last value" look-backs:
+
+    - it is ``settings`` if the last click, model choice or accepted number was a click: a number is accepted in
+      that mode only, and each of the three sets the mode whatever it was;
+    - otherwise it is ``wait`` if the last event but starts was a text that was not an accepted setting, and
+      ``input`` after anything else (a text leads to ``wait``, all others to ``input``).
+
+    Model and word count are the last chosen and the last accepted ones."""
+    kind, value = F.col("event_type"), F.col("value")
+    number = F.floor("value")
+    fits = (kind == "view") & F.coalesce(number.between(WORD_MIN, WORD_MAX), F.lit(False))
+    keys = F.array(*map(F.lit, MODEL_CHOICES))
+    choice = F.when(kind == "purchase", F.get(keys, F.pmod(F.floor(F.coalesce(value, F.lit(0.0))), F.lit(len(MODEL_CHOICES))).cast("int")))
+    ev = events.select("user_id", "event_id", "ts", "event_type", "value").withColumns({
+        "chunk": F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / chunk_seconds).cast("long"), "choice": choice})
+    ev = _last_before(ev, {"gate": F.when(kind.isin("click", "purchase") | fits, kind)})
+    open_ = F.coalesce(F.col("gate") == "click", F.lit(False))
+    ev = ev.withColumns({"open": open_, "accepted": open_ & fits})
+    known = F.col("event_type").isin("purchase", "click", "view", "error")
+    ev = _last_before(ev, {"prior": F.when(known, F.concat_ws(":", "event_type", F.col("accepted").cast("string")))})
+    names = F.create_map(*(F.lit(x) for kv in MODEL_CHOICES.items() for x in kv))
+    ev = _last_before(ev, {"model": F.element_at(names, F.col("choice")),
+                           "word_count": F.when(F.col("accepted"), number.cast("int"))}, through=True)
+    before = (F.when(F.col("open"), "settings").when(F.col("prior") == "view:false", "wait").otherwise("input"))
+    ev = ev.withColumn("before", before)
+    b = F.col("before")
+    outcome = (F.when(kind == "signup", "start").when(kind == "purchase", "set_model").when(kind == "click", "settings")
+               .when(kind == "view", F.when(b == "input", "request").when(b == "wait", "busy")
+                     .when(F.col("accepted"), "set").otherwise("rejected"))
+               .when(kind == "error", F.when(b == "wait", "done").otherwise("ignored")).otherwise("unknown"))
+    mode = (F.when(kind == "purchase", "input").when(kind == "click", "settings")
+            .when(kind == "view", F.when(F.col("accepted"), "input").when(b == "settings", "settings").otherwise("wait"))
+            .when((kind == "error") & (b == "wait"), "input").otherwise(b))
+    text = F.when(kind == "view", F.coalesce(number.cast("string"), F.lit(""))).when(kind == "purchase", F.col("choice"))
+    return ev.select("user_id", "event_id", "ts", kind.alias("kind"), text.alias("text"), outcome.alias("outcome"),
+                     F.coalesce("model", F.lit(START[0])).alias("model"),
+                     F.coalesce("word_count", F.lit(START[1])).alias("word_count"), mode.alias("mode"))
 
 
 def latest_valid_setting(events: DataFrame) -> DataFrame:
