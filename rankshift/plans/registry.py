@@ -125,7 +125,7 @@ def q_spar_score(spark, sf):
 
 from rankshift.operators import prep  # noqa: E402
 from rankshift.session import ROCKSDB, materialize, scratch_path  # noqa: E402
-from rankshift.sources import readers, sinks  # noqa: E402
+from rankshift.sources import dataset, readers, sinks  # noqa: E402
 from rankshift.sources.tables import table  # noqa: E402
 
 
@@ -243,6 +243,46 @@ def q_src_text_corpus(spark, sf):
     return readers.read_text_corpus(spark, path).select(F.col("ord").alias("line_no"), "text")
 
 
+@register("dataset_part_data", f"WITH {O.FIRST_USER}, {O.ANSWERS} SELECT fu.query, pos::INTEGER AS pos, ans.text AS passage FROM fu JOIN ans USING (conv_id)")
+def q_dataset_part_data(spark, sf):
+    """SRC8, nested JSON Lines as a data source; blocks far smaller than the files."""
+    folder = scratch_path(spark, "part_data")
+    standins.qa_rows(spark, sf).select("query", "passages").write.json(f"{folder}/train.jsonl")
+    return (dataset.read_dataset(spark, "part_data", folder, block_bytes=100_000)
+            .select("query", F.posexplode("passages").alias("pos", "passage")))
+
+
+@register("dataset_made_valid_data", f"WITH {O.FIRST_USER}, {O.ANSWERS} SELECT fu.query, pos::INTEGER AS pos, ans.text AS passage FROM fu JOIN ans USING (conv_id)")
+def q_dataset_made_valid_data(spark, sf):
+    """SRC8, JSON arrays of nested records."""
+    folder = scratch_path(spark, "made_valid_data")
+    rows = standins.qa_rows(spark, sf).groupBy(F.floor(F.col("ord") / 200).alias("part")).agg(
+        F.to_json(F.collect_list(F.struct("query", "passages"))).alias("value"))
+    rows.select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/val.json")
+    return (dataset.read_dataset(spark, "made_valid_data", folder, "validation")
+            .select("query", F.posexplode("passages").alias("pos", "passage")))
+
+
+@register("dataset_made_data", f"WITH {O.PAIRS} SELECT query, body, label FROM pairs")
+def q_dataset_made_data(spark, sf):
+    """SRC8, CSV with header and line breaks inside fields."""
+    folder, none = scratch_path(spark, "made_data"), F.lit(None).cast("string")
+    (standins.qa_pairs(spark, sf).select("query", none.alias("url"), none.alias("title"), none.alias("meta"), "body",
+                                         none.alias("qlinks"), "label")
+     .write.option("header", "true").option("quote", '"').option("escape", '"').option("quoteAll", "true")
+     .csv(f"{folder}/filtred_df.csv"))
+    return dataset.read_dataset(spark, "made_data", folder, block_bytes=100_000).select("query", "body", "label")
+
+
+@register("dataset_full_data", f"WITH {O.PAGE_ROWS} SELECT url, query, text AS body FROM page_rows")
+def q_dataset_full_data(spark, sf):
+    """SRC8, headerless gzip TSV."""
+    folder = scratch_path(spark, "full_data")
+    lines = _page_rows(spark, sf).select(F.concat_ws("\t", "url", "query", "text").alias("value"))
+    lines.write.option("compression", "gzip").text(f"{folder}/dataset.tsv.gz")
+    return dataset.read_dataset(spark, "full_data", folder, block_bytes=100_000).select("url", "query", "body")
+
+
 @register("snk_pairs_text", f"""WITH {O.PAIRS}
 SELECT concat_ws(' ', query, '<sep>', body, '</s>') AS value FROM pairs""")
 def q_snk_pairs_text(spark, sf):
