@@ -234,7 +234,7 @@ def mask_tokens(df: DataFrame, key: str = "ord", ids: str = "input_ids", p: floa
 def training_table(df: DataFrame, vocab: DataFrame, kind: str, mode: str = "clm", block: int = 128,
                    max_len: int = 128, key: str = "ord", special: SpecialTokens = SPECIAL,
                    bounded_vocab: bool = False, family: str = "gpt", split: str = "train", target_len: int | None = None,
-                   prefix: str = "<LM>") -> DataFrame:
+                   prefix: str = "<LM>", context: int = 0, limit: int = 0) -> DataFrame:
     """TOK13: the table a trainer reads, by dataset kind, mode and model family.
 
     * ``teacher``: (key, input_ids = query ids, labels = target ids), target
@@ -243,8 +243,18 @@ def training_table(df: DataFrame, vocab: DataFrame, kind: str, mode: str = "clm"
       ``target_len``, without eos or padding; ``pos_label`` kept.
       ``t5``: ``prefix`` + query, padded (right) and cut; target + eos, cut
       and padded.  ``t5`` with split ``validation``: the inputs only.
-    * ``clm``: TOK5 / TOK6 text -> ids -> per-document blocks -> labels."""
+    * ``clm``, nested kinds: TOK5 text -> ids, cut to ``limit`` (the tokenizer's own; 0: none) -> per-document
+      blocks -> labels.
+    * ``clm``, labelled kind: TOK6 text -> ids, padded up to ``context`` on ``special.side`` and never cut, so texts
+      shorter than a block still give one -> per-document blocks -> labels.
+    * ``full_data`` (any mode): the raw records in ``key`` order, packed into blocks across records -> labels; the
+      key of the result is ``block``."""
     nested = kind in ("part_data", "made_valid_data")
+    if kind == "full_data":
+        raw = F.concat_ws("\t", *(c for c in ("url", "query", "body", "text") if c in df.columns))
+        ids = encode(df.select(key, raw.alias("text")), vocab, key, "text", "input_ids", special=special,
+                     bounded_vocab=bounded_vocab)
+        return lm_labels(pack_corpus(ids, block, "input_ids", key))
     if kind not in ("part_data", "made_valid_data", "made_data"):
         raise NotImplementedError(f"unknown dataset kind {kind!r}")
     if mode == "teacher":
@@ -266,12 +276,14 @@ def training_table(df: DataFrame, vocab: DataFrame, kind: str, mode: str = "clm"
     if mode != "clm":
         raise NotImplementedError(f"unknown training mode {mode!r}")
     text = clm_text_passages(df) if nested else clm_text_pairs(df, special.eos)
-    ids = encode(text.select(key, "text"), vocab, key, "text", "input_ids", special=special,
-                 bounded_vocab=bounded_vocab)
+    ids = encode(text.select(key, "text"), vocab, key, "text", "input_ids", (limit or None) if nested else None,
+                 special=special, bounded_vocab=bounded_vocab)
+    if not nested and context:
+        fill = F.array_repeat(F.lit(special.id("pad")), F.greatest(F.lit(context) - F.size("input_ids"), F.lit(0)))
+        ids = ids.withColumn("input_ids", F.concat(*((fill, "input_ids") if special.side == "left" else ("input_ids", fill))))
     return lm_labels(cut_blocks(ids, block, "input_ids", key))
 
 
-
 def encode_external(df: DataFrame, encode_batch, key: str = "ord", text: str = "text", out: str = "input_ids",
                     max_len: int | None = None, pad: bool = False, special: SpecialTokens = SPECIAL) -> DataFrame:
     """TOK1 with a pre-trained tokenizer (BPE / SentencePiece): ``encode_batch``

@@ -32,8 +32,12 @@ class BM25Params:
 class EvalParams:
     """One evaluation run (SNK7 keeps a copy of what was really used)."""
     launch_description: str = "eval"
-    generator: str = "echo"
-    total_samples: int = 500
+    generator: str = "echo"     # echo, extractive or ngram (from bigram counts)
+    total_samples: int = 500    # queries, in order
+    max_words: int = 150        # words that echo and extractive take from a candidate
+    batch_size: int = 8
+    number_examples_batch: int = 3  # batches of examples that are kept; 0: none
+    seed: int = 123
     ks: tuple = (1, 3, 5)
     quartile: float = 0.75
     strip_prompt: bool = False

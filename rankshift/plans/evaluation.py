@@ -7,15 +7,18 @@ rankers come out of the same two aggregations.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankshift.operators import rank
-from rankshift.operators.metrics import rank_metrics
-from rankshift.params import BM25Params
+from rankshift.operators import generate as gen_ops
+from rankshift.operators import prep, rank, sampling
+from rankshift.operators.metrics import metrics_record, rank_metrics
+from rankshift.params import BM25Params, EvalParams
 from rankshift.session import materialize
+from rankshift.sources import sinks
 
 RANKERS = ("Bm25", "TfCosine")
 
@@ -52,7 +55,7 @@ def scored_lists(lists: DataFrame, queries: DataFrame, keys: Sequence[str] = ("q
 
 def fake_positions_for(cands: DataFrame, queries: DataFrame, gen: DataFrame,
                        keys: Sequence[str] = ("qid",), rankers: Sequence[str] = RANKERS,
-                       materialize_positions: bool = True) -> DataFrame:
+                       materialize_positions: bool = True, bm25: BM25Params = BM25Params()) -> DataFrame:
     """Positions of the fake per (ranker, keys); small (one row per list),
     written once so metric passes over it do not replay the scoring."""
     keys = list(keys)
@@ -60,7 +63,7 @@ def fake_positions_for(cands: DataFrame, queries: DataFrame, gen: DataFrame,
     q = queries
     if "run" in keys and "run" not in queries.columns:
         q = queries.join(gen.select("qid", "run").distinct(), "qid")
-    pos = rank.fake_positions(scored_lists(lists, q, keys, rankers), ["ranker"] + keys)
+    pos = rank.fake_positions(scored_lists(lists, q, keys, rankers, bm25), ["ranker"] + keys)
     return materialize(pos, "fake_positions") if materialize_positions else pos
 
 
@@ -72,3 +75,40 @@ def evaluate_fakes(cands: DataFrame, queries: DataFrame, gen: DataFrame,
     pos = fake_positions_for(cands, queries, gen, keys, rankers)
     by = ["ranker"] + [k for k in keys if k == "run"]
     return rank_metrics(pos, by, ks, quartile)
+
+
+def generated(queries: DataFrame, cands: DataFrame, params: EvalParams, bigrams: DataFrame | None = None) -> DataFrame:
+    """(qid, text): one text a query by the run's generator, stripped of its prompt if the run says so."""
+    if params.generator == "ngram":
+        if bigrams is None:
+            raise ValueError("the ngram generator needs bigram counts")
+        made = sampling.sample_texts(queries, bigrams, params.gen.to_dict()).withColumnRenamed("generated_text", "text")
+    elif params.generator in ("echo", "extractive"):
+        made = getattr(gen_ops, f"{params.generator}_texts")(queries, cands, params.max_words)
+    else:
+        raise NotImplementedError(f"unknown generator {params.generator!r}")
+    if params.strip_prompt:
+        made = gen_ops.strip_prompt(made.join(queries.select("qid", "query"), "qid"))
+    return made.select("qid", "text")
+
+
+def evaluate_run(queries: DataFrame, cands: DataFrame, params: EvalParams, folder: str, run: str | None = None,
+                 bigrams: DataFrame | None = None) -> str:
+    """One evaluation run from its parameters: the first ``total_samples`` queries, one text each, mixed into their
+    lists, ranked, measured.  Writes ``metrics``, ``examples`` (all rows of some batches) and ``runs`` (the
+    parameters used) below ``folder`` and returns the run id; the same run id again replaces metrics and examples.
+
+    ``queries``: qid (the order), query.  ``cands``: qid, idx, text, label."""
+    spark, run = queries.sparkSession, run or sinks.run_id(params.launch_description)
+    asked = materialize(prep.head_n(queries, params.total_samples, "qid"), "eval_queries")
+    made = materialize(generated(asked, cands, params, bigrams), "eval_texts")
+    lists = cands.join(asked.select("qid"), "qid", "left_semi")
+    pos = fake_positions_for(lists, asked, made, bm25=params.bm25)
+    sinks.write_metrics(metrics_record(rank_metrics(pos, ["ranker"], params.ks, params.quartile)),
+                        os.path.join(folder, "metrics"), run)
+    if params.number_examples_batch > 0:
+        rows = asked.join(made.withColumnRenamed("text", "generated_text"), "qid")
+        sinks.write_examples(prep.sample_batches(rows, params.number_examples_batch, params.batch_size, params.seed, "qid"),
+                             os.path.join(folder, "examples"), run)
+    sinks.write_run_params(spark, os.path.join(folder, "runs"), run, params.to_dict())
+    return run

@@ -96,11 +96,13 @@ def metrics_select(pos: str = "pos", by: str = "ranker", ks=(1, 3, 5), q: float
 FROM {pos} GROUP BY {by}"""
 
 
-def echo_eval_prefix(words: int = 150) -> str:
-    """WITH-list up to ``pos`` for the echo fake scored by Bm25 and TfCosine."""
+def echo_eval_prefix(words: int = 150, strip: bool = False) -> str:
+    """WITH-list up to ``pos`` for the echo fake (``strip``: without its prompt) scored by Bm25 and TfCosine."""
+    gen = echo_cte("gen", words) if not strip else f"""{echo_cte("raw", words)},
+gen AS (SELECT g.qid, substr(g.text, length(coalesce(q.query, '')) + 1) AS text FROM raw g JOIN queries q USING (qid))"""
     return f"""WITH {QUERIES},
 {CANDS},
-{echo_cte('gen', words)},
+{gen},
 {lists_cte('gen')},
 {bm25_ctes()},
 {tfcos_ctes()},

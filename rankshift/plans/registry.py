@@ -651,6 +651,50 @@ def q_training_table_clm(spark, sf):
     return t.select("ord", "block", _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"))
 
 
+# padded on the left up to 128 ids, never cut, then blocks of 64
+@register("training_table_clm_made", f"""WITH {O.PAIRS},
+src AS (SELECT ord, query || ' ' || body || '</s>' AS text FROM pairs),
+{_vocab_sql('text')},
+{_ids_sql('text', 'ids')},
+padded AS (SELECT ord, list_concat(list_resize([]::INTEGER[], greatest(128 - len(l), 0), 0), l) AS l FROM ids),
+blk AS (SELECT ord, l, unnest(generate_series(0, len(l) - 64 - 1, 64)) AS st FROM padded)
+SELECT ord, (st // 64)::INTEGER AS block, array_to_string(l[st + 1 : st + 64], ' ') AS input_ids,
+       array_to_string(l[st + 1 : st + 64], ' ') AS labels FROM blk""")
+def q_training_table_clm_made(spark, sf):
+    """TOK13 / TOK7: labelled texts padded to the context before they are cut, so short ones give a block too."""
+    pairs = standins.qa_pairs(spark, sf)
+    v = TK.build_vocab(C.with_tokens(TK.clm_text_pairs(pairs)), special=TK.GPT_SPECIAL)
+    t = TK.training_table(pairs, v, "made_data", "clm", block=64, context=128, special=TK.GPT_SPECIAL)
+    return t.select("ord", "block", _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"))
+
+
+# ids cut to 256 before the blocks
+@register("training_table_clm_limit", _CLM_SRC.replace("FROM ids WHERE", "FROM (SELECT ord, l[1:256] AS l FROM ids) WHERE"))
+def q_training_table_clm_limit(spark, sf):
+    """TOK13 / TOK5: nested texts cut at the tokenizer's own limit."""
+    qa = standins.qa_rows(spark, sf)
+    v = TK.build_vocab(C.with_tokens(TK.clm_text_passages(qa)))
+    t = TK.training_table(qa, v, "part_data", "clm", block=64, limit=256)
+    return t.select("ord", "block", _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"))
+
+
+@register("training_table_full", f"""WITH {O.PAGE_ROWS.replace('SELECT url,', 'SELECT page_id AS ord, url,')},
+src AS (SELECT ord, concat_ws(chr(9), url, query, text) AS text FROM page_rows),
+{_vocab_sql('text')},
+{_ids_sql('text', 'ids')},
+e AS (SELECT ord, unnest(l) AS id, unnest(generate_series(1, len(l))) AS pos FROM ids),
+g AS (SELECT id, row_number() OVER (ORDER BY ord, pos) - 1 AS at_ FROM e)
+SELECT (at_ // 64)::BIGINT AS block, string_agg(id::VARCHAR, ' ' ORDER BY at_) AS input_ids,
+       string_agg(id::VARCHAR, ' ' ORDER BY at_) AS labels FROM g GROUP BY 1 HAVING count(*) = 64""")
+def q_training_table_full(spark, sf):
+    """TOK13 / TOK8: raw records packed into blocks across records."""
+    raw = _page_rows(spark, sf, F.col("page_id").alias("ord"))
+    text = raw.select("ord", F.concat_ws("\t", "url", "query", "text").alias("text"))
+    v = TK.build_vocab(C.with_tokens(text))
+    t = TK.training_table(raw, v, "full_data", block=64)
+    return t.select("block", _ids_str("input_ids").alias("input_ids"), _ids_str("labels").alias("labels"))
+
+
 def _teacher_src(query: str, select: str) -> str:
     return f"""WITH {O.PAIRS},
 src AS (SELECT ord, {query} AS query, body, query || ' ' || body || '</s>' AS text, label FROM pairs),
@@ -794,7 +838,7 @@ def q_bleu_unigram(spark, sf):
 # ------------------------------------------- variants, runs, generation (§2.5)
 
 from rankshift.operators import generators as GN, kneser_ney as KN, sampling as SA  # noqa: E402
-from rankshift.params import GenParams  # noqa: E402
+from rankshift.params import EvalParams, GenParams  # noqa: E402
 
 LENGTHS = (50, 150, 300)
 STRIPS = (False, True)
@@ -1079,12 +1123,47 @@ def q_embed_rank_metrics(spark, sf):
     return rank_metrics(rank.fake_positions(scored, ["ranker", "qid"]), ["ranker"])
 
 
-@register("snk_examples_by_model")
+@register("snk_examples_by_model", ORACLE["generate_grid"])
 def q_snk_examples_by_model(spark, sf):
-    """SNK5 + SNK6: generation examples per model/checkpoint, read back."""
+    """SNK6: one result set a model, written one after the other; each write leaves the others alone."""
     path = scratch_path(spark, "by_model")
-    sinks.write_by_model(q_generate_grid(spark, sf), path)
-    return spark.read.json(path)
+    grid = materialize(q_generate_grid(spark, sf), "grid_texts")
+    for half in (0, 1):
+        sinks.write_by_model(grid.where(F.pmod(F.crc32(F.col("model").cast("binary")), F.lit(2)) == half), path)
+    return spark.read.schema("qid long, query string, generated_text string, model string").json(path)
+
+
+_RUN = EvalParams(launch_description="echo_stripped", strip_prompt=True, total_samples=500, number_examples_batch=3)
+
+
+def _evaluated(spark, sf):
+    folder = scratch_path(spark, "evaluation")
+    run = evaluation.evaluate_run(standins.queries(spark, sf), standins.candidates(spark, sf), _RUN, folder)
+    return folder, run
+
+
+@register("evaluate_run", O.echo_eval_prefix(strip=True) + f""",
+met AS ({O.metrics_select()})
+SELECT {_NAME_SQL} AS name, value::DOUBLE AS value FROM
+  (UNPIVOT (SELECT ranker, {', '.join(_MET_COLS)} FROM met) ON {', '.join(_MET_COLS)} INTO NAME metric VALUE value)""")
+def q_evaluate_run(spark, sf):
+    """One evaluation run from its parameters (generate, strip, mix, rank, measure, record), its record read back."""
+    folder, run = _evaluated(spark, sf)
+    back = spark.read.json(f"{folder}/metrics").where(F.col("run_id") == run)
+    return back.select(F.explode(F.from_json("metrics", "map<string,double>")).alias("name", "value"))
+
+
+@register("snk_examples", f"""WITH {O.QUERIES}, {O.CANDS}, {O.echo_cte('raw')},
+b AS (SELECT q.query, substr(r.text, length(coalesce(q.query, '')) + 1) AS generated_text,
+        (row_number() OVER (ORDER BY q.qid) - 1) // 8 AS batch FROM queries q JOIN raw r USING (qid)),
+d AS (SELECT DISTINCT floor({O.u32("'123|' || r.i::VARCHAR")} / 4294967296.0::DOUBLE * n)::BIGINT AS batch
+      FROM range(3) r(i), (SELECT max(batch) + 1 AS n FROM b))
+SELECT query, generated_text FROM b WHERE batch IN (SELECT batch FROM d)""")
+def q_snk_examples(spark, sf):
+    """SNK5: the examples that an evaluation run keeps (all rows of three drawn batches), read back."""
+    folder, run = _evaluated(spark, sf)
+    back = spark.read.schema("query string, generated_text string, run_id string").json(f"{folder}/examples")
+    return back.where(F.col("run_id") == run).select("query", "generated_text")
 
 
 @register("perplexity_trigram", f"WITH {O.ngram_lm_ctes(3)} SELECT doc_id, lang, perplexity FROM nppl")
