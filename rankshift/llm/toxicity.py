@@ -1,16 +1,15 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-1. Document frequencies of each unit in both classes over a training sample
-   (at most ``SAMPLE`` labelled rows, the ones with the smallest hash of the
-   id; equal texts count once).  Units are words and their first 4, 5 and 6
-   letters, so inflected forms of a rare word support each other.
+1. Counts of each unit in both classes over a training sample (at most
+   ``SAMPLE`` labelled rows, the ones with the smallest hash of the id; equal
+   texts count once, and a text counts a unit ``MOST`` times at most).  Units
+   are words and their first 3 to 8 letters, so inflected and compound forms of
+   a rare word support each other.
 2. Log-odds of each unit with an informative Dirichlet prior (``PRIOR`` times
-   its count in both classes together) and the z-score of the difference.
-   Units below ``MIN_Z`` in absolute z-score are dropped.  A token takes the
-   log-odds of its unit with the largest absolute z-score, or ``-DRIFT`` if
-   it has none.  A clean text therefore drifts down, as segment statistics
-   need; so that frequent words with a slight tilt do not add up, ``TILT`` is
-   taken off every log-odds.
+   its count in both classes together), shrunk towards 0 by ``DOUBT`` standard
+   errors; what is left of units that are surer than that is their weight.  A
+   token takes the largest weight (by size) of its units, or ``-DRIFT`` if none
+   has any.  A clean text therefore drifts down, as segment statistics need.
 3. A linear-time scan (Ruzzo and Tompa) finds all maximal-scoring segments of
    the whole text; these are the candidate passages.
 4. Extreme-value calibration: best segment scores of clean training texts
@@ -19,36 +18,43 @@
    whose tail probability is below ``ALPHA`` are significant.  The document
    statistic adds up ``-log`` of the tail probability of the best and of the
    significant passages; a logistic curve fitted on the training rows maps
-   it to 0..1.
+   it to 0..1.  Law and curve are cross-fitted: every training row is scanned
+   with weights that the other ``FOLDS - 1`` parts of the sample gave.
 
 Tokens are runs of letters, lower-cased.  Score of a null or empty text, or
 of a text without letters: the calibrated score of "no passage".  Without
 training rows of both classes every score is 0.  Repeated rows score alike.
 
-The table that reaches the driver holds the significant units only (the
-``MAX_TOKENS`` with the largest absolute z-score); it comes from the bounded
-sample and does not grow with the input.
+Defined results further: an empty table gives no rows; very long texts are
+scanned whole in linear time; input columns named like an output column are
+replaced.
+
+What reaches the driver comes from the bounded sample and does not grow with
+the input: the units with a weight (the ``MAX_TOKENS`` surest of each fold) and
+three numbers a training row.
 """
 
 from __future__ import annotations
 
+import collections
 import math
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankshift.llm.common import add_columns, doc_crc, materialize, pick_sample
 
 SAMPLE = 20_000
+MOST = 10
 PRIOR = 0.05
-MIN_Z = 3.0
+DOUBT = 3.0
 DRIFT = 0.1
-TILT = 1.0
 ALPHA = 0.01
+FOLDS = 2
 MAX_TOKENS = 50_000
-HEADS = (4, 5, 6)
+HEADS = (3, 4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -61,7 +67,7 @@ def units(word: str) -> list[str]:
 
 
 class Weights:
-    """Token weights under a unit table {unit: (weight, z)}; remembers tokens it has met (emptied when full)."""
+    """Token weights under a unit table {unit: weight}; remembers tokens it has met (emptied when full)."""
 
     def __init__(self, table: dict, room: int = 500_000):
         self.table, self.room, self.known = table, room, {}
@@ -71,7 +77,7 @@ class Weights:
             self.known.clear()
         for w in set(toks).difference(self.known):
             got = [self.table[u] for u in units(w) if u in self.table]
-            self.known[w] = max(got, key=lambda x: abs(x[1]))[0] - TILT if got else -DRIFT
+            self.known[w] = max(got, key=abs) if got else -DRIFT
         return np.fromiter(map(self.known.__getitem__, toks), float, len(toks))
 
 
@@ -95,18 +101,31 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, hi - lo) for a, b, lo, hi in stack]
 
 
+def unit_counts(text: str | None) -> list[str]:
+    """Units of a text, each as often as it counts."""
+    found = collections.Counter(u for w in tokens(text) for u in units(w))
+    return [u for u, n in found.items() for _ in range(min(n, MOST))]
+
+
 def log_odds(rows: DataFrame) -> DataFrame:
-    """unit, weight, z of each unit of ``rows`` (units array without repeats, toxic 0/1)."""
+    """(part, unit, weight, z) from ``rows`` (units, toxic 0/1, fold): the weights that all folds but ``part`` give;
+    ``part`` = ``FOLDS`` leaves none out.  Units without a weight are left out."""
     one = F.col("toxic") == 1
-    t = rows.select(F.explode("units").alias("unit"), "toxic").groupBy("unit").agg(
+    t = rows.select(F.explode("units").alias("unit"), "toxic", "fold").groupBy("unit", "fold").agg(
         F.count(F.when(one, 1)).alias("y1"), F.count(F.when(~one, 1)).alias("y0"))
-    all_ = t.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"))  # one row
-    t = t.join(F.broadcast(all_)).where("n1 > 0 and n0 > 0")
+    others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda p: p != F.col("fold"))
+    t = (t.withColumn("part", F.explode(others)).groupBy("part", "unit")
+         .agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
+    t = materialize(t, "toxicity-counts")
+    all_ = t.groupBy("part").agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"))  # FOLDS + 1 rows
+    t = t.join(F.broadcast(all_), "part").where("n1 > 0 and n0 > 0")
     a, total = PRIOR * (F.col("y1") + F.col("y0")), PRIOR * (F.col("n1") + F.col("n0"))
     w = (F.log((F.col("y1") + a) / (F.col("n1") + total - F.col("y1") - a))
          - F.log((F.col("y0") + a) / (F.col("n0") + total - F.col("y0") - a)))
-    z = w / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
-    return t.select("unit", w.alias("weight"), z.alias("z"))
+    err = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
+    t = t.select("part", "unit", w.alias("w"), err.alias("err")).where(F.abs("w") > DOUBT * F.col("err"))
+    return t.select("part", "unit", (F.signum("w") * (F.abs("w") - DOUBT * F.col("err"))).alias("weight"),
+                    (F.abs("w") / F.col("err")).alias("z"))
 
 
 def _tail(best, n, law):
@@ -148,34 +167,47 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def make():
-        return lambda texts: [[sorted({u for w in tokens(t) for u in units(w)}) for t in texts]]
+        return lambda texts: [[unit_counts(t) for t in texts]]
 
     rows = rows.select("text", "toxic").dropDuplicates(["text"])
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
     rows = materialize(add_columns(rows, make, [("units", "array<string>")]), "toxicity-rows")
-    table = (log_odds(rows).where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "unit").limit(MAX_TOKENS)
-             .select("unit", "weight", "z").collect())
-    model = {"table": {r["unit"]: (float(r["weight"]), float(r["z"])) for r in table}, "law": (0.0, 1.0), "curve": None}
-    found = _passages(rows.select("text", "toxic"), model["table"]).select("toxic", "found", "n_tok").collect()
+    order = Window.partitionBy("part").orderBy(F.desc("z"), "unit")
+    surest = log_odds(rows).withColumn("r", F.row_number().over(order)).where(F.col("r") <= MAX_TOKENS)
+    tables: list[dict] = [{} for _ in range(FOLDS + 1)]
+    for r in surest.select("part", "unit", "weight").collect():
+        tables[r["part"]][r["unit"]] = float(r["weight"])
+    model = {"table": tables[FOLDS], "law": (0.0, 1.0), "curve": None}
+    rows = rows.select("text", "toxic", "fold")
+    found = _scanned(rows, tables, None).collect()
     y = np.array([r["toxic"] for r in found], dtype=float)
     if not model["table"] or len(set(y)) < 2:
         return model
-    n = np.array([r["n_tok"] for r in found], dtype=float)
-    best = np.array([max(r["found"], default=0.0) for r in found])
+    best, n = (np.array([r[c] for r in found], dtype=float) for c in ("best", "n_tok"))
     model["law"] = _fit_law(best[y == 0], n[y == 0])
-    model["curve"] = _fit_curve(np.array([_statistic(r["found"], r["n_tok"], model["law"])[0] for r in found]), y)
+    found = _scanned(rows, tables, model["law"]).collect()
+    model["curve"] = _fit_curve(np.array([r["best"] for r in found]), np.array([r["toxic"] for r in found], dtype=float))
     return model
 
 
-def _passages(rows: DataFrame, table: dict) -> DataFrame:
-    def make():
-        weigh = Weights(table)
+def _scanned(rows: DataFrame, tables: list[dict], law) -> DataFrame:
+    """(toxic, best, n_tok) of training rows under the weights of the other folds: the best passage score, or with a
+    ``law`` the document statistic."""
+
+    def run(batches):
+        import pyarrow as pa
 
-        def f(texts):
-            toks = [tokens(t) for t in texts]
-            return [[[s for _, _, s in segments(weigh(t))] for t in toks], [len(t) for t in toks]]
-        return f
+        weigh = [Weights(t) for t in tables]
+        for b in batches:
+            out = []
+            for t, fold in zip(b.column("text").to_pylist(), b.column("fold").to_pylist()):
+                toks = tokens(t)
+                scores = [s for _, _, s in segments(weigh[fold](toks))]
+                out.append((max(scores, default=0.0) if law is None else _statistic(scores, len(toks), law)[0], len(toks)))
+            yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array([x for x, _ in out], pa.float64()),
+                                              pa.array([n for _, n in out], pa.int64())], names=["toxic", "best", "n_tok"])
 
-    return add_columns(rows, make, [("found", "array<double>"), ("n_tok", "long")])
+    return rows.mapInArrow(run, "toxic int, best double, n_tok long")
 
 
 def _statistic(scores: list[float], n: int, law) -> tuple[float, list[bool]]:
@@ -209,8 +241,8 @@ def score(docs: DataFrame, model: dict, text: str = "text", prefix: str = "") ->
 
         return lambda texts: list(map(list, zip(*[one(t) for t in texts])))
 
-    return add_columns(docs, make, [(prefix + "score", "double"), (prefix + "n_passages", "long"),
-                                    (prefix + "passages", "string")], text)
+    names = [(prefix + "score", "double"), (prefix + "n_passages", "long"), (prefix + "passages", "string")]
+    return add_columns(docs.drop(*(n for n, _ in names)), make, names, text)
 
 
 def held_out(doc_id):

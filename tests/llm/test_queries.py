@@ -20,6 +20,18 @@ def test_held_out_accuracy(spark, name, truth, least):
     assert got.agg(F.avg((F.col("predicted") == F.col(truth)).cast("int"))).first()[0] >= least
 
 
+def test_toxicity_in_every_language(spark):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet").select("doc_id", "lang")
+    labels = spark.read.parquet(f"{SF1}/labels.parquet").select("doc_id", "toxic")
+    rows = queries.QUERIES["op6_toxicity"](spark, SF1).where("held_out").join(labels, "doc_id").join(docs, "doc_id").collect()
+    for lang in (None, "en", "de", "fr", "es"):
+        mine = [r for r in rows if lang in (None, r["lang"])]
+        hit = sum(r["predicted"] and r["toxic"] for r in mine)
+        precision, recall = hit / max(1, sum(r["predicted"] for r in mine)), hit / sum(r["toxic"] for r in mine)
+        print(lang, round(precision, 3), round(recall, 3))
+        assert recall >= (0.8 if lang is None else 0.6) and precision >= (0.9 if lang is None else 0.75)
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet(f"{SF1}/documents.parquet").select("doc_id", "lang")
     got = queries.QUERIES["op8_language"](spark, SF1).where("held_out").join(d, "doc_id")
