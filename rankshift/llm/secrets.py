@@ -1,9 +1,11 @@
 """Secret scans: a recursive decoding worklist over each whole text.
 
 Layer 0 is the text.  Every layer is scanned for the three kinds of secrets;
-then it is unwrapped: percent escapes, ``\\u``/``\\x`` escapes, base64 runs
-(standard and URL alphabets, any offset, also over line breaks), and gzip /
-zlib data inside any of these.  Each child layer joins the worklist unless its content was seen before (cycle
+then it is unwrapped: percent escapes (``%uXXXX`` too), escapes of string
+literals (``\\u``, ``\\u{}``, ``\\U``, ``\\x``, octal and short ones such as
+``\\"``), character references, two-byte characters, base64 runs (standard and
+URL alphabets, any offset, also over line breaks), and gzip / zlib data inside
+any of these.  Each child layer joins the worklist unless its content was seen before (cycle
 detection), until nothing new appears (fixpoint).  Decoded bytes are scanned
 whatever they hold, one character a byte (Latin-1): all patterns are ASCII,
 so this finds the same as UTF-8 and loses nothing.  Every layer carries the
@@ -16,13 +18,16 @@ base64 run or inner compressed data can reach across, so results are those of
 the whole; memory follows the longest stretch without such a place.
 
 Null counts as empty; a text without secrets gives zero counts and empty
-strings.  Rows are independent: repeated rows give repeated results.
+strings; an empty table gives no rows.  Rows are independent: repeated rows
+give repeated results.  Input columns named like an output column are replaced.
+Not opened: raw deflate without a header, bz2, xz, zlib windows below 32K.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import html
 import itertools
 import re
 import zlib
@@ -38,12 +43,16 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
                      re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-# The same with the short escapes of string literals (printed bytes).
-_LITERAL = re.compile(r"""(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'"])+""")
-_UNIT = re.compile(r"""\\(u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[abfnrtv0\\'"])""")
-_SHORT = {c: ord(v) for c, v in zip("abfnrtv0\\'\"", "\a\b\f\n\r\t\v\0\\'\"")}
+_PERCENT = re.compile(r"(?:%u[0-9A-Fa-f]{4}|%[0-9A-Fa-f]{2})+")
+_HEXED = r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}"
+_ESCAPES = re.compile(rf"(?:{_HEXED})+")
+# The same with the short and octal escapes of string literals (printed bytes, JSON inside JSON).
+_LITERAL = re.compile(rf"""(?:{_HEXED}|\\[0-3]?[0-7]{{1,2}}|\\[abfnrtv\\'"/])+""")
+_UNIT = re.compile(r"""\\(u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2}|[0-3]?[0-7]{1,2}|[abfnrtv\\'"/])""")
+_SHORT = {c: ord(v) for c, v in zip("abfnrtv\\'\"/", "\a\b\f\n\r\t\v\\'\"/")}
+_ENTITY = re.compile(r"(?:&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|apos|amp|lt|gt|equals|colon|sol|plus|period|lowbar|num);)+")
+# Two bytes a character, either order.
+_WIDE = re.compile("(?:[\\t\\n\\r -~]\0){6,}|(?:\0[\\t\\n\\r -~]){6,}")
 # Base64 letters, over line breaks (and the indent around them) too.
 _BASE64 = re.compile(r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-]{1,15}[ \t]*[\r\n])
                          [A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}""", re.VERBOSE)
@@ -51,13 +60,14 @@ _LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 _PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 # What a decoded run needs to have for a hit or for a further layer.
-_LIVE = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux]|"
+_LIVE = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%u?[0-9A-Fa-f]{2}|\\[uUx0-7abfnrtv\\'\"/]|&#|&[a-z]{2,6};|"
+                   rb"(?:[ -~]\0){6}|(?:\0[ -~]){6}|"
                    rb"[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*[\r\n]|\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 STEP, PIECE = 1 << 16, 1 << 20  # bytes read from compressed data, bytes of content looked at, at a time
 # Bytes where content may be cut: not in any pattern, escape, wrapped base64 or start of compressed data.
 _CUT = np.ones(256, bool)
 _CUT[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-                   b"+/_.=-\"' :%\\\r\n\t!~*()\x1f\x8b\x08", np.uint8)] = False
+                   b"+/_.=-\"' :%\\\r\n\t!~*(){}&#;\0\x1f\x8b\x08", np.uint8)] = False
 
 
 def base_matches(text: str) -> list[tuple[int, int, int]]:
@@ -96,13 +106,21 @@ def _replace(text: str, lo, hi, pattern, decode):
 
 
 def _percent(run: str) -> str:
-    return bytes.fromhex(run.replace("%", "")).decode("latin-1")
+    return _from_units(int(x.lstrip("u"), 16) for x in run.split("%")[1:])
+
+
+def _entities(run: str) -> str:
+    return "".join(html.unescape(x + ";") for x in run.split(";")[:-1])
+
+
+def _from_units(units) -> str:
+    """One character a unit; half a surrogate pair, or a number beyond all characters, becomes a mark of its own."""
+    return "".join("\ufffd" if 0xD800 <= u < 0xE000 or u > 0x10FFFF else chr(u) for u in units)
 
 
 def _escapes(run: str) -> str:
-    """One character a unit; half a surrogate pair becomes a mark of its own."""
-    units = (_SHORT[x[0]] if x[0] in _SHORT else int(x[1:], 16) for x in _UNIT.findall(run))
-    return "".join("\ufffd" if 0xD800 <= u < 0xE000 else chr(u) for u in units)
+    return _from_units(_SHORT[x] if x in _SHORT else int(x[1:].strip("{}"), 16) if x[0] in "uUx" else int(x, 8)
+                       for x in _UNIT.findall(run))
 
 
 def _stream(data: bytes, at: int):
@@ -229,10 +247,29 @@ def _respelled(text: str, lo, hi):
     """Child layers with escapes decoded."""
     if "%" in text and (got := _replace(text, lo, hi, _PERCENT, _percent)):
         yield got
-    if "\\" in text and (got := _replace(text, lo, hi, _ESCAPES, _escapes)):
+    if "\\" in text:
+        for pattern in (_ESCAPES, _LITERAL):
+            if got := _replace(text, lo, hi, pattern, _escapes):
+                yield got
+    if "&" in text and (got := _replace(text, lo, hi, _ENTITY, _entities)):
+        yield got
+    if "\0" in text and (got := _narrowed(text, lo, hi)):
         yield got
-        if got := _replace(text, lo, hi, _LITERAL, _escapes):
-            yield got
+
+
+def _narrowed(text: str, lo, hi):
+    """Child layer with two-byte characters made one; every character keeps its place."""
+    keep = np.ones(len(text), bool)
+    for m in _WIDE.finditer(text):
+        first = m.start() + (text[m.start()] != "\0")
+        keep[first:m.end():2] = False
+    if keep.all():
+        return None
+    at = np.flatnonzero(keep)
+    new = "".join(map(text.__getitem__, at.tolist()))
+    if _fixed(lo):
+        return new, np.broadcast_to(lo[0], len(new)), np.broadcast_to(hi[0], len(new))
+    return new, lo[at], hi[at]
 
 
 def _children(text: str, lo, hi):
@@ -251,7 +288,7 @@ def scan(text: str) -> tuple[list, list]:
     """(base matches, all spans), both as sorted (start, kind number, end)."""
     base = base_matches(text)
     spans = set(base)
-    if "%" in text or "\\" in text or _BASE64.search(text):
+    if "%" in text or "\\" in text or "&" in text or "\0" in text or _BASE64.search(text):
         place = np.arange(len(text))
         seen = set()
         work = [_children(text, place, place + 1)]  # one layer of each depth is held at a time
@@ -300,7 +337,8 @@ def secret_scan(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFr
 
     names = [("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base", "string"),
              ("spans", "string"), ("redacted", "string")]
-    return add_columns(docs, make, [(prefix + n, t) for n, t in names], text)
+    names = [(prefix + n, t) for n, t in names]
+    return add_columns(docs.drop(*(n for n, _ in names)), make, names, text)
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -330,6 +330,47 @@ def test_secret_layers_with_odd_bytes():
         assert spans[0][0] >= 2 and spans[0][2] <= len(text) + 2
 
 
+def respell(kind, text):
+    """One layer around ``text``."""
+    return {"json": lambda t: t.replace("\\", "\\\\").replace('"', '\\"'), "percent": lambda t: "".join(f"%{ord(c):02X}" for c in t),
+            "percent_u": lambda t: "".join(f"%u{ord(c):04x}" for c in t), "u": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+            "braces": lambda t: "".join(f"\\u{{{ord(c):x}}}" for c in t), "U": lambda t: "".join(f"\\U{ord(c):08X}" for c in t),
+            "x": lambda t: "".join(f"\\x{ord(c):02x}" for c in t), "octal": lambda t: "".join(f"\\{ord(c):03o}" for c in t),
+            "ref": lambda t: "".join(f"&#{ord(c)};" for c in t), "hexref": lambda t: "".join(f"&#x{ord(c):X};" for c in t),
+            "base64": lambda t: base64.b64encode(t.encode("latin-1")).decode(), "utf16": lambda t: base64.b64encode(t.encode("utf-16-le")).decode(),
+            "utf16be": lambda t: base64.b64encode(t.encode("utf-16-be")).decode(), "lines": lambda t: base64.encodebytes(t.encode()).decode().replace("\n", "\\n"),
+            "gzip": lambda t: base64.b64encode(gzip.compress(t.encode("latin-1"), mtime=0)).decode(),
+            "zlib": lambda t: base64.urlsafe_b64encode(zlib.compress(t.encode("latin-1"))).decode()}[kind](text)
+
+
+KINDS_OF_LAYER = ["json", "percent", "percent_u", "u", "braces", "U", "x", "octal", "ref", "hexref", "base64", "utf16", "utf16be",
+                  "lines", "gzip", "zlib"]
+
+
+@pytest.mark.parametrize("kind", KINDS_OF_LAYER)
+def test_secret_in_every_layer(kind):
+    for plain in ('{"password": "abcdefgh123"}', "the token=abcdefghijkl, here", "key AKIA" + "Q7" * 9 + " is"):
+        text = f"q {respell(kind, plain)} w"
+        base, spans = secrets.scan(text)
+        assert {k for _, k, _ in spans} == {1 if "AKIA" in plain else 0}, (kind, plain)
+        assert all(2 <= s < e <= len(text) - 2 for s, _, e in spans) and set(base) <= set(spans)
+
+
+def test_secret_in_nested_layers():
+    rng = random.Random(11)
+    for _ in range(400):
+        layers = [rng.choice(KINDS_OF_LAYER) for _ in range(rng.randrange(2, 4))]
+        text = '{"password": "abcdefgh123"}'
+        for kind in layers:
+            text = respell(kind, text)
+        text = f"q {text} w"
+        base, spans = secrets.scan(text)
+        assert 0 in {k for _, k, _ in spans}, layers
+        assert 0 not in {k for _, k, _ in secrets.scan(secrets.redact(text, spans))[1]}, layers
+    for clean in ("R&D &amp; more &#169; \\n \\0 100% a\\b", "C:\\\\temp\\\\new &lt;b&gt;", "\0" * 50, "&#9999999; \\U99999999 \\u{110000}"):
+        assert secrets.scan(clean) == ([], [])
+
+
 def test_secret_base64_glued_and_wrapped():
     word = "token=abcdefghijkl"
     b64 = base64.b64encode(word.encode()).decode()
