@@ -54,6 +54,7 @@ DRIFT = 0.1
 ALPHA = 0.01
 FOLDS = 2
 MAX_TOKENS = 50_000
+ROOM = 200_000       # entries of a task's tables of words and units before they are handed on or emptied
 HEADS = (3, 4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,7 +70,7 @@ def units(word: str) -> list[str]:
 class Weights:
     """Token weights under a unit table {unit: weight}; remembers tokens it has met (emptied when full)."""
 
-    def __init__(self, table: dict, room: int = 500_000):
+    def __init__(self, table: dict, room: int = ROOM):
         self.table, self.room, self.known = table, room, {}
 
     def __call__(self, toks: list[str]) -> np.ndarray:
@@ -101,18 +102,37 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, hi - lo) for a, b, lo, hi in stack]
 
 
-def unit_counts(text: str | None) -> list[str]:
-    """Units of a text, each as often as it counts."""
-    found = collections.Counter(u for w in tokens(text) for u in units(w))
-    return [u for u, n in found.items() for _ in range(min(n, MOST))]
+def unit_counts(rows: DataFrame) -> DataFrame:
+    """(unit, fold, y1, y0): how often each unit counts in both classes, added up text by text inside the tasks."""
+
+    def run(frames):
+        import pandas as pd
+
+        sums: dict[tuple, list[int]] = {}
+
+        def part():
+            return pd.DataFrame([(u, f, *n) for (u, f), n in sums.items()], columns=["unit", "fold", "y1", "y0"])
+
+        for frame in frames:
+            for text, toxic, fold in zip(frame["text"], frame["toxic"], frame["fold"]):
+                found = collections.Counter()
+                for w, n in collections.Counter(tokens(text)).items():
+                    for u in units(w):
+                        found[u] += n
+                for u, n in found.items():
+                    sums.setdefault((u, fold), [0, 0])[0 if toxic == 1 else 1] += min(n, MOST)
+                if len(sums) > ROOM:
+                    yield part()
+                    sums.clear()
+        yield part()
+
+    return rows.mapInPandas(run, "unit string, fold int, y1 long, y0 long")
 
 
 def log_odds(rows: DataFrame) -> DataFrame:
-    """(part, unit, weight, z) from ``rows`` (units, toxic 0/1, fold): the weights that all folds but ``part`` give;
+    """(part, unit, weight, z) from ``rows`` (text, toxic 0/1, fold): the weights that all folds but ``part`` give;
     ``part`` = ``FOLDS`` leaves none out.  Units without a weight are left out."""
-    one = F.col("toxic") == 1
-    t = rows.select(F.explode("units").alias("unit"), "toxic", "fold").groupBy("unit", "fold").agg(
-        F.count(F.when(one, 1)).alias("y1"), F.count(F.when(~one, 1)).alias("y0"))
+    t = unit_counts(rows).groupBy("unit", "fold").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
     others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda p: p != F.col("fold"))
     t = (t.withColumn("part", F.explode(others)).groupBy("part", "unit")
          .agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
@@ -166,19 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     ids = materialize(pick_sample(labels.select("doc_id", "toxic"), "doc_id", sample), "toxicity-sample")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
-    def make():
-        return lambda texts: [[unit_counts(t) for t in texts]]
-
-    rows = rows.select("text", "toxic").dropDuplicates(["text"])
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
-    rows = materialize(add_columns(rows, make, [("units", "array<string>")]), "toxicity-rows")
+    rows = rows.select("text", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["text"])
+    rows = materialize(rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")), "toxicity-rows")
     order = Window.partitionBy("part").orderBy(F.desc("z"), "unit")
     surest = log_odds(rows).withColumn("r", F.row_number().over(order)).where(F.col("r") <= MAX_TOKENS)
     tables: list[dict] = [{} for _ in range(FOLDS + 1)]
     for r in surest.select("part", "unit", "weight").collect():
         tables[r["part"]][r["unit"]] = float(r["weight"])
     model = {"table": tables[FOLDS], "law": (0.0, 1.0), "curve": None}
-    rows = rows.select("text", "toxic", "fold")
     found = _scanned(rows, tables, None).collect()
     y = np.array([r["toxic"] for r in found], dtype=float)
     if not model["table"] or len(set(y)) < 2:
