@@ -373,3 +373,27 @@ steps AS (
 
 
 SETTINGS_COLUMNS = "user_id, event_id, ts, kind, text, outcome, model, word_count::INTEGER AS word_count, mode"
+
+
+# ------------------------------------------------------------ learned pair scorer (RNK4)
+
+def translation_ctes(iterations: int = 3, keep: float = 1e-6, smooth: float = 0.5) -> str:
+    """em (qid, idx, score): the lists scored by word translation learned from ``pairs``."""
+    out = [f"eq AS (SELECT ord, tok AS q, count(*) AS nq FROM (SELECT ord, unnest({tok('query')}) AS tok FROM pairs) GROUP BY ALL)",
+           f"ed AS (SELECT ord, tok AS d, count(*) AS nd FROM (SELECT ord, unnest(list_concat([''], {tok('body')})) AS tok FROM pairs) GROUP BY ALL)",
+           "el AS (SELECT * FROM eq JOIN ed USING (ord))"]
+    for i in range(1, iterations + 1):
+        rows = "(SELECT *, 1.0::DOUBLE AS t FROM el)" if i == 1 else f"(SELECT el.*, t FROM el JOIN et{i - 1} USING (q, d))"
+        out += [f"""ec{i} AS (SELECT q, d, sum(nq * nd * t / a) AS c FROM (SELECT *, sum(nd * t) OVER (PARTITION BY ord, q) AS a FROM {rows})
+                  GROUP BY q, d)""", f"et{i} AS (SELECT q, d, c / sum(c) OVER (PARTITION BY d) AS t FROM ec{i})"]
+    out.append(f"""ew AS (SELECT q, sum(nq) AS n FROM eq GROUP BY q), en AS (SELECT sum(n) AS n_all, count(*) AS v FROM ew),
+ea AS (SELECT qid, a.tok AS q, qn, {smooth} * coalesce((w.n + 1) / (en.n_all + en.v + 1), 1 / (en.n_all + en.v + 1)) AS low
+  FROM (SELECT qid, tok, count(*) AS qn FROM (SELECT qid, unnest({tok('query')}) AS tok FROM queries) GROUP BY ALL) a
+  LEFT JOIN ew w ON w.q = a.tok, en),
+et AS (SELECT * FROM et{iterations} WHERE t >= {keep}),
+ex AS (SELECT qid, idx, {tok('text')} AS w FROM lists),
+ef AS (SELECT qid, idx, d, count(*) AS tf FROM (SELECT qid, idx, unnest(list_concat([''], w)) AS d FROM ex) GROUP BY ALL),
+em_mass AS (SELECT qid, idx, q, sum(t * tf) AS m FROM ea JOIN et USING (q) JOIN ef USING (qid, d) GROUP BY ALL),
+em AS (SELECT ex.qid, ex.idx, round(coalesce(sum(qn * ln(low + {1 - smooth} * coalesce(m, 0) / (len(w) + 1))), 0), 6) AS score
+  FROM ex LEFT JOIN ea USING (qid) LEFT JOIN em_mass USING (qid, idx, q) GROUP BY ex.qid, ex.idx)""")
+    return ",\n".join(out)

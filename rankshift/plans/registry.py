@@ -837,7 +837,7 @@ def q_bleu_unigram(spark, sf):
 
 # ------------------------------------------- variants, runs, generation (§2.5)
 
-from rankshift.operators import generators as GN, kneser_ney as KN, sampling as SA  # noqa: E402
+from rankshift.operators import generators as GN, kneser_ney as KN, sampling as SA, translation as TR  # noqa: E402
 from rankshift.params import EvalParams, GenParams  # noqa: E402
 
 LENGTHS = (50, 150, 300)
@@ -1050,6 +1050,20 @@ def q_pair_scores(spark, sf):
     return rank.score_pairs(pairs, GN.overlap_scorer)
 
 
+@register("pair_scores_em", f"""WITH {O.QUERIES},
+{O.CANDS},
+{O.echo_cte('gen')},
+{O.lists_cte('gen')},
+{O.PAIRS},
+{O.translation_ctes()}
+SELECT qid, idx, score FROM em""")
+def q_pair_scores_em(spark, sf):
+    """RNK4 with a scorer learned from the question/answer pairs in three rounds."""
+    q, lists = _echo_lists(spark, sf)
+    model = TR.train_translation(TR.word_pairs(standins.qa_pairs(spark, sf)))
+    return TR.score_translation(lists, q, model)
+
+
 # ------------------------------------------------------------ streaming (§2.7)
 
 from rankshift.streaming import settings as ST  # noqa: E402
