@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankshift.functions.hashing import h32
 from rankshift.functions.text import with_term_counts, word_tokens
 from rankshift.functions.vectors import cosine, dot
 
@@ -110,20 +111,34 @@ def bm25_from_terms(terms: DataFrame, qterms: DataFrame, keys: Sequence[str] = (
 
 
 def tf_cosine_from_terms(terms: DataFrame, qterms: DataFrame, keys: Sequence[str] = ("qid",),
-                         digits: int = 6) -> DataFrame:
-    """Lexical cosine between term-count vectors of query and document."""
+                         digits: int = 6, docs: DataFrame | None = None) -> DataFrame:
+    """Lexical cosine between term-count vectors of query and document.  ``docs``: (keys, idx) of all documents if
+    ``terms`` is not a ``list_terms`` table."""
     keys = list(keys)
+    docs = doc_table(terms, keys) if docs is None else docs
     tf = terms.where(F.col("tok").isNotNull())
     dnorm = tf.groupBy(*keys, "idx").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
     qnorm = qterms.groupBy(*keys).agg(F.sqrt(F.sum(F.col("qn") * F.col("qn"))).alias("qnorm"))
     dots = (tf.join(qterms, keys + ["tok"]).groupBy(*keys, "idx")
             .agg(F.sum(F.col("tf") * F.col("qn")).cast("double").alias("_dot")))
-    sc = (doc_table(terms, keys).select(*keys, "idx").join(dots, keys + ["idx"], "left")
+    sc = (docs.select(*keys, "idx").join(dots, keys + ["idx"], "left")
           .join(dnorm, keys + ["idx"], "left").join(qnorm, keys, "left"))
     val = F.when(F.col("_dot").isNull(), F.lit(0.0)).otherwise(F.col("_dot") / (F.col("dn") * F.col("qnorm")))
     return sc.select(*keys, "idx", F.round(val, digits).alias("score"))
 
 
+def hashed_cosine_from_terms(terms: DataFrame, qterms: DataFrame, keys: Sequence[str] = ("qid",), dim: int = 256,
+                             digits: int = 6) -> DataFrame:
+    """RNK3 with the built-in embedder: a text's vector holds its word counts in ``dim`` hashed places (md5 of the
+    word).  Vectors stay sparse: the places that occur are rows, and the cosine is that of ``tf_cosine_from_terms``."""
+    keys = list(keys)
+    place = F.pmod(h32(F.col("tok")), F.lit(dim)).alias("tok")
+    docs = doc_table(terms, keys)
+    spots = terms.where(F.col("tok").isNotNull()).groupBy(*keys, "idx", place).agg(F.sum("tf").alias("tf"))
+    asked = qterms.groupBy(*keys, place).agg(F.sum("qn").alias("qn"))
+    return tf_cosine_from_terms(spots, asked, keys, digits, docs)
+
+
 def _terms(docs, keys, text, materialize_terms):
     t = list_terms(docs, keys, text)
     if materialize_terms:

@@ -1125,15 +1125,18 @@ def q_respond_stream(spark, sf):
     return spark.read.schema(answers.schema).parquet(out)
 
 
-@register("embed_rank_metrics")
+@register("embed_rank_metrics", f"""WITH {O.QUERIES}, {O.CANDS}, {O.echo_cte('gen')}, {O.lists_cte('gen')},
+{O.tfcos_ctes().replace("SELECT qid, idx, tok, count(*)", f"SELECT qid, idx, {O.u32('tok')} % 256 AS tok, count(*)")
+ .replace("SELECT qid, tok, count(*)", f"SELECT qid, {O.u32('tok')} % 256 AS tok, count(*)")},
+scored AS (SELECT 'HashEmb' AS ranker, c.qid, c.idx, c.score, l.label FROM tfcos c JOIN lists l USING (qid, idx)),
+{O.positions_ctes()}
+{O.metrics_select()}""")
 def q_embed_rank_metrics(spark, sf):
-    """RNK3 with a pluggable embedder (built-in hashing embedder) on the echo lists."""
+    """RNK3 with the built-in hashing embedder on the echo lists."""
     q, lists = _echo_lists(spark, sf)
-    emb = GN.hashing_embedder(256)
-    docs = rank.embed_with(lists, emb, "text", "embedding")
-    qv = rank.embed_with(q, emb, "query", "qvec")
-    s = rank.score_vectors(docs.select("qid", "idx", "embedding"), qv.select("qid", "qvec"), ["qid"])
-    scored = s.join(lists.select("qid", "idx", "label"), ["qid", "idx"]).withColumn("ranker", F.lit("HashEmb"))
+    terms = materialize(rank.list_terms(lists), "list_terms")
+    s = rank.hashed_cosine_from_terms(terms, rank.query_terms(q))
+    scored = s.join(rank.doc_table(terms).select("qid", "idx", "label"), ["qid", "idx"]).withColumn("ranker", F.lit("HashEmb"))
     return rank_metrics(rank.fake_positions(scored, ["ranker", "qid"]), ["ranker"])
 
 

@@ -68,3 +68,16 @@ def test_empty_tables(spark):
     q = spark.createDataFrame([(1, "a")], "qid long, query string")
     assert TR.score_translation(lists, q, model).count() == 2
     assert TR.score_translation(lists.limit(0), q, model).count() == 0
+
+
+def test_embedder_slot_equals_hashed_cosine(spark):
+    from rankshift.operators import rank
+    from rankshift.operators.generators import hashing_embedder
+    lists = spark.createDataFrame([(1, 0, "a b b c", 0), (1, 1, "", 0), (1, 2, None, 0), (2, 0, "b é x", 1), (2, 1, "q", -1)],
+                                  "qid long, idx long, text string, label int")
+    q = spark.createDataFrame([(1, "b c"), (2, "x b b zz")], "qid long, query string")
+    sparse = rank.hashed_cosine_from_terms(rank.list_terms(lists), rank.query_terms(q), dim=16)
+    docs, asked = rank.embed_with(lists, hashing_embedder(16)), rank.embed_with(q, hashing_embedder(16), "query", "qvec")
+    dense = rank.score_vectors(docs.select("qid", "idx", "embedding"), asked.select("qid", "qvec"), ["qid"])
+    got, want = ({(r["qid"], r["idx"]): r["score"] for r in x.collect()} for x in (sparse, dense))
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
