@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from rankshift.llm import language, quality, queries, simhash, toxicity
+from rankshift.llm import language, quality, queries, secrets, simhash, toxicity
 
 SF01 = "/root/testdata/sf0.01"
 SF1 = "/root/testdata/sf0.1"
@@ -75,6 +75,69 @@ def test_pipeline_equals_its_parts(spark):
     assert as_rows(got) == as_rows(corpus_pipeline.run(spark, SF01))
 
 
+def plain_stages(rows, labelled, items):
+    """The four filtering stages row by row: {doc_id: text} that each leaves.  ``rows``: (doc_id, text)."""
+    import test_operators as plain
+
+    model = labelled
+    kept = {}
+    for i, t in rows:
+        name, _, unsure = language.predict(model, t)
+        if name != "und" and not unsure:
+            kept[i] = t
+    yield dict(kept)
+
+    prints = {i: plain.brute_fingerprint(t) for i, t in kept.items()}
+    root = {f: f for f in prints.values()}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    known = list(root)
+    for x, f in enumerate(known):
+        for g in known[x + 1:]:
+            if bin(f ^ g).count("1") <= 3:
+                root[find(f)] = find(g)
+    first = {}
+    for i, f in prints.items():
+        first[find(f)] = min(i, first.get(find(f), i))
+    kept = {i: kept[i] for i in first.values()}
+    yield dict(kept)
+
+    windows = {m: {tuple(w[j:j + m]) for w in items if min(10, len(w)) == m for j in range(len(w) - m + 1)} for m in range(1, 11)}
+    for i, t in list(kept.items()):
+        w = plain.words_of(t)
+        if any(tuple(w[j:j + m]) in found for m, found in windows.items() if found for j in range(len(w) - m + 1)):
+            del kept[i]
+    yield dict(kept)
+    yield {i: secrets.redact(t, secrets.scan(t)[1]) for i, t in kept.items()}
+
+
+def test_pipeline_equals_plain_stages(spark):
+    """Both ways on every stage: nothing more and nothing less is kept, and the redacted texts are equal."""
+    import test_operators as plain
+
+    docs = spark.read.parquet(os.path.join(SF01, "documents.parquet"))
+    odd = [{"doc_id": 9_000_001, "text": "½ 123"}, {"doc_id": 9_000_002, "text": None}, {"doc_id": 9_000_003, "text": ""}]
+    odd = [tuple(r.get(c) for c in docs.columns) for r in odd]
+    docs = docs.unionByName(spark.createDataFrame(odd, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])))
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    items = [plain.words_of(r["text"]) for r in spark.read.parquet(os.path.join(SF01, "benchmark.parquet")).select("text").collect()]
+    got, sizes = docs, [len(rows)]
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], plain_stages(rows, model, items)):
+        got = corpus_pipeline.materialize(stage(spark, got, SF01), f"plain-{name}")
+        assert {r["doc_id"]: r["text"] for r in got.select("doc_id", "text").collect()} == want, name
+        assert got.count() == len(want)
+        sizes.append(len(want))
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4]
+    mixed = {r["doc_id"]: r for r in corpus_pipeline.STAGES[-1][1](spark, got, SF01).collect()}
+    last = {r["doc_id"]: len([w for w in (r["text"] or "").split() if w]) for r in got.select("doc_id", "text").collect()}
+    assert set(mixed) <= set(last) and all(0 < r["taken"] <= 3 * r["size"] for r in mixed.values())
+
+
 def as_rows(df):
     return sorted(map(tuple, df.collect()))
 
