@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankshift.functions.text import with_term_counts, word_tokens
-from rankshift.operators.ngram import BOS, EOS
+from rankshift.operators.ngram import BOS, EOS, scored_windows
 from rankshift.session import materialize
 
 
@@ -116,8 +116,8 @@ def train_kn(windows: DataFrame, order: int = 3, by: Sequence[str] = ("lang",))
         probs[k] = materialize(p, f"kn_probs_{k}")
     grams = probs[order].withColumn("bow", F.lit(None).cast("double"))
     for k in range(1, order):  # outer: the start mark is a context only
-        grams = grams.unionByName(probs[k].join(weights[k], [*by, "gram"], "full"))
-    return {"grams": materialize(grams, "kn_model"), "unknown": unknown, "order": order}
+        grams = grams.unionByName(materialize(probs[k].join(weights[k], [*by, "gram"], "full"), f"kn_model_{k}"))
+    return {"grams": grams, "unknown": unknown, "order": order}
 
 
 def window_probs(windows: DataFrame, lm: dict, by: Sequence[str] = ("lang",)) -> DataFrame:
@@ -154,9 +154,8 @@ def perplexity_kn(windows: DataFrame, lm: dict, key: str = "doc_id", by: Sequenc
                   digits: int = 6) -> DataFrame:
     """MET9: exp(-mean log p) of each text over its words and the end mark, from its ``doc_windows`` table.
 
-    Texts of a group the model has not seen (null groups included) get a null perplexity."""
+    A window that is a gram of the model has that gram's probability, so one join settles it; the others look up
+    their parts.  Texts of a group the model has not seen (null groups included) get a null perplexity."""
     by = list(by)
-    lp = window_probs(windows, lm, by)
-    j = windows.join(lp, [*by, "gram"], "left")
-    return (j.groupBy(key, *by).agg((F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("_l"))
-            .select(key, *by, F.round(F.exp(-F.col("_l")), digits).alias("perplexity")))
+    known = lm["grams"].where(F.col("p").isNotNull()).select(*by, "gram", F.log("p").alias("lp"))
+    return scored_windows(windows, known, lambda unseen: window_probs(unseen, lm, by), key, by, digits)
