@@ -55,6 +55,21 @@ def test_texts_follow_the_model_at_any_partitioning(spark, counts, beams):
     assert all(pair in follows for text, _ in a for pair in zip(text.split(), text.split()[1:]))
 
 
+@pytest.mark.parametrize("params", [{"top_p": 0.9}, {"do_sample": False}, {"num_beams": 2, "temperature": 1.5},
+                                    {"num_beams": 3, "do_sample": False, "top_p": 1.0}])
+def test_tables_built_on_the_way_give_the_same_texts(monkeypatch, spark, counts, params):
+    q = spark.createDataFrame([(1, "zzz unseen"), (2, None), (3, "x")], "qid long, query string")
+    pairs = counts.groupBy("w1", "w2").agg(F.sum("c").alias("c")).cache()
+    p = GenParams(max_length=3, seed=5).to_dict() | params
+    whole = rows(SA.sample_texts(q, pairs, p))
+    built, add = [], SA._Tables._add
+    monkeypatch.setattr(SA._Tables, "_add", lambda self, df: (add(self, df), built.append(self.heads.select("ctx").collect())))
+    monkeypatch.setattr(SA, "WHOLE", 0)
+    assert rows(SA.sample_texts(q, pairs, p)) == whole
+    met = [r["ctx"] for r in built[-1]]
+    assert len(met) == len(set(met)) and 0 < len(met) < pairs.select("w1").distinct().count()  # each once, only those met
+
+
 def test_odd_prompts_and_empty_model(spark, counts):
     q = spark.createDataFrame([(1, None), (2, ""), (3, "zzz unseen"), (4, "!?"), (None, "x")], "qid long, query string")
     p = GenParams(max_length=4).to_dict()
