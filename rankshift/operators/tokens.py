@@ -58,6 +58,7 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 1, size:
     spark = df.sparkSession
     counts = (df.select(F.explode(tokens).alias("tok")).groupBy("tok")
               .agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= min_count))
+    counts = materialize(counts, "word_counts")  # the ranking reads it twice
     keyed = counts.withColumn("_ord", F.struct((-F.col("cnt")).alias("c"), F.col("tok").alias("t")))
     bucket, run = (F.struct((-F.col("cnt")).alias("c"), F.substring("tok", 1, n).alias("p")) for n in (5, 2))
     ranked = prefix_offsets(keyed, "_ord", None, "_r", bucket=bucket, run=run)
