@@ -81,3 +81,25 @@ def test_embedder_slot_equals_hashed_cosine(spark):
     dense = rank.score_vectors(docs.select("qid", "idx", "embedding"), asked.select("qid", "qvec"), ["qid"])
     got, want = ({(r["qid"], r["idx"]): r["score"] for r in x.collect()} for x in (sparse, dense))
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_small_blocks_own_words_and_parts_of_lists(spark):
+    rng = random.Random(8)
+    pairs = [(f"all {q} {q.split()[0]}", f"{a} {a.split()[0]}") for q, a in made(rng, 120)] + [("all", ""), ("", "a1"), (None, "a2"), ("q1", None)]
+    df = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate(pairs)], "ord long, query string, body string")
+    links = TR.word_pairs(df.repartition(3))
+    assert links.count() == sum(1 for q, _ in pairs if q)  # one row a pair, not one a question word and answer word
+    models = [TR.train_translation(links, 3, keep=0.0, block=b) for b in (100, 10**6)]
+    want = plain([(q or "", a or "") for q, a in pairs], 3)
+    for m in models:  # in blocks of 100 the word of all questions has a block of its own, cut into parts
+        rows = m["table"].collect()
+        assert len(rows) == len(want) and all(r["t"] == pytest.approx(want[r["q"], r["d"]]) for r in rows)
+    only = spark.createDataFrame([("a1",), ("zz",)], "d string")
+    assert {(r["q"], r["d"]) for r in models[0]["table_of"](only).collect()} == {k for k in want if k[1] == "a1"}
+
+    # a repeated idx counts as one text of all its words; null idx and null lists have no words in common with a query
+    lists = spark.createDataFrame([(j % 2, j, a, 0) for j, (_, a) in enumerate(pairs)] + [(0, 2, "a1 a2", 0), (0, None, "a1", 0), (None, 1, "a1", 0)],
+                                  "qid long, idx long, text string, label int")
+    q = spark.createDataFrame([(0, "all q1 q1 zz"), (1, "q2"), (None, "q3")], "qid long, query string")
+    one, cut = (sorted(map(str, TR.score_translation(lists, q, m, block=b).collect())) for m, b in zip(models, (50, 10**6)))
+    assert one == cut and len(one) == len(pairs) + 3
