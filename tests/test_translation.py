@@ -95,7 +95,7 @@ def test_small_blocks_own_words_and_parts_of_lists(spark):
         rows = m["table"].collect()
         assert len(rows) == len(want) and all(r["t"] == pytest.approx(want[r["q"], r["d"]]) for r in rows)
     only = spark.createDataFrame([("a1",), ("zz",)], "d string")
-    assert {(r["q"], r["d"]) for r in models[0]["table_of"](only).collect()} == {k for k in want if k[1] == "a1"}
+    assert {(r["q"], r["ds"]) for r in models[0]["table_of"](only).collect()} == {k for k in want if k[1] == "a1"}
 
     # a repeated idx counts as one text of all its words; null idx and null lists have no words in common with a query
     lists = spark.createDataFrame([(j % 2, j, a, 0) for j, (_, a) in enumerate(pairs)] + [(0, 2, "a1 a2", 0), (0, None, "a1", 0), (None, 1, "a1", 0)],
