@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankshift.functions.text import with_term_counts, word_tokens
-from rankshift.operators.ngram import BOS, EOS, scored_windows
+from rankshift.operators import packed
+from rankshift.operators.ngram import BOS, EOS, Model, Source, scored_windows, numbered
 from rankshift.session import materialize
 
 
 def doc_windows(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ("lang",), text: str = "text",
                 order: int = 3) -> DataFrame:
-    """(key, by, gram, n): the windows of each text with their counts, written once."""
+    """(key, by, gram, n): the windows of each text with their counts.  Training and scoring count the texts
+    themselves, as packed chunks (``source`` of the table)."""
     if not 2 <= order <= 5:
         raise ValueError("order must be 2..5")
     keep = [key, *by]
@@ -44,7 +46,9 @@ def doc_windows(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ("lang",
         F.slice(t, F.greatest(i - order + 1, F.lit(1)), F.least(i, F.lit(order))), " "))
     rows = with_term_counts(padded.select(*keep, windows.alias("_w")), "_w", "_c")
     rows = rows.select(*keep, F.explode_outer("_c").alias("_x"))
-    return materialize(rows.select(*keep, F.col("_x.tok").alias("gram"), F.col("_x.tf").alias("n")), "windows")
+    rows = rows.select(*keep, F.col("_x.tok").alias("gram"), F.col("_x.tf").alias("n"))
+    rows.source, rows.order = Source(df, list(by), text), order
+    return rows
 
 
 def _length(gram: str = "gram") -> Column:
@@ -66,7 +70,12 @@ def adjusted_counts(windows: DataFrame, order: int, by: Sequence[str] = ("lang",
 
 def discounts(grams: DataFrame, by: Sequence[str] = ("lang",)) -> DataFrame:
     """(by, d1, d2, d3) of one order from its counts of counts."""
-    t = grams.groupBy(*by).agg(*(F.count_if(F.col("a") == i).cast("double").alias(f"t{i}") for i in range(1, 5)))
+    return _discounts(grams.groupBy(*by).agg(*(F.count_if(F.col("a") == i).alias(f"t{i}") for i in range(1, 5))), by)
+
+
+def _discounts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, d1, d2, d3) from counts of counts (by, t1, ..., t4)."""
+    t = counts.select(*by, *(F.col(f"t{i}").cast("double").alias(f"t{i}") for i in range(1, 5)))
     y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
     ok = (F.col("t1") > 0) & (F.col("t2") > 0) & (F.col("t3") > 0)
     d = [F.when(ok, i - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}")) for i in (1, 2, 3)]
@@ -85,8 +94,15 @@ def train_kn(windows: DataFrame, order: int = 3, by: Sequence[str] = ("lang",))
     """GEN5: {'grams': (by, gram, p, bow), 'unknown': (by, p_unk), 'order'}.
 
     ``p``: probability of the gram's last word after the others; ``bow``: weight a context hands to the next
-    shorter one (null for grams that no text goes on from)."""
-    by = list(by)
+    shorter one (null for grams that no text goes on from).  The tables are made when one of them is asked for."""
+    source = getattr(windows, "source", None)
+    if source is None or windows.order != order or source.by != list(by):
+        return {**_kn_tables(windows, order, list(by)), "order": order}
+    return Model({"order": order}, source, lambda: _kn_tables(windows, order, list(by)))
+
+
+def _kn_tables(windows: DataFrame, order: int, by: list[str]) -> dict:
+    """The tables of ``train_kn``."""
     counts = adjusted_counts(windows, order, by)
     a = F.col("a")
     probs, weights, unknown = {}, {}, None
@@ -117,7 +133,7 @@ def train_kn(windows: DataFrame, order: int = 3, by: Sequence[str] = ("lang",))
     grams = probs[order].withColumn("bow", F.lit(None).cast("double"))
     for k in range(1, order):  # outer: the start mark is a context only
         grams = grams.unionByName(materialize(probs[k].join(weights[k], [*by, "gram"], "full"), f"kn_model_{k}"))
-    return {"grams": grams, "unknown": unknown, "order": order}
+    return {"grams": grams, "unknown": unknown}
 
 
 def window_probs(windows: DataFrame, lm: dict, by: Sequence[str] = ("lang",)) -> DataFrame:
@@ -154,8 +170,11 @@ def perplexity_kn(windows: DataFrame, lm: dict, key: str = "doc_id", by: Sequenc
                   digits: int = 6) -> DataFrame:
     """MET9: exp(-mean log p) of each text over its words and the end mark, from its ``doc_windows`` table.
 
-    A window that is a gram of the model has that gram's probability, so one join settles it; the others look up
-    their parts.  Texts of a group the model has not seen (null groups included) get a null perplexity."""
+    A model with its texts is counted from them, chunk by chunk (``packed``).  Otherwise a window that is a gram of
+    the model has that gram's probability, so one join settles it; the others look up their parts.  Texts of a group
+    the model has not seen (null groups included) get a null perplexity."""
     by = list(by)
+    if isinstance(lm, Model) and lm.packed(by) and getattr(windows, "order", None) == lm["order"]:
+        return packed.kneser_ney_perplexity(numbered(lm, windows.source, key), lm["order"], key, digits, _discounts)
     known = lm["grams"].where(F.col("p").isNotNull()).select(*by, "gram", F.log("p").alias("lp"))
     return scored_windows(windows, known, lambda unseen: window_probs(unseen, lm, by), key, by, digits)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankshift.functions.text import with_term_counts, word_tokens
+from rankshift.operators import packed
 from rankshift.operators.stats import exact_percentile
 from rankshift.session import materialize
 
@@ -43,29 +44,81 @@ def bigrams(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame
 
 def doc_bigrams(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ("lang",), text: str = "text",
                 materialize_table: bool = True) -> DataFrame:
-    """(key, by, w1, w2, n): bigram counts per row, written once so that
-    training and scoring on the same corpus tokenize it once.  A row holds the
-    whole text, so its bigrams are counted inside it, without a shuffle."""
+    """(key, by, w1, w2, n): bigram counts per row.  A row holds the whole
+    text, so its bigrams are counted inside it, without a shuffle.
+
+    ``materialize_table``: the texts are also written once as packed chunks
+    (``source`` of the table) when they are first counted, so that training and
+    scoring on the same corpus tokenize it once."""
     keep = [key, *by]
     e = with_term_counts(_pairs(df, keep, text), "_p", "_terms").select(*keep, F.explode_outer("_terms").alias("_x"))
     t = e.select(*keep, F.col("_x.tok.w1").alias("w1"), F.col("_x.tok.w2").alias("w2"), F.col("_x.tf").alias("n"))
-    return materialize(t, "doc_bigrams") if materialize_table else t
+    if materialize_table:
+        t.source = Source(df, list(by), text)
+    return t
 
 
 def train_bigram_lm(df: DataFrame, by: Sequence[str] = ("lang",), text: str = "text",
                     counted: DataFrame | None = None, written: bool = True) -> dict:
     """GEN5: {'bigrams': (by, w1, w2, c), 'contexts': (by, w1, cw1), 'vocab': (by, V)}.
     ``counted``: a ``doc_bigrams`` table to train from instead of raw text;
-    ``written``: the counts are written once for the tables read from them."""
-    by = list(by)
+    ``written``: ``perplexity`` counts the texts as packed chunks, without
+    making a row of any bigram."""
+    by, source = list(by), getattr(counted, "source", None)
     if counted is not None:
         bg = counted.groupBy(*by, "w1", "w2").agg(F.sum("n").alias("c"))
     else:
         bg = bigrams(df, by, text).groupBy(*by, "w1", "w2").agg(F.count(F.lit(1)).alias("c"))
-    bg = materialize(bg, "bigrams") if written else bg
+        source = Source(df, by, text) if written else None
     ctx = bg.groupBy(*by, "w1").agg(F.sum("c").alias("cw1"))
     voc = bg.groupBy(*by).agg((F.count_distinct("w2") + 1).alias("V"))
-    return {"bigrams": bg, "contexts": ctx, "vocab": voc}
+    lm = {"bigrams": bg, "contexts": ctx, "vocab": voc}
+    return lm if source is None else Model(lm, source)
+
+
+class Source:
+    """Texts that are written as packed chunks when they are first counted."""
+
+    def __init__(self, df: DataFrame, by: list[str], text: str):
+        self.df, self.by, self.text, self.coded = df, by, text, {}
+
+    def rows(self, key: str | None = None) -> DataFrame:
+        """Under ``key``, or any key if the texts are only counted."""
+        if key is None and self.coded:
+            return next(iter(self.coded.values()))
+        if key not in self.coded:
+            df = self.df if key else self.df.withColumn("_none", F.lit(None).cast("int"))
+            self.coded[key] = packed.coded_texts(df, key or "_none", self.by, self.text)
+        return self.coded[key]
+
+
+class Model(dict):
+    """A model with the texts ``source`` that its tables come from.  ``make`` gives tables that not every use
+    of the model needs; they are made when one is asked for."""
+
+    def __init__(self, tables: dict, source: Source, make: Callable[[], dict] | None = None):
+        super().__init__(tables)
+        self.source, self.make, self.tables = source, make, dict(tables)
+
+    def __missing__(self, name: str):
+        if self.make is None:
+            raise KeyError(name)
+        made, self.make = self.make(), None
+        self.tables.update(made)
+        self.update({k: v for k, v in made.items() if k not in self})
+        return self[name]
+
+    def packed(self, by: list[str]) -> bool:
+        """Whether the tables still are those of the texts."""
+        return by == self.source.by and all(k in self.tables and v is self.tables[k] for k, v in self.items()) and all(
+            k in self for k in self.tables)
+
+
+def numbered(lm: Model, asked: Source, key: str) -> packed.Texts:
+    """The texts of a model and the texts ``asked`` with their words numbered."""
+    same = asked is lm.source or asked.df is lm.source.df and (asked.by, asked.text) == (lm.source.by, lm.source.text)
+    rows = (lm.source if same else asked).rows(key)
+    return packed.identified(rows if same else lm.source.rows(), None if same else rows, asked.by)
 
 
 def perplexity(df: DataFrame, lm: dict, key: str = "doc_id", by: Sequence[str] = ("lang",),
@@ -74,9 +127,14 @@ def perplexity(df: DataFrame, lm: dict, key: str = "doc_id", by: Sequence[str] =
     ``counted``: the texts' ``doc_bigrams`` table (each distinct bigram of a
     text is joined once and weighted by its count).
 
-    The model's bigrams get their log-probability first, so a text's bigrams
-    move for one join; contexts are looked up for unseen bigrams only."""
+    A model with its texts is counted from them, chunk by chunk (``packed``).
+    Otherwise the model's bigrams get their log-probability first, so a text's
+    bigrams move for one join; contexts are looked up for unseen bigrams only."""
     by = list(by)
+    if isinstance(lm, Model) and lm.packed(by):
+        asked = Source(df, by, text) if counted is None else getattr(counted, "source", None)
+        if asked is not None:
+            return packed.bigram_perplexity(numbered(lm, asked, key), k, key, digits)
     b = counted if counted is not None else bigrams(df, [key] + by, text).withColumn("n", F.lit(1))
     voc = materialize(lm["vocab"], "bigram_vocab")  # one row a group, read back so that the planner knows its size
 
@@ -130,11 +188,18 @@ def train_ngram_lm(df: DataFrame, order: int = 3, by: Sequence[str] = ("lang",),
     (by, k, ctx, w), context totals and distinct followers per (by, k, ctx),
     and V (distinct words + 1) per group.
 
-    Only the highest order is counted from the text; each other order adds up
-    the order above by its suffixes.  'grams': {k: (by, gram, c)}, written."""
+    The texts are written once as packed chunks, which ``perplexity_ngram``
+    counts; the tables are made when one of them is asked for."""
     if not 1 <= order <= 5:
         raise ValueError("order must be 1..5")
-    by, grams = list(by), {}
+    by = list(by)
+    return Model({"order": order, "discount": discount}, Source(df, by, text), lambda: _ngram_tables(df, order, by, text))
+
+
+def _ngram_tables(df: DataFrame, order: int, by: list[str], text: str) -> dict:
+    """The tables of ``train_ngram_lm``: only the highest order is counted from the text; each other order adds up
+    the order above by its suffixes.  'grams': {k: (by, gram, c)}, written."""
+    grams = {}
     rows = window_rows(df, by, order, text).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("c"))
     for k in range(order, 0, -1):
         if k < order:
@@ -147,7 +212,7 @@ def train_ngram_lm(df: DataFrame, order: int = 3, by: Sequence[str] = ("lang",),
         cnt = part if cnt is None else cnt.unionByName(part)
     ctx = cnt.groupBy(*by, "k", "ctx").agg(F.sum("c").alias("ch"), F.count(F.lit(1)).alias("n1p"))
     voc = grams[1].groupBy(*by).agg((F.count(F.lit(1)) + 1).alias("V"))
-    return {"counts": cnt, "contexts": ctx, "vocab": voc, "grams": grams, "order": order, "discount": discount}
+    return {"counts": cnt, "contexts": ctx, "vocab": voc, "grams": grams}
 
 
 def _followers(lm: dict, by: list[str], k: int) -> DataFrame:
@@ -163,11 +228,32 @@ def perplexity_ngram(df: DataFrame, lm: dict, key: str = "doc_id", by: Sequence[
     p_k(w|h) = max(c(h,w)-D, 0)/c(h) + D*N1+(h)/c(h) * p_{k-1}(w|h'),
     p_0 = 1/V, an unseen context passes p_{k-1} through.
 
-    Every gram of the model gets its p_k once, order by order; a text's windows
+    A model with its texts is counted from them, chunk by chunk (``packed``).
+    Otherwise every gram of the model gets its p_k once, order by order; a text's windows
     then meet them in one join.  Only windows the model has not seen, written
     per text, look up their suffixes.  The model is joined, never broadcast."""
     by = list(by)
     d, order = lm["discount"], lm["order"]
+    # texts that share their key are one text whose orders fold position by position
+    shared = df.groupBy(key, *by).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > 1).drop("_m")
+    shared = materialize(shared.select(*(F.col(c).alias(f"_{c}") for c in (key, *by))), "shared_keys")
+    alone, folded = df, None
+    if not shared.isEmpty():
+        same = F.lit(True)
+        for c in (key, *by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        alone = df.join(shared, same, "left_anti")
+        folded = _folded_positions(df.join(shared, same, "left_semi"), lm, key, by, text, digits)
+    if isinstance(lm, Model) and lm.packed(by):
+        out = packed.ngram_perplexity(numbered(lm, Source(alone, by, text), key), order, d, key, digits)
+    else:
+        out = _joined_windows(alone, lm, key, by, text, digits)
+    return out if folded is None else out.unionByName(folded)
+
+
+def _joined_windows(df: DataFrame, lm: dict, key: str, by: list[str], text: str, digits: int) -> DataFrame:
+    """The perplexity of texts that do not share keys, from the tables of a model."""
+    d, order = lm["discount"], lm["order"]
     voc = materialize(lm["vocab"], "ngram_vocab")  # one row a group
     probs = {}
     for k in range(1, order + 1):
@@ -180,19 +266,8 @@ def perplexity_ngram(df: DataFrame, lm: dict, key: str = "doc_id", by: Sequence[
         p = (F.greatest(F.col("c") - d, F.lit(0.0)) / F.col("ch") + F.lit(d) * F.col("n1p") / F.col("ch") * F.col("below"))
         probs[k] = materialize(t.select(*by, "gram", p.alias("p")), f"ngram_probs_{k}")
     known = probs[order].select(*by, "gram", F.log("p").alias("lp"))
-    # texts that share their key are one text whose orders fold position by position
-    shared = df.groupBy(key, *by).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > 1).drop("_m")
-    shared = materialize(shared.select(*(F.col(c).alias(f"_{c}") for c in (key, *by))), "shared_keys")
-    alone, folded = df, None
-    if not shared.isEmpty():
-        same = F.lit(True)
-        for c in (key, *by):
-            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        alone = df.join(shared, same, "left_anti")
-        folded = _folded_positions(df.join(shared, same, "left_semi"), lm, key, by, text, digits)
-    out = scored_windows(window_rows(alone, [key] + by, order, text).withColumn("n", F.lit(1)), known,
-                         lambda unseen: _unseen_windows(unseen, lm, probs, voc, by), key, by, digits)
-    return out if folded is None else out.unionByName(folded)
+    return scored_windows(window_rows(df, [key] + by, order, text).withColumn("n", F.lit(1)), known,
+                          lambda unseen: _unseen_windows(unseen, lm, probs, voc, by), key, by, digits)
 
 
 def _folded_positions(df: DataFrame, lm: dict, key: str, by: list[str], text: str, digits: int) -> DataFrame:

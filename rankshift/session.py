@@ -70,6 +70,25 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+def written(df, name: str, rows: int | None = None):
+    """``materialize`` for tables with packed columns: strongly compressed, and shuffle files of the job go as soon as
+    it ends.  ``rows``: rows of a table that a Python task takes at a time."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if rows:
+        conf["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(rows)
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cluster_conf(total_input_bytes: int, executors: int, cores_per_executor: int) -> dict:
     """Settings to pass to the cluster's session for a given input size.
 
