@@ -102,12 +102,21 @@ def coded_texts(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ("lang",
                 tokens: int = TOKENS) -> DataFrame:
     """(by, chunk, keys, sizes, words, codes), written: the texts of a chunk by key and number of words, the chunk's
     distinct words, frequent ones first, and the texts' words as places in them (``pack``)."""
-    by = list(by)
-    schema = _fields([df.schema[b] for b in by], chunk=LONG, keys=ArrayType(df.schema[key].dataType), sizes=ArrayType(INT),
-                     words=WORDS, codes=DATA)
-    arrow = to_arrow_schema(schema)
     cleaned = F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WORD_SPLIT, " "))
-    rows = df.select(F.col(key).alias("_key"), *by, cleaned.alias("_t"))
+    return _coded(df.select(F.col(key).alias("_key"), *by, cleaned.alias("_t")), list(by), tokens)
+
+
+def coded_ids(df: DataFrame, key: str, ids: str, tokens: int = TOKENS) -> DataFrame:
+    """The same of arrays of numbers; null is -1."""
+    return _coded(df.select(F.col(key).alias("_key"), F.col(ids).cast("array<int>").alias("_t")), [], tokens)
+
+
+def _coded(rows: DataFrame, by: list[str], tokens: int) -> DataFrame:
+    texts = rows.schema["_t"].dataType == StringType()
+    schema = _fields([rows.schema[b] for b in by], chunk=LONG, keys=ArrayType(rows.schema["_key"].dataType), sizes=ArrayType(INT),
+                     words=WORDS if texts else ArrayType(INT), codes=DATA)
+    arrow = to_arrow_schema(schema)
+    word = arrow.field("words").type.value_type
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sizes, made = {}, {}, [TaskContext.get().partitionId() << 32]
@@ -115,7 +124,7 @@ def coded_texts(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ("lang",
         def flush(group) -> pa.RecordBatch:
             parts = held.pop(group)
             sizes.pop(group)
-            flat = pa.chunked_array([p[2] for p in parts], pa.string()).dictionary_encode().unify_dictionaries().combine_chunks()
+            flat = pa.chunked_array([p[2] for p in parts], word).dictionary_encode().unify_dictionaries().combine_chunks()
             flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
             places = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(-np.bincount(places, minlength=len(flat.dictionary)), kind="stable")
@@ -132,11 +141,14 @@ def coded_texts(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ("lang",
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = pc.split_pattern(batch["_t"], " ")
+            lists = pc.split_pattern(batch["_t"], " ") if texts else batch["_t"]
             rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
             flat = lists.flatten()
-            real = pc.not_equal(flat, "")
-            flat, rows = flat.filter(real), rows[real.to_numpy(zero_copy_only=False)]
+            if texts:
+                real = pc.not_equal(flat, "")
+                flat, rows = flat.filter(real), rows[real.to_numpy(zero_copy_only=False)]
+            else:
+                flat = pc.fill_null(flat, -1)
             n = np.bincount(rows, minlength=batch.num_rows)
             groups = list(zip(*(batch[b].to_pylist() for b in by))) if by else [()] * batch.num_rows
             of = {g: i for i, g in enumerate(dict.fromkeys(groups))}
@@ -155,6 +167,35 @@ def coded_texts(df: DataFrame, key: str = "doc_id", by: Sequence[str] = ("lang",
     return written(rows.mapInArrow(code, schema), "coded_texts", rows=256)
 
 
+def looked_up(coded: DataFrame, found: DataFrame, value: str, key: str, out: str) -> DataFrame:
+    """(key, out): each text of the chunks as the array of what its words have in ``found`` (word, value), else null.
+    The distinct words of a chunk are joined, not the words of texts.  Texts that share their key are merged by place."""
+    kind = coded.schema["keys"].dataType.elementType, found.schema[value].dataType
+    schema = StructType([StructField(key, kind[0]), StructField("_v", ArrayType(kind[1]))])
+    arrow = to_arrow_schema(schema)
+    asked = coded.select("chunk", F.posexplode("words").alias("pos", "word"))
+    got = asked.join(found.select("word", F.col(value).alias("v")), "word").select(F.col("chunk").alias("of"), "pos", "v")
+
+    def join(row: pa.Table, got: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return arrow.empty_table()
+        codes, = unpack(_one(row, "codes"))
+        place = np.full(int(codes.max(initial=-1)) + 1, -1)
+        place[got["pos"].to_numpy()] = np.arange(got.num_rows)
+        at = place[codes]
+        values = pa.concat_arrays([pa.array([], got["v"].type), *got["v"].chunks]).take(pa.array(at, mask=at < 0))
+        ends = np.append(0, np.cumsum(row["sizes"].combine_chunks().flatten().to_numpy(zero_copy_only=False)))
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+        keys = row["keys"].combine_chunks().flatten()
+        return pa.table([keys.cast(arrow.field(0).type), lists.cast(arrow.field(1).type)], schema=arrow)
+
+    t = coded.select("chunk", "keys", "sizes", "codes").groupBy("chunk").cogroup(got.groupBy("of")).applyInArrow(join, schema)
+    t = t.groupBy(key).agg(F.collect_list("_v").alias("_v"))
+    placed = F.flatten(F.transform("_v", lambda v: F.transform(v, lambda x, i: F.struct(i.alias("pos"), x.alias("v")))))
+    merged = F.transform(F.array_sort(placed), lambda x: x["v"])
+    return t.select(key, F.when(F.size("_v") == 1, F.element_at("_v", 1)).otherwise(merged).alias(out))
+
+
 class Texts:
     """Chunks with numbered words, the parameters of their buckets and the fields of their groups."""
 

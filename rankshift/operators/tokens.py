@@ -1,8 +1,10 @@
 """Tokenization and training-table building (§2.4).
 
 The built-in tokenizer is the native word tokenizer; ids come from a
-vocabulary table joined on the token.  Documents are regrouped after the
-join by their own key only, so a group never holds more than one document.
+vocabulary table joined on the token.  Whole texts are looked up as packed
+chunks: the distinct words of a chunk are joined, not the words of each text.
+Texts cut to some words are regrouped after the join by their own key only, so
+a group never holds more than one document.
 With a vocabulary of bounded size (built with ``size``) the lookup is a
 broadcast join on input pre-partitioned by the key: one shuffle (the text),
 no shuffle of exploded tokens.
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from rankshift.functions.hashing import h32, unit_hash
 from rankshift.functions.text import word_tokens
+from rankshift.operators import packed
 from rankshift.operators.order import prefix_offsets
-from rankshift.session import materialize
+from rankshift.session import materialize, written
 
 IGNORE = -100
 BROADCAST_ROWS = 500_000
@@ -58,7 +61,7 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 1, size:
     spark = df.sparkSession
     counts = (df.select(F.explode(tokens).alias("tok")).groupBy("tok")
               .agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= min_count))
-    counts = materialize(counts, "word_counts")  # the ranking reads it twice
+    counts = written(counts, "word_counts")  # the ranking reads it twice
     keyed = counts.withColumn("_ord", F.struct((-F.col("cnt")).alias("c"), F.col("tok").alias("t")))
     bucket, run = (F.struct((-F.col("cnt")).alias("c"), F.substring("tok", 1, n).alias("p")) for n in (5, 2))
     ranked = prefix_offsets(keyed, "_ord", None, "_r", bucket=bucket, run=run)
@@ -108,6 +111,11 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "ord", text: str = "text"
         if v.count() <= BROADCAST_ROWS:
             base = base.repartition(partitions, key) if partitions else base.repartition(key)
             v = F.broadcast(v)
+    if max_len is None and not bounded_vocab:
+        coded = packed.coded_texts(df, key, (), text)
+        ids_col = F.transform("_ids", lambda x: F.coalesce(x, F.lit(unk)))
+        res = packed.looked_up(coded, v.withColumnRenamed("tok", "word"), "id", key, "_ids").select(key, ids_col.alias("_ids"))
+        return res.select(key, (F.concat("_ids", F.array(F.lit(special.id("eos")))) if add_eos else F.col("_ids")).alias(out))
     e = base.select(key, F.posexplode_outer("_t").alias("pos", "tok"))
     ids = e.join(v, "tok", "left").select(key, "pos", F.coalesce("id", F.lit(unk)).alias("id"))
     res = _regroup(ids, key, "id", "_ids", "int")
@@ -120,11 +128,8 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "ord", text: str = "text"
 def decode(df: DataFrame, vocab: DataFrame, key: str = "ord", ids: str = "input_ids", out: str = "text",
            special: SpecialTokens = SPECIAL) -> DataFrame:
     """TOK4: ids -> text (space-joined words), special tokens and -100 skipped."""
-    n_sp = len(special.tokens)
-    e = df.select(key, F.posexplode_outer(ids).alias("pos", "id"))
-    e = e.withColumn("pos", F.when(F.col("id") >= n_sp, F.col("pos")))
-    words = e.join(vocab.select("id", "tok"), "id", "left").select(key, "pos", "tok")
-    g = _regroup(words, key, "tok", "_w", "string")
+    words = vocab.where(F.col("id") >= len(special.tokens)).select(F.col("id").alias("word"), "tok")
+    g = packed.looked_up(packed.coded_ids(df, key, ids), words, "tok", key, "_w")
     return g.select(key, F.array_join("_w", " ").alias(out))
 
 
